@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontam, simhash
+import os
+
+from . import ann, bpe, ctw, decontam, linededup, simhash, tokenpack
 from .common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer file: from the folder in TOKENIZER_DIR if set, else as the installed package says."""
+    if folder := os.environ.get("TOKENIZER_DIR"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -14,5 +25,25 @@ def op2_decontamination(spark, sf_dir):
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination)}
-ORACLE = {"op2_decontamination": decontam.ORACLE}
+def op3_context_tree(spark, sf_dir):
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
+def op4_token_blocks(spark, sf_dir):
+    return tokenpack.token_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op6_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op7_line_dedup(spark, sf_dir):
+    return linededup.drop_boilerplate(table(spark, sf_dir, "documents"), removed_col="n_removed").select("doc_id", "text", "n_removed")
+
+
+def op9_one_bit_codes(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_context_tree, op4_token_blocks, op6_bpe, op7_line_dedup, op9_one_bit_codes)}
+ORACLE = {"op2_decontamination": decontam.ORACLE, "op7_line_dedup": linededup.ORACLE}
