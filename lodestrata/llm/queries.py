@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import ann, bpe, ctw, decontam, linededup, simhash, tokenpack
+from . import ann, bpe, ctw, decontam, linededup, simhash, tokenpack, toxicity
 from .common import table
 
 
@@ -45,5 +45,9 @@ def op9_one_bit_codes(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_context_tree, op4_token_blocks, op6_bpe, op7_line_dedup, op9_one_bit_codes)}
+def op10_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_context_tree, op4_token_blocks, op6_bpe, op7_line_dedup, op9_one_bit_codes, op10_toxicity)}
 ORACLE = {"op2_decontamination": decontam.ORACLE, "op7_line_dedup": linededup.ORACLE}
