@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import ann, bpe, ctw, decontam, linededup, simhash, tokenpack, toxicity
+from . import ann, bpe, ctw, decontam, htmlmain, linededup, simhash, tokenpack, toolcalls, toxicity
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op4_token_blocks(spark, sf_dir):
     return tokenpack.token_digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_tool_calls(spark, sf_dir):
+    return toolcalls.link_calls(table(spark, sf_dir, "conversations"))
+
+
 def op6_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -41,6 +45,10 @@ def op7_line_dedup(spark, sf_dir):
     return linededup.drop_boilerplate(table(spark, sf_dir, "documents"), removed_col="n_removed").select("doc_id", "text", "n_removed")
 
 
+def op8_main_text(spark, sf_dir):
+    return htmlmain.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_one_bit_codes(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -49,5 +57,5 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_context_tree, op4_token_blocks, op6_bpe, op7_line_dedup, op9_one_bit_codes, op10_toxicity)}
-ORACLE = {"op2_decontamination": decontam.ORACLE, "op7_line_dedup": linededup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_context_tree, op4_token_blocks, op5_tool_calls, op6_bpe, op7_line_dedup, op8_main_text, op9_one_bit_codes, op10_toxicity)}
+ORACLE = {"op2_decontamination": decontam.ORACLE, "op5_tool_calls": toolcalls.ORACLE, "op7_line_dedup": linededup.ORACLE}
