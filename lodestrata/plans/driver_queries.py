@@ -125,9 +125,9 @@ def inventory_rollup(spark, sf_dir):
     return _inventory(spark, sf_dir).withColumn("versions", F.array_join("versions", ","))
 
 
-@_query(f"select package, display_name, n_usages from ({_ROLL}) where contains(lower(coalesce(display_name, '')), '1') order by package limit 50 offset 20")
+@_query(f"select package, display_name, n_usages from ({_ROLL}) where contains(lower(coalesce(display_name, '')), 'gear') order by package limit 50 offset 20")
 def inventory_search_page(spark, sf_dir):
-    return inventory.page(inventory.search(_inventory(spark, sf_dir), "steel", ["display_name"]), ["package"], 50, 20).select("package", "display_name", "n_usages")
+    return inventory.page(inventory.search(_inventory(spark, sf_dir), "gear", ["display_name"]), ["package"], 50, 20).select("package", "display_name", "n_usages")
 
 
 @_query("""with y as (select l_partkey, year(l_shipdate) yr, row_number() over (partition by l_partkey, year(l_shipdate) order by l_orderkey, l_linenumber) occurrence from lineitem),
