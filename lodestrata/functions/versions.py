@@ -248,7 +248,10 @@ def keyed_intervals(ranges: Column, key=semver_key) -> Column:
 
 
 def intersect(a: Column, b: Column) -> Column:
-    """Non-empty intersections of two arrays of keyed intervals; empty: no version satisfies both. Null if either is null."""
+    """Non-empty intersections of two arrays of keyed intervals; empty: no version satisfies both. Null if either is null.
+
+    Both must be columns of the table, as Spark takes no Python function inside a lambda.
+    """
 
     def meet(x: Column, y: Column) -> Column:
         lo = F.when(x["lo"].isNull(), y["lo"]).when(y["lo"].isNull(), x["lo"]).otherwise(F.greatest(x["lo"], y["lo"]))

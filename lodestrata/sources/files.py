@@ -33,7 +33,7 @@ def read_files(spark: SparkSession, root: str, glob: str | None = None, skip: li
     path = F.regexp_replace(F.substring_index(F.col("path"), base + "/", -1), "^/+", "")
     rows = raw.select(path.alias("path"), "length", "content").where(~excluded(F.col("path"), skip))
     fits = F.col("length") <= max_bytes
-    text = F.regexp_replace(F.decode("content", F.lit("UTF-8")), "\r\n?", "\n")
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
     return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest"), F.when(fits, text).alias("text"), F.when(~fits, F.lit("file.too-large")).alias("problem"))
 
 

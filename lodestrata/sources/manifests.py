@@ -144,7 +144,7 @@ def vcpkg_json(files: DataFrame) -> DataFrame:
 def java_imports(files: DataFrame) -> DataFrame:
     """Java and Kotlin imports: ``(path, line, reference)``."""
     rule = r"^\s*import\s+(?:static\s+)?([A-Za-z_][\w.]*(?:\.\*)?)"
-    return numbered_lines(files).where(F.col("text").rlike(rule)).select("path", "line", F.regexp_replace(F.regexp_extract("text", rule, 1), r"\.\*$", "").alias("reference"))
+    return numbered_lines(files).where(F.col("text").rlike(rule)).select("path", "line", F.regexp_replace(F.regexp_extract("text", rule, 1), r"\.\*?$", "").alias("reference"))
 
 
 def c_includes(files: DataFrame) -> DataFrame:

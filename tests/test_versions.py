@@ -77,8 +77,8 @@ def test_npm_ranges_that_are_unknown():
 
 def test_interval_intersection(spark):
     rows = [("^1.2.0", "~1.2.5", 1), ("^1.0.0", "^2.0.0", 0), ("<=1.0.0", ">=1.0.0", 1), ("<1.0.0", ">=1.0.0", 0), ("^1 || ^3", "^2 || ^3.1", 1), ("*", "^5", 1)]
-    df = spark.createDataFrame(rows, "a string, b string, n int")
-    both = v.intersect(v.keyed_intervals(v.npm_ranges(F.col("a"))), v.keyed_intervals(v.npm_ranges(F.col("b"))))
+    df = spark.createDataFrame(rows, "a string, b string, n int").select(v.npm_ranges(F.col("a")).alias("a"), v.npm_ranges(F.col("b")).alias("b"), "n")
+    both = v.intersect(v.keyed_intervals(F.col("a")), v.keyed_intervals(F.col("b")))
     assert all(r.n == r.m for r in df.select("n", F.size(both).alias("m")).collect())
 
 
