@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from lodestrata.plans import version_queries  # noqa: F401
 from lodestrata.plans.driver_queries import ORACLE, QUERIES
 
 DIR = "/root/testdata/sf0.001"
