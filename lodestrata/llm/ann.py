@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hash_sample
 
 K, EVERY = 20, 20
 #: Standard errors in the error bound.
@@ -101,12 +101,10 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     v = F.col(vec_col).cast("array<double>")
     ok = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim"))
-    sample = rows.orderBy(F.xxhash64("vec_id")).limit(CENTRE_SAMPLE).groupBy("dim").agg(F.array(F.lit(0.0)).alias("x")).select("dim").collect()
-    centres = {}
-    for (dim,) in sample:
-        near = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id")).limit(CENTRE_SAMPLE)
-        means = near.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()
-        centres[dim] = [r.m for r in means]
+    means = hash_sample(rows, "vec_id", CENTRE_SAMPLE).select("dim", F.posexplode("v").alias("i", "x")).groupBy("dim", "i").agg(F.avg("x").alias("m")).collect()
+    centres: dict[int, list[float]] = {}
+    for r in sorted(means):
+        centres.setdefault(r.dim, []).append(r.m)
 
     def code(batches):
         for batch in batches:

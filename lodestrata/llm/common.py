@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,3 +30,16 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def hash_sample(df: DataFrame, by: str, most: int, buckets: int = 4096) -> DataFrame:
+    """All rows of ``df`` if they are ``most`` at most, else those of the lowest hash buckets of column ``by`` that hold
+    ``most`` rows at most. The choice depends on the values alone; a histogram of buckets replaces a sort."""
+    bucket = F.pmod(F.xxhash64(by), F.lit(buckets))
+    sizes = dict(df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect())
+    if sum(sizes.values()) <= most:
+        return df
+    end, held = 0, 0
+    while end < buckets and held + sizes.get(end, 0) <= most:
+        held, end = held + sizes.get(end, 0), end + 1
+    return df.where(bucket < end)

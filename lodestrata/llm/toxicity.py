@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, hash_sample
 
 #: Labelled rows that a fit reads at most.
 SAMPLE_ROWS = 20_000
@@ -98,7 +98,7 @@ def _training(docs: DataFrame, labels: DataFrame, fold: int, held: int, sample:
     """``(id, y)`` of the labelled training rows that are read: null ids and labels are no training rows."""
     own = labels.where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     own = own.where(F.crc32(F.col("id").cast("string")) % fold != held)
-    return cut(own.join(docs.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample))
+    return cut(hash_sample(cut(own.join(docs.select("id").distinct(), "id", "left_semi")), "id", sample))
 
 
 def _lexicon(docs: DataFrame, train: DataFrame) -> dict[str, float]:
