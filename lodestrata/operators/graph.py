@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+from lodestrata.lineage import cut
 
 
 def reverse_paths(edges: DataFrame, targets: DataFrame, depth: int = 64) -> DataFrame:
@@ -25,7 +18,7 @@ def reverse_paths(edges: DataFrame, targets: DataFrame, depth: int = 64) -> Data
     front = targets.select(F.array("node").alias("path"), F.col("node").alias("end")).distinct()
     out = front
     for _ in range(depth):
-        front = _cut(front.join(up, F.col("end") == F.col("child")).where(~F.array_contains("path", F.col("parent"))).select(F.concat("path", F.array("parent")).alias("path"), F.col("parent").alias("end")))
+        front = cut(front.join(up, F.col("end") == F.col("child")).where(~F.array_contains("path", F.col("parent"))).select(F.concat("path", F.array("parent")).alias("path"), F.col("parent").alias("end")))
         if front.isEmpty():
             break
         out = out.union(front)
@@ -35,24 +28,24 @@ def reverse_paths(edges: DataFrame, targets: DataFrame, depth: int = 64) -> Data
 
 def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:
     """``(node, distance)``: nodes within reach of ``roots(node)`` along ``edges(parent, child)`` by breadth-first rounds."""
-    seen = _cut(roots.select("node").distinct().withColumn("distance", F.lit(0)))
+    seen = cut(roots.select("node").distinct().withColumn("distance", F.lit(0)))
     front = seen
     for step in range(1, rounds + 1):
-        front = _cut(front.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(step)))
+        front = cut(front.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(step)))
         if front.isEmpty():
             return seen
-        seen = _cut(seen.union(front))
+        seen = cut(seen.union(front))
     raise RuntimeError(f"not done after {rounds} rounds")
 
 
 def alias_groups(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, root)``: equivalence groups of ``pairs(a, b)``, known by their least member; label propagation with shortcuts."""
-    both = _cut(pairs.select("a", "b").union(pairs.select("b", "a")).where("a is not null and b is not null").distinct())
-    labels = _cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
+    both = cut(pairs.select("a", "b").union(pairs.select("b", "a")).where("a is not null and b is not null").distinct())
+    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", F.least("root", "near").alias("root"))
-        jump = _cut(step.join(step.select(F.col("node").alias("root"), F.col("root").alias("far")), "root").select("node", F.least("root", "far").alias("root")))
+        jump = cut(step.join(step.select(F.col("node").alias("root"), F.col("root").alias("far")), "root").select("node", F.least("root", "far").alias("root")))
         changed = jump.join(labels.withColumnRenamed("root", "was"), "node").where("root <> was")
         labels = jump
         if changed.isEmpty():
