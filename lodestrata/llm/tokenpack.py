@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import shared_folder
 from .wordtable import word_table
 
 BLOCK, MAGIC, PERCENTILE = 128, b"PFR1", 90
@@ -185,11 +185,6 @@ def token_digests(docs: DataFrame, tokenizer: str, folder: str | None = None, id
     """Writes ``docs`` to a new folder under ``folder`` (default: the shared checkpoint folder), reads it back and
     returns ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``. An empty table gives an empty result."""
     spark = docs.sparkSession
-    if folder is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if folder is None:
-            cut(spark.range(1))
-            folder = spark.sparkContext.getCheckpointDir()
-    at = f"{folder.rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    at = f"{(folder or shared_folder(spark)).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, at, tokenizer, id_col=id_col, text_col=text_col)
     return read_tokens(spark, at).select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
