@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm import bpe, decontam, linededup, simhash, toxicity
-from lodestrata.llm.common import cut, table
+from lodestrata.llm.common import shared_folder, table
 from lodestrata.llm.queries import tokenizer_file
 
 
@@ -42,13 +42,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        cut(spark.range(1))
-        folder = spark.sparkContext.getCheckpointDir()
+    folder = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        at = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        at = f"{folder}/{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
     return docs
