@@ -276,3 +276,32 @@ def event_state(events: Column, version: Column) -> Column:
         return F.when(reached & (e["kind"] == "introduced"), True).when(reached & (e["kind"] == "fixed"), False).when(reached & (e["kind"] == "last_affected") & (version > e["boundary"]), False).otherwise(state)
 
     return F.aggregate(ordered, F.lit(False), step)
+
+
+def cargo_ranges(text: Column) -> Column:
+    """Cargo requirements as intervals: comma-separated terms all hold, a bare version is a caret term."""
+    bare = F.regexp_replace(text, r"(^|,)\s*(?=\d)", "$1^")
+    return npm_ranges(F.regexp_replace(F.regexp_replace(bare, r"([<>=~^])\s+", "$1"), ",", " "))
+
+
+def maven_range(text: Column) -> Column:
+    """A Maven range as (lo, lo_inclusive, hi, hi_inclusive) in version text; ``[1]`` is one version; null if it is no single range."""
+    rule = r"^\s*([\[(])\s*([^,\[\]()]*?)\s*(,?)\s*([^,\[\]()]*?)\s*([\])])\s*\z"
+    part = lambda i: F.regexp_extract(text, rule, i)
+    lo, hi = F.nullif(F.when(part(3) == "", part(4)).otherwise(part(2)), F.lit("")), F.nullif(part(4), F.lit(""))
+    return F.when(text.rlike(rule) & ((part(3) != "") | (part(2) == "")), F.struct(lo.alias("lo"), (part(1) == "[").alias("lo_inclusive"), hi.alias("hi"), (part(5) == "]").alias("hi_inclusive")))
+
+
+def poetry_specifier(text: Column) -> Column:
+    """Poetry's caret and tilde terms as a PEP 440 specifier; other terms stay as they are."""
+    number = r"(\d+)(?:\.(\d+))?(?:\.(\d+))?"
+    rule = rf"^\s*([\^~])\s*{number}\s*\z"
+    n = [F.regexp_extract(text, rule, i) for i in (2, 3, 4)]
+    full = F.concat_ws(".", *[F.nullif(x, F.lit("")) for x in n])
+    up = lambda c: (c.cast("long") + 1).cast("string")
+    caret = (
+        F.when((n[0] != "0") | (n[1] == ""), up(n[0])).when((n[1] != "0") | (n[2] == ""), F.concat(n[0], F.lit("."), up(n[1])))
+        .otherwise(F.concat(n[0], F.lit("."), n[1], F.lit("."), up(n[2])))
+    )
+    tilde = F.when(n[1] == "", up(n[0])).otherwise(F.concat(n[0], F.lit("."), up(n[1])))
+    return F.when(text.rlike(rule), F.concat(F.lit(">="), full, F.lit(",<"), F.when(F.regexp_extract(text, rule, 1) == "^", caret).otherwise(tilde))).otherwise(text)

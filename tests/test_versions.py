@@ -95,3 +95,14 @@ def test_event_fold_is_an_interval(spark, cases):
 def test_event_fold_at_open_start(spark):
     df = spark.sql("select array(named_struct('boundary', cast(null as int), 'kind', 'introduced'), named_struct('boundary', 5, 'kind', 'fixed'), named_struct('boundary', 8, 'kind', 'introduced')) e, explode(array(0, 4, 5, 8, 9)) x")
     assert [r.s for r in df.select(v.event_state(F.col("e"), F.col("x")).alias("s")).collect()] == [True, True, False, True, True]
+
+
+def test_other_range_forms(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    row = lambda r: (r.lo, r.lo_inclusive, r.hi, r.hi_inclusive)
+    assert row(one(v.maven_range(F.lit("[1.0,2)")))) == ("1.0", True, "2", False) and row(one(v.maven_range(F.lit("(,2]")))) == (None, False, "2", True)
+    assert row(one(v.maven_range(F.lit("[1.5]")))) == ("1.5", True, "1.5", True) and one(v.maven_range(F.lit("1.0"))) is None and one(v.maven_range(F.lit("[1,2),[3,4)"))) is None
+    df = spark.createDataFrame([("1.2",), ("=1.2.3",), (">=1, <1.5",), ("~1.2",)], "t string").select(v.cargo_ranges(F.col("t")).alias("r"))
+    assert [row(r.r[0]) for r in df.collect()] == [("1.2.0", True, "2.0.0", False), ("1.2.3", True, "1.2.3", True), ("1.0.0", True, "1.5.0", False), ("1.2.0", True, "1.3.0", False)]
+    for text, want in {"^1.2.3": ">=1.2.3,<2", "^0.2": ">=0.2,<0.3", "^0.0.3": ">=0.0.3,<0.0.4", "^0": ">=0,<1", "~1.2": ">=1.2,<1.3", "~1": ">=1,<2", ">=1": ">=1", "^1a": "^1a"}.items():
+        assert one(v.poetry_specifier(F.lit(text))) == want
