@@ -38,7 +38,7 @@ def op5_tool_calls(spark, sf_dir):
 
 
 def op6_bpe(spark, sf_dir):
-    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), ranks=tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
 def op7_line_dedup(spark, sf_dir):
