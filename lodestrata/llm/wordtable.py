@@ -21,6 +21,15 @@ CUTS = {
     "byte": (re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"), "\n"),
     "word": (re.compile(f"[^{SPACE}]+"), " "),
 }
+#: Texts of ASCII and Latin-1 letters are cut finer, at the tokenizer's own pattern for these characters, so that a word
+#: has one entry whatever marks stand beside it (and, where the tokenizer lower-cases, whatever its case).
+PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
+LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+FINE = {
+    "byte": re.compile(f"{SHORT}| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+"),
+    "word": re.compile(f"{SHORT}|[{LETTERS}]+|[0-9]|[^\\s{LETTERS}0-9]+"),
+}
 #: Words that a task's table holds at once; a full table is emptied (its words are then encoded again).
 TABLE_WORDS = 600_000
 JOIN_WORDS = 2000
@@ -51,6 +60,11 @@ class WordTable:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.find, self.separator = CUTS[kind][0].findall, CUTS[kind][1]
+        self.fine, self.lower = FINE[kind].findall, kind == "word"
+        self.single = FINE[kind].fullmatch if kind == "word" else lambda word: None
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
         self.limit, self.table = limit, {}
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
@@ -70,6 +84,20 @@ class WordTable:
                 self.table[w] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 solid.append(w)
+        if whole := [w for w in solid if self.single(w)]:
+            # one word is one run of ids that ends at an id with the end-of-word mark: no offsets are needed
+            left = []
+            for at in range(0, len(whole), JOIN_WORDS):
+                part = whole[at : at + JOIN_WORDS]
+                ids = np.array(self.tokenizer.encode_batch_fast([self.separator.join(part)], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.flatnonzero(self.last[ids])
+                if len(ends) != len(part) or ends[-1] + 1 != len(ids):
+                    left += part
+                    continue
+                flat, cuts = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
+                self.table.update((w, flat[cuts[i] : cuts[i + 1]]) for i, w in enumerate(part))
+            known = set(whole) - set(left)
+            solid = [w for w in solid if w not in known]
         for at in range(0, len(solid), JOIN_WORDS):
             part = solid[at : at + JOIN_WORDS]
             enc = self.tokenizer.encode(self.separator.join(part), add_special_tokens=False)
@@ -89,7 +117,11 @@ class WordTable:
             return b""
         if self.added(text):
             return self._whole(text)
-        words, table = self.find(text), self.table
+        if PLAIN(text):
+            words = self.fine(text.lower() if self.lower else text)
+        else:
+            words = self.find(text)
+        table = self.table
         try:
             return b"".join([table[w] for w in words])
         except KeyError:
