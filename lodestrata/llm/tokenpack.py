@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import cut, shared_folder
 from .wordtable import word_table
 
 BLOCK, MAGIC, PERCENTILE = 128, b"PFR1", 90
 #: Ids at which a segment is closed (it ends with the document that reaches it).
 SEGMENT_IDS = 1_000_000
+#: Segments whose starts are broadcast (16 bytes each); beyond this number they are joined by a shuffle.
+BROADCAST_SEGMENTS = 500_000
 SCHEMA = "part int, segment int, n_docs int, n_tokens long, payload binary"
 _HEAD = struct.Struct("<4sIQIIB")
 
@@ -164,7 +166,9 @@ def read_tokens(spark: SparkSession, at: str) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each writing task
     before = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
     inside = sizes.withColumn("inside", F.sum("n_tokens").over(W.partitionBy("part").orderBy("segment")) - F.col("n_tokens"))
-    base = inside.join(before, "part").select("part", "segment", (F.col("base") + F.col("inside")).alias("base"))
+    base = cut(inside.join(before, "part").select("part", "segment", (F.col("base") + F.col("inside")).alias("base")))
+    if base.count() <= BROADCAST_SEGMENTS:
+        base = F.broadcast(base)  # the packed segments themselves stay where they are read
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
