@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh, hash_sample
 
-#: Labelled rows that a fit reads at most.
+#: Labelled rows that a fit reads at most; this bound lets them be broadcast (an id and a label each).
 SAMPLE_ROWS = 20_000
 #: Letters of a stem; documents of label 1 that must hold it; how many times as frequent it must be there; stems kept at most.
 STEM, STEM_DOCUMENTS, STEM_RATIO, STEMS = 5, 5, 4.0, 2000
@@ -109,7 +109,7 @@ def _lexicon(docs: DataFrame, train: DataFrame) -> dict[str, float]:
             own = [list(stems(x.as_py())) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string())), batch.column(1)], ["stems", "y"])
 
-    rows = docs.join(train, "id").select("text", "y").mapInArrow(split, "stems array<string>, y double")
+    rows = docs.join(F.broadcast(train), "id").select("text", "y").mapInArrow(split, "stems array<string>, y double")
     counts = rows.select(F.explode("stems").alias("stem"), "y").groupBy("stem").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     n_bad, n_good = train.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0.0))).first()
     ratio = ((F.col("bad") + 0.5) / (n_bad + 1)) / ((F.col("good") + 0.5) / (n_good + 1))
@@ -141,7 +141,7 @@ def score(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.float64()))], ["id", "x"])
 
     kind = dict(base.dtypes)["id"]
-    known = cut(base.join(train, "id").select(F.struct("id", "y").alias("id"), "text").mapInArrow(measure, f"id struct<id:{kind},y:double>, x array<double>").select("id.id", "id.y", array_to_vector("x").alias("x")))
+    known = cut(base.join(F.broadcast(train), "id").select(F.struct("id", "y").alias("id"), "text").mapInArrow(measure, f"id struct<id:{kind},y:double>, x array<double>").select("id.id", "id.y", array_to_vector("x").alias("x")))
     calibrates = F.crc32(F.col("id").cast("string")) % fold == 3
     sums = {bool(r.c): (r.n, r.bad) for r in known.groupBy(calibrates.alias("c")).agg(F.count("*").alias("n"), F.sum("y").alias("bad")).collect()}
     fit_n, fit_bad = sums.get(False, (0, 0.0))
