@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh
 
-MIN_SITES, MIN_CHARS = 10, 20
+#: A quarter of the generated tables' 20 sources: a passage in 20 documents with a hot source can be on fewer than half of them.
+MIN_SITES, MIN_CHARS = 5, 20
 #: log2 of the sketch's registers (standard error 3 %), and the share of the threshold on either side that is counted exactly.
 LG_K, NEAR = 10, 0.25
 SALTS = 16

@@ -52,3 +52,12 @@ def test_many_sites_go_by_sketch(spark):
     rows = [(i, f"{LINE}\nowntext of document {i} here", f"site{i}", 1, 2, "x") for i in range(300)]
     got = linededup.drop_boilerplate(spark.createDataFrame(rows, SCHEMA), min_sites=100, removed_col="n").collect()
     assert sum(r.n for r in got) == 299
+
+
+def test_long_passage_under_a_hot_source_goes_at_the_default_threshold(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    hot = [(i, f"{passage}\nown text number {i} of this document", "hot" if i < 12 else f"s{i}", 1, 2, "x") for i in range(20)]
+    copies = [(100 + i, "a line of a document that was copied to four sources", f"c{i}", 1, 2, "x") for i in range(4)]
+    got = linededup.drop_boilerplate(spark.createDataFrame(hot + copies, SCHEMA), removed_col="n").collect()
+    assert {r.doc_id: r.n for r in got} == {i: int(0 < i < 20) for i in [*range(20), *range(100, 104)]}
+    assert [r.doc_id for r in got if passage in r.text] == [0]
