@@ -19,7 +19,7 @@ from .common import cut
 
 #: Winning paths are broadcast up to this number of hosts, else joined by a shuffle.
 BROADCAST_HOSTS = 100_000
-#: A container counts as holding the page's text from this share on; the deepest such container wins.
+#: A container counts as holding the page's text from this share on; the deepest such container points at the article, which wins whole.
 SHARE = 0.7
 
 #: Elements without an end tag, containers, elements that end a block, and elements that hold no article text.
@@ -137,8 +137,15 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     return page.blocks
 
 
+def _article(path: tuple[str, ...]) -> tuple[str, ...] | None:
+    """``path`` up to its outermost article, else main element."""
+    tags = [step.split(".", 1)[0] for step in path]
+    return next((path[: tags.index(t) + 1] for t in ("article", "main") if t in tags), None)
+
+
 def best_path(page: list[tuple[tuple[str, ...], str, int]]) -> tuple[tuple[str, ...], int]:
-    """The deepest container path that holds most of the page's text outside links, and how much it holds."""
+    """The path of the article, and how much text outside links it holds: the article or main element around the deepest
+    container with most of the page's text; without such an element, the nearest container around all blocks that aren't mostly links."""
     score: dict[tuple[str, ...], int] = {(): 0}
     for path, text, linked in page:
         own = max(0, len(text) - 2 * linked)
@@ -146,16 +153,22 @@ def best_path(page: list[tuple[tuple[str, ...], str, int]]) -> tuple[tuple[str,
             score[path[:depth]] = score.get(path[:depth], 0) + own
     least = SHARE * score[()]
     path = max((p for p, s in score.items() if s >= least), key=lambda p: (len(p), score[p], p)) if score[()] else ()
-    return path, score[path]
+    if (whole := _article(path)) is None:
+        while score[path] < score[()]:
+            path = path[:-1]
+        whole = path
+    return whole, score[whole]
 
 
 def main_text(html: str | None, path: tuple[str, ...] | None) -> tuple[str, bool]:
-    """Text under ``path``, else under the page's own best path; whether ``path`` was found."""
+    """Text under ``path``, else under the page's own best path; whether ``path`` was found.
+
+    Unless ``path`` is an article or main element, text that stands directly in a container around it belongs to it too, but for blocks that are mostly links.
+    """
     page = blocks(html)
-    if path is not None:
-        own = [text for at, text, _ in page if at[: len(path)] == path]
-        if own:
-            return " ".join(own), True
+    if path is not None and any(at[: len(path)] == path for at, _, _ in page):
+        around = _article(path) is None
+        return " ".join(text for at, text, linked in page if at[: len(path)] == path or around and at == path[: len(at)] and len(text) > 2 * linked), True
     best, _ = best_path(page)
     return " ".join(text for at, text, _ in page if at[: len(best)] == best), False
 

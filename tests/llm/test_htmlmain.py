@@ -30,3 +30,27 @@ def test_shuffled_paths_and_odd_pages(spark):
 def test_unclosed_and_nested_boilerplate():
     page = "<article><header>no</header><p>one <a href=x>link</a><p>two<div class='share-buttons'><div>no<p>no</div></div><table><tr><td>c1<td>c2</table><p hidden>no</p><p style='display: none'>no</p><template>no</template>three"
     assert htmlmain.main_text(page, None)[0] == "one link two c1 c2 three"
+
+
+LONG = "body text of the article " * 20
+BODY = f"<div class=body><p>{LONG}</div>"
+TABLE = f"<table><tr><td>{LONG}<td>{LONG}</table>"
+
+
+def joined(*parts):
+    return " ".join(" ".join(parts).split())
+
+
+def test_lead_outside_the_body_and_text_around_a_large_table_stay():
+    for tag in ("article", "main", "div class=post"):
+        end = tag.split()[0]
+        assert htmlmain.main_text(f"<nav>no</nav><{tag}><h1>Title</h1><p>lead{BODY}<p>end</{end}>", None)[0] == joined("Title lead", LONG, "end")
+        assert htmlmain.main_text(f"<{tag}><p>before{TABLE}<p>after</{end}><footer>no</footer>", None)[0] == joined("before", LONG, LONG, "after")
+    assert htmlmain.main_text(f"<div><a href=x>links only</a></div><article><p>lead{BODY}</article><p>outside", None)[0] == joined("lead", LONG)
+
+
+def test_host_vote_keeps_the_whole_article(spark):
+    rows = [(n, f"http://a/{n}", f"<article><h1>T{n}</h1><p>lead{BODY}</article>", "h", "p") for n in range(3)] + [(9, "http://a/9", "<article><p>much text outside the body here<div class=body><p>tiny</div></article>", "h", "p")]
+    rows += [(10 + n, f"http://b/{n}", f"<div class=wrap>{BODY}</div>", "h", "p") for n in range(3)] + [(19, "http://b/9", f"<div class=wrap><h1>T</h1>{BODY}<div><a href=x>links only</a></div></div>", "h", "p")]
+    got = {r.page_id: r.text for r in htmlmain.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {n: joined(f"T{n} lead", LONG) for n in range(3)} | {9: "much text outside the body here tiny"} | {10 + n: joined(LONG) for n in range(3)} | {19: joined("T", LONG)}
