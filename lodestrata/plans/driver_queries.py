@@ -1,7 +1,8 @@
 """The operators applied to the driver's tables, each with the SQL that must give the same rows.
 
 Adapters rename the tables' columns to evidence columns: customers are projects, orders declarations,
-lineitems usages, parts packages. Every query reads whole tables.
+lineitems usages, parts packages. Four queries and their SQL take a share of the ids only (``event_state_fold``,
+``metadata_diff``, ``reverse_paths``, ``unique_candidate``); each has a ``_whole`` form over all rows.
 """
 
 from __future__ import annotations
@@ -166,15 +167,25 @@ def version_range_match(spark, sf_dir):
     return lookup.in_ranges(part.select("p_partkey", "p_type", "p_size"), ranges, ["p_type"], "p_size").select("p_partkey", "p_type", "p_size", "lo", "hi")
 
 
-@_query("""with e as (select user_id, event_id, event_type, case event_type when 'view' then 1 when 'purchase' then 0 end state from events)
-select user_id, coalesce(arg_max(state, event_id) filter (state is not null) = 1, false) affected, count(*) filter (state is not null) n_events from e where event_id % 3 <> 0 group by user_id""")
-def event_state_fold(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").where("event_id % 3 <> 0")
+def _event_states(e):
+    """``(user_id, affected, n_events)``: the state after a user's views (introduced) and purchases (fixed) in order."""
     kind = F.when(F.col("event_type") == "view", "introduced").when(F.col("event_type") == "purchase", "fixed")
     rows = e.groupBy("user_id").agg(F.collect_list(F.when(kind.isNotNull(), F.struct(F.col("event_id").alias("boundary"), kind.alias("kind")))).alias("events"))
     return rows.select("user_id", event_state(F.col("events"), F.lit(2**62)).alias("affected"), F.size("events").cast("long").alias("n_events"))
 
 
+@_query("""with e as (select user_id, event_id, event_type, case event_type when 'view' then 1 when 'purchase' then 0 end state from events)
+select user_id, coalesce(arg_max(state, event_id) filter (state is not null) = 1, false) affected, count(*) filter (state is not null) n_events from e where event_id % 3 <> 0 group by user_id""")
+def event_state_fold(spark, sf_dir):
+    return _event_states(_t(spark, sf_dir, "events").where("event_id % 3 <> 0"))
+
+
+@_query("""with e as (select user_id, event_id, case event_type when 'view' then 1 when 'purchase' then 0 end state from events)
+select user_id, coalesce(arg_max(state, event_id) filter (state is not null) = 1, false) affected, count(state) n_events from e group by user_id""")
+def event_state_fold_whole(spark, sf_dir):
+    return _event_states(_t(spark, sf_dir, "events"))
+
+
 @_query("""with p as (select page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') path from pages), o as (select distinct regexp_extract(path, '^[^/]+', 0) root from p union select distinct regexp_extract(path, '^[^/]+/[^/]+', 0) from p where path like '%/en/%'),
 h as (select page_id, path, max(length(root)) n from p join o on path = root or starts_with(path, root || '/') where root <> '' group by all) select page_id, path, left(path, n) root from h""")
 def longest_prefix_owner(spark, sf_dir):
@@ -204,14 +215,24 @@ def literal_references_count(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", F.explode(literal_references(F.col("html"))).alias("ref")).groupBy("page_id", "ref").agg(F.count("*").alias("n"))
 
 
+def _part_paths(part, targets):
+    edges = part.select((F.col("p_partkey") / 2).cast("long").alias("parent"), F.col("p_partkey").alias("child")).where("parent >= 1")
+    out = graph.reverse_paths(edges, part.where(targets).select(F.col("p_partkey").alias("node")), 30)
+    return out.select(F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), F.col("length").cast("long").alias("length"), "rooted")
+
+
 @_query("""with recursive e as (select p_partkey child, p_partkey // 2 parent from part where p_partkey // 2 >= 1),
 w(node, path, len) as (select p_partkey, cast(p_partkey as varchar), 0 from part where p_partkey % 50 = 0 union all select parent, path || '/' || cast(parent as varchar), len + 1 from w join e on node = child)
 select path, cast(len as bigint) length, not exists (select 1 from e where child = node) rooted from w""")
 def reverse_paths(spark, sf_dir):
-    part = _t(spark, sf_dir, "part")
-    edges = part.select((F.col("p_partkey") / 2).cast("long").alias("parent"), F.col("p_partkey").alias("child")).where("parent >= 1")
-    out = graph.reverse_paths(edges, part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("node")), 30)
-    return out.select(F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), F.col("length").cast("long").alias("length"), "rooted")
+    return _part_paths(_t(spark, sf_dir, "part"), "p_partkey % 50 = 0")
+
+
+@_query("""with recursive e as (select p_partkey child, p_partkey // 2 parent from part where p_partkey // 2 >= 1),
+w(node, path, len) as (select p_partkey, cast(p_partkey as varchar), 0 from part union all select parent, path || '/' || cast(parent as varchar), len + 1 from w join e on node = child)
+select path, cast(len as bigint) length, not exists (select 1 from e where child = node) rooted from w""")
+def reverse_paths_whole(spark, sf_dir):
+    return _part_paths(_t(spark, sf_dir, "part"), "true")
 
 
 @_query("select o_orderstatus code, count(*) n, max(left(o_orderpriority, 1)) severity_rank, arg_max(o_orderpriority, left(o_orderpriority, 1)) severity from orders group by 1")
@@ -273,11 +294,21 @@ def reachable_nodes(spark, sf_dir):
     return graph.reachable(edges, part.where("p_partkey = 1").select(F.col("p_partkey").alias("node"))).select("node", F.col("distance").cast("long").alias("distance"))
 
 
+def _candidates(spark, sf_dir, nations, by):
+    nation = _t(spark, sf_dir, "nation").where(nations).select((F.col("n_nationkey") % by).alias("k"), "n_name")
+    supplier = _t(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") % by).alias("sk"))
+    return lookup.unique_match(supplier, nation, F.col("sk") == F.col("k"), ["s_suppkey"], "n_name").select("s_suppkey", F.col("n_candidates").cast("long").alias("n_candidates"), "n_name")
+
+
 @_query("""select s_suppkey, count(n_name) n_candidates, case when count(n_name) = 1 then max(n_name) end n_name from supplier left join (select n_nationkey % 7 k, n_name from nation where n_nationkey < 11) on k = s_nationkey % 7 group by 1""")
 def unique_candidate(spark, sf_dir):
-    nation = _t(spark, sf_dir, "nation").where("n_nationkey < 11").select((F.col("n_nationkey") % 7).alias("k"), "n_name")
-    supplier = _t(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") % 7).alias("sk"))
-    return lookup.unique_match(supplier, nation, F.col("sk") == F.col("k"), ["s_suppkey"], "n_name").select("s_suppkey", F.col("n_candidates").cast("long").alias("n_candidates"), "n_name")
+    return _candidates(spark, sf_dir, "n_nationkey < 11", 7)
+
+
+# of 25 nations by their number's rest of 13, one is alone and the others are in pairs
+@_query("""select s_suppkey, count(n_name) n_candidates, case when count(n_name) = 1 then max(n_name) end n_name from supplier left join (select n_nationkey % 13 k, n_name from nation) on k = s_nationkey % 13 group by 1""")
+def unique_candidate_whole(spark, sf_dir):
+    return _candidates(spark, sf_dir, "true", 13)
 
 
 @_query("""select c_custkey, c_acctbal, c_mktsegment, cast(row_number() over (order by c_acctbal desc, c_custkey) as integer) place from customer order by c_acctbal desc, c_custkey limit 100""")

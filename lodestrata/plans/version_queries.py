@@ -81,14 +81,25 @@ def priority_mapping(spark, sf_dir):
     return constraints.priority_lookup(rows, "c_nationkey", [("configured", known)], F.when(F.col("reference").startswith("A"), "seg")).drop("c_nationkey")
 
 
+def _value_diff(events, old, new):
+    def maps(side):
+        rows = events.where(side).groupBy((F.col("user_id") % 50).alias("id"), "event_type").agg(F.max("value").alias("v"))
+        return rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m"))
+
+    return compare.map_diff(maps(old), maps(new), "id", "m")
+
+
 @_query("""with o as (select user_id, cast(props as varchar) p from events where event_id % 20 = 0), x as (select user_id % 50 id, event_type k, max(value) v from events where event_id % 2 = 0 group by all), y as (select user_id % 50 id, event_type k, max(value) v from events where event_id % 3 = 0 group by all)
 select coalesce(x.id, y.id) id, coalesce(x.k, y.k) key, x.v old, y.v as new, case when x.v is null then 'added' when y.v is null then 'removed' else 'changed' end change from x full join y on x.id = y.id and x.k = y.k where x.v is distinct from y.v""")
 def metadata_diff(spark, sf_dir):
-    def maps(n):
-        rows = _t(spark, sf_dir, "events").where(F.col("event_id") % n == 0).groupBy((F.col("user_id") % 50).alias("id"), "event_type").agg(F.max("value").alias("v"))
-        return rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m"))
+    return _value_diff(_t(spark, sf_dir, "events"), F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0)
+
 
-    return compare.map_diff(maps(2), maps(3), "id", "m")
+@_query("""with e as (select user_id % 50 id, event_type k, value v, coalesce(ts < timestamp '2024-01-16', false) before from events), x as (select id, k, max(v) v from e where before group by all), y as (select id, k, max(v) v from e where not before group by all)
+select coalesce(x.id, y.id) id, coalesce(x.k, y.k) key, x.v old, y.v as new, case when x.v is null then 'added' when y.v is null then 'removed' else 'changed' end change from x full join y on x.id = y.id and x.k = y.k where x.v is distinct from y.v""")
+def metadata_diff_whole(spark, sf_dir):
+    before = F.coalesce(F.col("ts") < F.expr("timestamp '2024-01-16'"), F.lit(False))
+    return _value_diff(_t(spark, sf_dir, "events"), before, ~before)
 
 
 @_query("""select '{"ruleId":"' || o_orderstatus || '","level":"' || case when o_totalprice > 300000 then 'error' when o_totalprice > 100000 then 'warning' else 'note' end || '","message":{"text":"order ' || o_orderkey || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"o/' || o_custkey || '"},"region":{"startLine":' || (o_orderkey % 90 + 1) || '}}}]}' result from orders""")
