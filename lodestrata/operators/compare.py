@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,8 +45,54 @@ def map_diff(old: DataFrame, new: DataFrame, id_col: str, map_col: str) -> DataF
     return o.join(n, [id_col, "key"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new"))).select(id_col, "key", "old", "new", change.alias("change"))
 
 
+def ordered_digest(df: DataFrame, group: list[str], order: list[str], line: Column, separator: str) -> DataFrame:
+    """``digest``: SHA-256 of each group's lines in order (``order``, then the line), joined by ``separator``; null lines are left out.
+
+    Groups are read as sorted rows and hashed as they come, so a group can be larger than a row or a task's memory;
+    the hash needs its text in order, so a group is one task's work. ``group`` holds no fractions.
+    """
+    n = len(group)
+    lines = df.select(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)], *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], line.alias("line"))
+    keys = [f"g{i}" for i in range(n)]
+    rows = lines.repartition(*keys).sortWithinPartitions(*keys, *[f"o{i}" for i in range(len(order))], "line").select(*keys, "line")
+    cut = separator.encode()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hashed, empty, kinds = None, hashlib.sha256(), True, None
+
+        def done(found):
+            columns = [pa.array([k[i] for k, _ in found], kinds[i]) for i in range(n)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([d for _, d in found], pa.string())], [*keys, "digest"])
+
+        for batch in batches:
+            kinds, found = batch.schema.types, []
+            for *key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if now is not None:
+                        found.append((now, hashed.hexdigest()))
+                    now, hashed, empty = key, hashlib.sha256(), True
+                if text is not None:
+                    hashed.update(text.encode() if empty else cut + text.encode())
+                    empty = False
+            if found:
+                yield done(found)
+        if now is not None:
+            yield done([(now, hashed.hexdigest())])
+
+    kinds = dict(rows.dtypes)
+    out = rows.mapInArrow(read, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "digest string"]))
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, group, strict=True)], "digest")
+
+
+def first_distinct(df: DataFrame, group: str, value: str, most: int, name: str) -> DataFrame:
+    """``(group, name)``: the ``most`` least distinct non-null values of each group in order. A task passes on ``most`` values of a
+    group at most, before and after the rows are dealt by value, so no group is gathered."""
+    some = df.select(group, value).where(F.col(value).isNotNull()).distinct()
+    place = F.row_number().over(W.partitionBy(group).orderBy(value))
+    return some.withColumn("place_", place).where(F.col("place_") <= most).groupBy(group).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
 def state_digest(df: DataFrame, group: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """SHA-256 of each group's rows in order, a row's columns joined by ``|``, rows by newline. Null: empty text."""
     line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    rows = F.array_sort(F.collect_list(F.struct(*order, line.alias("line_"))))
-    return df.groupBy(group).agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["line_"]), "\n"), 256).alias("digest"))
+    return ordered_digest(df, group, order, line, "\n")

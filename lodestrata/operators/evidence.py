@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .compare import first_distinct
+
 KEY = ["project_id", "ecosystem", "package"]
 DECLARATION = [*KEY, "scope", "kind", "constraint_raw", "constraint_scheme", "source_path"]
 USAGE = [*KEY, "scope", "kind", "mapping_confidence"]
@@ -86,7 +88,10 @@ def duplicates(declarations: DataFrame, context: list[str], source: list[str]) -
 def unknown_mappings(usages: DataFrame) -> DataFrame:
     """Usages without a certain package by project: their number and the first three references."""
     unsure = usages.where(~F.coalesce(F.col("mapping_confidence").isin("exact", "configured"), F.lit(False)))
-    return unsure.groupBy("project_id").agg(F.count("*").alias("n_unknown"), F.slice(F.array_sort(F.collect_set("reference")), 1, 3).alias("examples"))
+    counts = unsure.groupBy("project_id").agg(F.count("*").alias("n_unknown"))
+    first = first_distinct(unsure, "project_id", "reference", 3, "examples").withColumnRenamed("project_id", "of_")
+    kept = counts.join(first, F.col("project_id").eqNullSafe(F.col("of_")), "left")
+    return kept.select("project_id", "n_unknown", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
 
 def ignore(usages: DataFrame, ignored: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import literal_references, redact
-from lodestrata.functions.versions import event_state
 from lodestrata.operators import compare, evidence, graph, inventory, lookup
 
 QUERIES, ORACLE = {}, {}
@@ -154,7 +153,7 @@ def input_changes(spark, sf_dir):
     rows = _t(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5000).alias("path"), "o_orderkey", F.col("o_custkey").cast("string").alias("c"), F.year("o_orderdate").alias("y"))
 
     def digest(df):
-        return df.groupBy("path").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "c"))), lambda r: r["c"]), ","), 256).alias("digest"))
+        return compare.ordered_digest(df, ["path"], ["o_orderkey"], F.col("c"), ",")
 
     return compare.input_changes(digest(rows.where("y < 1996")), digest(rows.where("y between 1995 and 1997")))
 
@@ -168,10 +167,13 @@ def version_range_match(spark, sf_dir):
 
 
 def _event_states(e):
-    """``(user_id, affected, n_events)``: the state after a user's views (introduced) and purchases (fixed) in order."""
+    """``(user_id, affected, n_events)``: the state after a user's views (introduced) and purchases (fixed) in order, as
+    ``event_state`` folds them; the last event alone decides, so no user's events are gathered."""
     kind = F.when(F.col("event_type") == "view", "introduced").when(F.col("event_type") == "purchase", "fixed")
-    rows = e.groupBy("user_id").agg(F.collect_list(F.when(kind.isNotNull(), F.struct(F.col("event_id").alias("boundary"), kind.alias("kind")))).alias("events"))
-    return rows.select("user_id", event_state(F.col("events"), F.lit(2**62)).alias("affected"), F.size("events").cast("long").alias("n_events"))
+    reached = F.col("event_id").isNull() | (F.col("event_id") <= F.lit(2**62))
+    rows = e.select("user_id", "event_id", kind.alias("kind"), (reached & kind.isNotNull()).alias("counts"))
+    last = F.max(F.when(F.col("counts"), F.struct(F.col("event_id").alias("boundary"), "kind")))
+    return rows.groupBy("user_id").agg(F.coalesce(last["kind"] == "introduced", F.lit(False)).alias("affected"), F.count("kind").alias("n_events"))
 
 
 @_query("""with e as (select user_id, event_id, event_type, case event_type when 'view' then 1 when 'purchase' then 0 end state from events)

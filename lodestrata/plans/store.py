@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators.compare import input_changes
+from lodestrata.operators.compare import first_distinct, input_changes
 
 
 def current(spark: SparkSession, root: str) -> str | None:
@@ -60,4 +60,7 @@ def refresh(old_rows: DataFrame, old_files: DataFrame, files: DataFrame, parse)
 
 def staleness(old_files: DataFrame, files: DataFrame) -> DataFrame:
     """Number of changed paths by status with the first 20."""
-    return input_changes(old_files, files).groupBy("status").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("path")), 1, 20).alias("first_paths"))
+    changes = input_changes(old_files, files)
+    counts = changes.groupBy("status").agg(F.count("*").alias("n"))
+    first = first_distinct(changes, "status", "path", 20, "first_paths")
+    return counts.join(first, "status", "left").select("status", "n", F.coalesce("first_paths", F.array().cast("array<string>")).alias("first_paths"))
