@@ -80,9 +80,9 @@ def _windows(df: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int], int]:
     """Distinct windows ``(length, mark, span, items)``, the lengths that occur and the number of windows.
 
-    Items without words (null, empty, punctuation) have no window; items with a null id are left out.
+    Items without words (null, empty, punctuation) have no window; an item with a null id has its windows, but isn't named in ``items``.
     """
-    items = cut(benchmark.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w")).where(F.col("item").isNotNull() & (F.size("w") > 0)).withColumn("own", F.least(F.size("w"), F.lit(WINDOW))))
+    items = cut(benchmark.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0).withColumn("own", F.least(F.size("w"), F.lit(WINDOW))))
     lengths = sorted(r[0] for r in items.select("own").distinct().collect())  # 13 numbers at most
     rows = _windows(items, lengths, ["item", "own", "w"]) if lengths else items.selectExpr("item", "own", "w", "0 as length", "0 as start", "0L as mark").limit(0)
     rows = rows.where("length = own").select("length", "mark", F.array_join(F.slice("w", F.col("start") + 1, F.col("length")), " ").alias("span"), F.col("item").cast("string").alias("item"))
@@ -93,8 +93,8 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``.
 
-    A word is hit if any occurrence of a benchmark window covers it; ``n_items`` counts items with an
-    occurring window, ``items_sha256`` is the hash of their ids, sorted as strings and comma-joined;
+    A word is hit if any occurrence of a benchmark window covers it; ``n_items`` counts items (null ids
+    apart) with an occurring window, ``items_sha256`` is the hash of their ids, sorted as strings and comma-joined;
     ``contaminated`` is n_hit > 0 and 20 n_hit >= n_words. Null and empty texts have no words and are
     clean. Repeated rows each give a row (rows are told apart by id and text hash, null ids included);
     an empty benchmark leaves all documents clean. Texts are scanned whole, whatever their length.

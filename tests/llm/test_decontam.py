@@ -61,3 +61,13 @@ def test_plan_has_no_python(spark, capsys):
     docs = spark.createDataFrame([(1, "a", "w", 1, "s")], DOCS)
     decontam.contamination(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).explain()
     assert not re.search("Python|Pandas|ArrowEval", capsys.readouterr().out)
+
+
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_WINDOWS, 0])
+def test_items_with_a_null_id_hit_words(spark, limit):
+    bench = spark.createDataFrame([(None, ITEM), (None, "two words"), (7, "another item")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {ITEM} y", "w", 1, "s"), (2, "two words and another item", "w", 1, "s"), (3, FILL, "w", 1, "s")], DOCS)
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.contamination(docs, bench, broadcast_windows=limit).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {1: (30, 0, sha(""), True), 2: (4, 1, sha("7"), True), 3: (0, 0, sha(""), False)}
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()] == [3]
