@@ -101,7 +101,7 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     v = F.col(vec_col).cast("array<double>")
     ok = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim"))
-    means = hash_sample(rows, "vec_id", CENTRE_SAMPLE).select("dim", F.posexplode("v").alias("i", "x")).groupBy("dim", "i").agg(F.avg("x").alias("m")).collect()
+    means = hash_sample(rows, ["vec_id", "v"], CENTRE_SAMPLE).select("dim", F.posexplode("v").alias("i", "x")).groupBy("dim", "i").agg(F.avg("x").alias("m")).collect()
     centres: dict[int, list[float]] = {}
     for r in sorted(means):
         centres.setdefault(r.dim, []).append(r.m)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_KEYS, cut, without
 
 WINDOW, GRAM = 13, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,12 +106,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         hits = counted.select("id", "th", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")).limit(0)
     else:
         split = base.select("id", "th", words(F.col("t")).alias("w")).where(F.size("w") >= min(lengths))
-        if n > broadcast_windows:  # few documents have a mark of the benchmark: find these before their words move
-            marks = _windows(split, lengths, ["id", "th"]).select("id", "th", "length", "mark").distinct().join(bench.select("length", "mark").distinct(), ["length", "mark"], "left_semi")
-            some = marks.select(F.col("id").alias("i2"), F.col("th").alias("th2")).distinct()
-            split = split.join(some, F.col("id").eqNullSafe(F.col("i2")) & (F.col("th") == F.col("th2")), "left_semi")
-        side = F.broadcast(bench) if n <= broadcast_windows else bench
-        found = _windows(split, lengths, ["id", "th", "w"]).join(side.withColumnsRenamed({"length": "length2", "mark": "mark2"}), (F.col("mark") == F.col("mark2")) & (F.col("length") == F.col("length2")) & (F.array_join(F.slice("w", F.col("start") + 1, F.col("length")), " ") == F.col("span")))
+        marks = bench.select("length", "mark").distinct()
+        near = cut(_windows(split, lengths, ["id", "th"]).join(F.broadcast(marks) if n <= broadcast_windows else marks, ["length", "mark"], "left_semi").select("id", "th", "length", "start"))
+        # only the places of equal marks move; the words of their documents are read again and compared there
+        places = near.groupBy("id", "th").agg(F.collect_set(F.struct("length", "start")).alias("places")).withColumnsRenamed({"id": "i2", "th": "th2"})
+        texts = base.join(F.broadcast(places) if near.count() <= BROADCAST_KEYS else places, F.col("id").eqNullSafe(F.col("i2")) & (F.col("th") == F.col("th2"))).select("id", "th", words(F.col("t")).alias("w"), "places")
+        read = texts.select("id", "th", F.explode(F.transform("places", lambda p: F.struct(p["length"].alias("length"), p["start"].alias("start"), F.array_join(F.slice("w", p["start"] + 1, p["length"]), " ").alias("span")))).alias("x"))
+        found = read.select("id", "th", "x.*").join(F.broadcast(bench) if n <= broadcast_windows else bench, ["length", "span"])
         spans = found.select("id", "th", F.struct("start", (F.col("start") + F.col("length")).alias("end")).alias("span"), "items")
         per = spans.groupBy("id", "th").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
         start = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n"))
@@ -127,9 +128,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that ``contamination`` marks; columns and clean rows stay as they are."""
-    bad = contamination(docs.select(F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h")).alias("k"), F.col(text_col).alias("t")), benchmark, "k", "t").where("contaminated").select("k").distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("k.i")) & (F.xxhash64(F.col(text_col)) == F.col("k.h")), "left_anti")
+    """``docs`` without the documents that ``contamination`` marks; columns and clean rows stay as they are.
+
+    Null, empty and wordless texts are clean; null ids and repeated rows are judged by their texts like others; an empty
+    table stays empty, an empty benchmark keeps all. Keys of contaminated rows (id and text hash) filter the rows.
+    """
+    key = F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h")).alias("k")
+    bad = contamination(docs.select(key, F.col(text_col).alias("t")), benchmark, "k", "t").where("contaminated")
+    return without(docs, bad.select("k.i", "k.h"), id_col, F.xxhash64(F.col(f"`{text_col}`")))
 
 
 ORACLE = rf"""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import counted_side, cut, fresh
 
 #: A quarter of the generated tables' 20 sources: a passage in 20 documents with a hot source can be on fewer than half of them.
 MIN_SITES, MIN_CHARS = 5, 20
@@ -29,20 +29,14 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.select("id", "th", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _side(hashes: DataFrame, broadcast_lines: int) -> DataFrame:
-    return F.broadcast(hashes) if hashes.count() <= broadcast_lines else hashes
-
-
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """``(h1, h2)`` of the lines of ``lines(h1, h2, site)`` that occur on at least ``min_sites`` distinct non-null sites."""
+def boilerplate(sites: DataFrame, min_sites: int = MIN_SITES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    """``(h1, h2)`` of the lines of ``sites(h1, h2, site)`` that occur on at least ``min_sites`` distinct non-null sites."""
     key = ["h1", "h2"]
-    often = cut(lines.groupBy(key).agg(F.count("site").alias("n")).where(F.col("n") >= min_sites).select(key))
-    sites = lines.select(*key, "site").join(_side(often, broadcast_lines), key)
     parts = sites.withColumn("salt", F.pmod(F.xxhash64("site"), F.lit(SALTS))).groupBy(*key, "salt").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("s"))
     spread = cut(parts.groupBy(key).agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("sites")))
     sure = spread.where(F.col("sites") > min_sites * (1 + NEAR)).select(key)
     near = spread.where(F.col("sites").between(min_sites * (1 - NEAR), min_sites * (1 + NEAR))).select(key)
-    exact = lines.select(*key, "site").join(_side(near, broadcast_lines), key).where("site is not null").distinct().groupBy(key).agg(F.count("*").alias("n"))
+    exact = sites.select(*key, "site").join(counted_side(near, broadcast_lines), key).where("site is not null").distinct().groupBy(key).agg(F.count("*").alias("n"))
     return cut(sure.union(exact.where(F.col("n") >= min_sites).select(key)))
 
 
@@ -53,23 +47,29 @@ def drop_boilerplate(
     """``docs`` with boilerplate lines taken out of ``text_col``; every row and column stays.
 
     A line (trimmed of spaces, at least ``min_chars`` code points) is boilerplate if it occurs on
-    ``min_sites`` or more distinct values of ``site_col``, nulls not counted. Its first occurrence, by
-    smallest id (nulls first) and place, stays, so that no passage leaves the corpus altogether; in rows that
-    repeat that id and text it stays in each. Null texts stay null; a text whose lines all go becomes
-    empty. ``removed_col`` names a column for the number of lines taken out. Nothing is sampled or capped.
+    ``min_sites`` or more distinct values of ``site_col``, nulls not counted. Shorter lines (headings, list marks,
+    greetings) are no passages and stay, however often they repeat: that is part of what the operator means by a
+    line, at any size of the input. Its first occurrence, by smallest id (nulls first) and place, stays, so that no
+    passage leaves the corpus altogether; in rows that repeat that id and text it stays in each. Null texts stay
+    null; a text whose lines all go becomes empty. ``removed_col`` names a column for the number of lines taken out.
+    Nothing is sampled or capped.
+
+    The texts are read three times: lines are counted, those that occur often enough are written once, texts are
+    filtered by the places found, which are broadcast up to ``broadcast_lines`` and else joined by a shuffle.
     """
-    th = fresh(docs, "text_hash")
     lines = _lines(docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.col(text_col).alias("text")), min_chars)
-    bad = boilerplate(lines, min_sites, broadcast_lines)
-    hits = lines.drop("site").join(_side(bad, broadcast_lines), ["h1", "h2"])
+    often = cut(lines.groupBy("h1", "h2").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites).select("h1", "h2"))
+    found = cut(lines.join(counted_side(often, broadcast_lines), ["h1", "h2"]))
+    bad = boilerplate(found.select("h1", "h2", "site"), min_sites, broadcast_lines)
+    hits = found.drop("site").join(counted_side(bad, broadcast_lines), ["h1", "h2"])
     place = F.struct("id", "th", "pos")
     first = cut(hits.groupBy("h1", "h2").agg(F.min(place).alias("first")))
-    again = hits.join(_side(first, broadcast_lines), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    gone = again.groupBy("id", "th").agg(F.collect_set("pos").alias("gone_")).withColumnsRenamed({"id": "id_", "th": "th_"})
+    again = cut(hits.join(counted_side(first, broadcast_lines), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("id", "th", "pos").distinct())
+    n_places = again.count()
     gone_col, id2, th2 = fresh(docs, "gone_"), fresh(docs, "id_"), fresh(docs, "th_")
-    gone = gone.select(F.col("id_").alias(id2), F.col("th_").alias(th2), F.col("gone_").alias(gone_col))
-    full = docs.withColumn(th, F.xxhash64(text_col))
-    out = full.join(gone, F.col(id_col).eqNullSafe(F.col(id2)) & (F.col(th) == F.col(th2)), "left")
+    gone = again.groupBy("id", "th").agg(F.collect_list("pos").alias(gone_col)).withColumnsRenamed({"id": id2, "th": th2})
+    side = F.broadcast(gone) if n_places <= broadcast_lines else gone
+    out = docs.join(side, F.col(f"`{id_col}`").eqNullSafe(F.col(id2)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(th2)), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col(gone_col), i)), "\n")
     cols = [F.when(F.col(gone_col).isNull(), F.col(text_col)).otherwise(kept).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if removed_col:

@@ -2,11 +2,15 @@
 
 A pair of fingerprints within ``radius`` bits has, for every reference fingerprint (pivot), distances
 that differ by ``radius`` at most (triangle inequality). The pivot table holds each distinct
-fingerprint's distances to ``PIVOTS``; a pair whose largest coordinate difference is over ``radius`` is
-discarded, survivors are verified by the full distance. So that no cross join is needed, pairs come from
-an equi join on two whole segments: of six segments, ``radius`` = 4 differing bits can touch four, so two
-agree in any pair sought (their distances to *every* reference are equal). A pair is kept only under the
-first two segments on which it agrees, so it comes out once. Nothing is lost and nothing is capped.
+fingerprint's distances to ``PIVOTS``. So that no cross join is needed, candidates come from an equi join
+on whole segments: with ``m`` segments, ``radius`` = 4 differing bits touch four of them at most, so m - 4
+agree in any pair sought. Candidates whose largest coordinate difference is over ``radius`` are discarded
+by the table, survivors are verified by the full distance (``pivot_report`` counts all three). A pair is
+kept only under the first segments on which it agrees, so it comes out once. Nothing is lost or capped.
+
+The number of segments follows the number of fingerprints (``segments_for``), so that a key of agreeing
+segments holds a few fingerprints at any size of the input. Where a key holds a large class of near copies,
+its members link to one representative first, and only pairs of different groups are sought after that.
 """
 
 from __future__ import annotations
@@ -21,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import cut, fresh
+from .common import BROADCAST_KEYS, counted_side, cut, fresh, without
 from .components import components
 
-#: (lowest bit, width) of the six segments of a fingerprint.
-SEGMENTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 RADIUS = 4
+#: A key of agreeing segments with more fingerprints than this is linked through a representative first.
+LARGE_KEY = 64
 
 
 def _pivots(n: int, seed: int = 42) -> list[int]:
@@ -69,8 +73,15 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _mask(i: int) -> int:
-    low, width = SEGMENTS[i]
+def segments_for(n: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of 6 to 9 segments for ``n`` distinct fingerprints: keys of 21, 27, 32 or 35 bits and more than n / 4 values."""
+    m = next((m for m in (6, 7, 8) if 4 << (64 * (m - RADIUS) // m) >= n), 9)
+    cuts = [64 * i // m for i in range(m + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _mask(segment: tuple[int, int]) -> int:
+    low, width = segment
     return _signed(((1 << width) - 1) << low)
 
 
@@ -85,58 +96,126 @@ def _pivot_words(fp: Column) -> list[Column]:
     return words
 
 
-def near_pairs(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs ``(u, v)``, u < v, of the distinct non-null longs in ``fps(fp)`` within ``radius`` <= 4 bits."""
-    if not 0 <= radius <= RADIUS:
-        raise ValueError(f"radius must be 0 to {RADIUS}")
-    pairs = list(combinations(range(len(SEGMENTS)), 2))
+def _keyed(fps: DataFrame, segments: list[tuple[int, int]]) -> DataFrame:
+    """``fps(fp, ...)`` with its pivot table ``p0, p1`` and a row for each key ``k, s`` of agreeing segments."""
+    groups = list(combinations(segments, len(segments) - RADIUS))
     p0, p1 = _pivot_words(F.col("fp"))
-    keys = F.array(*[F.struct(F.lit(k).cast("int").alias("k"), F.col("fp").bitwiseAND(F.lit(_mask(i) | _mask(j))).alias("s")) for k, (i, j) in enumerate(pairs)])
-    rows = fps.select("fp", p0.alias("p0"), p1.alias("p1"), F.explode(keys).alias("key")).select("fp", "p0", "p1", "key.k", "key.s")
-    a, b = rows.alias("a"), rows.alias("b")
+    mask = lambda group: F.lit(_signed(sum(_mask(x) & (2**64 - 1) for x in group)))
+    keys = F.array(*[F.struct(F.lit(k).cast("int").alias("k"), F.col("fp").bitwiseAND(mask(g)).alias("s")) for k, g in enumerate(groups)])
+    return fps.select("*", p0.alias("p0"), p1.alias("p1"), F.explode(keys).alias("key")).select(*fps.columns, "p0", "p1", "key.k", "key.s")
+
+
+def _tests(segments: list[tuple[int, int]], radius: int) -> tuple[Column, Column, Column]:
+    """Over rows ``a`` and ``b`` of ``_keyed``: the pivot table lets the pair pass; it is within ``radius``; this key is its first."""
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     coordinate = lambda side, p, i: F.shiftright(F.col(f"{side}.{p}"), 8 * i).bitwiseAND(F.lit(255))
     widest = F.greatest(*[F.abs(coordinate("a", p, i) - coordinate("b", p, i)) for p in ("p0", "p1") for i in range(8)])
-    agree = [differ.bitwiseAND(F.lit(_mask(i))) == 0 for i in range(len(SEGMENTS))]
     first = F.lit(-1)
-    for k, (i, j) in reversed(list(enumerate(pairs))):
-        first = F.when(agree[i] & agree[j], F.lit(k)).otherwise(first)
-    on = (F.col("a.k") == F.col("b.k")) & (F.col("a.s") == F.col("b.s")) & (F.col("a.fp") < F.col("b.fp")) & (widest <= radius) & (F.bit_count(differ) <= radius) & (first == F.col("a.k"))
-    return a.join(b, on).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    agree = {x: differ.bitwiseAND(F.lit(_mask(x))) == 0 for x in segments}
+    for k, group in reversed(list(enumerate(combinations(segments, len(segments) - RADIUS)))):
+        whole = F.lit(True)
+        for x in group:
+            whole = whole & agree[x]
+        first = F.when(whole, F.lit(k)).otherwise(first)
+    return widest <= radius, F.bit_count(differ) <= radius, first == F.col("a.k")
+
+
+def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    a, b = left.alias("a"), right.alias("b")
+    return a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.s") == F.col("b.s")))
+
+
+def near_pairs(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """All pairs ``(u, v)``, u < v, of the distinct non-null longs in ``fps(fp)`` within ``radius`` <= 4 bits.
+
+    Its result is quadratic in a class of near copies; ``near_duplicates`` doesn't need it (see ``near_links``).
+    """
+    if not 0 <= radius <= RADIUS:
+        raise ValueError(f"radius must be 0 to {RADIUS}")
+    segments = segments_for(fps.count())
+    rows = _keyed(fps.select("fp"), segments)
+    passes, near, own = _tests(segments, radius)
+    return _candidates(rows, rows).where(F.col("a.fp") < F.col("b.fp")).where(passes).where(near & own).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+
+
+def pivot_report(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of numbers of pairs: ``candidates`` of the equi join, those ``discarded`` by the pivot table, ``survivors``, ``verified``."""
+    segments = segments_for(fps.count())
+    rows = _keyed(fps.select("fp"), segments)
+    passes, near, own = _tests(segments, radius)
+    count = lambda c: F.count_if(c)
+    return _candidates(rows, rows).where((F.col("a.fp") < F.col("b.fp")) & own).agg(F.count("*").alias("candidates"), count(~passes).alias("discarded"), count(passes).alias("survivors"), count(passes & near).alias("verified"))
+
+
+def near_links(fps: DataFrame, radius: int = RADIUS, large: int = LARGE_KEY) -> DataFrame:
+    """Links ``(u, v)`` that give the same components as all pairs of ``fps(fp)`` within ``radius`` bits.
+
+    Keys with at most ``large`` fingerprints are searched whole. In a larger key all fingerprints near its least one link to
+    that one, which joins most of a class of near copies by as many links as it has members; then the members outside
+    the key's largest group so far meet the key's other members, and pairs already in one group are left out.
+    """
+    if not 0 <= radius <= RADIUS:
+        raise ValueError(f"radius must be 0 to {RADIUS}")
+    segments = segments_for(fps.count())
+    rows = _keyed(fps.select("fp"), segments)
+    passes, near, own = _tests(segments, radius)
+    pair = [F.col("a.fp").alias("u"), F.col("b.fp").alias("v")]
+    wide = cut(rows.groupBy("k", "s").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where(F.col("n") > large).select("k", "s", "least"))
+    n_wide = wide.count()
+    if n_wide == 0:
+        return _candidates(rows, rows).where(F.col("a.fp") < F.col("b.fp")).where(passes).where(near & own).select(pair)
+    side = F.broadcast(wide) if n_wide <= BROADCAST_KEYS else wide
+    small = rows.join(side, ["k", "s"], "left_anti")
+    found = cut(_candidates(small, small).where(F.col("a.fp") < F.col("b.fp")).where(passes).where(near & own).select(pair))
+    members = rows.join(side, ["k", "s"])
+    stars = cut(members.where((F.col("fp") != F.col("least")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= radius)).select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct())
+    groups = components(found.union(stars))
+    placed = cut(members.drop("least").join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    largest = placed.groupBy("k", "s", "root").agg(F.count("*").alias("n")).groupBy("k", "s").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    marked = placed.join(largest, ["k", "s"])
+    others = marked.where(F.col("root") != F.col("main"))
+    # of two members outside the largest group, the pair is met once
+    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.fp") < F.col("b.fp"))
+    rest = _candidates(others, marked).where((F.col("a.root") != F.col("b.root")) & once).where(passes).where(near & own).select(pair)
+    return found.union(stars).union(rest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per document: ``id_col``, ``fp`` (long), ``fingerprint`` (16 hex digits), ``component_id``, ``n_links``.
+    """One row per document: ``id_col``, ``fp`` (long), ``fingerprint`` (16 hex digits), ``component_id``.
 
     ``component_id`` is the smallest id reachable over links of at most ``radius`` differing bits; equal
-    fingerprints link, those of texts without words (0) included. ``n_links`` counts the other *distinct*
-    fingerprints linked directly. Null texts count as empty. Rows with a null id take part and carry null;
-    a component of null ids only has a null ``component_id``. Repeated rows each give a row; other columns
-    of ``docs`` are not read. An empty table gives an empty result.
+    fingerprints link, those of texts without words (0) included. Null texts count as empty. Rows with a null
+    id take part and carry null; a component of null ids only has a null ``component_id``. Repeated rows each
+    give a row; other columns of ``docs`` are not read. An empty table gives an empty result.
     """
     fps = cut(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))
     classes = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    pairs = cut(near_pairs(classes.select("fp"), radius))
-    roots = components(pairs)
-    degree = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    labelled = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(degree, "fp", "left")
-    labelled = labelled.select("fp", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    roots = components(near_links(classes.select("fp"), radius))
+    labelled = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    labelled = labelled.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = labelled.join(least, "root").select("fp", "component_id", "n_links")
-    return fps.join(member, "fp").select(F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    member = labelled.join(least, "root").select("fp", "component_id")
+    return fps.join(member, "fp").select(F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: the one with the smallest id.
 
-    Columns and their order stay. Where several rows share that id (repeated rows), one of the
-    smallest by its row hash stays. A component of null ids keeps one row likewise. The texts are
-    shuffled once, by component and a hash that spreads large components: only row hashes are compared.
+    Columns and their order stay. Where several rows share that id, one of the smallest by its row hash stays; of
+    rows equal in all columns one stays. A component of null ids keeps one row likewise, texts without words (null and
+    empty ones) are one component, an empty table stays empty. Keys (id and row hash) filter the rows where they are
+    read; only rows that repeat in all columns are shuffled.
     """
-    rid = fresh(docs, "row_hash")
-    marked = docs.withColumn(rid, F.xxhash64(*[F.col(f"`{c}`").cast("string") if t.startswith("map") or t == "variant" else F.col(f"`{c}`") for c, t in docs.dtypes]))
-    ids = near_duplicates(marked.select(F.struct(F.col(id_col).alias("i"), F.col(rid).alias("h")).alias("key"), F.col(text_col).alias("text")), "key", "text", radius)
-    keep = ids.groupBy("component_id").agg(F.min("key").alias("key")).select(F.col("component_id.h").alias(rid), F.col("component_id.i").alias("keep_i")).distinct()
-    kept = marked.join(keep, (marked[rid] == keep[rid]) & marked[id_col].eqNullSafe(keep["keep_i"]), "left_semi")
-    # equal rows share id and hash: one of them stays
-    return kept.dropDuplicates([id_col, rid]).drop(rid)
+    row_hash = F.xxhash64(*[F.col(f"`{c}`").cast("string") if t.startswith("map") or t == "variant" else F.col(f"`{c}`") for c, t in docs.dtypes])
+    keyed = docs.select(F.struct(F.col(id_col).alias("i"), row_hash.alias("h")).alias("key"), F.col(text_col).alias("text"))
+    ids = cut(near_duplicates(keyed, "key", "text", radius).select("key", "component_id").groupBy("key").agg(F.first("component_id").alias("component_id"), F.count("*").alias("n")))
+    keep = ids.groupBy("component_id").agg(F.min("key").alias("key")).select("key")
+    gone = ids.join(keep, "key", "left_anti").select("key.i", "key.h")
+    kept = without(docs, gone, id_col, row_hash)
+    repeats = cut(ids.where("n > 1").join(keep, "key", "left_semi").select("key.i", "key.h"))
+    if repeats.isEmpty():
+        return kept
+    i, h = fresh(docs, "repeat_i"), fresh(docs, "repeat_h")
+    side = counted_side(repeats.select(F.col("i").alias(i), F.col("h").alias(h)), BROADCAST_KEYS)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (row_hash == F.col(h))
+    return without(kept, repeats, id_col, row_hash).unionByName(kept.join(side, same).dropDuplicates([i, h]).drop(i, h))

@@ -9,8 +9,6 @@ by the hash of their id); every document is scored.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,163 +18,106 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, hash_sample
+from .common import cut, hash_sample, without
+from .toxfeatures import N_FEATURES, features, stems  # noqa: F401
 
 #: Labelled rows that a fit reads at most; this bound lets them be broadcast (an id and a label each).
 SAMPLE_ROWS = 20_000
-#: Letters of a stem; documents of label 1 that must hold it; how many times as frequent it must be there; stems kept at most.
-STEM, STEM_DOCUMENTS, STEM_RATIO, STEMS = 5, 5, 4.0, 2000
+#: Documents of label 1 that must hold a stem; how many times as frequent it must be there. The sample bounds the lexicon.
+STEM_DOCUMENTS, STEM_RATIO = 5, 4.0
 THRESHOLD = 0.3
 
-#: Common insults.
-INSULTS = frozenset(
-    """arse arsehole ass asshole bastard bitch bullshit clown coward creep cretin crap damn degenerate dimwit disgusting dumb dumbass
-    fool freak fuck fucking garbage hate idiot idiotic idiots imbecile jerk kill liar loser losers lunatic moron morons nazi parasite
-    pathetic pervert pig prick retard retarded scum shit shut slut sick stupid sucker trash ugly useless vermin whore worthless
-    arschloch blödmann dreck dumm dummkopf hurensohn idioten miststück scheisse scheiße schwein trottel verdammt versager
-    abruti connard connasse crétin débile enculé imbécile merde ordure pute salaud salope
-    cabrón estúpida estúpido gilipollas idiota imbécil inútil mierda pendejo puta puto tonto""".split()
-)
-#: Words that address the reader.
-SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti tus usted vosotros".split())
-#: Signs written for letters.
-LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
-NEAR = 5
-
-WORD = re.compile(r"[^\W\d_]+")
-SHOUT = re.compile(r"\b[A-Z]{3,}\b")
-RUN = re.compile(r"[!?]{2,}")
-STRETCH = re.compile(r"([A-Za-z])\1\1")
-OBFUSCATED = re.compile(r"[A-Za-z]+(?:[0-9@$!*#.\-_]+[A-Za-z]+)+")
-NOT_LETTER = re.compile(r"[^a-z]+")
-UPPER = bytes(range(65, 91))
-SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-N_FEATURES = 16
-
-
-def stems(text: str | None) -> set[str]:
-    return {w[:STEM] for w in WORD.findall((text or "").lower())}
-
-
-def features(text: str | None, learnt: dict[str, float]) -> list[float]:
-    """The dense features of a text; null and empty texts have zeros."""
-    if not text:
-        return [0.0] * N_FEATURES
-    words = WORD.findall(text.lower())
-    raw = text.encode("utf-8", "replace")
-    n, size = max(1, len(words)), max(1, len(raw))
-    insults, kinds, weight, hits, top = 0, 0, 0.0, 0, 0.0
-    counts = Counter(words)
-    for w, m in counts.items():
-        if w in INSULTS:
-            insults += m
-            kinds += 1
-        if x := learnt.get(w[:STEM]):
-            hits += m
-            weight += m * x
-            top = max(top, x)
-    near = 0
-    if insults:
-        last_you = last_insult = -NEAR - 1
-        for i, w in enumerate(words):
-            if w in INSULTS:
-                last_insult = i
-                near += i - last_you <= NEAR
-            elif w in SECOND_PERSON:
-                last_you = i
-                near += i - last_insult <= NEAR
-    odd = OBFUSCATED.findall(text)
-    veiled = sum(NOT_LETTER.sub("", x.lower().translate(LEET)) in INSULTS for x in odd)
-    return [
-        math.log1p(len(words)), insults / n, float(min(insults, 50)), float(kinds), weight / n, float(min(hits, 100)), top, near / n,
-        (len(raw) - len(raw.translate(None, UPPER))) / size, len(SHOUT.findall(text)) / n, raw.count(b"!") / n, raw.count(b"?") / n, len(RUN.findall(text)) / n,
-        (len(raw) - len(raw.translate(None, SIGNS))) / size, len(odd) / n + 10.0 * veiled / n, len(STRETCH.findall(text)) / n + 1 - len(counts) / n,
-    ]
-
 
 def _training(docs: DataFrame, labels: DataFrame, fold: int, held: int, sample: int) -> DataFrame:
-    """``(id, y)`` of the labelled training rows that are read: null ids and labels are no training rows."""
+    """``(id, y, calibrates)`` of the labelled training rows that are read: null ids and labels are no training rows."""
     own = labels.where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     own = own.where(F.crc32(F.col("id").cast("string")) % fold != held)
-    return cut(hash_sample(cut(own.join(docs.select("id").distinct(), "id", "left_semi")), "id", sample))
+    known = cut(own.join(docs.select("id").distinct(), "id", "left_semi"))
+    return cut(hash_sample(known, ["id"], sample).withColumn("calibrates", F.crc32(F.col("id").cast("string")) % fold == 3))
 
 
-def _lexicon(docs: DataFrame, train: DataFrame) -> dict[str, float]:
-    """Weights of the stems that label 1 has more often, by documents; at most ``STEMS``."""
+def _lexicon(rows: DataFrame) -> dict[str, float]:
+    """Weights of the stems that label 1 has more often, by documents of ``rows(text, y)``, a bounded sample."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [list(stems(x.as_py())) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string())), batch.column(1)], ["stems", "y"])
 
-    rows = docs.join(F.broadcast(train), "id").select("text", "y").mapInArrow(split, "stems array<string>, y double")
-    counts = rows.select(F.explode("stems").alias("stem"), "y").groupBy("stem").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    n_bad, n_good = train.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0.0))).first()
+    split_rows = rows.select("text", "y").mapInArrow(split, "stems array<string>, y double")
+    counts = split_rows.select(F.explode("stems").alias("stem"), "y").groupBy("stem").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
+    n_bad, n_good = rows.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0.0))).first()
     ratio = ((F.col("bad") + 0.5) / (n_bad + 1)) / ((F.col("good") + 0.5) / (n_good + 1))
     best = counts.where(F.col("bad") >= STEM_DOCUMENTS).withColumn("ratio", ratio).where(F.col("ratio") >= STEM_RATIO)
-    return {r.stem: math.log(r.ratio) for r in best.orderBy(F.col("bad").desc(), "stem").limit(STEMS).collect()}
+    return {r.stem: math.log(r.ratio) for r in best.collect()}
 
 
-def score(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 4, held: int = 2,
-    sample: int = SAMPLE_ROWS, threshold: float = THRESHOLD, keep: bool = False,
-) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, ``held_out``, ``score`` (0 to 1, the chance of label 1), ``predicted``.
-
-    Labels are read only for ids whose crc32 as text doesn't leave ``held`` modulo ``fold`` (a null id is
-    not held out and has no label; an id labelled twice has its largest label). Of these, ids with remainder
-    3 calibrate, the others fit the trees. Null and empty texts are scored like any other. Where the labels
-    hold one class or none, every score is the smoothed share of label 1. Repeated rows each give a row; an
-    empty table gives an empty result. ``keep``: all columns of ``docs`` stay in front, for filters.
-    """
-    rid, text = F.col(id_col).alias("id"), F.col(text_col).alias("text")
-    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
-    base = docs.select(rid, text)
-    train = _training(base, marks, fold, held, sample)
-    learnt = _lexicon(base, train)
+def _scored(rows: DataFrame, marks: DataFrame, fold: int, held: int, sample: int, threshold: float) -> DataFrame:
+    """``rows(id, h, text)`` as ``(id, h, held_out, score, predicted)``; texts go to the features and no further."""
+    train = _training(rows, marks, fold, held, sample)
+    texts = cut(rows.select("id", "text").join(F.broadcast(train), "id"))
+    learnt = _lexicon(texts.where("not calibrates"))
+    kind = dict(rows.dtypes)["id"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [features(x.as_py(), learnt) for x in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.float64()))], ["id", "x"])
+            own = [features(x.as_py(), learnt) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.float64()))], ["id", "a", "x"])
 
-    kind = dict(base.dtypes)["id"]
-    known = cut(base.join(F.broadcast(train), "id").select(F.struct("id", "y").alias("id"), "text").mapInArrow(measure, f"id struct<id:{kind},y:double>, x array<double>").select("id.id", "id.y", array_to_vector("x").alias("x")))
-    calibrates = F.crc32(F.col("id").cast("string")) % fold == 3
-    sums = {bool(r.c): (r.n, r.bad) for r in known.groupBy(calibrates.alias("c")).agg(F.count("*").alias("n"), F.sum("y").alias("bad")).collect()}
+    def vectors(of: DataFrame, a: str, a_kind: str) -> DataFrame:
+        return of.select("id", a, "text").mapInArrow(measure, f"id {kind}, a {a_kind}, x array<double>").withColumn("x", array_to_vector("x"))
+
+    known = cut(vectors(texts.withColumn("a", F.struct("y", "calibrates")), "a", "struct<y:double,calibrates:boolean>").select("id", "a.y", "a.calibrates", "x"))
+    sums = {r.calibrates: (r.n, r.bad) for r in known.groupBy("calibrates").agg(F.count("*").alias("n"), F.sum("y").alias("bad")).collect()}
     fit_n, fit_bad = sums.get(False, (0, 0.0))
     cal_n, cal_bad = sums.get(True, (0, 0.0))
-    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % fold == held, F.lit(False))
-    names = docs.columns if keep else [id_col]
+    held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % fold == held, F.lit(False)).alias("held_out")
     if not 0 < fit_bad < fit_n:
         value = (fit_bad + cal_bad + 0.5) / (fit_n + cal_n + 1)
-        scored = docs.select(*names, held_out.alias("held_out"), F.lit(float(value)).alias("score"))
+        scored = rows.select("id", "h", held_out, F.lit(float(value)).alias("score"))
     else:
-        vec = fresh(docs, "x")
-        trees = GBTClassifier(featuresCol=vec, labelCol="y", maxIter=25, maxDepth=4, stepSize=0.2, minInstancesPerNode=2, seed=1, cacheNodeIds=False)
-        fit = known.withColumnRenamed("x", vec).coalesce(2).cache()
-        model = trees.fit(fit.where(~calibrates))
+        trees = GBTClassifier(featuresCol="x", labelCol="y", maxIter=25, maxDepth=4, stepSize=0.2, minInstancesPerNode=2, seed=1, cacheNodeIds=False)
+        fit = known.coalesce(2).cache()
+        model = trees.fit(fit.where("not calibrates"))
         chance = lambda df: vector_to_array(df["probability"])[1]
         step = None
         if 0 < cal_bad < cal_n:
-            probe = model.transform(fit.where(calibrates))
+            probe = model.transform(fit.where("calibrates"))
             step = IsotonicRegression(featuresCol="p", labelCol="y").fit(probe.select(chance(probe).alias("p"), "y"))
         fit.unpersist()
-        measured = F.arrow_udf(lambda col: pa.array([features(x.as_py(), learnt) for x in col], pa.list_(pa.float64())), "array<double>")
-        rows = docs.select(*[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(names)], held_out.alias("held_out"), array_to_vector(measured(F.col(text_col))).alias(vec))
-        out = model.transform(rows)
+        out = model.transform(vectors(rows, "h", "long"))
         out = out.withColumn("p", chance(out))
         if step is not None:
             # ties of the calibration are broken by the trees' own chance, so that the order of scores stays fine
             out = step.setPredictionCol("calibrated").transform(out).withColumn("p", 0.98 * F.col("calibrated") + 0.02 * F.col("p"))
-        scored = out.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(names)], "held_out", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p"))).alias("score"))
+        scored = out.select("id", F.col("a").alias("h"), held_out, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p"))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def score(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 4, held: int = 2,
+    sample: int = SAMPLE_ROWS, threshold: float = THRESHOLD,
+) -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, ``held_out``, ``score`` (0 to 1, the chance of label 1), ``predicted``.
+
+    Labels are read only for ids whose crc32 as text doesn't leave ``held`` modulo ``fold`` (a null id is
+    not held out and has no label; an id labelled twice has its largest label). Of these, ids with remainder
+    3 calibrate, the others fit the lexicon and the trees. Null and empty texts are scored like any other. Where
+    the labels hold one class or none, every score is the smoothed share of label 1. Repeated rows each give a
+    row; an empty table gives an empty result. Other columns of ``docs`` are not read.
+    """
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
+    rows = docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("h"), F.col(text_col).alias("text"))
+    return _scored(rows, marks, fold, held, sample, threshold).select(F.col("id").alias(id_col), "held_out", "score", "predicted")
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that ``score`` predicts toxic; columns and other rows stay as they are."""
-    names = {c: fresh(docs, f"kept_{i}") for i, c in enumerate(docs.columns)}
-    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    marks = labels.select(F.col(id_col).alias(names[id_col]), F.col(label_col).alias(label_col))
-    scored = score(inner, marks, names[id_col], names[text_col], label_col, threshold=threshold, keep=True)
-    return scored.where("predicted = 0").select(*[F.col(n).alias(c) for c, n in names.items()])
+    """``docs`` without the rows that ``score`` predicts toxic; columns and other rows stay as they are.
+
+    Null and empty texts and null ids are scored and kept or dropped like others, repeated rows go or stay together,
+    an empty table stays empty; columns of any name may be there. Keys of toxic rows (id and text hash) filter the rows.
+    """
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    scored = _scored(rows, marks, 4, 2, SAMPLE_ROWS, threshold)
+    return without(docs, scored.where("predicted = 1").select(F.col("id").alias("i"), "h"), id_col, F.xxhash64(F.col(f"`{text_col}`")))

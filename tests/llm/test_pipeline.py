@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from tokenizers import Tokenizer
 
-from lodestrata.llm import queries, toxicity
+from lodestrata.llm import linededup, queries, toxicity
 
 from .test_decontam import ITEM, ITEMS
 from .test_decontam import brute as contamination
@@ -46,7 +46,7 @@ def test_run_equals_brute_force(spark, tmp_path):
     toxic = {r.doc_id for r in toxicity.score(read("documents"), read("labels")).collect() if r.predicted}
     truth = dict(labels)
     assert all(truth.get(i, 0) for i in toxic)
-    left = boilerplate([(i, t, s) for i, t, _, s, _ in docs if i not in toxic], min_sites=10)
+    left = boilerplate([(i, t, s) for i, t, _, s, _ in docs if i not in toxic], min_sites=linededup.MIN_SITES)
     roots = {c for _, c in groups(left).values()}
     items = [(i, t) for i, t in ITEMS if i is not None]
     left = [(i, t) for i, t in left if i in roots and not contamination(t, items)[4]]
