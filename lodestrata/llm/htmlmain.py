@@ -3,6 +3,10 @@
 Pass one scores the containers of each page (their own text less links, outside boilerplate elements) and
 each page votes for its best container's generalised path of tags and classes; Spark adds the votes up by
 host. Pass two re-extracts every page with its host's winning path; a page without that path uses its own.
+
+Elements such as ``nav`` or ``form`` never hold the article. A name (``sidebar``, ``comments``) or a ``header``
+only makes an element suspect: its text is left out unless the article itself stands in it, the page has no
+other text, or it is an article's own header with a heading.
 """
 
 from __future__ import annotations
@@ -25,20 +29,22 @@ SHARE = 0.7
 #: Elements without an end tag, containers, elements that end a block, and elements that hold no article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article main section div td table tbody tr center".split())
-BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption address hr br th thead tfoot caption details summary body html fieldset".split())
-NOT_TEXT = frozenset("head script style noscript template iframe object svg math canvas nav header footer aside form button select option textarea dialog menu".split())
-#: Parts of class names and ids, and roles, of boilerplate.
+BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption address hr br th thead tfoot caption details summary body html fieldset header".split())
+NOT_TEXT = frozenset("head script style noscript template iframe object svg math canvas nav footer aside form button select option textarea dialog menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of class names and ids, and roles, of boilerplate; parts in front of a name that only says what a page has or lacks.
 BAD_NAME = frozenset(
     """ad ads advert advertisement advertisements adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer
     gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted recommend recommended
     related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets""".split()
 )
+MODIFIERS = frozenset("has with no without is not show hide js".split())
 BAD_ROLE = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status toolbar".split())
 #: An open element that a new one of the same row closes, up to the next container.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES |= {t: {"p"} for t in BLOCKS - VOID - set(CLOSES)} | {"hr": {"p"}}
 DIGITS = re.compile(r"\d+")
-PARTS = re.compile(r"[a-z]+")
+PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 #: Elements that an end or an implied end doesn't reach across.
 WALLS = CONTAINERS - {"tr", "tbody"} | {"ul", "ol", "table"}
 
@@ -48,42 +54,59 @@ def _step(tag: str, attrs: dict[str, str | None]) -> str:
     return ".".join([tag, *names])
 
 
-def _bad(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
+def _bad(tag: str, attrs: dict[str, str | None]) -> bool:
+    """Whether an element holds no article text whatever it is called."""
     if tag in NOT_TEXT or "hidden" in attrs or (attrs.get("role") or "").lower() in BAD_ROLE or (attrs.get("aria-hidden") or "") == "true":
         return True
-    if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-        return True
+    return "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
+
+
+def suspicion(tag: str, attrs: dict[str, str | None]) -> str | None:
+    """The boilerplate name of an element, if it has one: the first or last part of a class or id, behind no modifier."""
     if tag in ("article", "main", "body", "html"):
-        return False
-    parts = set(PARTS.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
-    return bool(parts & BAD_NAME)
+        return None
+    if tag == "header":
+        return tag
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        parts = [x.lower() for x in PARTS.findall(name)]
+        if parts and parts[0] not in MODIFIERS:
+            for part in (parts[0], parts[-1]):
+                if part in BAD_NAME:
+                    return part
+    return None
 
 
 class _Page(HTMLParser):
-    """Blocks of a page in order: (container path, text, characters within links)."""
+    """Blocks of a page in order: (container path, text, characters within links, suspect elements around it)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []  # tag, whether it is boilerplate
+        self.open: list[tuple[str, bool, int | None]] = []  # tag, whether it is boilerplate, its number if it is suspect
         self.path: list[str] = []
-        self.bad = self.links = 0
+        self.bad = self.links = self.articles = 0
+        self.suspects: list[tuple[int, str, bool]] = []  # open ones: number, name, whether an article is around it
+        self.cleared: set[int] = set()
+        self.seen = 0
         self.parts: list[str] = []
         self.linked = 0
-        self.blocks: list[tuple[tuple[str, ...], str, int]] = []
+        self.blocks: list[tuple[tuple[str, ...], str, int, tuple[int, ...]]] = []
 
     def _end_block(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                self.blocks.append((tuple(self.path), text, self.linked))
+                self.blocks.append((tuple(self.path), text, self.linked, tuple(n for n, _, _ in self.suspects)))
             self.parts, self.linked = [], 0
 
     def _pop(self, to: int) -> None:
         while len(self.open) > to:
-            tag, bad = self.open.pop()
+            tag, bad, suspect = self.open.pop()
+            if tag in BLOCKS or bad or suspect is not None:
+                self._end_block()
             self.bad -= bad
             self.links -= tag == "a"
-            if tag in BLOCKS or bad:
-                self._end_block()
+            self.articles -= tag in ("article", "main")
+            if suspect is not None:
+                self.suspects.pop()
             if tag in CONTAINERS:
                 self.path.pop()
 
@@ -96,12 +119,22 @@ class _Page(HTMLParser):
                     break
                 if self.open[at][0] in WALLS or self.open[at][1]:
                     break
-        bad = _bad(tag, named, bool(self.path))
-        if tag in BLOCKS or bad:
+        bad = _bad(tag, named)
+        name = None if bad or tag in VOID else suspicion(tag, named)
+        if tag in BLOCKS or bad or name:
             self._end_block()
         if tag in VOID:
             return
-        self.open.append((tag, bad))
+        if tag in ("article", "main") and not bad:
+            self.cleared.update(n for n, _, _ in self.suspects)
+            self.articles += 1
+        elif tag in HEADINGS:
+            self.cleared.update(n for n, kind, inside in self.suspects if inside and kind == "header")
+        number = None
+        if name:
+            number, self.seen = self.seen, self.seen + 1
+            self.suspects.append((number, name, self.articles > 0))
+        self.open.append((tag, bad, number))
         self.bad += bad
         self.links += tag == "a"
         if tag in CONTAINERS:
@@ -134,7 +167,8 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     page.close()
     page._pop(0)
     page._end_block()
-    return page.blocks
+    free = [b for b in page.blocks if page.cleared.issuperset(b[3])]
+    return [b[:3] for b in free or page.blocks]
 
 
 def _article(path: tuple[str, ...]) -> tuple[str, ...] | None:
@@ -174,14 +208,14 @@ def main_text(html: str | None, path: tuple[str, ...] | None) -> tuple[str, bool
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``(host, path, votes)`` of ``pages(host, html)``: each host's path with most votes (then characters, then the least path)."""
+    """``(host, path, votes)`` of ``pages(host, html)``, paths as arrays of steps: each host's path with most votes (then characters, then the least path)."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [best_path(blocks(x.as_py())) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["/".join(p) for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["host", "path", "chars"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(p) for p, _ in found], pa.list_(pa.string())), pa.array([n for _, n in found], pa.int64())], ["host", "path", "chars"])
 
-    votes = pages.select("host", "html").mapInArrow(vote, "host string, path string, chars long").where("chars > 0")
+    votes = pages.select("host", "html").mapInArrow(vote, "host string, path array<string>, chars long").where("chars > 0")
     sums = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("chars").alias("chars"))
     return sums.groupBy("host").agg(F.min_by(F.struct("path", "votes"), F.struct(-F.col("votes"), -F.col("chars"), "path")).alias("w")).select("host", "w.path", "w.votes")
 
@@ -201,10 +235,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = [None if p is None else tuple(p.split("/")) if p else () for p in batch.column(3).to_pylist()]
+            known = [None if p is None else tuple(p) for p in batch.column(3).to_pylist()]
             found = [main_text(x.as_py(), p) for x, p in zip(batch.column(2), known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), batch.column(3), pa.array([c for _, c in found], pa.bool_())], ["i", "u", "text", "n_chars", "host_path", "by_consensus"])
 
     kinds = dict(rows.dtypes)
-    out = rows.select("i", "u", "html", "path").mapInArrow(read, f"i {kinds['i']}, u {kinds['u']}, text string, n_chars long, host_path string, by_consensus boolean")
-    return out.select(F.col("i").alias(id_col), F.col("u").alias(url_col), "text", "n_chars", "host_path", "by_consensus")
+    out = rows.select("i", "u", "html", "path").mapInArrow(read, f"i {kinds['i']}, u {kinds['u']}, text string, n_chars long, host_path array<string>, by_consensus boolean")
+    return out.select(F.col("i").alias(id_col), F.col("u").alias(url_col), "text", "n_chars", F.array_join("host_path", " > ").alias("host_path"), "by_consensus")

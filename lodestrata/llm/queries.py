@@ -34,7 +34,7 @@ def op4_token_blocks(spark, sf_dir):
 
 
 def op5_tool_calls(spark, sf_dir):
-    return toolcalls.link_calls(table(spark, sf_dir, "conversations"))
+    return toolcalls.link_calls(toolcalls.derived_calls(table(spark, sf_dir, "conversations")), toolcalls.derived_tools(spark))
 
 
 def op6_bpe(spark, sf_dir):

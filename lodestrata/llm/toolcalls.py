@@ -9,7 +9,7 @@ with sorted keys and no white space. No conversation is gathered: rows carry the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -24,19 +24,21 @@ def _get(v: str, path: str, kind: str) -> Column:
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """``(conv, call_id, level)``: 0 without earlier calls, else one more than the highest; calls in or behind a cycle are left out."""
+    """``(conv, call_id, level)``: 0 without earlier calls, else one more than the highest; calls in or behind a cycle are left out.
+
+    Round n frees the calls of level n. Only edges to calls that wait are read and written again; finished calls are not.
+    """
     edges = calls.select("conv", "call_id", F.explode("after").alias("dep")).distinct()
-    edges = cut(edges.join(calls.select("conv", F.col("call_id").alias("dep")), ["conv", "dep"], "left_semi"))
-    free = calls.select("conv", "call_id").join(edges.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    done = cut(free)
-    if edges.isEmpty():
-        return done
-    for _ in range(ROUNDS):
-        ready = edges.join(done.select("conv", F.col("call_id").alias("dep"), "level"), ["conv", "dep"], "left").groupBy("conv", "call_id").agg(F.count_if(F.col("level").isNull()).alias("open"), (F.max("level") + 1).alias("level"))
-        new = cut(ready.where("open = 0").select("conv", "call_id", "level").join(done.select("conv", "call_id"), ["conv", "call_id"], "left_anti"))
-        if new.isEmpty():
+    waiting = cut(edges.join(calls.select("conv", F.col("call_id").alias("dep")), ["conv", "dep"], "left_semi").select("conv", "call_id", "dep"))
+    front = cut(calls.select("conv", "call_id").join(waiting.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti"))
+    done = front.withColumn("level", F.lit(0))
+    for level in range(1, ROUNDS + 1):
+        if waiting.isEmpty() or front.isEmpty():
             return done
-        done = cut(done.union(new))
+        freed = front.select("conv", F.col("call_id").alias("dep"))
+        rest = cut(waiting.join(freed, ["conv", "dep"], "left_anti").select("conv", "call_id", "dep"))
+        front = cut(waiting.join(freed, ["conv", "dep"], "left_semi").select("conv", "call_id").distinct().join(rest.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti"))
+        done, waiting = done.union(front.withColumn("level", F.lit(level))), rest
     raise RuntimeError(f"calls depend on each other over more than {ROUNDS} levels")
 
 
@@ -105,9 +107,53 @@ def link_calls(turns: DataFrame, tools: DataFrame | None = None) -> DataFrame:
     return out.select(F.col("conv").alias("conv_id"), "turn", "item", "kind", "call_id", "name", "status", "level", F.when(F.col("problems").isNotNull(), F.col("valid0")).alias("valid"), F.array_join("problems", ",").alias("problems"), "json")
 
 
-#: The generated conversations hold plain messages; calls and results are covered by tests on fixtures.
+def derived_calls(turns: DataFrame) -> DataFrame:
+    """Plain ``conversations`` as conversations with tools, whole texts kept: the input of the registered query.
+
+    An assistant's turn calls a tool (``lookup``, ``store`` or one without a schema) with its text as an argument, after the
+    call two turns before; a user's turn answers the call of the turn before. In some conversations all calls share one
+    id (duplicates) or also wait for the call two turns later (cycles); some arguments don't fit their schema.
+    """
+    t = F.col("turn")
+    shared, mutual = F.col("conv_id") % 7 == 3, F.col("conv_id") % 11 == 5
+    name = F.when((F.col("conv_id") + t) % 3 == 0, "lookup").when((F.col("conv_id") + t) % 3 == 1, "store").otherwise("other")
+    call_id = lambda at: F.when(shared, "c1").otherwise(F.concat(F.lit("c"), at.cast("string")))
+    size, quoted = F.length("text"), F.to_json(F.array("text"))
+    text = F.expr("substring(q, 2, length(q) - 2)")
+    number = F.when(t % 4 == 3, F.concat(F.lit('"'), size.cast("string"), F.lit('"'))).otherwise(size.cast("string"))
+    lookup = F.concat(F.lit('{"n":'), number, F.lit(',"q":'), text, F.lit("}"))
+    store = F.when(t % 4 == 2, F.concat(F.lit('{"size":'), size.cast("string"), F.lit(',"value":'), text, F.lit("}"))).otherwise(F.concat(F.lit('{"key":"k'), t.cast("string"), F.lit('","value":'), text, F.lit("}")))
+    arguments = F.when(name == "lookup", lookup).when(name == "store", store).otherwise(F.concat(F.lit('{"text":'), text, F.lit("}")))
+    after = F.concat(F.lit('["c'), (t - 2).cast("string"), F.when(mutual, F.concat(F.lit('","c'), (t + 2).cast("string"))).otherwise(F.lit("")), F.lit('"]'))
+    call = F.concat(F.lit('{"content":'), text, F.lit(',"tool_calls":[{"after":'), after, F.lit(',"arguments":'), arguments, F.lit(',"id":"'), call_id(t), F.lit('","name":"'), name, F.lit('"}]}'))
+    result = F.concat(F.lit('{"content":'), text, F.lit(',"tool_call_id":"'), call_id(t - 1), F.lit('"}'))
+    rows = turns.select("conv_id", "turn", "role", "text", quoted.alias("q"))
+    return rows.select("conv_id", "turn", "role", F.when(F.col("role") == "assistant", call).when((F.col("role") == "user") & (t > 0), result).otherwise(F.col("text")).alias("text"))
+
+
+def derived_tools(spark: SparkSession) -> DataFrame:
+    """The schemas of the tools that ``derived_calls`` calls."""
+    return spark.sql("""select * from values ('lookup', array('q'), map('q', 'string', 'n', 'integer'), true), ('store', array('key', 'value'), map('key', 'string', 'value', 'string'), true)
+as t(name, required, properties, closed)""")
+
+
 ORACLE = """
-select conv_id, turn, 0 as item, 'message' as kind, cast(null as varchar) as call_id, cast(null as varchar) as name, cast(null as varchar) as status,
-       cast(null as integer) as level, cast(null as boolean) as valid, cast(null as varchar) as problems, cast(to_json({'content': text, 'role': role}) as varchar) as json
-from conversations
+with recursive m as (select conv_id c, turn t, role r, text x, conv_id % 7 = 3 shared, conv_id % 11 = 5 mutual, cast(to_json(text) as varchar) q, (conv_id + turn) % 3 tool from conversations),
+a as (select c, t, r, case when shared then 'c1' else 'c' || t end id, case tool when 0 then 'lookup' when 1 then 'store' else 'other' end as name,
+  case tool when 0 then '{"n":' || case when t % 4 = 3 then '"' || length(x) || '"' else cast(length(x) as varchar) end || ',"q":' || q || '}'
+    when 1 then case when t % 4 = 2 then '{"size":' || length(x) || ',"value":' || q || '}' else '{"key":"k' || t || '","value":' || q || '}' end else '{"text":' || q || '}' end args,
+  case when tool = 0 and t % 4 = 3 then 'type n' when tool = 1 and t % 4 = 2 then 'missing key,unknown size' when tool < 2 then '' end problems,
+  '["c' || (t - 2) || case when mutual then '","c' || (t + 2) else '' end || '"]' after, mutual, q from m where r = 'assistant'),
+h as (select c, id, min(t) t, arg_min(name, t) as name, bool_or(mutual) mutual from a group by c, id),
+e as (select h.c, h.id, d.id dep from h join h d on d.c = h.c and (d.id = 'c' || (h.t - 2) or h.mutual and d.id = 'c' || (h.t + 2))),
+lv(c, id, k) as (select c, id, 0 from h where not exists (select 1 from e where e.c = h.c and e.id = h.id) union all select e.c, e.id, k + 1 from lv join e on e.c = lv.c and e.dep = lv.id),
+level as (select c, id, max(k) k from lv group by c, id),
+res as (select c, t, r, case when shared then 'c1' else 'c' || (t - 1) end id, '{"content":' || q || ',"tool_call_id":"' || case when shared then 'c1' else 'c' || (t - 1) end || '"}' body from m where r = 'user' and t > 0),
+s as (select h.*, k, exists (select 1 from res where res.c = h.c and res.id = h.id) answered from h left join level using (c, id))
+select c conv_id, t turn, 0 as item, 'message' as kind, cast(null as varchar) call_id, cast(null as varchar) as name, cast(null as varchar) status, cast(null as integer) as level, cast(null as boolean) valid, cast(null as varchar) problems,
+  cast(to_json({'content': x, 'role': r}) as varchar) as json from m where not (r = 'assistant' or r = 'user' and t > 0)
+union all select c, t, 0, 'message', null, null, null, null, null, null, cast(to_json({'content': '{"content":' || q || ',"tool_calls":[{"after":' || after || ',"arguments":' || args || ',"id":"' || id || '","name":"' || name || '"}]}', 'role': r}) as varchar) from a
+union all select a.c, a.t, 1, 'call', a.id, a.name, case when s.t <> a.t then 'duplicate' when s.k is null then 'cyclic' when s.answered then 'answered' else 'unanswered' end, case when s.t = a.t then 2 * s.k end,
+  a.problems = '', a.problems, '{"arguments":' || a.args || ',"id":"' || a.id || '","name":"' || a.name || '"}' from a join s on s.c = a.c and s.id = a.id
+union all select res.c, res.t, 0, 'result', res.id, s.name, case when s.id is null then 'orphan' else 'linked' end, 2 * s.k + 1, null, null, cast(to_json({'content': res.body, 'role': res.r}) as varchar) from res left join s on s.c = res.c and s.id = res.id
 """

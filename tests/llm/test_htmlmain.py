@@ -1,3 +1,5 @@
+import random
+
 from lodestrata.llm import htmlmain
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script><style>p{{}}</style></head><body><nav><ul><li><a href=/>Home</a></ul></nav>
@@ -54,3 +56,36 @@ def test_host_vote_keeps_the_whole_article(spark):
     rows += [(10 + n, f"http://b/{n}", f"<div class=wrap>{BODY}</div>", "h", "p") for n in range(3)] + [(19, "http://b/9", f"<div class=wrap><h1>T</h1>{BODY}<div><a href=x>links only</a></div></div>", "h", "p")]
     got = {r.page_id: r.text for r in htmlmain.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {n: joined(f"T{n} lead", LONG) for n in range(3)} | {9: "much text outside the body here tiny"} | {10 + n: joined(LONG) for n in range(3)} | {19: joined("T", LONG)}
+
+
+def test_a_name_alone_takes_no_article_away():
+    for attrs in ("class='content has-sidebar'", "id=post-login-required", "class=sidebar", "class='no-comments page'"):
+        assert htmlmain.main_text(f"<div {attrs}><p>The whole article text.</p></div>", None)[0] == "The whole article text."
+    assert htmlmain.main_text("<div class=header><h1>Site</h1></div><article><header><h1>Head</h1><p>by me</header><p>Text</p><div class=header>no</div></article>", None)[0] == "Head by me Text"
+    assert htmlmain.main_text("<div class=widget-main><article><p>Text</article></div><div class=comments><h3>Comments</h3><p>a much longer comment of a reader</div>", None)[0] == "Text"
+
+
+def test_a_class_with_a_slash_keeps_the_vote(spark):
+    rows = [(n, f"http://a/{n}", f"<div class=w-1/2><p>{LONG}</div><div><a href=/>links only</a></div>", "h", "p") for n in range(3)]
+    got = htmlmain.extract(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r.by_consensus and r.text == joined(LONG) and r.host_path == "div.w-#/#" for r in got)
+
+
+def test_generated_pages_equal_their_article(spark):
+    """Pages put together from known blocks: the expected text never sees the html."""
+    rng, rows, want = random.Random(8), [], {}
+    words = lambda n: " ".join(rng.choice(["alpha", "b&eacute;ta", "gamma,", "delta &amp; co", "eps"]) for _ in range(n))
+    plain = lambda t: t.replace("&eacute;", "é").replace("&amp;", "&")
+    wraps = ["<article>%s</article>", "<main><div class=entry-%d>%s</div></main>", "<div class='post p%d'>%s</div>"]
+    for n in range(60):
+        host, parts = n % 3, [words(rng.randrange(20, 90)) for _ in range(rng.randrange(1, 6))]
+        title = words(4)
+        inner = f"<h1>{title}</h1>" + "".join(f"<p>{t}" + rng.choice(["</p>", "", "<br>"]) for t in parts)
+        body = wraps[host] % (inner if host == 0 else (n, inner))
+        noise = [f"<nav><ul><li><a href=/>{words(2)}</a></ul></nav>", f"<div class='ad box'>{words(30)}</div>", f"<aside>{words(40)}</aside>", f"<div id=cookie-notice>{words(9)}<button>ok</button></div>"]
+        rng.shuffle(noise)
+        tail = f"<section class=comments><p>{words(100)}</section><footer>&copy; {words(5)}</footer>"
+        rows.append((n, f"https://site{host}.example/{n}", f"<html><head><title>x</title><script>if(a<b)c()</script></head><body>{noise[0]}{noise[1]}{body}{noise[2]}{tail}", "h", "p"))
+        want[n] = joined(plain(title), *map(plain, parts))
+    got = {r.page_id: (r.text, r.n_chars) for r in htmlmain.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {n: (t, len(t)) for n, t in want.items()}

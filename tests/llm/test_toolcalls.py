@@ -1,6 +1,9 @@
 import json
 import re
 
+import duckdb
+import pandas as pd
+
 from lodestrata.llm import toolcalls
 
 SCHEMA = "conv_id long, turn long, role string, text string, conv string, v int"
@@ -44,3 +47,24 @@ def test_empty_and_native(spark, capsys):
     assert toolcalls.link_calls(df.limit(0)).count() == 0
     toolcalls.link_calls(df).explain()
     assert not re.search("Python|Pandas|ArrowEval", capsys.readouterr().out)
+
+
+def test_query_equals_its_sql_with_every_status(spark):
+    from lodestrata.llm import queries
+
+    rows = [(c, t, ("system" if t == 0 and c % 6 == 0 else "user" if (t + (c % 6 == 0)) % 2 == 0 else "assistant"), f'text "{c}"\n\\{t} é\t世') for c in range(160) for t in range(c % 8 + 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = toolcalls.link_calls(toolcalls.derived_calls(df), toolcalls.derived_tools(spark)).toPandas()
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas())
+    want = con.sql(queries.ORACLE["op5_tool_calls"]).df()
+    key = lambda f: sorted(repr([None if pd.isna(x) else int(x) if isinstance(x, float) else x for x in r]) for r in f[sorted(f.columns)].astype(object).itertuples(index=False))
+    assert key(got) == key(want)
+    assert set(got.status.dropna()) == {"answered", "unanswered", "cyclic", "duplicate", "linked", "orphan"} and set(got.valid.dropna()) == {True, False}
+    assert got.level.max() >= 6
+
+
+def test_a_very_long_text_and_a_long_chain(spark):
+    rows = [(1, 0, "assistant", {"tool_calls": [call(f"k{i}", "g", after=[f"k{i - 1}"]) for i in range(12)], "content": "x" * 500_000})]
+    got = toolcalls.link_calls(turns(spark, rows)).collect()
+    assert sorted(r.level for r in got if r.kind == "call") == list(range(0, 24, 2)) and len(next(r.json for r in got if r.kind == "message")) > 500_000
