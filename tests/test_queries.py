@@ -1,6 +1,7 @@
 """Every query of the reference's operators against its SQL, over the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lodestrata.plans import version_queries  # noqa: F401
@@ -11,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def canonical(frame, columns):
-    value = lambda x: None if x is None or x != x else round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    value = lambda x: None if pd.api.types.is_scalar(x) and pd.isna(x) else round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     return sorted(repr([value(x) for x in row]) for row in frame[columns].astype(object).itertuples(index=False))
 
 
