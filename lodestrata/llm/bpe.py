@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .common import fresh
 from .wordtable import word_table
 
+#: Bytes of ids that a worker passes on at once.
+SLICE_BYTES = 1_000_000
+
 #: The printable bytes that stand for themselves in byte-level pieces; the others follow from code point 256 on.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
-def _piece_bytes(path: str) -> list[bytes]:
+def _piece_bytes(path: str, tok=None) -> list[bytes]:
     """The id-to-piece table: bytes of each id; an added token's string stands for itself."""
-    from tokenizers import Tokenizer
+    if tok is None:
+        from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
+        tok = Tokenizer.from_file(path)
     rest = [b for b in range(256) if b not in set(PRINTABLE)]
     byte = {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(rest)}
     vocab = tok.get_vocab(with_added_tokens=True)
@@ -76,9 +82,42 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids_col
     return docs.withColumn(ids_col, encode(F.col(text_col), path, ranks=ranks))
 
 
+def encoded_and_decoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
+    """One row per document: ``id_col``, ``ids`` (array of int), ``decoded`` (text of these ids through the id-to-piece table).
+
+    Both directions run in one pass of one worker, a few rows at a time, so that memory stays small for long texts.
+    """
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = word_table(path, "byte", ranks)
+        if path not in _PIECES:
+            _PIECES[path] = _piece_bytes(path, table.tokenizer)
+        piece = _PIECES[path].__getitem__
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                parts, texts, first, size = [], [], at, 0
+                while at < batch.num_rows and size < SLICE_BYTES:
+                    own = table.encode(batch.column(1)[at].as_py())
+                    parts.append(own)
+                    texts.append(b"".join(map(piece, np.frombuffer(own, "<u4").tolist())).decode("utf-8", "replace"))
+                    size += len(own)
+                    at += 1
+                ends = np.cumsum([0, *map(len, parts)]) // 4
+                flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(texts, pa.string())], ["i", "ids", "decoded"])
+
+    kind = dict(rows.dtypes)["i"]
+    return rows.mapInArrow(both, f"i {kind}, ids array<int>, decoded string").select(F.col("i").alias(id_col), "ids", "decoded")
+
+
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
-    """One row per document: ``id_col``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``; the text is encoded, then decoded from its ids."""
-    ids = fresh(docs, "ids")
-    rows = encode_documents(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col)), path, text_col, ids, ranks)
-    joined = F.array_join(F.col(ids).cast("array<string>"), ",")
-    return rows.select(id_col, F.size(ids).cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(decode(F.col(ids), path), 256).alias("decoded_sha256"))
+    """One row per document: ``id_col``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``; the text is encoded, then decoded from its ids.
+
+    Null and empty texts have no ids and decode to the empty text; null ids and repeated rows each give a row, an empty
+    table gives an empty result, other columns are not read.
+    """
+    rows = encoded_and_decoded(docs, path, id_col, text_col, ranks)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -1,18 +1,18 @@
 """Context-tree weighting of bytes: a language model learnt and applied as Spark jobs.
 
-A text is its lower-cased words, each closed by a space, then one end byte. A byte is eight binary
-decisions. The context of a decision is the bits of the byte so far and the ``depth`` bytes before it
-within its word; before the word's start stands the text's class byte, which its commonest function words
-give and which is paid for once in a text (log10 of the number of classes). Each context of each length d = 0..depth holds a
-Krichevsky-Trofimov estimate of its counts; bottom up, a node's weighted probability is half its own
-estimate and half the product of its children's, which gives the weight of its estimate; top down,
-these weights mix the estimates of all depths. A context never seen in training is not mixed in: the
-estimate before it keeps its share. Costs per byte add up to a code length per distinct word, and
-words are counted once over all documents.
-
-Scale: word counts, node counts (at most 256 rows to a context) and products are hash aggregations;
-depths are joined level by level. A document needs the scores of its words: the most frequent ones (a
-fixed number) are broadcast, all others are joined by a shuffle of (document, rare word, count).
+A text is its lower-cased words, each closed by a space, then one end byte; white space between words counts as one
+space. A byte is eight binary decisions. The context of a decision is the bits of the byte so far and the ``depth``
+bytes before it, whatever word they belong to (end bytes stand before a text's start), so the order of words matters.
+Each context of each length d = 0..depth holds a Krichevsky-Trofimov estimate of its counts; bottom up, a node's
+weighted probability is half its own estimate and half the product of its children's, which gives the weight of its
+estimate; top down, these weights mix the estimates of all depths. A context never seen in training is not mixed in:
+the estimate before it keeps its share. Costs per byte add up to the code length of a text.
+
+Scale: tasks count the grams (a context and its byte, one 64-bit number) of the texts they read, sums are hash
+aggregations, depths are joined level by level. A document needs the score of each of its grams: the most frequent
+ones (a fixed number) are broadcast, all others are joined by a shuffle of (document, rare gram, count). Words, of
+which the base score needs the counts, go the same way. What is gathered grows with the corpus; what is broadcast
+does not.
 """
 
 from __future__ import annotations
@@ -30,24 +30,14 @@ from .common import cut
 
 DEPTH = 5
 END = b"\n"
-#: Most frequent words that are broadcast; the bound doesn't depend on the input.
+#: Most frequent words and grams that are broadcast; the bounds don't depend on the input.
 FREQUENT_WORDS = 200_000
-#: Grams are broadcast up to this number (16 bytes each), else joined by a shuffle.
-BROADCAST_GRAMS = 2_000_000
-#: Distinct words that a task holds before it passes their counts on.
+FREQUENT_GRAMS = 1_000_000
+#: Distinct words, and grams, that a task holds before it passes their counts on.
 TASK_WORDS = 500_000
-
-
-#: Function words of a few languages; a text's class is the list with most hits, 0 if there is none.
-FUNCTION_WORDS = (
-    b"the of and to in is that it was for with as on be by this are from or an".split(),
-    b"der die und das nicht ist mit den von zu sich ein eine auf im dem des auch".split(),
-    b"le les et des est une du que dans qui sur pas au ne ce il je vous".split(),
-    b"el los las y del por con para una se su al lo como que en no es".split(),
-)
-CLASSES = len(FUNCTION_WORDS) + 1
-CLASS_COST = float(np.log10(CLASSES))
-_CLASS_OF = [dict.fromkeys(x) for x in FUNCTION_WORDS]
+TASK_GRAMS = 2_000_000
+#: Bytes of texts whose grams are looked at together.
+CHUNK = 500_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -55,23 +45,32 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "replace").lower().split(), END]
 
 
-def counted(text: str | None) -> tuple[Counter, bytes]:
-    """Distinct tokens of a text with their numbers; the class byte."""
-    each = Counter(tokens(text))
-    hits = [sum(each[w] for w in words) for words in _CLASS_OF]
-    best = max(range(len(hits)), key=hits.__getitem__)
-    return each, bytes([best + 1 if hits[best] else 0])
+def coded(words: list[bytes], depth: int) -> bytes:
+    """The bytes of a text's ``tokens`` behind the context before its start."""
+    return END * depth + b" ".join(words)  # the end token closes the last word with a space before it
 
 
-def _coded(unit: bytes, depth: int) -> bytes:
-    return unit[:1] * depth + (unit[1:] if unit[1:] == END else unit[1:] + b" ")
+def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of ``depth`` bytes of context and a byte, for each byte of each coded text; the number for each text."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) - depth
+    flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+    code = flat[depth:].copy()
+    for k in range(1, depth + 1):
+        code |= flat[depth - k : len(flat) - k] << (8 * k)
+    inside = np.ones(len(code), bool)
+    ends = np.cumsum(lengths + depth)[:-1]
+    for k in range(depth):
+        inside[ends - depth + k] = False  # grams that run from one text into the next one's start
+    return code[inside], lengths
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(unit, c, c_word)`` of ``docs(text, train)``: class byte and token, their number in training texts, and the token's own.
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    g, own = np.unique(np.concatenate(keys), return_inverse=True)
+    return g, np.bincount(own, np.concatenate(counts), len(g)).astype(np.int64)
 
-    A token has a unit for each class at most, so no group is large.
-    """
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``(word, c)`` of ``docs(text, train)``: a row for each token of any text, its number in training texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -83,47 +82,56 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, train in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                each, kind = counted(text.as_py())
-                if train:
-                    for w, m in each.items():
-                        seen[kind + w] += m
-                else:
-                    more.update([kind + w for w in each])
-            if len(seen) + len(more) > TASK_WORDS:
-                yield rows()
-                seen, more = Counter(), set()
+                (seen if train else more).update(tokens(text.as_py()))
+                if len(seen) + len(more) > TASK_WORDS:
+                    yield rows()
+                    seen, more = Counter(), set()
         if seen or more:
             yield rows()
 
-    units = docs.select("text", "train").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    words = units.groupBy(F.expr("substring(word, 2)").alias("w")).agg(F.collect_list(F.struct("word", "c")).alias("x"), F.sum("c").alias("c_word"))
-    return words.select(F.inline("x"), "c_word").select(F.col("word").alias("unit"), "c", "c_word")
+    return docs.select("text", "train").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _grams(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of ``depth`` bytes of context and a byte, for each byte of each coded word; the number for each word."""
-    coded = [_coded(w, depth) for w in words]
-    lengths = np.fromiter(map(len, coded), np.int64, len(coded)) - depth
-    flat = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64)
-    starts = np.cumsum(lengths + depth) - lengths
-    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-    code = np.zeros(len(at), np.int64)
-    for k in range(depth, -1, -1):
-        code = (code << 8) | flat[at - k]
-    return code, lengths
+def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
+    """``(g, c)`` of ``docs(text, train)``: a row for each gram of any text, its number in training texts."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        waiting: dict[bool, list[bytes]] = {True: [], False: []}
+        size = 0
+
+        def take() -> None:
+            for train, texts in waiting.items():
+                if texts:
+                    g, c = np.unique(_grams(texts, depth)[0], return_counts=True)
+                    keys.append(g)
+                    counts.append(c if train else np.zeros(len(g), np.int64))
+                    texts.clear()
+
+        def rows() -> pa.RecordBatch:
+            g, c = keys[0], counts[0]
+            keys.clear()
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], ["g", "c"])
 
-def _gram_counts(words: DataFrame, depth: int) -> DataFrame:
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                code, lengths = _grams(batch.column(0).to_pylist(), depth)
-                g, own = np.unique(code, return_inverse=True)
-                c = np.zeros(len(g), np.int64)
-                np.add.at(c, own, np.repeat(batch.column(1).to_numpy(zero_copy_only=False), lengths))
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], ["g", "c"])
+            for text, train in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                waiting[bool(train)].append(coded(tokens(text.as_py()), depth))
+                size += len(waiting[bool(train)][-1])
+                if size >= CHUNK:
+                    take()
+                    size = 0
+                    if sum(map(len, keys)) > 2 * TASK_GRAMS:
+                        keys[:], counts[:] = ([x] for x in _merged(keys, counts))
+                        if len(keys[0]) > TASK_GRAMS:
+                            yield rows()
+        take()
+        if keys:
+            keys[:], counts[:] = ([x] for x in _merged(keys, counts))
+            yield rows()
 
-    return words.select("unit", "c").mapInArrow(grams, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return docs.select("text", "train").mapInArrow(count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -209,11 +217,11 @@ def _floats(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, width)
 
 
-def gram_scores(words: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``(g, lp)``: log10 probability of each gram of ``words(unit, c)`` under the tree that the counts ``c`` build."""
+def gram_scores(counts_of: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``(g, c, lp)``: log10 probability of each gram of ``counts_of(g, c)`` under the tree that these counts build."""
     if not 1 <= depth <= 6:
         raise ValueError("depth must be 1 to 6")
-    counts = {depth: cut(_gram_counts(words, depth))}
+    counts = {depth: cut(counts_of)}
     for d in range(depth - 1, -1, -1):
         counts[d] = cut(counts[d + 1].groupBy(F.col("g").bitwiseAND(F.lit((1 << (8 * d + 8)) - 1)).alias("g")).agg(F.sum("c").alias("c")))
     levels, sums = {}, None
@@ -238,25 +246,24 @@ def gram_scores(words: DataFrame, depth: int = DEPTH) -> DataFrame:
         else:
             rows = rows.withColumn("short", F.col("g").bitwiseAND(F.lit((1 << (8 * d)) - 1))).join(state.select(F.col("g").alias("short"), "state"), "short")
         state = rows.select("g", "path", "state").mapInArrow(mix, "g long, state binary, lp double")
-    return state.select("g", "lp")
-
+    return counts[depth].join(state.select("g", "lp"), "g")
 
-def word_scores(words: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``(unit, c_word, lp)`` for ``words(unit, c, c_word)``: log10 probability of each token with its closing byte."""
-    lp = cut(gram_scores(words, depth))
-    n = lp.count()
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                code, lengths = _grams(batch.column(0).to_pylist(), depth)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(code))], ["unit", "c_word", "gs"])
 
-    rows = words.select("unit", "c_word").mapInArrow(spread, "unit binary, c_word long, gs array<long>").select("unit", "c_word", F.explode("gs").alias("g"))
-    return rows.join(F.broadcast(lp) if n <= BROADCAST_GRAMS else lp, "g").groupBy("unit", "c_word").agg(F.sum("lp").alias("lp"))
+def _most_frequent(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of ``rows(c, ...)`` with the largest counts, ``most`` at most: a histogram of counts finds the least one, no sort."""
+    size = F.floor(16 * F.log2(F.col("c") + 1)).cast("int")
+    least, n = None, 0
+    for r in sorted(rows.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if n + r.n > most:
+            break
+        least, n = r.size, n + r.n
+    return rows.where(F.lit(False) if least is None else size >= least)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, fold: int = 7, held: int = 2, frequent: int = FREQUENT_WORDS) -> DataFrame:
+def score(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, fold: int = 7, held: int = 2,
+    frequent: int = FREQUENT_WORDS, frequent_grams: int = FREQUENT_GRAMS,
+) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``,
     ``score``, ``n_bytes``, ``bits_per_byte``.
 
@@ -265,52 +272,67 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     each counted. With nothing to learn from, every bit costs one bit. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.crc32(F.col(id_col).cast("string")) % fold == held, F.lit(False)).alias("held"))
-    words = cut(word_counts(rows.select("text", (~F.col("held")).alias("train"))))
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_distinct(F.when(F.col("c_word") > 0, F.expr("substring(unit, 2)")))).first()
-    scored = cut(word_scores(words, depth))
-    # counts by sixteenths of a power of two find the least count of which at most ``frequent`` units have as much: no sort
-    size = F.floor(16 * F.log2(F.col("c_word") + 1)).cast("int")
-    least, n_top = None, 0
-    for r in sorted(scored.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), reverse=True):
-        if n_top + r.n > frequent:
-            break
-        least, n_top = r.size, n_top + r.n
-    top = scored.where(F.lit(False) if least is None else size >= least).select("unit", "c_word", "lp").toArrow()
-    known = docs.sparkSession.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), zip(top.column(1).to_pylist(), top.column(2).to_pylist(), strict=True), strict=True)))
+    learn = rows.select("text", (~F.col("held")).alias("train"))
+    words = cut(word_counts(learn))
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    grams = cut(gram_scores(gram_counts(learn, depth), depth))
+    top = _most_frequent(words, frequent).toArrow()
+    top_grams = _most_frequent(grams, frequent_grams).select("g", "lp").toArrow()
+    order = np.argsort(keys := top_grams.column("g").to_numpy())
+    known = docs.sparkSession.sparkContext.broadcast((dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True)), keys[order], top_grams.column("lp").to_numpy()[order]))
     floor = float(np.log10(n + v + 1))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, key = known.value, TaskContext.get().partitionId() << 40
-        log10 = np.log10
+        table, keys, lps = known.value
+        key = TaskContext.get().partitionId() << 40
+
+        def looked_up(texts: list[bytes]) -> list[tuple]:
+            """For each text its bytes, the sum of the known grams' scores, the other grams and their numbers."""
+            code, lengths = _grams(texts, depth)
+            at = np.searchsorted(keys, code)
+            at[at == len(keys)] = 0
+            hit = keys[at] == code if len(keys) else np.zeros(len(code), bool)
+            starts = np.cumsum(lengths) - lengths
+            sums = np.add.reduceat(np.where(hit, lps[at], 0.0) if len(keys) else np.zeros(len(code)), starts)
+            rest = np.flatnonzero(~hit)
+            cuts = np.searchsorted(rest, np.append(starts, len(code)))
+            return [(int(lengths[i]), float(sums[i]), *np.unique(code[rest[cuts[i] : cuts[i + 1]]], return_counts=True)) for i in range(len(texts))]
+
         for batch in batches:
             out: list[tuple] = []
+            waiting: list[bytes] = []
+            found: list[tuple] = []
+            size = 0
             for text in batch.column(1):
-                each, kind = counted(text.as_py())
-                cs, ms, lps, rare, times, length = [], [], [], [], [], 0
-                for w, m in each.items():
-                    length += m * (len(w) + (w != END))
-                    if hit := table.get(kind + w):
-                        cs.append(hit[0])
-                        ms.append(m)
-                        lps.append(hit[1])
-                    else:
-                        rare.append(kind + w)
-                        times.append(m)
-                c, m = np.array(cs, np.float64), np.array(ms, np.float64)
-                out.append((key, sum(each.values()), length, int(m[c > 0].sum()), float((m * (log10(c + 1) - floor)).sum()), float(np.dot(m, lps)) - CLASS_COST if cs else -CLASS_COST, rare, times))
+                own = tokens(text.as_py())
+                waiting.append(coded(own, depth))
+                size += len(waiting[-1])
+                each = Counter(own)
+                cs = np.array([table.get(w, -1) for w in each], np.float64)
+                m = np.fromiter(each.values(), np.int64, len(each))
+                far = cs < 0
+                rare = [w for w, x in zip(each, far, strict=True) if x] if far.any() else []
+                out.append((key, len(own), int(m[cs > 0].sum()), float((m[~far] * (np.log10(cs[~far] + 1) - floor)).sum()), rare, m[far].tolist()))
                 key += 1
-            cols = list(zip(*out, strict=True)) if out else [[]] * 8
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], ["id", "held", "key", "n_tokens", "n_bytes", "known", "base", "lp", "rare", "times"])
+                if size >= CHUNK:
+                    found += looked_up(waiting)
+                    waiting, size = [], 0
+            if waiting:
+                found += looked_up(waiting)
+            cols, more = list(zip(*out, strict=True)) if out else [[]] * 6, list(zip(*found, strict=True)) if found else [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            names = ["key", "n_tokens", "known", "base", "rare", "times", "n_bytes", "lp", "grams", "gram_times"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, k) for x, k in zip([*cols, *more], kinds, strict=True))], ["id", "held", *names])
 
     kind = dict(rows.dtypes)["id"]
-    read_rows = cut(rows.select("id", "text", "held").mapInArrow(read, f"id {kind}, held boolean, key long, n_tokens long, n_bytes long, known long, base double, lp double, rare array<binary>, times array<long>"))
-    rare = read_rows.select("key", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("key", F.col("z.rare").alias("unit"), F.col("z.times").alias("m"))
-    rest = rare.join(scored, "unit").groupBy("key").agg(
-        F.sum(F.when(F.col("c_word") > 0, F.col("m")).otherwise(0)).alias("known2"), F.sum(F.col("m") * (F.log10(F.col("c_word") + 1) - floor)).alias("base2"), F.sum(F.col("m") * F.col("lp")).alias("lp2")
-    )
+    schema = f"id {kind}, held boolean, key long, n_tokens long, known long, base double, rare array<binary>, times array<long>, n_bytes long, lp double, grams array<long>, gram_times array<long>"
+    read_rows = cut(rows.select("id", "text", "held").mapInArrow(read, schema))
+    rare = read_rows.select("key", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("key", F.col("z.rare").alias("word"), F.col("z.times").alias("m"))
+    rest = rare.join(words, "word").groupBy("key").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("known2"), F.sum(F.col("m") * (F.log10(F.col("c") + 1) - floor)).alias("base2"))
+    far = read_rows.select("key", F.explode(F.arrays_zip("grams", "gram_times")).alias("z")).select("key", F.col("z.grams").alias("g"), F.col("z.gram_times").alias("m"))
+    tail = far.join(grams, "g").groupBy("key").agg(F.sum(F.col("m") * F.col("lp")).alias("lp2"))
     total = F.col("lp") + F.coalesce("lp2", F.lit(0.0))
-    return read_rows.drop("rare", "times").join(rest, "key", "left").select(
+    return read_rows.drop("rare", "times", "grams", "gram_times").join(rest, "key", "left").join(tail, "key", "left").select(
         F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("base2", F.lit(0.0))).alias("base_score"), total.alias("score"), "n_bytes", (-total / float(np.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

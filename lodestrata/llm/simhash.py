@@ -15,11 +15,10 @@ its members link to one representative first, and only pairs of different groups
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,10 +62,11 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-@F.pandas_udf(LongType())
-def fingerprint_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([fingerprint(x) for x in batch], dtype="int64")
+def _fingerprints(texts: pa.Array) -> pa.Array:
+    return pa.array([fingerprint(x.as_py()) for x in texts], pa.int64())
+
+
+fingerprint_udf = F.arrow_udf(_fingerprints, LongType())
 
 
 def _signed(x: int) -> int:

@@ -30,8 +30,9 @@ FINE = {
     "byte": re.compile(f"{SHORT}| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+"),
     "word": re.compile(f"{SHORT}|[{LETTERS}]+|[0-9]|[^\\s{LETTERS}0-9]+"),
 }
-#: Words that a task's table holds at once; a full table is emptied (its words are then encoded again).
-TABLE_WORDS = 600_000
+#: Words that a table holds at once. It has two halves: a full young one becomes the old one, whose words come back when met
+#: again, so that frequent words stay and rare ones go.
+TABLE_WORDS = 300_000
 JOIN_WORDS = 2000
 
 
@@ -65,7 +66,7 @@ class WordTable:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        self.limit, self.table = limit, {}
+        self.limit, self.table, self.old = limit, {}, {}
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
 
@@ -126,9 +127,12 @@ class WordTable:
             return b"".join([table[w] for w in words])
         except KeyError:
             distinct = dict.fromkeys(words)
-            if len(table) + len(distinct) > self.limit:
-                table.clear()
-            self._learn([w for w in distinct if w not in table])
+            if 2 * (len(table) + len(distinct)) > self.limit:
+                self.old, self.table = table, {}
+                table = self.table
+            new = [w for w in distinct if w not in table]
+            table.update((w, self.old[w]) for w in new if w in self.old)
+            self._learn([w for w in new if w not in table])
             return b"".join([table[w] for w in words])
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,17 +14,16 @@ TEXTS = ["the cat sat on the mat", "the dog sat", "Der Hund und die Katze", "le
 class Tree:
     """The same model by recursion over plain dictionaries."""
 
-    def __init__(self, units, depth):
+    def __init__(self, texts, depth):
         self.depth, self.counts = depth, defaultdict(Counter)
         self.children = defaultdict(set)
-        for unit, c in units.items():
-            if c:
-                coded = ctw._coded(unit, depth)
-                for i in range(depth, len(coded)):
-                    for d in range(depth + 1):
-                        self.counts[coded[i - d : i]][coded[i]] += c
-                        if d:
-                            self.children[coded[i - d + 1 : i]].add(coded[i - d : i])
+        for text in texts:
+            code = ctw.coded(ctw.tokens(text), depth)
+            for i in range(depth, len(code)):
+                for d in range(depth + 1):
+                    self.counts[code[i - d : i]][code[i]] += 1
+                    if d:
+                        self.children[code[i - d + 1 : i]].add(code[i - d : i])
 
     def bits(self, ctx, prefix, k):
         ab = [0, 0]
@@ -59,12 +59,12 @@ class Tree:
             done, left = done + left * w * last, left * (1 - w)
         return done + left * last
 
-    def score(self, unit):
-        coded = ctw._coded(unit, self.depth)
+    def score(self, text):
+        code = ctw.coded(ctw.tokens(text), self.depth)
         total = 0.0
-        for i in range(self.depth, len(coded)):
+        for i in range(self.depth, len(code)):
             for k in range(8):
-                total += math.log10(self.chance(coded[i - self.depth : i], coded[i] >> (8 - k), k, coded[i] >> (7 - k) & 1))
+                total += math.log10(self.chance(code[i - self.depth : i], code[i] >> (8 - k), k, code[i] >> (7 - k) & 1))
         return total
 
 
@@ -72,38 +72,61 @@ def held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
 
-@pytest.mark.parametrize("frequent,depth", [(100_000, 3), (3, 2)])
-def test_equals_recursion(spark, frequent, depth):
+@pytest.mark.parametrize("frequent,grams,depth", [(100_000, 100_000, 3), (3, 20, 2), (0, 0, 1)])
+def test_equals_recursion(spark, frequent, grams, depth):
     docs = [*enumerate(TEXTS), (None, "the null id"), (0, TEXTS[0])]
-    got = ctw.score(spark.createDataFrame([(i, t, 1, "u", 1) for i, t in docs], SCHEMA), depth=depth, frequent=frequent).collect()
-    units, words = Counter(), Counter()
-    for i, t in docs:
-        if not held(i):
-            each, kind = ctw.counted(t)
-            for w, m in each.items():
-                units[kind + w] += m
-                words[w] += m
-    tree, n, v = Tree(units, depth), sum(words.values()), len(words)
+    got = ctw.score(spark.createDataFrame([(i, t, 1, "u", 1) for i, t in docs], SCHEMA), depth=depth, frequent=frequent, frequent_grams=grams).collect()
+    words = Counter(w for i, t in docs if not held(i) for w in ctw.tokens(t))
+    tree, n, v = Tree([t for i, t in docs if not held(i)], depth), sum(words.values()), len(words)
     want = []
     for i, t in docs:
-        each, kind = ctw.counted(t)
-        base = sum(m * math.log10((words[w] + 1) / (n + v + 1)) for w, m in each.items())
-        want.append((str(i), held(i), sum(each.values()), sum(m for w, m in each.items() if words[w]), n, base, sum(m * tree.score(kind + w) for w, m in each.items()) - ctw.CLASS_COST))
+        own = ctw.tokens(t)
+        base = sum(math.log10((words[w] + 1) / (n + v + 1)) for w in own)
+        want.append((str(i), held(i), len(own), sum(words[w] > 0 for w in own), n, base, tree.score(t)))
     have = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got)
     for a, b in zip(have, sorted(want), strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-4)
 
 
 def test_next_bytes_sum_to_one(spark):
-    words = spark.createDataFrame([(b"\x01the", 5), (b"\x01then", 2), (b"\x02der", 3)], "unit binary, c long").withColumn("c_word", __import__("pyspark.sql.functions").sql.functions.col("c"))
-    probes = [(b"\x01" + bytes([b]), 0, 0) for b in range(256) if b not in (32,)] + [(b"\x01", 0, 0)]
-    lp = ctw.gram_scores(words.union(spark.createDataFrame(probes, "unit binary, c long, c_word long")), 3).collect()
-    first = {r.g & 255: r.lp for r in lp if r.g >> 8 == 0x010101}
+    texts = ["the", "then the", "der"] * 2
+    rows = [(g, c) for g, c in zip(*ctw._merged(*zip(*[(g, [1] * len(g)) for g in [ctw._grams([ctw.coded(ctw.tokens(t), 3)], 3)[0] for t in texts]])), strict=True)]
+    start = 0x0A0A0A << 8
+    probes = {(start | b, 0) for b in range(256)} - {(int(g), 0) for g, _ in rows}
+    lp = ctw.gram_scores(spark.createDataFrame([*((int(g), int(c)) for g, c in rows), *probes], "g long, c long"), 3).collect()
+    first = {r.g & 255: r.lp for r in lp if r.g >> 8 == 0x0A0A0A}
     assert len(first) == 256 and sum(10**x for x in first.values()) == pytest.approx(1, abs=1e-4)
 
 
+def test_the_order_of_words_counts(spark):
+    line = "the dog bit the man in the park near the old mill"
+    mixed = " ".join(sorted(line.split(), key=lambda w: w[::-1]))
+    docs = [(i, line, 1, "u", 1) for i in range(30)] + [(100 + i, mixed, 1, "u", 1) for i in range(40) if held(100 + i)]
+    got = ctw.score(spark.createDataFrame(docs, SCHEMA)).collect()
+    plain, other = (next(r for r in got if r.held_out and (r.doc_id >= 100) == far) for far in (False, True))
+    assert plain.n_bytes == other.n_bytes and plain.base_score == pytest.approx(other.base_score) and plain.score > other.score + 1
+
+
+def test_held_out_documents_code_shorter_than_the_base(spark):
+    rng = random.Random(6)
+    lines = [" ".join(rng.choice(["stone", "river", "under", "the", "bridge", "flows", "slowly", "at", "night"]) for _ in range(8)) for _ in range(30)]
+    docs = [(i, " ".join(rng.choice(lines) for _ in range(12)), 1, "u", 1) for i in range(200)]
+    got = ctw.score(spark.createDataFrame(docs, SCHEMA)).where("held_out").collect()
+    assert len(got) > 15 and all(r.score > r.base_score for r in got)
+
+
+def test_a_very_long_text_and_small_tasks(spark):
+    long = " ".join(f"w{i % 97}" for i in range(200_000))
+    got = {r.doc_id: r for r in ctw.score(spark.createDataFrame([(1, long, 1, "u", 1), (3, "w1 w2", 1, "u", 1)], SCHEMA), depth=2).collect()}
+    assert got[1].n_tokens == 200_001 and got[1].n_bytes == len(long) + 2
+    texts = ["ab ab", "ab", "b a b a b", ""] * 5
+    whole = Counter(g for t in texts for g in ctw._grams([ctw.coded(ctw.tokens(t), 2)], 2)[0].tolist())
+    codes, lengths = ctw._grams([ctw.coded(ctw.tokens(t), 2) for t in texts], 2)
+    assert Counter(codes.tolist()) == whole and lengths.sum() == len(codes)
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(i, "ab c", 1, "u", 1) for i in range(40) if held(i)], SCHEMA)
     r = ctw.score(df, depth=2).first()
-    assert r.train_tokens == 0 and r.base_score == 0 and r.score == pytest.approx(-8 * 6 * math.log10(2) - ctw.CLASS_COST) and r.bits_per_byte > 8
+    assert r.train_tokens == 0 and r.base_score == 0 and r.score == pytest.approx(-8 * 6 * math.log10(2)) and r.bits_per_byte == pytest.approx(8)
     assert ctw.score(df.limit(0), depth=2).count() == 0

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from lodestrata.llm import bpe, tokenpack, wordtable
 from lodestrata.llm.queries import tokenizer_file
 
-BYTE, WORD = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("word_bpe_49k.json")
+BYTE, WORD, RANKS = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("word_bpe_49k.json"), tokenizer_file("byte_bpe_50k.tiktoken")
 ODD = [
     "a  b", "  x", "x  ", "a\n\nb", "a\n b\t\tc", "don't 's", "İstanbul ΑΣ Σ", "a b　c", "\x1c\x1d a\x1cb", "<|endoftext|>x", "x<|startoftext|> y", "é ́a", "日本語 テキスト🎉🎉", "   ", "\n", "", None,
     "\r\n\r\nabc", "a᠎b", "﻿x y", "12345 1 22", "a\x85b", "we'll  'll ''''", "ﬁ Å K", "word " * 5000,
@@ -24,22 +24,24 @@ def whole(tok, text):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'abXé́ 　.1İΣ日🎉"), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_word_tables_equal_the_library(text):
-    for path, kind in ((BYTE, "byte"), (WORD, "word")):
-        assert np.frombuffer(wordtable.word_table(path, kind).encode(text), "<u4").tolist() == whole(wordtable.word_table(path, kind).tokenizer, text)
+    for path, kind, ranks in ((BYTE, "byte", None), (BYTE, "byte", RANKS), (WORD, "word", None)):
+        assert np.frombuffer(wordtable.word_table(path, kind, ranks).encode(text), "<u4").tolist() == whole(wordtable.word_table(path, kind, ranks).tokenizer, text)
 
 
-def test_full_table_starts_again():
-    t = wordtable.WordTable(BYTE, "byte", limit=3)
-    for text in ("a b c d e", "f g", "a b c d e"):
+def test_full_table_keeps_frequent_words():
+    t = wordtable.WordTable(BYTE, "byte", limit=8)
+    for text in ("a b c d e", "f g", "a b c d e", "a h", "a i j", "a k l m", "a b"):
         assert np.frombuffer(t.encode(text), "<u4").tolist() == whole(t.tokenizer, text)
+    assert "a" in t.table and len(t.table) + len(t.old) < 14
 
 
-def test_round_trip_equals_the_library(spark):
+@pytest.mark.parametrize("ranks", [None, RANKS])
+def test_round_trip_equals_the_library(spark, ranks):
     docs = [(i, t, 1, "x") for i, t in enumerate(ODD)] + [(None, "a b", 1, "x"), (0, ODD[0], 1, "x")]
     df, tok = spark.createDataFrame(docs, "doc_id long, text string, ids int, decoded string"), Tokenizer.from_file(BYTE)
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     want = [(str(i), len(ids := whole(tok, t)), sha(",".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False))) for i, t, *_ in docs]
-    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(df, BYTE).collect()) == sorted(want)
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(df, BYTE, ranks=ranks).collect()) == sorted(want)
     assert bpe.round_trip(df.limit(0), BYTE).count() == 0 and bpe.encode_documents(df, BYTE).columns == df.columns
 
 
@@ -84,3 +86,12 @@ def test_files_read_back(spark, tmp_path):
     digests = tokenpack.token_digests(df, WORD).collect()
     assert {(r.doc_id, r.ids_crc32) for r in digests} == {(i, zlib.crc32(np.array(x, "<u4").tobytes())) for i, xs in own.items() for x in xs}
     assert tokenpack.token_digests(df.limit(0), WORD).count() == 0
+
+
+def test_registered_query_equals_the_library_on_every_text(spark):
+    from lodestrata.llm import queries
+
+    at, tok = "/root/testdata/sf0.001", Tokenizer.from_file(BYTE)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {r.doc_id: (len(ids := whole(tok, r.text)), sha(",".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False))) for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op6_bpe(spark, at).collect()} == want
