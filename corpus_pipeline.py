@@ -32,7 +32,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, tokenizer_file("byte_bpe_50k.json"))
+    return bpe.round_trip(docs, tokenizer_file("byte_bpe_50k.json"), ranks=tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_boilerplate), ("simhash_near_dedup", drop_near_duplicates), ("decontamination", drop_contaminated), ("bpe", encode)]
