@@ -41,7 +41,7 @@ def test_bounds_hold_and_scores_are_unbiased():
     rng = np.random.default_rng(3)
     x, q, centre = rng.standard_normal((2000, 64)), rng.standard_normal((20, 64)), rng.standard_normal(64) * 0.1
     turn = ann.rotation(64)
-    estimate, half = ann.bounds(q, *ann.encode(x, centre, turn), centre, turn)
+    estimate, half = ann.bounds(q, *ann.encode(x, centre, turn), centre, turn, 3.0)
     error = estimate - q @ x.T
     assert (np.abs(error) <= half).mean() > 0.99 and abs(error.mean()) < 0.05 * np.abs(error).mean()
 
@@ -60,3 +60,41 @@ def test_empty_and_lone(spark):
     assert ann.nearest(df).count() == 0 and ann.nearest(df.limit(0)).count() == 0
     repeated = spark.createDataFrame([(0, [1.0, 2.0], 1, "c", 2), (0, [3.0, 1.0], 1, "c", 2), (1, [1.0, 0.0], 1, "c", 2), (1, [1.0, 0.0], 1, "c", 2)], SCHEMA)
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(repeated).orderBy("rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 1, 1.0)]
+
+
+def test_codes_choose_few_vectors_at_the_stated_recall():
+    """Random directions, where no cell can be left out: the codes alone leave less than a tenth of all pairs to rerank."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    q, ids, turn, centre = x[:100], np.arange(20_000), ann.rotation(64), np.zeros(64)
+    least = ann.thresholds(q, ids[:100], x[:8000], ids[:8000], ann.K)
+    own = ids[:100, None] == ids[None, :]
+    keep = ann.survivors(q, least, *ann.encode(x, centre, turn), centre, turn, own, ann.K, ann.EPSILON)
+    products = np.where(own, -np.inf, q @ x.T)
+    top = np.argpartition(-products, ann.K, axis=1)[:, : ann.K]
+    assert keep.mean() < 0.1 and np.take_along_axis(keep, top, 1).mean() > 0.95
+    assert (np.sort(products, axis=1)[:, -ann.K] >= least).all()
+
+
+def test_cells_far_from_a_query_are_left_out(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((8, 16)) * 10
+    rows = [(i, [float(v) for v in centres[i % 8] + rng.standard_normal(16) * 0.05], 1, "c", 2) for i in range(1600)]
+    met = spark.sparkContext.accumulator(0)
+    search = ann._search
+    monkeypatch.setattr(ann, "_search", lambda a, b, *more: (met.add(a.num_rows * b.num_rows), search(a, b, *more))[1])
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), k=5).collect()
+    want = brute([r[:2] for r in rows], 20, 5)
+    found = {(r.query_id, r.vec_id) for r in got}
+    assert sum((q, j) in found for q, near in want.items() for j, _ in near) >= 0.95 * sum(map(len, want.values()))
+    assert 0 < met.value < 0.5 * 80 * 1600
+
+
+def test_short_answers_are_searched_again(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in v], 1, "c", 2) for i, v in enumerate(rng.standard_normal((300, 8)))]
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), k=5, epsilon=0.0).collect()
+    want = brute([r[:2] for r in rows], 20, 5)
+    per = {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in want}
+    assert all(len(v) == 5 for v in per.values())
