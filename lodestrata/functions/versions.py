@@ -6,6 +6,7 @@ are written as their length and digits, so comparing text compares them.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+#: The grammars of the public version formats.
 SEMVER = r"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-((?:0|[1-9]\d*|\d*[A-Za-z-][0-9A-Za-z-]*)(?:\.(?:0|[1-9]\d*|\d*[A-Za-z-][0-9A-Za-z-]*))*))?(?:\+[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*)?\z"
 PEP440 = (
     r"^v?(?:(\d+)!)?(\d+(?:\.\d+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?(\d*))?(?:-(\d+)|[-_.]?(post|rev|r)[-_.]?(\d*))?"
@@ -70,97 +72,91 @@ def version_key(scheme: Column, version: Column) -> Column:
 #: Maven's qualifiers in order (the empty one is a release) and their other names.
 MAVEN_ORDER = ["alpha", "beta", "milestone", "rc", "snapshot", "", "sp"]
 MAVEN_ALIAS = {"ga": "", "final": "", "release": "", "cr": "rc"}
+#: Names that stand for others only right before a digit.
+MAVEN_SHORT = {"a": "alpha", "b": "beta", "m": "milestone"}
+_MAVEN_PIECE = re.compile(r"\d+|[^\d.\-]+|[.\-]")
+#: Places in the order of one position: qualifiers, then numbers behind a hyphen, then numbers behind a dot.
+_QUALIFIER, _HYPHEN, _DOT = 0, 1, 2
 
 
-def _maven_items(text: str) -> list:
-    """Nested items of a Maven version; a hyphen or a change between digits and letters opens a list."""
-    root: list = []
-    here = root
-    stack = [root]
-    tokens = re.findall(r"\d+|[^\d.\-]+|[.\-]", text.lower())
-
-    def trim(items: list) -> None:
-        while items and (items[-1] in (0, "") or items[-1] == []):
-            items.pop()
-
-    before = ""
-    for i, t in enumerate(tokens):
-        if t in ".-":
-            if before in ("", ".", "-"):
-                here.append(0)
-            if t == "-":
-                inner: list = []
-                here.append(inner)
-                stack.append(inner)
-                here = inner
+def maven_tokens(text: str) -> list[tuple[int, int, str]]:
+    """A Maven version as comparable tokens (place, number or rank, text), trimmed as Maven's version order describes it.
+
+    Dots, hyphens and changes between digits and letters part tokens (a change counts as a hyphen), nothing between two
+    separators is 0. From the end, tokens that equal nothing are dropped at the end and in front of a hyphen or qualifier.
+    """
+    pieces = _MAVEN_PIECE.findall(text.strip().lower())
+    tokens: list[tuple[int, int, str]] = []
+    prefix, filled = _DOT, False
+    for i, piece in enumerate(pieces):
+        if piece in ".-":
+            if not filled:
+                tokens.append((prefix, 0, ""))
+            prefix, filled = (_DOT if piece == "." else _HYPHEN), False
+            continue
+        if filled:
+            prefix = _HYPHEN
+        if piece.isdigit():
+            tokens.append((prefix, int(piece), ""))
         else:
-            if before and before not in ".-" and before.isdigit() != t.isdigit():
-                inner = []
-                here.append(inner)
-                stack.append(inner)
-                here = inner
-            if t.isdigit():
-                here.append(int(t))
-            else:
-                short = {"a": "alpha", "b": "beta", "m": "milestone"}.get(t) if i + 1 < len(tokens) and tokens[i + 1].isdigit() else None
-                t = short or t
-                here.append(MAVEN_ALIAS.get(t, t))
-        before = t if t in ".-" else tokens[i]
-    for items in reversed(stack):
-        trim(items)
-    return root
-
-
-def _maven_rank(q: str) -> tuple[int, str]:
-    return (MAVEN_ORDER.index(q), "") if q in MAVEN_ORDER else (len(MAVEN_ORDER), q)
-
-
-def _maven_cmp(a, b) -> int:
-    """Order of two items; None stands for a missing one."""
-    if isinstance(a, list) or isinstance(b, list):
-        if a is None or b is None:
-            own, sign = (b, -1) if a is None else (a, 1)
-            for x in own:
-                if c := _maven_cmp(x, None):
-                    return sign * c
-            return 0
-        if isinstance(a, list) and isinstance(b, list):
-            for i in range(max(len(a), len(b))):
-                if c := _maven_cmp(a[i] if i < len(a) else None, b[i] if i < len(b) else None):
-                    return c
-            return 0
-        if isinstance(a, list):
-            return -1 if isinstance(b, int) else 1
-        return 1 if isinstance(a, int) else -1
-    if isinstance(a, int) and isinstance(b, int):
-        return (a > b) - (a < b)
-    if a is None or b is None:
-        own, sign = (b, -1) if a is None else (a, 1)
-        if isinstance(own, int):
-            return sign * (own > 0)
-        if own is None:
-            return 0
-        x, y = _maven_rank(own), _maven_rank("")
-        return sign * ((x > y) - (x < y))
-    if isinstance(a, int):
-        return 1
-    if isinstance(b, int):
-        return -1
-    x, y = _maven_rank(a), _maven_rank(b)
-    return (x > y) - (x < y)
+            before_digit = i + 1 < len(pieces) and pieces[i + 1].isdigit()
+            name = MAVEN_SHORT.get(piece, piece) if before_digit else piece
+            name = MAVEN_ALIAS.get(name, name)
+            tokens.append((_QUALIFIER, MAVEN_ORDER.index(name), "") if name in MAVEN_ORDER else (_QUALIFIER, len(MAVEN_ORDER), name))
+        filled = True
+    if not filled:
+        tokens.append((prefix, 0, ""))
+    kept: list[tuple[int, int, str]] = []
+    for token in reversed(tokens):
+        if token == _maven_nothing(token) and (not kept or kept[-1][0] != _DOT):
+            continue
+        kept.append(token)
+    return kept[::-1]
+
+
+def _maven_nothing(beside: tuple[int, int, str]) -> tuple[int, int, str]:
+    """What a missing token counts as where the other version has ``beside``."""
+    return (_QUALIFIER, MAVEN_ORDER.index(""), "") if beside[0] == _QUALIFIER else (beside[0], 0, "")
 
 
 def maven_order(a: str | None, b: str | None) -> int | None:
     """-1, 0 or 1; null if either is null or blank. Pairwise, as no order-preserving key covers its mixed lists."""
     if not a or not b or not a.strip() or not b.strip():
         return None
-    return _maven_cmp(_maven_items(a.strip()), _maven_items(b.strip()))
+    left, right = maven_tokens(a), maven_tokens(b)
+    for i in range(max(len(left), len(right))):
+        x = left[i] if i < len(left) else _maven_nothing(right[i])
+        y = right[i] if i < len(right) else _maven_nothing(left[i])
+        if x != y:
+            return 1 if x > y else -1
+    return 0
 
 
 def maven_compare(a: Column, b: Column) -> Column:
     return F.arrow_udf(lambda x, y: pa.array([maven_order(p, q) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.int32()), IntegerType())(a, b)
 
 
+def maven_places(version: str | None, others: list[str]) -> tuple[str | None, list[str | None]]:
+    """Keys of ``version`` and ``others`` whose text order is their Maven order among themselves (they mean nothing elsewhere)."""
+    known = [x for x in {version, *others} if x and x.strip()]
+    ranked, place, before = {}, 0, None
+    for x in sorted(known, key=functools.cmp_to_key(lambda p, q: maven_order(p, q) or 0)):
+        place += before is not None and maven_order(before, x) != 0
+        ranked[x], before = f"{place:09d}", x
+    return ranked.get(version), [ranked.get(x) for x in others]
+
+
+def maven_local_keys(version: Column, others: Column) -> Column:
+    """``maven_places`` over columns as a struct (own, keys); nulls in ``others`` (no array) give null."""
+    kind = pa.struct([("own", pa.string()), ("keys", pa.list_(pa.string()))])
+
+    def places(v: pa.Array, o: pa.Array) -> pa.Array:
+        rows = (None if y is None else maven_places(x, y) for x, y in zip(v.to_pylist(), o.to_pylist(), strict=True))
+        return pa.array([None if r is None else {"own": r[0], "keys": r[1]} for r in rows], kind)
+
+    return F.arrow_udf(places, StructType([StructField("own", StringType()), StructField("keys", ArrayType(StringType()))]))(version, others)
+
+
 _TERM = re.compile(r"^(\^|~>?|>=|<=|>|<|=)?\s*v?(\d+|[xX*])?(?:\.(\d+|[xX*]))?(?:\.(\d+|[xX*]))?(?:\+[0-9A-Za-z.-]+)?$")
 
 
@@ -264,18 +260,31 @@ def intersect(a: Column, b: Column) -> Column:
     return F.filter(both, lambda r: r["lo"].isNull() | r["hi"].isNull() | (r["lo"] < r["hi"]) | ((r["lo"] == r["hi"]) & r["lo_inclusive"] & r["hi_inclusive"]))
 
 
+def valid_events(events: Column) -> Column:
+    """Whether events (array of (boundary, kind)) make a range: something is introduced, fixed and last_affected don't mix, and
+    no boundary has two kinds. A null boundary counts as one boundary; limits stand apart."""
+    own = F.filter(events, lambda e: e["kind"] != "limit")
+    has = lambda kind: F.exists(own, lambda e: e["kind"] == kind)
+    distinct = F.size(F.array_distinct(F.transform(own, lambda e: F.struct(e["boundary"].alias("boundary"), e["kind"].alias("kind")))))
+    known = F.forall(events, lambda e: e["kind"].isin("introduced", "fixed", "last_affected", "limit"))
+    return known & has("introduced") & ~(has("fixed") & has("last_affected")) & (distinct == F.size(F.array_distinct(F.transform(own, lambda e: F.coalesce(e["boundary"], F.lit(""))))))
+
+
 def event_state(events: Column, version: Column) -> Column:
     """Whether ``version`` is affected after ``events`` (array of (boundary, kind)) in order; all three are in one order's terms.
 
-    A null boundary lies before every version. introduced opens, fixed closes at its boundary, last_affected after it.
+    A null boundary lies before every version. introduced opens, fixed closes at its boundary, last_affected after it. Where
+    there are limits, the version must also lie before one of them; a limit with a null boundary has no end.
     """
-    ordered = F.array_sort(events, lambda a, b: F.when(a["boundary"].isNull() & b["boundary"].isNotNull(), -1).when(a["boundary"].isNotNull() & b["boundary"].isNull(), 1).when(a["boundary"] < b["boundary"], -1).when(a["boundary"] > b["boundary"], 1).when(a["kind"] < b["kind"], -1).when(a["kind"] > b["kind"], 1).otherwise(0))
+    own, limits = F.filter(events, lambda e: e["kind"] != "limit"), F.filter(events, lambda e: e["kind"] == "limit")
+    ordered = F.array_sort(own, lambda a, b: F.when(a["boundary"].isNull() & b["boundary"].isNotNull(), -1).when(a["boundary"].isNotNull() & b["boundary"].isNull(), 1).when(a["boundary"] < b["boundary"], -1).when(a["boundary"] > b["boundary"], 1).when(a["kind"] < b["kind"], -1).when(a["kind"] > b["kind"], 1).otherwise(0))
 
     def step(state: Column, e: Column) -> Column:
         reached = e["boundary"].isNull() | (e["boundary"] <= version)
         return F.when(reached & (e["kind"] == "introduced"), True).when(reached & (e["kind"] == "fixed"), False).when(reached & (e["kind"] == "last_affected") & (version > e["boundary"]), False).otherwise(state)
 
-    return F.aggregate(ordered, F.lit(False), step)
+    within = (F.size(limits) == 0) | F.exists(limits, lambda e: e["boundary"].isNull() | (version < e["boundary"]))
+    return F.aggregate(ordered, F.lit(False), step) & within
 
 
 def cargo_ranges(text: Column) -> Column:

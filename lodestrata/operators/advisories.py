@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import pypi_name
-from lodestrata.functions.versions import event_state, version_key
+from lodestrata.functions.versions import event_state, maven_local_keys, valid_events, version_key
 
 from .graph import alias_groups
 
@@ -27,34 +27,49 @@ def scheme_of(ecosystem: Column) -> Column:
 
 
 def match(resolved: DataFrame, advisories: DataFrame, now: str | None = None) -> DataFrame:
-    """A row for each resolved identity and advisory of its package: ``status`` affected, not-affected or unknown, and ``fix``.
+    """A row for each resolved identity and advisory of its package: ``status`` affected, not-affected or unknown, ``fix``, ``invalid``.
 
     ``resolved(identity, ecosystem, package, version)``; ``advisories(advisory, ecosystem, package, versions,
     ranges, withdrawn)`` with ``ranges`` an array of arrays of (boundary, kind) in version text. Withdrawn ones
     (at or before ``now``, a timestamp text; default: the current time) are left out. An advisory lists a
-    version or holds it in a range: affected. A version or boundary that doesn't parse: unknown unless listed.
-    Distinct versions are keyed once; the join is on the package, the range is folded in the row.
+    version or holds it in a range: affected. A version or boundary that doesn't parse, an ecosystem without a
+    scheme and a range that ``valid_events`` refuses (``invalid`` tells) establish nothing: unknown, unless another
+    range or the list says affected. ``fix`` is the first fixed boundary after the version that no range holds.
+
+    The join is on the package. Distinct versions and each advisory's boundaries are keyed once, so ranges fold as text;
+    Maven, whose order has no such key, gets keys by pair of version and advisory.
     """
     at = F.current_timestamp() if now is None else F.to_timestamp(F.lit(now))
+    eco = F.col("eco")
     own = resolved.select("identity", F.lower("ecosystem").alias("eco"), package_name(F.col("ecosystem"), F.col("package")).alias("name"), "version")
-    keys = own.select("eco", "version").distinct().withColumn("vk", version_key(scheme_of(F.col("eco")), F.col("version")))
+    keys = own.select("eco", "version").distinct().withColumn("vk", version_key(scheme_of(eco), F.col("version")))
     own = own.join(keys, ["eco", "version"])
     live = advisories.where(F.col("withdrawn").isNull() | (F.col("withdrawn") > at))
-    scheme = scheme_of(F.col("eco"))
-    adv = live.select("advisory", F.lower("ecosystem").alias("eco"), package_name(F.col("ecosystem"), F.col("package")).alias("name"), "versions", "ranges")
-    keyed = lambda e: F.struct(F.when(e["boundary"] != "0", version_key(scheme, e["boundary"])).alias("boundary"), e["kind"].alias("kind"), ((e["boundary"] != "0") & version_key(scheme, e["boundary"]).isNull()).alias("bad"), e["boundary"].alias("raw"))
-    adv = adv.withColumn("ranges", F.transform(F.coalesce("ranges", F.array().cast("array<array<struct<boundary:string,kind:string>>>")), lambda r: F.transform(r, keyed)))
-    both = own.join(adv, ["eco", "name"])
-    listed = F.array_contains(F.coalesce("versions", F.array().cast("array<string>")), F.col("version"))
-    listed = listed | F.exists(F.coalesce("versions", F.array().cast("array<string>")), lambda v: version_key(scheme_of(F.col("eco")), v) == F.col("vk"))
-    usable = lambda r: ~F.exists(r, lambda e: e["bad"])
-    hit = F.exists("ranges", lambda r: usable(r) & F.coalesce(event_state(r, F.col("vk")), F.lit(False)) & F.col("vk").isNotNull())
-    unsure = (F.col("vk").isNull() & (F.size("ranges") > 0)) | F.exists("ranges", lambda r: ~usable(r)) | ((F.size("ranges") == 0) & F.col("versions").isNull())
-    status = F.when(listed, "affected").when(hit, "affected").when(unsure, "unknown").otherwise("not-affected")
-    fixes = F.filter(F.flatten("ranges"), lambda e: (e["kind"] == "fixed") & (e["boundary"] > F.col("vk")))
-    free = F.filter(fixes, lambda f: ~F.exists("ranges", lambda r: event_state(r, f["boundary"])) & ~F.array_contains(F.coalesce("versions", F.array().cast("array<string>")), f["raw"]))
+    adv = live.select(
+        "advisory", F.lower("ecosystem").alias("eco"), package_name(F.col("ecosystem"), F.col("package")).alias("name"),
+        F.coalesce("versions", F.array().cast("array<string>")).alias("listed"), F.coalesce("ranges", F.array().cast("array<array<struct<boundary:string,kind:string>>>")).alias("ranges"),
+    )
+    # the version 0 that introduces, and the limit *, lie before and behind every version: they have no key
+    open_end = lambda e: ((e["kind"] == "introduced") & (e["boundary"] == "0")) | ((e["kind"] == "limit") & (e["boundary"] == "*"))
+    keyed = lambda e, key: F.struct(F.when(~open_end(e), key).alias("boundary"), e["kind"].alias("kind"), (~open_end(e) & key.isNull()).alias("bad"), e["boundary"].alias("raw"))
+    by_scheme = F.transform("ranges", lambda r: F.transform(r, lambda e: keyed(e, version_key(scheme_of(eco), e["boundary"]))))
+    adv = adv.withColumn("texts", F.array_distinct(F.concat("listed", F.transform(F.flatten("ranges"), lambda e: e["boundary"])))).withColumn("keyed", by_scheme)
+    both = own.join(adv, ["eco", "name"]).withColumn("local", maven_local_keys(F.when(eco == "maven", F.col("version")), F.when(eco == "maven", F.col("texts"))))
+    place = F.map_from_arrays("texts", "local.keys")
+    both = both.withColumn("places", F.when(F.col("local").isNotNull(), place)).withColumn("vk", F.when(eco == "maven", F.col("local.own")).otherwise(F.col("vk")))
+    both = both.withColumn("keyed", F.when(eco == "maven", F.transform("ranges", lambda r: F.transform(r, lambda e: keyed(e, F.try_element_at("places", e["boundary"]))))).otherwise(F.col("keyed")))
+    usable = lambda r: ~F.exists(r, lambda e: e["bad"]) & valid_events(r)
+    both = both.withColumn("good", F.filter("keyed", usable))
+    key_of = lambda v: F.when(eco == "maven", F.try_element_at("places", v)).otherwise(version_key(scheme_of(eco), v))
+    listed = F.array_contains("listed", F.col("version")) | F.coalesce(F.exists("listed", lambda v: key_of(v) == F.col("vk")), F.lit(False))
+    hit = F.col("vk").isNotNull() & F.coalesce(F.exists("good", lambda r: event_state(r, F.col("vk"))), F.lit(False))
+    unsure = (F.col("vk").isNull() & (F.size("keyed") > 0)) | (F.size("good") < F.size("keyed")) | ((F.size("keyed") == 0) & (F.size("listed") == 0))
+    status = F.when(listed | hit, "affected").when(unsure, "unknown").otherwise("not-affected")
+    fixes = F.filter(F.flatten("good"), lambda e: (e["kind"] == "fixed") & (e["boundary"] > F.col("vk")))
+    free = F.filter(fixes, lambda f: ~F.exists("good", lambda r: event_state(r, f["boundary"])) & ~F.array_contains("listed", f["raw"]))
     best = F.array_sort(F.transform(free, lambda f: F.struct(f["boundary"], f["raw"])))
-    return both.select("identity", "advisory", "version", status.alias("status"), F.when(status == "affected", F.try_element_at(best, F.lit(1))["raw"]).alias("fix"))
+    invalid = F.exists("keyed", lambda r: ~valid_events(r))
+    return both.select("identity", "advisory", "version", status.alias("status"), F.when(status == "affected", F.try_element_at(best, F.lit(1))["raw"]).alias("fix"), invalid.alias("invalid"))
 
 
 def observe(resolved: DataFrame, matches: DataFrame) -> DataFrame:

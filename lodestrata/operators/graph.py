@@ -9,10 +9,10 @@ from lodestrata.lineage import cut
 
 
 def reverse_paths(edges: DataFrame, targets: DataFrame, depth: int = 64) -> DataFrame:
-    """Simple paths against the edges: ``(path, length, rooted)`` from each node of ``targets(node)`` to its ancestors.
+    """Simple paths against the edges: ``(path, length, rooted, truncated)`` from each node of ``targets(node)`` to its ancestors.
 
     ``edges(parent, child)``. A path repeats no node and has ``depth`` edges at most; ``rooted`` tells whether
-    nothing points at its last node. One join for each level, on the frontier only.
+    nothing points at its last node, ``truncated`` whether it goes on beyond ``depth``. One join for each level, on the frontier only.
     """
     up = edges.select("parent", "child").distinct()
     front = targets.select(F.array("node").alias("path"), F.col("node").alias("end")).distinct()
@@ -23,7 +23,9 @@ def reverse_paths(edges: DataFrame, targets: DataFrame, depth: int = 64) -> Data
             break
         out = out.union(front)
     roots = up.select(F.col("child").alias("end")).distinct().withColumn("has_parent", F.lit(True))
-    return out.join(roots, "end", "left").select("path", (F.size("path") - 1).alias("length"), F.col("has_parent").isNull().alias("rooted"))
+    more = front.join(up, F.col("end") == F.col("child")).where(~F.array_contains("path", F.col("parent"))).select("path").distinct().withColumn("more", F.lit(True))
+    marked = out.join(roots, "end", "left").join(more, "path", "left")
+    return marked.select("path", (F.size("path") - 1).alias("length"), F.col("has_parent").isNull().alias("rooted"), F.coalesce("more", F.lit(False)).alias("truncated"))
 
 
 def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:
@@ -51,3 +53,32 @@ def alias_groups(pairs: DataFrame, rounds: int = 60) -> DataFrame:
         if changed.isEmpty():
             return labels
     raise RuntimeError(f"groups did not settle in {rounds} rounds")
+
+
+def fixpoint(edges: DataFrame, facts: DataFrame, rounds: int = 64) -> tuple[DataFrame, bool]:
+    """Facts ``(node, fact)`` carried along ``edges(source, target)`` until nothing new comes, and whether that was within ``rounds``.
+
+    Each round joins only the facts that are new; facts and edges are distinct, so cycles end.
+    """
+    links = edges.select("source", "target").distinct()
+    known = cut(facts.select("node", "fact").distinct())
+    front = known
+    for _ in range(rounds):
+        front = cut(front.join(links, F.col("node") == F.col("source")).select(F.col("target").alias("node"), "fact").distinct().join(known, ["node", "fact"], "left_anti"))
+        if front.isEmpty():
+            return known, True
+        known = cut(known.union(front))
+    return known, False
+
+
+def first_paths(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:
+    """``(node, distance, before)`` of nodes in reach of ``roots(node)`` along ``edges(parent, child)``: breadth first, with the least predecessor."""
+    seen = cut(roots.select("node").distinct().select("node", F.lit(0).alias("distance"), F.lit(None).cast(dict(roots.dtypes)["node"]).alias("before")))
+    front = seen
+    for step in range(1, rounds + 1):
+        found = front.join(edges, F.col("node") == F.col("parent")).groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("before"))
+        front = cut(found.join(seen.select("node"), "node", "left_anti").select("node", F.lit(step).alias("distance"), "before"))
+        if front.isEmpty():
+            return seen
+        seen = cut(seen.union(front))
+    raise RuntimeError(f"not done after {rounds} rounds")

@@ -38,6 +38,14 @@ def first_match(rows: DataFrame, rules: DataFrame, on: Column, row_id: list[str]
     return hits.groupBy(row_id).agg(F.min_by(F.struct(*rules.columns), rule_order).alias("r")).select(*row_id, "r.*")
 
 
+def first_rule(rules: list[tuple[int, Column]]) -> Column:
+    """The number of the first rule (in list order) whose condition holds in a row, else null: one expression, no join."""
+    out = None
+    for number, condition in rules:
+        out = F.when(condition, number) if out is None else out.when(condition, number)
+    return out if out is not None else F.lit(None).cast("int")
+
+
 def in_ranges(rows: DataFrame, ranges: DataFrame, key: list[str], value: str, how: str = "inner") -> DataFrame:
     """Rows with the ranges of equal key that hold ``value``: ``lo, lo_inclusive, hi, hi_inclusive``, null bounds open.
 

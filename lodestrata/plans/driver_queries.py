@@ -88,10 +88,10 @@ def scope_mismatch(spark, sf_dir):
 @_query("select o_orderkey % 10 project_id, 'npm' ecosystem, cast(o_orderkey as varchar) package from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
 def unused_declarations(spark, sf_dir):
     key = lambda c: [(F.col(c) % 10).alias("project_id"), F.lit("npm").alias("ecosystem"), F.col(c).cast("string").alias("package")]
-    return evidence.unused(_t(spark, sf_dir, "orders").select(*key("o_orderkey"), F.lit("direct").alias("kind")), _t(spark, sf_dir, "lineitem").select(key("l_orderkey")))
+    return evidence.unused(_t(spark, sf_dir, "orders").select(*key("o_orderkey"), F.lit("direct").alias("kind"), F.lit("runtime").alias("scope")), _t(spark, sf_dir, "lineitem").select(key("l_orderkey")))
 
 
-@_query(f"with {_DECLARATIONS} select project_id, ecosystem, package, count(*) n_declarations from d where kind = 'direct' and not exists (select 1 from orders where o_orderstatus = 'P' and o_orderkey % 97 = d.project_id and cast(o_custkey as varchar) = d.package) group by all having not bool_or(price > 250000)")
+@_query(f"with {_DECLARATIONS}, {_ELIGIBLE} select project_id, ecosystem, package, count(*) n_declarations from e d where kind = 'direct' and not exists (select 1 from orders where o_orderstatus = 'P' and o_orderkey % 97 = d.project_id and cast(o_custkey as varchar) = d.package) group by all having not bool_or(price > 250000)")
 def unpinned(spark, sf_dir):
     resolved = _t(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select((F.col("o_orderkey") % 97).alias("project_id"), F.lit("npm").alias("ecosystem"), F.col("o_custkey").cast("string").alias("package"))
     return evidence.unpinned(_declarations(spark, sf_dir), resolved, F.col("price") > 250000)
@@ -243,15 +243,12 @@ def rule_severity_max(spark, sf_dir):
     return _t(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("code")).agg(F.count("*").alias("n"), F.max(rank).alias("severity_rank"), F.max_by("o_orderpriority", rank).alias("severity"))
 
 
-_RULES = [(0, "1-URGENT", None, 200000.0), (1, None, "F", 150000.0), (2, "5-LOW", None, 0.0), (3, None, None, 300000.0)]
-
-
 @_query("""with r(ord, pri, st, price) as (values (0, '1-URGENT', null, 200000.0), (1, null, 'F', 150000.0), (2, '5-LOW', null, 0.0), (3, null, null, 300000.0))
 select o_orderkey, cast(min(ord) as integer) ord from orders, r where (pri is null or pri = o_orderpriority) and (st is null or st = o_orderstatus) and o_totalprice >= price group by 1""")
 def policy_first_match(spark, sf_dir):
-    rules = F.broadcast(spark.createDataFrame(_RULES, "ord int, pri string, st string, price double"))
-    on = (F.col("pri").isNull() | (F.col("pri") == F.col("o_orderpriority"))) & (F.col("st").isNull() | (F.col("st") == F.col("o_orderstatus"))) & (F.col("o_totalprice") >= F.col("price"))
-    return lookup.first_match(_t(spark, sf_dir, "orders"), rules, on, ["o_orderkey"], "ord").select("o_orderkey", "ord")
+    price = lambda least: F.col("o_totalprice") >= least
+    rules = [(0, (F.col("o_orderpriority") == "1-URGENT") & price(200000.0)), (1, (F.col("o_orderstatus") == "F") & price(150000.0)), (2, (F.col("o_orderpriority") == "5-LOW") & price(0.0)), (3, price(300000.0))]
+    return _t(spark, sf_dir, "orders").select("o_orderkey", lookup.first_rule(rules).alias("ord")).where("ord is not null")
 
 
 @_query(f"""with {_USAGES}, s as (select project_id, ecosystem, package, scope, count(*) n from u group by all),
