@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .wordtable import word_table
+from .wordtable import release, word_table
 
 #: Bytes of ids that a worker passes on at once.
 SLICE_BYTES = 1_000_000
@@ -91,22 +91,23 @@ def encoded_and_decoded(docs: DataFrame, path: str, id_col: str = "doc_id", text
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table(path, "byte", ranks)
-        if path not in _PIECES:
-            _PIECES[path] = _piece_bytes(path, table.tokenizer)
-        piece = _PIECES[path].__getitem__
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                parts, texts, first, size = [], [], at, 0
-                while at < batch.num_rows and size < SLICE_BYTES:
-                    own = table.encode(batch.column(1)[at].as_py())
-                    parts.append(own)
-                    texts.append(b"".join(map(piece, np.frombuffer(own, "<u4").tolist())).decode("utf-8", "replace"))
-                    size += len(own)
-                    at += 1
-                ends = np.cumsum([0, *map(len, parts)]) // 4
-                flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(texts, pa.string())], ["i", "ids", "decoded"])
+        piece = _piece_bytes(path, table.tokenizer).__getitem__
+        try:
+            for batch in batches:
+                at = 0
+                while at < batch.num_rows:
+                    parts, texts, first, size = [], [], at, 0
+                    while at < batch.num_rows and size < SLICE_BYTES:
+                        own = table.encode(batch.column(1)[at].as_py())
+                        parts.append(own)
+                        texts.append(b"".join(map(piece, np.frombuffer(own, "<u4").tolist())).decode("utf-8", "replace"))
+                        size += len(own)
+                        at += 1
+                    ends = np.cumsum([0, *map(len, parts)]) // 4
+                    flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(texts, pa.string())], ["i", "ids", "decoded"])
+        finally:
+            release()
 
     kind = dict(rows.dtypes)["i"]
     return rows.mapInArrow(both, f"i {kind}, ids array<int>, decoded string").select(F.col("i").alias(id_col), "ids", "decoded")

@@ -145,3 +145,8 @@ def word_table(path: str, kind: str, ranks: str | None = None) -> WordTable:
     if key not in _TABLES:
         _TABLES[key] = WordTable(path, kind, ranks=ranks)
     return _TABLES[key]
+
+
+def release() -> None:
+    """Drops this worker's tables: a worker outlives its task, and other stages need its memory."""
+    _TABLES.clear()
