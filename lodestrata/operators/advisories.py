@@ -58,7 +58,9 @@ def match(resolved: DataFrame, advisories: DataFrame, now: str | None = None) ->
     place = F.map_from_arrays("texts", "local.keys")
     both = both.withColumn("places", F.when(F.col("local").isNotNull(), place)).withColumn("vk", F.when(eco == "maven", F.col("local.own")).otherwise(F.col("vk")))
     both = both.withColumn("keyed", F.when(eco == "maven", F.transform("ranges", lambda r: F.transform(r, lambda e: keyed(e, F.try_element_at("places", e["boundary"]))))).otherwise(F.col("keyed")))
-    usable = lambda r: ~F.exists(r, lambda e: e["bad"]) & valid_events(r)
+    # boundaries without a key are told apart by their text
+    valid = lambda r: valid_events(F.transform(r, lambda e: F.struct(F.coalesce(e["boundary"], e["raw"]).alias("boundary"), e["kind"].alias("kind"))))
+    usable = lambda r: ~F.exists(r, lambda e: e["bad"]) & valid(r)
     both = both.withColumn("good", F.filter("keyed", usable))
     key_of = lambda v: F.when(eco == "maven", F.try_element_at("places", v)).otherwise(version_key(scheme_of(eco), v))
     listed = F.array_contains("listed", F.col("version")) | F.coalesce(F.exists("listed", lambda v: key_of(v) == F.col("vk")), F.lit(False))
@@ -68,7 +70,7 @@ def match(resolved: DataFrame, advisories: DataFrame, now: str | None = None) ->
     fixes = F.filter(F.flatten("good"), lambda e: (e["kind"] == "fixed") & (e["boundary"] > F.col("vk")))
     free = F.filter(fixes, lambda f: ~F.exists("good", lambda r: event_state(r, f["boundary"])) & ~F.array_contains("listed", f["raw"]))
     best = F.array_sort(F.transform(free, lambda f: F.struct(f["boundary"], f["raw"])))
-    invalid = F.exists("keyed", lambda r: ~valid_events(r))
+    invalid = F.exists("keyed", lambda r: ~valid(r))
     return both.select("identity", "advisory", "version", status.alias("status"), F.when(status == "affected", F.try_element_at(best, F.lit(1))["raw"]).alias("fix"), invalid.alias("invalid"))
 
 
