@@ -64,6 +64,39 @@ def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return code[inside], lengths
 
 
+def _slots(code: np.ndarray, bits: int) -> np.ndarray:
+    return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def gram_table(keys: np.ndarray, lps: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Grams and their scores in an open hash table of at least twice their number (grams, scores, bits); empty places hold -1."""
+    bits = max(4, (2 * len(keys)).bit_length())
+    table, scores = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+    slot, waiting = _slots(keys, bits), np.arange(len(keys))
+    while len(waiting):
+        free = waiting[table[slot[waiting]] == -1]
+        table[slot[free]] = keys[free]  # of several that want a place, the last has it
+        placed = table[slot[waiting]] == keys[waiting]
+        scores[slot[waiting[placed]]] = lps[waiting[placed]]
+        waiting = waiting[~placed]
+        slot[waiting] = (slot[waiting] + 1) & ((1 << bits) - 1)
+    return table, scores, bits
+
+
+def look_up(code: np.ndarray, table: np.ndarray, scores: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The score of each gram and whether the table has it."""
+    slot = _slots(code, bits)
+    there = table[slot]
+    hit = there == code
+    waiting = np.flatnonzero(~hit & (there != -1))
+    while len(waiting):
+        slot[waiting] = (slot[waiting] + 1) & ((1 << bits) - 1)
+        there = table[slot[waiting]]
+        hit[waiting] = there == code[waiting]
+        waiting = waiting[(there != code[waiting]) & (there != -1)]
+    return np.where(hit, scores[slot], np.float32(0)), hit
+
+
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     g, own = np.unique(np.concatenate(keys), return_inverse=True)
     return g, np.bincount(own, np.concatenate(counts), len(g)).astype(np.int64)
@@ -278,22 +311,19 @@ def score(
     grams = cut(gram_scores(gram_counts(learn, depth), depth))
     top = _most_frequent(words, frequent).toArrow()
     top_grams = _most_frequent(grams, frequent_grams).select("g", "lp").toArrow()
-    order = np.argsort(keys := top_grams.column("g").to_numpy())
-    known = docs.sparkSession.sparkContext.broadcast((dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True)), keys[order], top_grams.column("lp").to_numpy()[order]))
+    known = docs.sparkSession.sparkContext.broadcast((dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True)), gram_table(top_grams.column("g").to_numpy(), top_grams.column("lp").to_numpy())))
     floor = float(np.log10(n + v + 1))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, keys, lps = known.value
+        table, hashed = known.value
         key = TaskContext.get().partitionId() << 40
 
         def looked_up(texts: list[bytes]) -> list[tuple]:
             """For each text its bytes, the sum of the known grams' scores, the other grams and their numbers."""
             code, lengths = _grams(texts, depth)
-            at = np.searchsorted(keys, code)
-            at[at == len(keys)] = 0
-            hit = keys[at] == code if len(keys) else np.zeros(len(code), bool)
+            lps, hit = look_up(code, *hashed)
             starts = np.cumsum(lengths) - lengths
-            sums = np.add.reduceat(np.where(hit, lps[at], 0.0) if len(keys) else np.zeros(len(code)), starts)
+            sums = np.add.reduceat(lps, starts, dtype=np.float64)
             rest = np.flatnonzero(~hit)
             cuts = np.searchsorted(rest, np.append(starts, len(code)))
             return [(int(lengths[i]), float(sums[i]), *np.unique(code[rest[cuts[i] : cuts[i + 1]]], return_counts=True)) for i in range(len(texts))]

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lodestrata.llm import ctw
@@ -130,3 +131,13 @@ def test_nothing_to_learn_from(spark):
     r = ctw.score(df, depth=2).first()
     assert r.train_tokens == 0 and r.base_score == 0 and r.score == pytest.approx(-8 * 6 * math.log10(2)) and r.bits_per_byte == pytest.approx(8)
     assert ctw.score(df.limit(0), depth=2).count() == 0
+
+
+def test_gram_table_finds_what_it_holds():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 2**48, 5000))
+    lps = rng.standard_normal(len(keys))
+    asked = np.concatenate([keys, rng.integers(0, 2**48, 5000)])
+    found, hit = ctw.look_up(asked, *ctw.gram_table(keys, lps))
+    assert (hit == np.isin(asked, keys)).all() and found[: len(keys)] == pytest.approx(lps, abs=1e-6)
+    assert not ctw.look_up(keys, *ctw.gram_table(keys[:0], lps[:0]))[1].any()
