@@ -31,7 +31,7 @@ def semver_conflicts(declarations: DataFrame) -> DataFrame:
     counts = declarations.groupBy(KEY).agg(F.count("*").alias("n_declarations"))
     sets = keyed.groupBy(KEY).agg(F.collect_list("r").alias("known"), F.count("*").alias("n"), F.count("r").alias("n_known"))
     first = F.element_at("known", 1)
-    met = F.aggregate(F.slice("known", 2, 1_000_000), first, lambda a, b: intersect(a, b))
+    met = F.aggregate(F.slice("known", F.lit(2), F.greatest(F.size("known"), F.lit(1))), first, lambda a, b: intersect(a, b))
     conflict = F.when(F.col("n") < 2, F.lit(False)).when(F.col("n_known") < F.col("n"), F.lit(None).cast(BooleanType())).otherwise(F.size(met) == 0)
     return counts.join(sets.where("n_known > 0").select(*KEY, conflict.alias("conflict")), KEY, "left").select(*KEY, "n_declarations", "conflict")
 

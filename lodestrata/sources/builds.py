@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import configparser
 import tomllib
 
@@ -205,7 +206,7 @@ def script_commands(files: DataFrame) -> DataFrame:
 
 
 def workflow_commands(files: DataFrame) -> DataFrame:
-    """``run`` steps of GitHub workflows: ``(path, line, command)``, single-line and block ones."""
+    """``run`` steps of GitHub workflows: ``(path, job, command, problem)``, a row for each line of single-line and block ones."""
 
     def read(text: str) -> list[tuple]:
         import yaml
@@ -220,3 +221,168 @@ def tsconfig_types(files: DataFrame) -> DataFrame:
     """``types`` of tsconfig files as packages: ``(path, package)``; names without a scope stand for ``@types/…``."""
     rows = files.select("path", F.explode(F.from_json(F.regexp_replace("text", r"(?m)^\s*//.*$", ""), "compilerOptions struct<types:array<string>>")["compilerOptions"]["types"]).alias("t")).where(~F.col("t").startswith("."))
     return rows.select("path", F.when(F.col("t").startswith("@"), F.regexp_extract("t", "^(@[^/]+/[^/]+)", 1)).otherwise(F.concat(F.lit("@types/"), F.substring_index("t", "/", 1))).alias("package"))
+
+
+def setup_py(files: DataFrame) -> DataFrame:
+    """Literal arguments of ``setup()`` in setup.py: ``(path, display_name, constraint_raw, marker, group, problem)``; nothing is run.
+
+    Names bound once to a literal at the top of the file count as that literal; anything else gives ``problem``.
+    """
+
+    def read(text: str) -> list[tuple]:
+        module = ast.parse(text)
+        named: dict[str, object] = {}
+        for node in module.body:
+            if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
+                try:
+                    named[node.targets[0].id] = ast.literal_eval(node.value)
+                except ValueError:
+                    named.pop(node.targets[0].id, None)
+
+        def literal(node: ast.expr) -> object:
+            return named[node.id] if isinstance(node, ast.Name) and node.id in named else ast.literal_eval(node)
+
+        out: list[tuple] = []
+        for call in ast.walk(module):
+            if isinstance(call, ast.Call) and getattr(call.func, "attr", getattr(call.func, "id", "")) == "setup":
+                for word in call.keywords:
+                    if word.arg in ("install_requires", "tests_require", "setup_requires"):
+                        found = literal(word.value)
+                        group = {"install_requires": "runtime", "tests_require": "test", "setup_requires": "build"}[word.arg]
+                        out += [(*_requirement(r), group) for r in (found.split("\n") if isinstance(found, str) else found) if r.strip()]
+                    elif word.arg == "extras_require":
+                        out += [(*_requirement(r), f"extra:{g}") for g, rs in literal(word.value).items() for r in ([rs] if isinstance(rs, str) else rs)]
+        return out
+
+    return _rows(files, "display_name string, constraint_raw string, marker string, `group` string", ["display_name", "constraint_raw", "marker", "group"], read)
+
+
+def python_tasks(files: DataFrame) -> DataFrame:
+    """Hatch scripts and Poe tasks of pyproject.toml: ``(path, tool, task, command, problem)``; a sequence gives a row for each command."""
+
+    def read(text: str) -> list[tuple]:
+        tool, out = tomllib.loads(text).get("tool", {}), []
+        for env, table in tool.get("hatch", {}).get("envs", {}).items():
+            for name, command in table.get("scripts", {}).items():
+                out += [("hatch", f"{env}:{name}", c) for c in ([command] if isinstance(command, str) else command) if isinstance(c, str)]
+        for name, task in tool.get("poe", {}).get("tasks", {}).items():
+            parts = task if isinstance(task, list) else task.get("sequence", [task]) if isinstance(task, dict) else [task]
+            for part in parts:
+                command = part if isinstance(part, str) else part.get("cmd") or part.get("shell") if isinstance(part, dict) else None
+                if isinstance(command, str):
+                    out.append(("poe", name, command))
+        return out
+
+    return _rows(files, "tool string, task string, command string", ["tool", "task", "command"], read)
+
+
+def uv_sources(files: DataFrame) -> DataFrame:
+    """uv's package sources and indexes in pyproject.toml: ``(path, fact, name, kind, location, problem)``.
+
+    ``fact`` is ``source`` (a package and where it must come from) or ``index`` (its kind: default, explicit or extra).
+    """
+
+    def read(text: str) -> list[tuple]:
+        uv, out = tomllib.loads(text).get("tool", {}).get("uv", {}), []
+        for i in uv.get("index", []):
+            out.append(("index", i.get("name", ""), "default" if i.get("default") else "explicit" if i.get("explicit") else "extra", i.get("url", "")))
+        for name, source in uv.get("sources", {}).items():
+            for one in source if isinstance(source, list) else [source]:
+                kinds = [k for k in ("index", "git", "url", "path", "workspace") if k in one]
+                out.append(("source", pep503(name), kinds[0] if len(kinds) == 1 else "unknown", str(one[kinds[0]]) if len(kinds) == 1 else ""))
+        return out
+
+    def pep503(name: str) -> str:
+        return "-".join(x for x in name.lower().replace("_", "-").replace(".", "-").split("-") if x)
+
+    return _rows(files, "fact string, name string, kind string, location string", ["fact", "name", "kind", "location"], read)
+
+
+def uv_origins(packages: DataFrame, facts: DataFrame) -> DataFrame:
+    """``packages(path, package)`` with the ``origin`` that ``uv_sources`` gives them: their own source, else the file's default index, else the public one."""
+    own = facts.where("fact = 'source'").select("path", F.col("name").alias("package"), "kind", "location")
+    named = facts.where("fact = 'index'").select("path", F.col("name").alias("location"), F.col("location").alias("address"))
+    default = facts.where("fact = 'index' and kind = 'default'").groupBy("path").agg(F.min("location").alias("default"))
+    rows = packages.join(own, ["path", "package"], "left").join(named, ["path", "location"], "left").join(default, "path", "left")
+    return rows.select(*packages.columns, F.when(F.col("kind") == "index", F.coalesce("address", F.lit("unknown"))).when(F.col("kind").isNotNull(), F.col("location")).otherwise(F.coalesce("default", F.lit("https://pypi.org/simple"))).alias("origin"))
+
+
+def conan_lock(files: DataFrame) -> DataFrame:
+    """conan.lock (2.x): ``(path, package, version, revision, scope)`` of ``requires``, ``build_requires`` and ``python_requires``."""
+    kinds = {"requires": "runtime", "build_requires": "build", "python_requires": "build"}
+    parsed = files.select("path", F.from_json("text", ", ".join(f"{k} array<string>" for k in kinds)).alias("j"))
+    out = None
+    for kind, scope in kinds.items():
+        own = parsed.select("path", F.explode(f"j.{kind}").alias("r"), F.lit(scope).alias("scope"))
+        out = own if out is None else out.union(own)
+    rule = r"^([^/#%]+)/([^@#%]+)(?:@[^#%]*)?(?:#([^%]+))?"
+    return out.select("path", F.regexp_extract("r", rule, 1).alias("package"), F.regexp_extract("r", rule, 2).alias("version"), F.nullif(F.regexp_extract("r", rule, 3), F.lit("")).alias("revision"), "scope").where("package <> ''")
+
+
+def vcpkg_pins(files: DataFrame) -> DataFrame:
+    """vcpkg.json ``overrides`` and lock baselines: ``(path, package, version, kind)``; an override pins, ``builtin-baseline`` names the registry's state."""
+    over = files.select("path", F.explode(F.from_json("text", "overrides array<struct<name:string, version:string, `version-string`:string, `version-semver`:string, `port-version`:int>>")["overrides"]).alias("o"))
+    version = F.concat(F.coalesce("o.version", F.col("o.version-string"), F.col("o.version-semver")), F.coalesce(F.concat(F.lit("#"), F.col("o.port-version").cast("string")), F.lit("")))
+    pins = over.select("path", F.col("o.name").alias("package"), version.alias("version"), F.lit("override").alias("kind"))
+    base = files.select("path", F.lit(None).cast("string").alias("package"), F.get_json_object("text", "$.builtin-baseline").alias("version"), F.lit("baseline").alias("kind")).where("version is not null")
+    return pins.union(base)
+
+
+def cargo_overrides(files: DataFrame) -> DataFrame:
+    """Cargo ``[patch]`` and ``[replace]`` tables: ``(path, kind, registry, package, version, location, problem)``; they qualify evidence, nothing is applied."""
+
+    def read(text: str) -> list[tuple]:
+        doc, out = tomllib.loads(text), []
+        for registry, table in doc.get("patch", {}).items():
+            for name, d in table.items():
+                d = {"version": d} if isinstance(d, str) else d
+                out.append(("patch", registry, d.get("package", name), d.get("version"), d.get("git") or d.get("path")))
+        for spec, d in doc.get("replace", {}).items():
+            name, _, version = spec.rpartition("#")[2].partition(":")
+            out.append(("replace", None, name, version or None, d.get("git") or d.get("path")))
+        return out
+
+    names = ["kind", "registry", "package", "version", "location"]
+    return _rows(files, ", ".join(f"{n} string" for n in names), names, read)
+
+
+def pytest_plugins(files: DataFrame) -> DataFrame:
+    """pytest plugins that configuration names: ``(path, module, problem)`` from ``-p`` of ``addopts`` in pytest.ini, setup.cfg, tox.ini and pyproject.toml, and ``required_plugins``."""
+
+    def read(text: str) -> list[tuple]:
+        options: list[str] = []
+        required: list[str] = []
+        try:
+            own = tomllib.loads(text).get("tool", {}).get("pytest", {}).get("ini_options", {})
+            found = own.get("addopts", "")
+            options += found.split() if isinstance(found, str) else found
+            wanted = own.get("required_plugins", "")
+            required += wanted.split() if isinstance(wanted, str) else wanted
+        except tomllib.TOMLDecodeError:
+            c = configparser.RawConfigParser()
+            try:
+                c.read_string(text)
+            except configparser.Error as e:
+                raise ValueError(str(e)) from e
+            for section in ("pytest", "tool:pytest"):
+                options += c.get(section, "addopts", fallback="").split()
+                required += c.get(section, "required_plugins", fallback="").split()
+        out = [options[i + 1] if o == "-p" and i + 1 < len(options) else o[2:] for i, o in enumerate(options) if o == "-p" or o.startswith("-p") and not o.startswith("--")]
+        return [(m,) for m in sorted({*(x for x in out if x and not x.startswith("no:")), *(r.split("=")[0].split(">")[0].split("<")[0] for r in required)})]
+
+    return _rows(files, "module string", ["module"], read)
+
+
+def fan_in(declarations: dict[str, DataFrame]) -> DataFrame:
+    """Declarations of several manifest kinds as one relation ``(manifest, path, package, constraint_raw, marker, group, occurrence)``.
+
+    Equal declarations of one file are numbered, so that repeated ones keep their multiplicity.
+    """
+    out = None
+    for manifest, df in declarations.items():
+        group = F.col("group") if "group" in df.columns else F.lit("runtime")
+        rows = df.select(F.lit(manifest).alias("manifest"), "path", pypi_name(F.col("display_name")).alias("package"), "constraint_raw", "marker", group.alias("group"))
+        out = rows if out is None else out.unionByName(rows)
+    same = ["manifest", "path", "package", "constraint_raw", "marker", "group"]
+    counted = out.where("package is not null").groupBy(same).agg(F.count("*").alias("n"))
+    return counted.select(*same, F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("occurrence"))

@@ -9,27 +9,46 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 import tomllib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import pypi_name
+from lodestrata.lineage import cut
 from lodestrata.operators.compare import occurrences
 
 from .files import folder, numbered_lines
 
-REQUIREMENT = r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[([^\]]*)\])?\s*((?:(?:===|==|~=|!=|<=|>=|<|>)[^;#,]+,?\s*)*)(?:;\s*([^#]*))?(?:\s+#.*)?$"
+#: The forms of a requirement line, by name and by name and address.
+REQUIREMENT = r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[([^\]]*)\])?\s*((?:(?:===|==|~=|!=|<=|>=|<|>)\s*[^;#,\s]+\s*,?\s*)*)(?:;\s*([^#]*?))?\s*(?:\s#.*)?$"
+DIRECT = r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[([^\]]*)\])?\s*@\s*(\S+)(?:\s+;\s*([^#]*?))?\s*(?:\s#.*)?$"
+OPTION = r"\s--(?:hash|global-option|config-settings|install-option)[ =]\S+"
 
 
 def requirements(files: DataFrame) -> DataFrame:
-    """requirements.txt: ``(path, line, package, display_name, extras, constraint_raw, marker)``; continuations are joined, options skipped."""
-    joined = files.withColumn("text", F.regexp_replace("text", r"\\\n", " "))
-    rows = numbered_lines(joined).where(~F.col("text").rlike(r"^\s*(#|-|$)") & F.col("text").rlike(REQUIREMENT))
-    part = lambda i: F.trim(F.regexp_extract("text", REQUIREMENT, i))
-    return rows.select("path", "line", pypi_name(part(1)).alias("package"), part(1).alias("display_name"), F.when(part(2) != "", F.split(part(2), r"\s*,\s*")).alias("extras"), part(3).alias("constraint_raw"), F.when(part(4) != "", part(4)).alias("marker"))
+    """requirements.txt: ``(path, line, package, display_name, extras, constraint_raw, marker, url)``.
+
+    Continued lines are joined and keep the number of their first physical line; options of a line (``--hash`` and the like) are
+    taken off, option lines skipped. ``name @ address`` has no constraint but a ``url``.
+    """
+    lines = files.where("text is not null").select("path", F.split(F.col("text"), "\n").alias("l"))
+    # a line continues the one before it if that ends in a backslash: such lines are glued to their first one
+    marked = lines.select("path", F.posexplode("l").alias("at", "text"), "l").withColumn("continues", (F.col("at") > 0) & F.coalesce(F.try_element_at("l", F.col("at").cast("int")).endswith("\\"), F.lit(False)))
+    whole = F.expr("aggregate(slice(l, at + 1, size(l)), named_struct('t', '', 'more', true), (s, x) -> if(s.more, named_struct('t', concat(s.t, regexp_replace(x, '\\\\\\\\$', ' ')), 'more', endswith(x, '\\\\')), s)).t")
+    glued = marked.where("not continues").select("path", (F.col("at") + 1).alias("line"), F.when(F.col("text").endswith("\\"), whole).otherwise(F.col("text")).alias("text"))
+    rows = glued.withColumn("text", F.regexp_replace("text", OPTION, "")).where(~F.col("text").rlike(r"^\s*(#|-|$)"))
+    part = lambda rule, i: F.trim(F.regexp_extract("text", rule, i))
+    direct = F.col("text").rlike(DIRECT)
+    either = lambda i: F.when(direct, part(DIRECT, i)).otherwise(part(REQUIREMENT, i))
+    extras, marker = either(2), either(4)
+    return rows.where(direct | F.col("text").rlike(REQUIREMENT)).select(
+        "path", "line", pypi_name(either(1)).alias("package"), either(1).alias("display_name"), F.when(extras != "", F.split(extras, r"\s*,\s*")).alias("extras"),
+        F.when(direct, "").otherwise(part(REQUIREMENT, 3)).alias("constraint_raw"), F.when(marker != "", marker).alias("marker"), F.when(direct, part(DIRECT, 3)).alias("url"),
+    )
 
 
 def includes(files: DataFrame) -> DataFrame:
@@ -64,6 +83,46 @@ def package_lock(files: DataFrame) -> DataFrame:
     return rows.select("path", "instance", name.alias("package"), "p.version", "p.integrity", F.col("instance").rlike("^node_modules/(@[^/]+/)?[^/]+$").alias("direct"), F.map_concat(F.coalesce("p.dependencies", F.create_map().cast("map<string,string>")), F.create_map().cast("map<string,string>")).alias("requests"))
 
 
+def package_lock_v1(files: DataFrame) -> DataFrame:
+    """package-lock v1 in the columns of ``package_lock``: nested ``dependencies`` become ``node_modules`` paths, ``requires`` requests."""
+
+    def read(text: str) -> list[tuple]:
+        doc, out = json.loads(text), []
+        if doc.get("lockfileVersion", 1) != 1:
+            return []
+
+        def walk(table: dict, at: str) -> None:
+            for name, d in table.items():
+                own = f"{at}node_modules/{name}"
+                wants = d.get("requires") if isinstance(d.get("requires"), dict) else {}
+                out.append((own, name, d.get("version"), d.get("integrity"), str(not at).lower(), json.dumps(wants, sort_keys=True)))
+                walk(d.get("dependencies") or {}, f"{own}/")
+
+        walk(doc.get("dependencies") or {}, "")
+        return out
+
+    names = ["instance", "package", "version", "integrity", "direct", "requests"]
+    rows = _rows(files, ", ".join(f"{n} string" for n in names), names, read)
+    return rows.where("problem is null").select("path", "instance", "package", "version", "integrity", (F.col("direct") == "true").alias("direct"), F.from_json("requests", "map<string,string>").alias("requests"))
+
+
+def npmrc(files: DataFrame) -> DataFrame:
+    """.npmrc: ``(path, scope, registry)``; ``scope`` is empty for the default registry, the last line of a key counts, secrets aren't read."""
+    rule = r"^\s*(?:(@[^:\s]+):)?registry\s*=\s*(\S+)\s*$"
+    rows = numbered_lines(files).where(F.col("text").rlike(rule)).select("path", F.regexp_extract("text", rule, 1).alias("scope"), F.regexp_replace(F.regexp_extract("text", rule, 2), "/+$", "").alias("registry"), "line")
+    return rows.groupBy("path", "scope").agg(F.max_by("registry", "line").alias("registry"))
+
+
+def npm_origins(packages: DataFrame, registries: DataFrame, public: str = "https://registry.npmjs.org") -> DataFrame:
+    """``packages(path, package)`` with the ``registry`` of their scope, else the file's default, else the public one, and whether that is ``public``."""
+    scope = F.when(F.col("package").startswith("@"), F.substring_index("package", "/", 1)).otherwise("")
+    own = registries.where("scope <> ''").select("path", "scope", F.col("registry").alias("own"))
+    default = registries.where("scope = ''").select("path", F.col("registry").alias("default"))
+    rows = packages.withColumn("scope", scope).join(own, ["path", "scope"], "left").join(default, "path", "left")
+    registry = F.coalesce("own", "default", F.lit(public))
+    return rows.select(*packages.columns, registry.alias("registry"), (registry == public).alias("public"))
+
+
 def npm_edges(instances: DataFrame) -> DataFrame:
     """``(path, parent, child, request, target)``: each request bound to the nearest ``node_modules`` that has it, else null.
 
@@ -86,6 +145,21 @@ def go_mod(files: DataFrame) -> DataFrame:
     return rows.select("path", F.regexp_replace(F.regexp_extract("l", r"^(\S+)", 1), '"', "").alias("package"), F.regexp_extract("l", r"^\S+\s+(v\S+)", 1).alias("version"), F.col("l").contains("// indirect").alias("indirect"))
 
 
+def go_replaces(files: DataFrame) -> DataFrame:
+    """go.mod replace and exclude directives: ``(path, kind, package, version, target, target_version)``, from blocks and single lines."""
+    bare = F.regexp_replace("text", r"(?m)//.*$", "")
+    out = None
+    for kind in ("replace", "exclude"):
+        block = F.array_join(F.regexp_extract_all(bare, F.lit(rf"(?ms)^\s*{kind}\s*\(\s*(.*?)^\s*\)"), F.lit(1)), "\n")
+        single = F.array_join(F.regexp_extract_all(bare, F.lit(rf"(?m)^\s*{kind}[ \t]+([^(\s].*)$"), F.lit(1)), "\n")
+        rows = files.select("path", F.lit(kind).alias("kind"), F.explode(F.split(F.concat_ws("\n", block, single), "\n")).alias("l")).withColumn("l", F.trim("l")).where("l <> ''")
+        out = rows if out is None else out.union(rows)
+    side = F.split(F.col("l"), r"\s*=>\s*")
+    word = lambda c, i: F.nullif(F.regexp_extract(c, r"^(\S+)(?:\s+(\S+))?", i), F.lit(""))
+    target = F.coalesce(F.try_element_at(side, F.lit(2)), F.lit(""))
+    return out.select("path", "kind", word(side[0], 1).alias("package"), word(side[0], 2).alias("version"), word(target, 1).alias("target"), word(target, 2).alias("target_version"))
+
+
 def go_sum(files: DataFrame) -> DataFrame:
     """go.sum: ``(path, line, package, version, checksum)``; lines for a module's go.mod keep ``/go.mod`` in the version."""
     rows = numbered_lines(files).withColumn("p", F.split(F.trim("text"), r"\s+")).where(F.size("p") == 3)
@@ -102,7 +176,7 @@ def gradle_lockfile(files: DataFrame) -> DataFrame:
 
 def cargo_lock(files: DataFrame) -> DataFrame:
     """Cargo.lock: ``(path, package, version, source, checksum, requests)``; requests are ``name [version [source]]``."""
-    rows = files.select("path", F.explode(F.slice(F.split("text", r"(?m)^\[\[package\]\]\s*$"), 2, 1_000_000)).alias("b"))
+    rows = files.select("path", F.explode(F.expr(r"slice(split(text, r'(?m)^\[\[package\]\]\s*$'), 2, size(split(text, r'(?m)^\[\[package\]\]\s*$')))")).alias("b"))
     value = lambda k: F.nullif(F.regexp_extract("b", rf'(?m)^{k}\s*=\s*"([^"]*)"', 1), F.lit(""))
     requests = F.regexp_extract_all(F.regexp_extract("b", r"(?s)dependencies\s*=\s*\[(.*?)\]", 1), F.lit('"([^"]*)"'), F.lit(1))
     return rows.select("path", value("name").alias("package"), value("version").alias("version"), value("source").alias("source"), value("checksum").alias("checksum"), requests.alias("requests")).where("package is not null")
@@ -117,20 +191,85 @@ def cargo_edges(packages: DataFrame) -> DataFrame:
     return hits.groupBy("path", "parent", "parent_version", "child", "want").agg(F.count("have").alias("n_candidates"), F.min("have").alias("v")).select("path", "parent", "parent_version", "child", "n_candidates", F.when(F.col("n_candidates") == 1, F.col("v")).alias("child_version"))
 
 
-def pom(files: DataFrame) -> DataFrame:
-    """pom.xml direct dependencies: ``(path, package, constraint_raw, scope)``; ``${...}`` of its own properties is filled in."""
-    at = "/*[local-name()='project']/*[local-name()='dependencies']/*[local-name()='dependency']"
-    safe = files.where(~F.col("text").rlike("<!(DOCTYPE|ENTITY)"))
-    # one position for each dependency: absent children give empty texts
-    n = F.expr(f"xpath_int(text, \"count({at})\")")
-    rows = safe.select("path", "text", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).alias("i"), n.alias("n")).where("i <= n")
-    block = F.regexp_extract_all(F.regexp_extract(F.regexp_replace("text", r"(?s)<(dependencyManagement|build|profiles|reporting)>.*?</\1>", ""), r"(?s)<dependencies>(.*?)</dependencies>", 1), F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))
-    rows = rows.withColumn("b", F.try_element_at(block, F.col("i"))).where("b is not null")
-    value = lambda k: F.trim(F.regexp_extract("b", rf"<{k}>([^<]*)</{k}>", 1))
-    version = value("version")
-    ref = F.regexp_extract(version, r"^\$\{([^}]+)\}$", 1)
-    own = F.try_element_at(F.map_from_entries(F.array_distinct(F.transform(F.regexp_extract_all(F.regexp_extract("text", r"(?s)<properties>(.*?)</properties>", 1), F.lit(r"<[\w.\-]+>[^<]*<"), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, r"<([\w.\-]+)>", 1), F.trim(F.regexp_extract(x, ">([^<]*)<", 1)))))), ref)
-    return rows.select("path", F.concat_ws(":", value("groupId"), value("artifactId")).alias("package"), F.coalesce(own, version).alias("constraint_raw"), F.when(value("scope") == "", "runtime").when(value("scope") == "test", "test").when(value("scope").isin("provided", "system"), "build").otherwise("runtime").alias("scope"))
+def _pom_model(text: str) -> list[tuple]:
+    """Facts of one pom.xml: (fact, key, value, extra) rows for its coordinates, parent, properties, managed and own dependencies."""
+    import xml.etree.ElementTree as tree
+
+    if "<!DOCTYPE" in text or "<!ENTITY" in text:
+        raise ValueError("a document type is refused")
+    try:
+        root = tree.fromstring(text)
+    except tree.ParseError as e:
+        raise ValueError(str(e)) from e
+
+    def tag(node) -> str:
+        return node.tag.rsplit("}", 1)[-1] if isinstance(node.tag, str) else ""
+
+    def child(node, name: str):
+        return next((x for x in node if tag(x) == name), None) if node is not None else None
+
+    def value(node, name: str) -> str | None:
+        found = child(node, name)
+        return (found.text or "").strip() or None if found is not None else None
+
+    def dependencies(node) -> list:
+        found = child(node, "dependencies")
+        return [d for d in found if tag(d) == "dependency"] if found is not None else []
+
+    parent = child(root, "parent")
+    group = value(root, "groupId") or value(parent, "groupId")
+    out = [("self", f"{group}:{value(root, 'artifactId')}", value(root, "version") or value(parent, "version"), None)]
+    if parent is not None:
+        out.append(("parent", f"{value(parent, 'groupId')}:{value(parent, 'artifactId')}", value(parent, "version"), None))
+    out += [("property", tag(x), (x.text or "").strip(), None) for x in (child(root, "properties") if child(root, "properties") is not None else []) if tag(x)]
+    out += [("managed", f"{value(d, 'groupId')}:{value(d, 'artifactId')}", value(d, "version"), value(d, "scope")) for d in dependencies(child(root, "dependencyManagement"))]
+    out += [("dependency", f"{value(d, 'groupId')}:{value(d, 'artifactId')}", value(d, "version"), value(d, "scope")) for d in dependencies(root)]
+    for profile in child(root, "profiles") if child(root, "profiles") is not None else []:
+        out += [("profile-dependency", f"{value(d, 'groupId')}:{value(d, 'artifactId')}", value(d, "version"), value(d, "scope")) for d in dependencies(profile)]
+        out += [("profile-management", f"{value(d, 'groupId')}:{value(d, 'artifactId')}", value(d, "version"), value(d, "scope")) for d in dependencies(child(profile, "dependencyManagement"))]
+    return out
+
+
+def pom_facts(files: DataFrame) -> DataFrame:
+    """``(path, fact, key, value, extra, problem)`` of pom.xml files, one helper call to a file; a malformed one gives its problem alone."""
+    return _rows(files, "fact string, key string, value string, extra string", ["fact", "key", "value", "extra"], _pom_model)
+
+
+def pom(files: DataFrame, rounds: int = 16) -> DataFrame:
+    """pom.xml dependencies in effect: ``(path, package, constraint_raw, scope, maven_kind)``.
+
+    Parents are the files of ``files`` with the parent's coordinates, found by joins, the nearest first. Properties, managed versions
+    and managed scopes come from the file itself, else from its nearest ancestor that has them; dependencies of ancestors are
+    inherited. ``${...}`` is filled in from properties and ``project.version``; what isn't known stays as it is. Profiles' rows
+    are kept apart by ``maven_kind``. A chain of parents that returns to itself, or is longer than ``rounds``, ends there.
+    """
+    facts = cut(pom_facts(files).where("problem is null").drop("problem"))
+    selfs = facts.where("fact = 'self'").select("path", F.col("key").alias("own"), F.col("value").alias("own_version"))
+    by_name = selfs.groupBy(F.col("own").alias("key")).agg(F.min("path").alias("up"))
+    parents = facts.where("fact = 'parent'").select("path", "key").join(by_name, "key").select("path", "up").where("path <> up")
+    chain = cut(selfs.select("path", F.col("path").alias("at"), F.lit(0).alias("depth")))
+    front = chain
+    for depth in range(1, rounds + 1):
+        front = cut(front.join(parents.withColumnRenamed("path", "at"), "at").select("path", F.col("up").alias("at"), F.lit(depth).alias("depth")).join(chain.select("path", "at"), ["path", "at"], "left_anti"))
+        if front.isEmpty():
+            break
+        chain = cut(chain.union(front))
+    seen = chain.join(facts.withColumnRenamed("path", "at"), "at")
+    nearest = lambda kind, *cols: seen.where(F.col("fact") == kind).groupBy("path", "key").agg(F.min_by(F.struct(*cols), "depth").alias("n"))
+    properties = nearest("property", "value").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("key", "n.value"))).alias("properties"))
+    managed = nearest("managed", "value", "extra").select("path", "key", F.col("n.value").alias("managed_version"), F.col("n.extra").alias("managed_scope"))
+    kinds = ["dependency", "profile-dependency", "profile-management"]
+    wanted = seen.where(F.col("fact").isin(*kinds)).groupBy("path", "fact", "key").agg(F.min_by(F.struct("value", "extra"), "depth").alias("n")).select("path", "fact", "key", "n.value", "n.extra")
+    rows = wanted.join(managed, ["path", "key"], "left").join(properties, "path", "left").join(selfs, "path")
+    known = F.map_concat(F.coalesce("properties", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+
+    def filled(c: Column) -> Column:
+        name = F.regexp_extract(c, r"^\$\{([^}]+)\}$", 1)
+        return F.coalesce(F.try_element_at(known, name), F.when(name.isin("project.version", "version"), F.col("own_version")), c)
+
+    version = F.coalesce("value", "managed_version")
+    scope = F.coalesce("extra", "managed_scope", F.lit("compile"))
+    return rows.select("path", filled(F.col("key")).alias("package"), F.coalesce(filled(filled(version)), F.lit("")).alias("constraint_raw"), F.when(scope == "test", "test").when(scope.isin("provided", "system"), "build").otherwise("runtime").alias("scope"), F.col("fact").alias("maven_kind"))
 
 
 def vcpkg_json(files: DataFrame) -> DataFrame:
@@ -148,22 +287,47 @@ def java_imports(files: DataFrame) -> DataFrame:
 
 
 def c_includes(files: DataFrame) -> DataFrame:
-    """C and C++ includes: ``(path, line, reference, quoted)``; macro operands are no references."""
+    """C and C++ includes: ``(path, line, reference, quoted, conditional)``; macro operands are no references.
+
+    ``conditional`` tells whether the line stands within an ``#if``: more of them have opened than closed in the lines before it.
+    """
     rule = r'^\s*#\s*include\s*([<"])([^>"]+)[>"]'
-    return numbered_lines(files).where(F.col("text").rlike(rule)).select("path", "line", F.regexp_extract("text", rule, 2).alias("reference"), (F.regexp_extract("text", rule, 1) == '"').alias("quoted"))
+    bare = files.withColumn("text", F.regexp_replace("text", r"/\*[^*]*\*/", ""))
+    rows = bare.where("text is not null").select("path", F.split("text", "\n").alias("l")).select("path", "l", F.posexplode("l").alias("at", "text")).where(F.col("text").rlike(rule))
+    before = F.slice("l", F.lit(1), F.col("at"))
+    opened = F.size(F.filter(before, lambda x: x.rlike(r"^\s*#\s*if"))) - F.size(F.filter(before, lambda x: x.rlike(r"^\s*#\s*endif")))
+    return rows.select("path", (F.col("at") + 1).alias("line"), F.regexp_extract("text", rule, 2).alias("reference"), (F.regexp_extract("text", rule, 1) == '"').alias("quoted"), (opened > 0).alias("conditional"))
+
+
+#: A module load's keyword up to its literal, and which kind it is.
+JS_LOADS = {
+    "regular": r"""(?:^|[;}\s])(?:import|export)\b\s*(?:type\s+)?(?:[\w$*\s{},]*?\bfrom\s*)?(['"])([^'"\n]+)\1|\brequire\(\s*(['"])([^'"\n]+)\3\s*\)""",
+    "dynamic": r"""\bimport\(\s*(['"])([^'"\n]+)\1\s*\)""",
+}
+#: Comments, strings and templates: matched in this order from the left, so that marks within one don't open another.
+_JS_PIECES = re.compile(r"""//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.S)
+
+
+def _js_loads(text: str) -> list[tuple]:
+    def blank(m: re.Match) -> str:
+        piece = m[0]
+        literal = piece[0] in "\"'" and not re.search(r"[\s'\"]", piece[1:-1])  # a module's name has no space or quote in it
+        return piece if literal else "".join(c if c == "\n" else " " for c in piece)
+
+    bare, out = _JS_PIECES.sub(blank, text), []
+    for kind, rule in JS_LOADS.items():
+        for m in re.finditer(rule, bare):
+            reference = next(g for g in m.groups()[1::2] if g)
+            out.append((bare.count("\n", 0, m.start() + len(m[0]) - len(m[0].lstrip())) + 1, reference, kind))
+    return sorted(out)
 
 
 def js_loads(files: DataFrame) -> DataFrame:
-    """Literal module loads of JavaScript and TypeScript: ``(path, line, reference, kind)``; comments and non-literals give none."""
-    bare = F.regexp_replace(F.regexp_replace("text", r"(?s)/\*.*?\*/", ""), r"(?m)^\s*//.*$", "")
-    rows = numbered_lines(files.withColumn("text", bare))
-    kinds = {"regular": r"""(?:^|[;\s])(?:import|export)\b(?:[^'"();]*\bfrom)?\s*['"]([^'"]+)['"]|\brequire\(\s*['"]([^'"]+)['"]\s*\)""", "dynamic": r"""\bimport\(\s*['"]([^'"]+)['"]\s*\)"""}
-    out = None
-    for kind, rule in kinds.items():
-        hits = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(rule), F.lit(g)) for g in range(1, rule.count("([^") + 1)]))
-        own = rows.select("path", "line", F.explode(hits).alias("reference"), F.lit(kind).alias("kind")).where("reference <> ''")
-        out = own if out is None else out.union(own)
-    return out
+    """Literal module loads of JavaScript and TypeScript: ``(path, line, reference, kind)``, also over several lines.
+
+    Comments and template strings are blanked out with their newlines kept, so ``line`` is where the load begins; non-literals give none.
+    """
+    return _rows(files, "line int, reference string, kind string", ["line", "reference", "kind"], _js_loads).where("problem is null").drop("problem")
 
 
 def npm_package(reference: str = "reference"):
@@ -231,7 +395,7 @@ def _requirement(raw: str) -> tuple[str, str, str | None]:
 
 
 def pyproject(files: DataFrame) -> DataFrame:
-    """pyproject.toml: PEP 621 and PEP 735 groups and Poetry tables: ``(path, display_name, constraint_raw, marker, group, problem)``."""
+    """pyproject.toml: PEP 621 and PEP 735 groups, Poetry, PDM and uv tables: ``(path, display_name, constraint_raw, marker, group, problem)``."""
 
     def read(text: str) -> list[tuple]:
         doc = tomllib.loads(text)
@@ -250,6 +414,9 @@ def pyproject(files: DataFrame) -> DataFrame:
                     yield from members(r["include-group"], (*path, name))
 
         out += [(*_requirement(r), f"group:{g}") for g in groups for r in members(g, ())]
+        tool = doc.get("tool", {})
+        out += [(*_requirement(r), f"group:{g}") for g, rs in tool.get("pdm", {}).get("dev-dependencies", {}).items() for r in rs if not r.startswith("-e ")]
+        out += [(*_requirement(r), "group:dev") for r in tool.get("uv", {}).get("dev-dependencies", [])]
         poetry = doc.get("tool", {}).get("poetry", {})
         tables = {"runtime": poetry.get("dependencies", {}), "group:dev": poetry.get("dev-dependencies", {})} | {f"group:{g}": t.get("dependencies", {}) for g, t in poetry.get("group", {}).items()}
         out += [(n, v if isinstance(v, str) else v.get("version", ""), None if isinstance(v, str) else v.get("markers"), g) for g, t in tables.items() for n, v in t.items() if n != "python" and isinstance(v, (str, dict))]
@@ -270,6 +437,43 @@ def toml_lock(files: DataFrame) -> DataFrame:
     return _rows(files, "display_name string, version string, marker string", ["display_name", "version", "marker"], read)
 
 
+def toml_lock_edges(files: DataFrame) -> DataFrame:
+    """Requests within poetry, pdm and uv locks: ``(path, package, version, child, request, marker, problem)``; names are normalised."""
+    from packaging.utils import canonicalize_name
+
+    def read(text: str) -> list[tuple]:
+        out = []
+        for p in tomllib.loads(text).get("package", []):
+            wants = p.get("dependencies", {})
+            own = (str(canonicalize_name(p["name"])), p.get("version"))
+            if isinstance(wants, dict):
+                for name, d in wants.items():
+                    d = d[0] if isinstance(d, list) and d else d
+                    out.append((*own, str(canonicalize_name(name)), d if isinstance(d, str) else d.get("version", ""), None if isinstance(d, str) else d.get("markers")))
+            for d in wants if isinstance(wants, list) else []:
+                name, spec, marker = _requirement(d) if isinstance(d, str) else (d["name"], d.get("version", ""), d.get("marker"))
+                out.append((*own, str(canonicalize_name(name)), spec, marker))
+        return out
+
+    names = ["package", "version", "child", "request", "marker"]
+    return _rows(files, ", ".join(f"{n} string" for n in names), names, read)
+
+
+def lock_hashes(files: DataFrame) -> DataFrame:
+    """Artifact hashes of poetry, pdm, uv and pylock locks: ``(path, package, version, hash, problem)``."""
+
+    def read(text: str) -> list[tuple]:
+        doc = tomllib.loads(text)
+        out = []
+        for p in doc.get("packages", doc.get("package", [])):
+            found = [f.get("hash") for f in p.get("files", [])] + [w.get("hash") for w in p.get("wheels", [])] + ([p["sdist"].get("hash")] if isinstance(p.get("sdist"), dict) else [])
+            found += [f"{k}:{v}" for w in [*p.get("wheels", []), p.get("sdist") or {}] for k, v in (w.get("hashes") or {}).items()]
+            out += [(p.get("name"), p.get("version"), h) for h in found if h]
+        return out
+
+    return _rows(files, "package string, version string, hash string", ["package", "version", "hash"], read)
+
+
 def pipfile_lock(files: DataFrame) -> DataFrame:
     """Pipfile.lock: ``(path, package, version, category)``."""
     rows = files.select("path", F.explode(F.from_json("text", "map<string, map<string, struct<version:string, markers:string>>>")).alias("category", "m")).where("category <> '_meta'")
