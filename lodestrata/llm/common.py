@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.lineage import cut, shared_folder  # noqa: F401
 
 #: Keys of rows to take out are broadcast up to this number (two longs each), else joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
