@@ -1,4 +1,4 @@
-"""Versioned Parquet relations: a version is written beside the others, then a pointer names it.
+"""Versioned Parquet relations: a version is written beside the others, then a new generation's file names it.
 
 Readers follow the pointer, so they see a whole version or the one before. A writer passes the version it
 started from; if the pointer has moved on, the new version is not published.
@@ -11,35 +11,61 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.lineage import cut
 from lodestrata.operators.compare import first_distinct, input_changes
 
 
+def _files(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _generations(spark: SparkSession, root: str) -> list[int]:
+    """Published generations: files of ``pointer`` named by a number that hold a version's name."""
+    fs, folder = _files(spark, f"{root}/pointer")
+    if not fs.exists(folder):
+        return []
+    return sorted(int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit() and s.getLen() > 0)
+
+
 def current(spark: SparkSession, root: str) -> str | None:
-    """The published version's name: the pointer with the highest generation."""
-    try:
-        row = spark.read.parquet(f"{root}/pointer").orderBy(F.col("generation").desc()).first()
-    except Exception as e:  # no pointer yet
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    return row.version
+    """The published version's name: the one that the highest generation holds."""
+    found = _generations(spark, root)
+    return spark.read.text(f"{root}/pointer/{found[-1]}").first()[0] if found else None
 
 
 def publish(spark: SparkSession, root: str, relations: dict[str, DataFrame], base: str | None) -> str:
-    """Writes ``relations`` as a new version on top of ``base`` and names it; raises if another was published meanwhile."""
+    """Writes ``relations`` as a new version on top of ``base`` and names it; raises if another was published meanwhile.
+
+    A generation is a file that is created only if it isn't there, which the file system does at once: of two writers on the same
+    base one gets it, the other raises and takes its files away again. What fails before that leaves no published trace.
+    """
     version = uuid.uuid4().hex
-    for name, df in relations.items():
-        df.write.parquet(f"{root}/{version}/{name}")
-    if current(spark, root) != base:
-        raise RuntimeError("another version was published; start again from it")
+    fs, folder = _files(spark, f"{root}/{version}")
     try:
-        generation = spark.read.parquet(f"{root}/pointer").agg(F.max("generation")).first()[0] + 1 if base else 1
-    except TypeError:
-        generation = 1
-    spark.createDataFrame([(generation, version)], "generation long, version string").write.mode("append").parquet(f"{root}/pointer")
+        for name, df in relations.items():
+            df.write.parquet(f"{root}/{version}/{name}")
+        found = _generations(spark, root)
+        if (spark.read.text(f"{root}/pointer/{found[-1]}").first()[0] if found else None) != base:
+            raise RuntimeError("another version was published; start again from it")
+        target = _files(spark, f"{root}/pointer/{found[-1] + 1 if found else 1}")[1]
+        try:
+            out = fs.create(target, False)
+        except Exception as e:
+            raise RuntimeError("another version was published; start again from it") from e
+        out.writeBytes(version)
+        out.close()
+    except BaseException:
+        fs.delete(folder, True)
+        raise
     return version
 
 
+def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``table`` with ``rows`` put in: rows of a key replace those that had it. Repeated keys of ``rows`` must not differ."""
+    return table.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows.distinct())
+
+
 def load(spark: SparkSession, root: str, name: str, version: str | None = None) -> DataFrame:
     version = version or current(spark, root)
     if version is None:
@@ -52,7 +78,7 @@ def refresh(old_rows: DataFrame, old_files: DataFrame, files: DataFrame, parse)
 
     ``files(path, digest, text)``; ``parse(files)`` gives rows with ``path``, of the columns of ``old_rows``.
     """
-    changes = input_changes(old_files, files).cache()
+    changes = cut(input_changes(old_files, files))
     stale = changes.select("path")
     again = files.join(changes.where("status <> 'removed'").select("path"), "path", "left_semi")
     return old_rows.join(stale, "path", "left_anti").unionByName(parse(again)), files.select("path", "digest")

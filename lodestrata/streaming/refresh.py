@@ -14,10 +14,13 @@ from lodestrata.plans import store
 
 
 def refresh_stream(spark: SparkSession, changes: DataFrame, root: str, parse, relation: str, checkpoint: str) -> StreamingQuery:
-    """``changes(path, digest, text)`` streams in, null ``text``: removed; ``relation`` and ``files`` at ``root`` follow it."""
+    """``changes(path, sequence, digest, text)`` streams in, null ``text``: removed; ``relation`` and ``files`` at ``root`` follow it.
+
+    Of several changes of a path in one batch the one with the highest ``sequence`` counts, removals like others.
+    """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        own = batch.groupBy("path").agg(F.max_by(F.struct("digest", "text"), F.col("digest")).alias("s")).select("path", "s.*")
+        own = batch.groupBy("path").agg(F.max_by(F.struct("digest", "text"), "sequence").alias("s")).select("path", "s.*")
         base = store.current(batch.sparkSession, root)
         live = own.where("text is not null")
         rows, files = parse(live), live.select("path", "digest")

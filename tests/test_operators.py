@@ -125,10 +125,23 @@ def test_publish_refuses_a_stale_base(spark, tmp_path):
     assert store.current(spark, root) == two and store.load(spark, root, "r").count() == 2 and store.load(spark, root, "r", one).count() == 1
 
 
+def test_publish_is_exclusive_and_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    one = store.publish(spark, root, {"r": spark.range(1)}, None)
+    seen = store._generations(spark, root)
+    store.publish(spark, root, {"r": spark.range(2)}, one)
+    monkeypatch.setattr(store, "_generations", lambda *_: seen)  # a writer that looked before the other one published
+    with pytest.raises(RuntimeError):
+        store.publish(spark, root, {"r": spark.range(3)}, one)
+    monkeypatch.undo()
+    assert len([p for p in tmp_path.iterdir() if p.is_dir()]) == 3 and store.load(spark, root, "r").count() == 2
+
+
 def test_refresh_stream(spark, tmp_path):
-    schema = "path string, digest string, text string"
+    schema = "path string, sequence long, digest string, text string"
     src, root = str(tmp_path / "in"), str(tmp_path / "out")
-    for i, batch in enumerate([[("a", "1", "x y"), ("b", "1", "z")], [("a", "2", "q"), ("b", None, None)]]):
+    batches = [[("a", 1, "9", "x y"), ("b", 1, "1", "z"), ("c", 1, "1", "w")], [("a", 3, "2", "q"), ("a", 2, "8", "old"), ("b", 2, None, None), ("c", 2, "3", "back"), ("c", 3, None, None)]]
+    for batch in batches:
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
         refresh.refresh_stream(spark, spark.readStream.schema(schema).parquet(src), root, parse, "words", str(tmp_path / "ck")).awaitTermination()
     assert rows(store.load(spark, root, "words"), "path", "word") == [("a", "q")]
