@@ -1,8 +1,7 @@
 """The operators applied to the driver's tables, each with the SQL that must give the same rows.
 
 Adapters rename the tables' columns to evidence columns: customers are projects, orders declarations,
-lineitems usages, parts packages. Four queries and their SQL take a share of the ids only (``event_state_fold``,
-``metadata_diff``, ``reverse_paths``, ``unique_candidate``); each has a ``_whole`` form over all rows.
+lineitems usages, parts packages. Every query reads whole tables; conditions on values only say which rows play which part.
 """
 
 from __future__ import annotations
@@ -176,15 +175,9 @@ def _event_states(e):
     return rows.groupBy("user_id").agg(F.coalesce(last["kind"] == "introduced", F.lit(False)).alias("affected"), F.count("kind").alias("n_events"))
 
 
-@_query("""with e as (select user_id, event_id, event_type, case event_type when 'view' then 1 when 'purchase' then 0 end state from events)
-select user_id, coalesce(arg_max(state, event_id) filter (state is not null) = 1, false) affected, count(*) filter (state is not null) n_events from e where event_id % 3 <> 0 group by user_id""")
-def event_state_fold(spark, sf_dir):
-    return _event_states(_t(spark, sf_dir, "events").where("event_id % 3 <> 0"))
-
-
 @_query("""with e as (select user_id, event_id, case event_type when 'view' then 1 when 'purchase' then 0 end state from events)
 select user_id, coalesce(arg_max(state, event_id) filter (state is not null) = 1, false) affected, count(state) n_events from e group by user_id""")
-def event_state_fold_whole(spark, sf_dir):
+def event_state_fold(spark, sf_dir):
     return _event_states(_t(spark, sf_dir, "events"))
 
 
@@ -223,17 +216,10 @@ def _part_paths(part, targets):
     return out.select(F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), F.col("length").cast("long").alias("length"), "rooted")
 
 
-@_query("""with recursive e as (select p_partkey child, p_partkey // 2 parent from part where p_partkey // 2 >= 1),
-w(node, path, len) as (select p_partkey, cast(p_partkey as varchar), 0 from part where p_partkey % 50 = 0 union all select parent, path || '/' || cast(parent as varchar), len + 1 from w join e on node = child)
-select path, cast(len as bigint) length, not exists (select 1 from e where child = node) rooted from w""")
-def reverse_paths(spark, sf_dir):
-    return _part_paths(_t(spark, sf_dir, "part"), "p_partkey % 50 = 0")
-
-
 @_query("""with recursive e as (select p_partkey child, p_partkey // 2 parent from part where p_partkey // 2 >= 1),
 w(node, path, len) as (select p_partkey, cast(p_partkey as varchar), 0 from part union all select parent, path || '/' || cast(parent as varchar), len + 1 from w join e on node = child)
 select path, cast(len as bigint) length, not exists (select 1 from e where child = node) rooted from w""")
-def reverse_paths_whole(spark, sf_dir):
+def reverse_paths(spark, sf_dir):
     return _part_paths(_t(spark, sf_dir, "part"), "true")
 
 
@@ -299,14 +285,9 @@ def _candidates(spark, sf_dir, nations, by):
     return lookup.unique_match(supplier, nation, F.col("sk") == F.col("k"), ["s_suppkey"], "n_name").select("s_suppkey", F.col("n_candidates").cast("long").alias("n_candidates"), "n_name")
 
 
-@_query("""select s_suppkey, count(n_name) n_candidates, case when count(n_name) = 1 then max(n_name) end n_name from supplier left join (select n_nationkey % 7 k, n_name from nation where n_nationkey < 11) on k = s_nationkey % 7 group by 1""")
-def unique_candidate(spark, sf_dir):
-    return _candidates(spark, sf_dir, "n_nationkey < 11", 7)
-
-
 # of 25 nations by their number's rest of 13, one is alone and the others are in pairs
 @_query("""select s_suppkey, count(n_name) n_candidates, case when count(n_name) = 1 then max(n_name) end n_name from supplier left join (select n_nationkey % 13 k, n_name from nation) on k = s_nationkey % 13 group by 1""")
-def unique_candidate_whole(spark, sf_dir):
+def unique_candidate(spark, sf_dir):
     return _candidates(spark, sf_dir, "true", 13)
 
 

@@ -19,7 +19,7 @@ def gathers(df):
     return "collect_list" in plan(df) or "collect_set" in plan(df)
 
 
-@pytest.mark.parametrize("name", ["event_state_fold", "event_state_fold_whole", "input_changes", "state_digest"])
+@pytest.mark.parametrize("name", ["event_state_fold", "input_changes", "state_digest"])
 def test_queries_gather_no_group(spark, name):
     assert not gathers(QUERIES[name](spark, DIR))
 
