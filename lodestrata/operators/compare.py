@@ -96,3 +96,14 @@ def state_digest(df: DataFrame, group: list[str], order: list[str], columns: lis
     """SHA-256 of each group's rows in order, a row's columns joined by ``|``, rows by newline. Null: empty text."""
     line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     return ordered_digest(df, group, order, line, "\n")
+
+
+def comparable(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``(id, reason)`` of snapshots ``(id, revision, repository_key, selection_key)`` by id: null where a comparison means something, else why it doesn't.
+
+    Snapshots compare only if they are of the same repository and selection, analysed by the same revision.
+    """
+    o, n = old.alias("o"), new.alias("n")
+    differ = lambda c: ~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
+    reason = F.when(F.col("o.id").isNull(), "no-old-snapshot").when(F.col("n.id").isNull(), "no-new-snapshot").when(differ("repository_key"), "other-repository").when(differ("selection_key"), "other-selection").when(differ("revision"), "other-revision")
+    return o.join(n, F.col("o.id") == F.col("n.id"), "full").select(F.coalesce("o.id", "n.id").alias("id"), reason.alias("reason"))

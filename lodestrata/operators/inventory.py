@@ -128,3 +128,11 @@ def projects_in_order(projects: DataFrame) -> list[Column]:
     """The order of ``projects(project_id, root)``: by depth of the root (``.`` has none), then path, then id."""
     depth = F.when(F.col("root") == ".", 0).otherwise(F.size(F.split("root", "/")))
     return [depth.asc(), F.col("root").asc(), F.col("project_id").asc()]
+
+
+def capability_maps(capabilities: DataFrame) -> DataFrame:
+    """``(project_id, capabilities)`` of ``capabilities(project_id, name, state)``: a map from name to state; of several states of a name the
+    least complete counts (unsupported, partial, complete). Names are a handful, so a project's map is small."""
+    rank = F.when(F.col("state") == "unsupported", 0).when(F.col("state") == "partial", 1).otherwise(2)
+    worst = capabilities.groupBy("project_id", "name").agg(F.min_by("state", rank).alias("state"))
+    return worst.groupBy("project_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "state")))).alias("capabilities"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import escape_terminal
+
 #: Severities in ascending order and their SARIF levels.
 SEVERITIES = {"info": "note", "warning": "warning", "error": "error"}
 
@@ -26,6 +28,12 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(F.struct(F.col("code").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), location.alias("locations"))).alias("result"))
 
 
+def text_lines(findings: DataFrame) -> DataFrame:
+    """A report line for each of ``findings(code, severity, package, message, path, line)``, control characters escaped; order is the reader's."""
+    place = F.when(F.col("path").isNotNull(), F.concat(F.lit(" ("), "path", F.coalesce(F.concat(F.lit(":"), F.col("line").cast("string")), F.lit("")), F.lit(")"))).otherwise("")
+    return findings.select(escape_terminal(F.concat(F.upper("severity"), F.lit(" "), "code", F.lit(" "), "package", F.lit(": "), "message", place)).alias("line"))
+
+
 def sarif_rules(findings: DataFrame) -> DataFrame:
     return finding_counts(findings).select(F.to_json(F.struct(F.col("code").alias("id"), F.struct(F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITIES.items() for x in kv]), F.col("severity")).alias("level")).alias("defaultConfiguration"))).alias("rule"))
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import inventory
-from lodestrata.plans import scan, store
+from lodestrata.operators import compare, inventory
+from lodestrata.plans import reports, scan, store
 from lodestrata.sources import positions
 
 from .driver_queries import _query, _t
@@ -90,3 +90,31 @@ def findings_by_package(spark, sf_dir):
     k = F.col("c_custkey")
     rows = _t(spark, sf_dir, "customer").select(F.when(k % 3 == 0, "dependency.missing").when(k % 3 == 1, "dependency.unused").otherwise("vulnerability.found").alias("code"), F.lit("npm").alias("ecosystem"), F.col("c_nationkey").alias("project_id"), F.col("c_mktsegment").alias("package"))
     return inventory.filtered(rows, package="BUILDING").where(F.col("code").startswith("dependency.")).groupBy("code", "package").agg(F.count("*").alias("n"))
+
+
+@_query("""with c as (select c_nationkey project_id, case c_custkey % 3 when 0 then 'manifest' when 1 then 'usage' else 'mapping' end as name, case when c_custkey % 11 = 0 then 0 when c_custkey % 7 = 0 then 1 else 2 end k from customer),
+w as (select project_id, name, case min(k) when 0 then 'unsupported' when 1 then 'partial' else 'complete' end state from c group by all) select project_id, string_agg(name || '=' || state, ',' order by name) capabilities from w group by 1""")
+def capability_maps(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("project_id"), F.when(k % 3 == 0, "manifest").when(k % 3 == 1, "usage").otherwise("mapping").alias("name"), F.when(k % 11 == 0, "unsupported").when(k % 7 == 0, "partial").otherwise("complete").alias("state"))
+    return inventory.capability_maps(rows).select("project_id", F.array_join(F.transform(F.map_entries("capabilities"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("capabilities"))
+
+
+@_query("""select coalesce(c_custkey, o) id, case when c_custkey is null then 'no-old-snapshot' when o is null then 'no-new-snapshot' when c_nationkey % 3 <> o % 3 then 'other-repository' when c_nationkey % 2 <> o % 2 then 'other-selection' when c_mktsegment <> 'BUILDING' then 'other-revision' end reason
+from customer full join (select distinct o_custkey + 20 o from orders) on o = c_custkey""")
+def comparable_snapshots(spark, sf_dir):
+    old = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("revision"), (F.col("c_nationkey") % 3).cast("long").alias("repository_key"), (F.col("c_nationkey") % 2).cast("long").alias("selection_key"))
+    o = F.col("o_custkey") + 20
+    new = _t(spark, sf_dir, "orders").select(o.alias("id"), F.lit("BUILDING").alias("revision"), (o % 3).alias("repository_key"), (o % 2).alias("selection_key")).distinct()
+    return compare.comparable(old, new)
+
+
+@_query("""select case when o_totalprice > 100000 then 'ERROR' else 'WARNING' end || ' c' || o_orderstatus || ' p' || o_custkey || ': bad?[31m ' || o_orderkey || case when o_orderkey % 3 = 0 then ' (d/f' || o_orderkey % 7 || case when o_orderkey % 2 = 0 then ':' || o_orderkey % 9 else '' end || ')' else '' end line from orders""")
+def text_report(spark, sf_dir):
+    o = F.col("o_orderkey")
+    s = lambda c: c.cast("string")
+    rows = _t(spark, sf_dir, "orders").select(
+        F.concat(F.lit("c"), "o_orderstatus").alias("code"), F.when(F.col("o_totalprice") > 100000, "error").otherwise("warning").alias("severity"), F.concat(F.lit("p"), s(F.col("o_custkey"))).alias("package"), F.concat(F.lit("bad\x1b[31m "), s(o)).alias("message"),
+        F.when(o % 3 == 0, F.concat(F.lit("d/f"), s(o % 7))).alias("path"), F.when(o % 2 == 0, o % 9).alias("line"),
+    )
+    return reports.text_lines(rows)
