@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import ann, bpe, ctw, decontam, htmlmain, linededup, simhash, tokenpack, toolcalls, toxicity
+from . import ann, bpe, ctw, decontam, fim, htmlmain, linededup, simhash, tokenpack, toolcalls, toxicity, warc, whitening
 from .common import table
 
 
@@ -57,5 +57,17 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_context_tree, op4_token_blocks, op5_tool_calls, op6_bpe, op7_line_dedup, op8_main_text, op9_one_bit_codes, op10_toxicity)}
-ORACLE = {"op2_decontamination": decontam.ORACLE, "op5_tool_calls": toolcalls.ORACLE, "op7_line_dedup": linededup.ORACLE}
+def op11_warc(spark, sf_dir):
+    return warc.archive_digests(table(spark, sf_dir, "pages"))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_context_tree, op4_token_blocks, op5_tool_calls, op6_bpe, op7_line_dedup, op8_main_text, op9_one_bit_codes, op10_toxicity, op11_warc, op12_fill_in_middle, op13_whitening)}
+ORACLE = {"op2_decontamination": decontam.ORACLE, "op5_tool_calls": toolcalls.ORACLE, "op7_line_dedup": linededup.ORACLE, "op11_warc": warc.ORACLE, "op12_fill_in_middle": fim.ORACLE}
