@@ -25,3 +25,22 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` materialised in the shared checkpoint folder, without lineage: lost executors cost no earlier work."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Grown:
+    """Rows that grow by parts: a part is written again only when parts of its size have piled up, so n parts cost n log n rows, not n squared."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [(0, first)]
+
+    def add(self, part: DataFrame) -> None:
+        size = 0
+        while self.parts and self.parts[-1][0] == size:
+            part, size = cut(self.parts.pop()[1].union(part)), size + 1
+        self.parts.append((size, part))
+
+    def rows(self) -> DataFrame:
+        out = self.parts[0][1]
+        for _, part in self.parts[1:]:
+            out = out.union(part)
+        return out
