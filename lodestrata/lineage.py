@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -27,6 +28,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet under the shared folder and read again, for rounds that join their own results.
+
+    ``checkpoint()`` keeps the plan's estimate of its size, which squares with each join of a result with itself: after
+    twenty rounds planning takes minutes over a number of millions of digits. A file's size is what it is.
+    """
+    at = f"{shared_folder(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 class Grown:
     """Rows that grow by parts: a part is written again only when parts of its size have piled up, so n parts cost n log n rows, not n squared."""
 
@@ -36,7 +48,7 @@ class Grown:
     def add(self, part: DataFrame) -> None:
         size = 0
         while self.parts and self.parts[-1][0] == size:
-            part, size = cut(self.parts.pop()[1].union(part)), size + 1
+            part, size = written(self.parts.pop()[1].union(part)), size + 1
         self.parts.append((size, part))
 
     def rows(self) -> DataFrame:

