@@ -3,7 +3,7 @@
 A call is an entry of ``tool_calls`` in a message that is a JSON object: ``id``, ``name``, ``arguments`` and
 optionally ``after``, ids of calls that must come before. A result is a message that is a JSON object with
 ``tool_call_id``. Calls and results meet in a hash join on (conversation, id); levels of the dependency
-graph come from rounds of joins; arguments are checked against schemas; JSON is written canonically,
+graph come from joins that double its chains; arguments are checked against schemas; JSON is written canonically,
 with sorted keys and no white space. No conversation is gathered: rows carry their place instead.
 """
 
@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.operators.graph import longest_levels
+
 from .common import cut
 
 #: Schemas are broadcast up to this number of tools.
 BROADCAST_TOOLS = 50_000
-ROUNDS = 10_000
 
 
 def _get(v: str, path: str, kind: str) -> Column:
@@ -24,22 +25,13 @@ def _get(v: str, path: str, kind: str) -> Column:
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """``(conv, call_id, level)``: 0 without earlier calls, else one more than the highest; calls in or behind a cycle are left out.
+    """``(conv, call_id, level)``: 0 without earlier calls, else one more than the highest; null for calls in or behind a cycle.
 
-    Round n frees the calls of level n. Only edges to calls that wait are read and written again; finished calls are not.
+    Chains are walked by doubling, so a conversation that is one long chain takes logarithmic rounds.
     """
-    edges = calls.select("conv", "call_id", F.explode("after").alias("dep")).distinct()
-    waiting = cut(edges.join(calls.select("conv", F.col("call_id").alias("dep")), ["conv", "dep"], "left_semi").select("conv", "call_id", "dep"))
-    front = cut(calls.select("conv", "call_id").join(waiting.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti"))
-    done = front.withColumn("level", F.lit(0))
-    for level in range(1, ROUNDS + 1):
-        if waiting.isEmpty() or front.isEmpty():
-            return done
-        freed = front.select("conv", F.col("call_id").alias("dep"))
-        rest = cut(waiting.join(freed, ["conv", "dep"], "left_anti").select("conv", "call_id", "dep"))
-        front = cut(waiting.join(freed, ["conv", "dep"], "left_semi").select("conv", "call_id").distinct().join(rest.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti"))
-        done, waiting = done.union(front.withColumn("level", F.lit(level))), rest
-    raise RuntimeError(f"calls depend on each other over more than {ROUNDS} levels")
+    node = lambda call_id: F.struct("conv", F.col(call_id).alias("call_id"))
+    edges = calls.select(node("call_id").alias("node"), "conv", F.explode("after").alias("dep")).where("dep is not null").select("node", node("dep").alias("dep"))
+    return longest_levels(calls.select(node("call_id").alias("node")), edges).select("node.*", F.col("level").cast("int").alias("level"))
 
 
 #: JSON schema type -> types of a variant value.

@@ -68,3 +68,12 @@ def test_a_very_long_text_and_a_long_chain(spark):
     rows = [(1, 0, "assistant", {"tool_calls": [call(f"k{i}", "g", after=[f"k{i - 1}"]) for i in range(12)], "content": "x" * 500_000})]
     got = toolcalls.link_calls(turns(spark, rows)).collect()
     assert sorted(r.level for r in got if r.kind == "call") == list(range(0, 24, 2)) and len(next(r.json for r in got if r.kind == "message")) > 500_000
+
+
+def test_a_conversation_of_thousands_of_calls(spark):
+    n = 3000
+    ids = spark.range(n)
+    one = ids.selectExpr("1L as conv_id", "id as turn", "'assistant' as role", """concat('{"tool_calls":[{"id":"k', id, '","name":"g","after":["k', id - 1, '"]}]}') as text""")
+    two = ids.selectExpr("2L as conv_id", "id as turn", "'assistant' as role", """concat('{"tool_calls":[{"id":"k', id, '","name":"g","after":["k', id - 1, '","k', id - 2, '"]}]}') as text""").where("turn < 60")
+    got = toolcalls.link_calls(one.union(two)).where("kind = 'call'")
+    assert got.where("level = 2 * turn").count() == got.count() == n + 60
