@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.text import pypi_name
 
 from .evidence import KEY
+from .ranking import ranked
 
 
 def roll_up(declarations: DataFrame, resolved: DataFrame, usages: DataFrame) -> DataFrame:
@@ -39,11 +40,22 @@ def search(inventory: DataFrame, needle: str, columns: list[str]) -> DataFrame:
     return inventory.where(hit)
 
 
-def page(df: DataFrame, order: list[str | Column], limit: int, offset: int = 0) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of a total order: a top-k, not a global sort, with ``truncated`` if more follow."""
+#: Pages that end before this place come from a top-k, others from places dealt out by ranges.
+NEAR = 4096
+
+
+def page(df: DataFrame, order: list[str | Column], limit: int, offset: int = 0, near: int = NEAR) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of an order with their ``place``, and ``truncated`` if more follow.
+
+    A page near the start is a top-k of at most ``near`` rows; behind that every row gets its place by ranges, so no
+    task holds the rows before a deep page.
+    """
     if not 1 <= limit <= 1000 or offset < 0:
         raise ValueError("limit must be 1 to 1000, offset 0 or more")
-    got = df.orderBy(*order).limit(offset + limit + 1).withColumn("place", F.row_number().over(W.orderBy(*order)))
+    if offset + limit < near:
+        got = df.orderBy(*order).limit(offset + limit + 1).withColumn("place", F.row_number().over(W.orderBy(*order)))
+    else:
+        got = ranked(df, order).where((F.col("place") > offset) & (F.col("place") <= offset + limit + 1)).withColumn("place", F.col("place").cast("int"))
     return got.withColumn("truncated", F.max("place").over(W.partitionBy()) > offset + limit).where((F.col("place") > offset) & (F.col("place") <= offset + limit))
 
 
