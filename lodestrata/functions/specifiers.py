@@ -19,6 +19,8 @@ CLAUSES = f"array<struct<intervals:{INTERVALS},pre:boolean>>"
 _CLAUSE = r"^\s*(===|~=|==|!=|<=|>=|<|>)\s*(\S+)\s*\z"
 #: Maven versions that have a key: numbers, then perhaps one known qualifier with a number.
 _MAVEN = r"(?i)^\s*(\d+(?:\.\d+)*)(?:[-.]?(alpha|beta|milestone|rc|cr|snapshot|ga|final|release|sp)[-.]?(\d*))?\s*\z"
+#: The key of 0.dev0, below which there is no PEP 440 version.
+_FIRST = "0000.0000 0 0 00000"
 #: Behind all keys that go on behind these parts, before those of the next part's value.
 _END = "!"
 
@@ -40,7 +42,7 @@ def constraint_key(scheme: Column, version: Column) -> Column:
 
 def _interval(lo: Column | None, lo_in: bool, hi: Column | None, hi_in: bool) -> Column:
     null = F.lit(None).cast("string")
-    return F.struct((null if lo is None else lo).alias("lo"), F.lit(lo_in).alias("lo_inclusive"), (null if hi is None else hi).alias("hi"), F.lit(hi_in).alias("hi_inclusive"))
+    return F.struct((F.lit(_FIRST) if lo is None else lo).alias("lo"), F.lit(lo_in or lo is None).alias("lo_inclusive"), (null if hi is None else hi).alias("hi"), F.lit(hi_in).alias("hi_inclusive"))
 
 
 def pep440_clause(op: Column, text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.specifiers import compiled, holds
 from lodestrata.functions.text import pypi_name
 
 IDENTITY = ["project_id", "ecosystem", "package", "version", "instance"]
@@ -76,3 +77,14 @@ def bind_locks(declarations: DataFrame, locks: DataFrame, holds: Column) -> Data
     per = hits.groupBy("declaration").agg(F.count("*").alias("n"), F.count_if(F.col("holds_").isNull()).alias("n_unknown"), F.min("record").alias("only"))
     outcome = F.when(F.col("n").isNull(), "none").when(F.col("n") > 1, "ambiguous").when(F.col("n_unknown") > 0, "unknown").otherwise("bound")
     return declarations.join(per, "declaration", "left").select(*declarations.columns, outcome.alias("outcome"), F.when(outcome == "bound", F.col("only")).alias("record"))
+
+
+def bind_locks_by_text(declarations: DataFrame, locks: DataFrame) -> DataFrame:
+    """``bind_locks`` with texts: ``declarations`` has ``constraint_scheme`` and ``constraint_raw``, ``locks`` has ``version``; prereleases may be bound.
+
+    Each distinct constraint is compiled once and joined to its declarations.
+    """
+    texts = compiled(declarations.select(F.col("constraint_scheme").alias("scheme"), F.col("constraint_raw").alias("raw"))).select(F.col("scheme").alias("constraint_scheme"), F.col("raw").alias("constraint_raw"), "clauses")
+    own = declarations.join(texts, ["constraint_scheme", "constraint_raw"], "left")
+    bound = bind_locks(own, locks.withColumnRenamed("version", "version_"), holds(F.col("clauses"), F.col("constraint_scheme"), F.col("version_")))
+    return bound.select(*declarations.columns, "outcome", "record")

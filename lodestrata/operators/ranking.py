@@ -47,5 +47,5 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, n
     sums = rows.groupBy(*group, "sum_part_").agg(F.sum(value).alias("sum_own_"))
     before = sums.select(*group, "sum_part_", (F.sum("sum_own_").over(W.partitionBy(*group).orderBy("sum_part_")) - F.col("sum_own_")).alias("sum_before_"))
     local = rows.withColumn("sum_local_", F.sum(value).over(W.partitionBy(*group, "sum_part_").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))
-    joined = local.join(before, [*group, "sum_part_"])
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("sum_local_") + F.col("sum_before_")).alias(name))
+    joined = local.join(before, [local[c].eqNullSafe(before[c]) for c in [*group, "sum_part_"]])
+    return joined.select(*[local[c] for c in df.columns], (F.col("sum_local_") + F.col("sum_before_")).alias(name))

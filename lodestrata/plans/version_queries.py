@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from lodestrata.functions.text import parse_purl, purl, scope_of_path
 from lodestrata.functions.versions import npm_ranges, semver_key
-from lodestrata.operators import advisories, compare, constraints, graph
+from lodestrata.operators import advisories, compare, constraints, graph, ranking
 from lodestrata.plans import reports
 from lodestrata.sources.feeds import risk_context
 from lodestrata.sources.manifests import js_loads
@@ -40,10 +40,8 @@ def advisory_status(spark, sf_dir):
 
 @_query("select p_partkey, cast(dense_rank() over (order by p_size % 5, p_size) as bigint) rank from part")
 def version_order(spark, sf_dir):
-    # keys are ranked among distinct versions, of which there are few; parts join their version's rank
-    rows = _versions(spark, sf_dir).select(F.col("identity").cast("long").alias("p_partkey"), "version")
-    ranked = rows.select("version").distinct().withColumn("rank", F.row_number().over(W.orderBy(semver_key(F.col("version")))).cast("long"))
-    return rows.join(ranked, "version").select("p_partkey", "rank")
+    rows = _versions(spark, sf_dir).select(F.col("identity").cast("long").alias("p_partkey"), semver_key(F.col("version")).alias("key"))
+    return ranking.dense_ranked(rows, "key").select("p_partkey", "rank")
 
 
 @_query("""with c as (select p_brand, p_size % 4 m from part group by all) select 'p' project_id, 'npm' ecosystem, p_brand package, count(*) n_declarations,
