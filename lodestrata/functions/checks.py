@@ -53,7 +53,8 @@ def strict_json(text: Column) -> Column:
     """A struct (value, problem): strict JSON refuses duplicate keys, numbers that aren't finite and lone surrogates."""
     value = F.try_parse_json(text)
     lone = text.rlike(r"(?i)\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})") | text.rlike(r"(?i)(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2}")
-    endless = text.rlike(r"(^|[\[:,\s])-?(NaN|Infinity)\b")
+    bare = F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', '""')  # what strings say is no number
+    endless = bare.rlike(r"(^|[\[:,\s])-?(NaN|Infinity)\b")
     problem = F.when(text.isNull(), "json.missing").when(endless, "json.not-finite").when(value.isNull(), "json.invalid").when(lone, "json.not-unicode")
     return F.struct(F.when(problem.isNull(), F.to_json(value)).alias("value"), problem.alias("problem"))
 

@@ -55,6 +55,21 @@ def scope_of_path(path: Column) -> Column:
     return F.when(tests, "test").when(tools, "development").otherwise("runtime")
 
 
+def source_scope(ecosystem: Column, path: Column) -> Column:
+    """The scope of a source file by its ecosystem's conventions; ``path`` is relative to its project (fixed values: folder and file names)."""
+    parts, name = F.split(F.lower(path), "/"), F.lower(F.element_at(F.split(path, "/"), -1))
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    lies_in = lambda where, *names: F.arrays_overlap(where, F.array(*map(F.lit, names)))
+    python = lies_in(folders, "test", "tests") | name.rlike(r"^test_|_test\.py$|^conftest\.py$")
+    npm = lies_in(parts, "__tests__", "spec", "specs", "test", "tests") | stem.rlike(r"\.(test|spec)$") | stem.isin("playwright.config", "vitest.config", "jest.config", "karma.config")
+    go = name.endswith("_test.go") | lies_in(parts, "test")
+    cargo = F.element_at(parts, 1).isin("tests", "benches", "examples")
+    build = ((ecosystem == "npm") & stem.isin("astro.config", "vite.config", "webpack.config", "rollup.config")) | ((ecosystem == "cargo") & (F.lower(path) == "build.rs"))
+    test = F.when(ecosystem == "pypi", python).when(ecosystem == "npm", npm).when(ecosystem == "go", go).when(ecosystem == "cargo", cargo).otherwise(F.lit(False))
+    return F.when(test, "test").when(build, "build").otherwise("runtime")
+
+
 def escape_terminal(text: Column) -> Column:
     """Control characters but newline and tab, and direction marks, become question marks."""
     return F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F-\x9F‎‏‪-‮⁦-⁩]", "?")

@@ -7,52 +7,139 @@ import ast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import source_scope
 from lodestrata.lineage import cut
 from lodestrata.operators import evidence, graph
-from lodestrata.operators.lookup import longest_prefix
-from lodestrata.sources import manifests
+from lodestrata.operators.constraints import exact_pin, priority_lookup
+from lodestrata.operators.lookup import longest_prefix, prefixes
+from lodestrata.operators.selection import third_party
+from lodestrata.sources import builds, manifests
 from lodestrata.sources.files import folder
 from lodestrata.sources.manifests import _rows
 
 KEY = evidence.KEY
 
 
-def scan(files: DataFrame) -> dict[str, DataFrame]:
+#: Top-level modules whose distribution has another name.
+PYTHON_MODULES = {
+    "bs4": "beautifulsoup4", "cv2": "opencv-python", "dateutil": "python-dateutil", "dotenv": "python-dotenv", "git": "gitpython", "jose": "python-jose", "jwt": "pyjwt", "mysqldb": "mysqlclient", "pil": "pillow",
+    "sklearn": "scikit-learn", "yaml": "pyyaml",
+}
+#: What makes a folder a project of an ecosystem, and which files are its sources.
+MANIFESTS = {"npm": r"^package\.json$", "pypi": r"^(pyproject\.toml|requirements[\w.-]*\.txt)$", "go": r"^go\.mod$", "cargo": r"^Cargo\.toml$"}
+SOURCES = {"npm": r"\.(js|jsx|ts|tsx|mjs|cjs)$", "pypi": r"\.py$", "go": r"\.go$", "cargo": r"\.rs$"}
+_DECLARED = ["project_id", "ecosystem", "package", "scope", "kind", "constraint_raw", "constraint_scheme", "source_path", "go_kind"]
+
+
+def _projects(files: DataFrame) -> DataFrame:
+    """``(project_id, ecosystem)``: the folders with a manifest."""
+    name = F.substring_index("path", "/", -1)
+    found = F.array_compact(F.array(*[F.when(name.rlike(rule), F.lit(eco)) for eco, rule in MANIFESTS.items()]))
+    return files.select(folder(F.col("path")).alias("project_id"), F.explode(found).alias("ecosystem")).distinct()
+
+
+def _declarations(files: DataFrame, toml: DataFrame, cargo: DataFrame) -> DataFrame:
+    """What the manifests of all ecosystems declare; ``toml`` and ``cargo`` are the parsed pyproject and Cargo files."""
+    name = F.substring_index("path", "/", -1)
+
+    def rows(df: DataFrame, eco: str, scheme: str, package, scope, kind=None, constraint="constraint_raw", go_kind=None) -> DataFrame:
+        return df.select(
+            folder(F.col("path")).alias("project_id"), F.lit(eco).alias("ecosystem"), package.alias("package"), scope.alias("scope"), (F.lit("direct") if kind is None else kind).alias("kind"),
+            F.col(constraint).cast("string").alias("constraint_raw"), F.lit(scheme).alias("constraint_scheme"), F.col("path").alias("source_path"), F.lit(go_kind).cast("string").alias("go_kind"),
+        )
+
+    group = F.col("group")
+    py_scope = F.when(group == "runtime", "runtime").when(group.startswith("extra:"), "optional").otherwise("development")
+    txt_scope = F.when(name.rlike(r"(?i)(dev|test)"), "development").otherwise("runtime")
+    return (
+        rows(manifests.package_json(files.where(name == "package.json")), "npm", "semver", F.col("package"), F.col("scope"))
+        .unionByName(rows(toml.where("problem is null"), "pypi", "pep440", manifests.pypi_name(F.col("display_name")), py_scope))
+        .unionByName(rows(manifests.requirements(files.where(name.rlike(r"^requirements[\w.-]*\.txt$"))), "pypi", "pep440", F.col("package"), txt_scope))
+        .unionByName(rows(manifests.go_mod(files.where(name == "go.mod")), "go", "go", F.col("package"), F.lit("runtime"), F.when(F.col("indirect"), "transitive").otherwise("direct"), "version", "require"))
+        .unionByName(rows(cargo.where("problem is null and package is not null"), "cargo", "cargo", F.col("package"), F.col("scope")))
+    )
+
+
+def _python_usages(uses: DataFrame, sources: DataFrame, mapping: DataFrame | None) -> DataFrame:
+    """Imports that neither the standard library nor the project's own modules answer, by distribution: configured, known, or inferred from the module's name."""
+    parts = F.split("relative", "/")
+    parts = F.when((parts[0] == "src") & (F.size(parts) > 1), F.slice(parts, F.lit(2), F.size(parts))).otherwise(parts)
+    local = sources.select("project_id", F.when(F.size(parts) > 1, parts[0]).otherwise(F.regexp_replace(parts[0], r"\.py$", "")).alias("module")).where("module <> '__init__'")
+    rows = third_party(uses, local).withColumn("module", F.lower(F.substring_index("reference", ".", 1)))
+    known = uses.sparkSession.createDataFrame(list(PYTHON_MODULES.items()), "module string, package string")
+    tables = [("exact", known)] if mapping is None else [("configured", mapping.select(F.lower("reference").alias("module"), manifests.pypi_name(F.col("package")).alias("package"))), ("exact", known)]
+    return priority_lookup(rows, "module", tables, manifests.pypi_name(F.col("module"))).drop("module")
+
+
+def _go_usages(uses: DataFrame, declarations: DataFrame, files: DataFrame) -> DataFrame:
+    """Imports by the longest required module that is a prefix; the standard library's and the module's own are left out, others are unknown."""
+    own = files.where(F.substring_index("path", "/", -1) == "go.mod").select(folder(F.col("path")).alias("project_id"), F.regexp_extract("text", r"(?m)^\s*module\s+\"?([^\s\"]+)", 1).alias("own_"))
+    rows = uses.where(F.substring_index("reference", "/", 1).contains(".")).join(own, "project_id", "left").where("own_ is null or not (reference = own_ or startswith(reference, concat(own_, '/')))").drop("own_")
+    places = rows.select("project_id", "reference").distinct().withColumn("p", F.explode(prefixes(F.col("reference"))))
+    known = declarations.where("ecosystem = 'go'").select("project_id", F.col("package").alias("p")).distinct()
+    best = places.join(known, ["project_id", "p"]).groupBy("project_id", "reference").agg(F.max_by("p", F.length("p")).alias("package"))
+    return rows.join(best, ["project_id", "reference"], "left").withColumn("mapping_confidence", F.when(F.col("package").isNull(), "unknown").otherwise("exact"))
+
+
+def _cargo_usages(uses: DataFrame, cargo: DataFrame, sources: DataFrame) -> DataFrame:
+    """Crates by the name they are declared under (hyphens are underscores in sources); the project's own modules are left out, other names inferred."""
+    plain = lambda c: F.replace(F.col(c), F.lit("-"), F.lit("_"))
+    named = cargo.where("alias is not null").groupBy(folder(F.col("path")).alias("project_id"), plain("alias").alias("reference")).agg(F.min("package").alias("package"))
+    local = sources.select("project_id", F.regexp_replace(F.element_at(F.split("relative", "/"), -1), r"\.rs$", "").alias("reference")).unionByName(sources.select("project_id", F.try_element_at(F.split("relative", "/"), F.lit(-2)).alias("reference"))).where("reference is not null").distinct()
+    rows = uses.join(named, ["project_id", "reference"], "left")
+    mine = local.join(named, ["project_id", "reference"], "left_anti")
+    found = rows.join(mine, ["project_id", "reference"], "left_anti")
+    return found.withColumn("mapping_confidence", F.when(F.col("package").isNull(), "inferred").otherwise("exact")).withColumn("package", F.coalesce("package", "reference"))
+
+
+def scan(files: DataFrame, mapping: DataFrame | None = None) -> dict[str, DataFrame]:
     """Relations of ``files(path, text)``: projects, declarations, resolved, usages, capabilities, diagnostics, findings.
 
-    A project is a folder with a package.json or a pyproject.toml. Sources belong to the nearest one above them. Locks give resolved
-    versions, imports give usages; a file that can't be read gives a diagnostic and makes its project's evidence partial.
+    A project is a folder with a manifest of npm, PyPI, Go or Cargo (``MANIFESTS``). Sources belong to the nearest one of their
+    ecosystem above them; a source's scope comes from its path within the project. Imports of the language's own library and of
+    the project's own modules are no usages. ``mapping(reference, package)`` are configured names of Python modules. Locks
+    give resolved versions, package.json's scripts usages of the declared tools they run. A file that can't be read gives a
+    diagnostic and makes its project's evidence partial.
     """
     name = F.substring_index("path", "/", -1)
-    npm, python = files.where(name == "package.json"), files.where(name == "pyproject.toml")
-    projects = npm.select(folder(F.col("path")).alias("project_id"), F.lit("npm").alias("ecosystem")).unionByName(python.select(folder(F.col("path")).alias("project_id"), F.lit("pypi").alias("ecosystem"))).distinct()
-    projects = cut(projects)  # relations that others are built from are written once, not parsed again for each
-    declared_py = cut(manifests.pyproject(python))
-    columns = ["project_id", "ecosystem", "package", "scope", "kind", "constraint_raw", "constraint_scheme", "source_path"]
-    declarations = (
-        manifests.package_json(npm).select(folder(F.col("path")).alias("project_id"), F.lit("npm").alias("ecosystem"), "package", "scope", F.lit("direct").alias("kind"), "constraint_raw", F.lit("semver").alias("constraint_scheme"), F.col("path").alias("source_path"))
-        .unionByName(declared_py.where("problem is null").select(folder(F.col("path")).alias("project_id"), F.lit("pypi").alias("ecosystem"), manifests.pypi_name(F.col("display_name")).alias("package"), F.when(F.col("group") == "runtime", "runtime").when(F.col("group").startswith("extra:"), "optional").otherwise("development").alias("scope"), F.lit("direct").alias("kind"), "constraint_raw", F.lit("pep440").alias("constraint_scheme"), F.col("path").alias("source_path")))
-    ).select(columns)
-    declarations = cut(declarations)
-    resolved = manifests.package_lock(files.where(name == "package-lock.json")).where("instance <> ''").select(folder(F.col("path")).alias("project_id"), F.lit("npm").alias("ecosystem"), "package", "version")
-    js = manifests.js_loads(files.where(name.rlike(r"\.(js|jsx|ts|tsx|mjs|cjs)$"))).select("path", "reference", "kind", manifests.npm_package().alias("package"), F.lit("npm").alias("ecosystem"))
-    imports = cut(manifests.python_imports(files.where(name.rlike(r"\.py$"))))
-    py = imports.where("problem is null").select("path", "reference", "kind", manifests.pypi_name(F.substring_index("reference", ".", 1)).alias("package"), F.lit("pypi").alias("ecosystem"))
-    uses = js.unionByName(py).where("package is not null").withColumn("folder", folder(F.col("path")))
+    projects = cut(_projects(files))  # relations that others are built from are written once, not parsed again for each
+    toml, cargo = cut(manifests.pyproject(files.where(name == "pyproject.toml"))), cut(builds.cargo_toml(files.where(name == "Cargo.toml")))
+    declarations = cut(_declarations(files, toml, cargo))
+    resolved = (
+        manifests.package_lock(files.where(name == "package-lock.json")).where("instance <> ''").select(folder(F.col("path")).alias("project_id"), F.lit("npm").alias("ecosystem"), "package", "version")
+        .unionByName(manifests.toml_lock(files.where(name.isin("poetry.lock", "pdm.lock", "uv.lock", "pylock.toml"))).where("problem is null").select(folder(F.col("path")).alias("project_id"), F.lit("pypi").alias("ecosystem"), manifests.pypi_name(F.col("display_name")).alias("package"), "version"))
+        .unionByName(manifests.cargo_lock(files.where(name == "Cargo.lock")).select(folder(F.col("path")).alias("project_id"), F.lit("cargo").alias("ecosystem"), "package", "version"))
+    )
+    kind = F.array_compact(F.array(*[F.when(name.rlike(rule), F.lit(eco)) for eco, rule in SOURCES.items()]))
+    sources = files.select("path", F.explode(kind).alias("ecosystem"), folder(F.col("path")).alias("folder"))
     owned = None
-    for eco in ("npm", "pypi"):
+    for eco in SOURCES:
         roots = projects.where(F.col("ecosystem") == eco).select(F.col("project_id").alias("root"))
-        own = longest_prefix(uses.where(F.col("ecosystem") == eco), "folder", roots, "root").where("root is not null")
+        own = longest_prefix(sources.where(F.col("ecosystem") == eco), "folder", roots, "root").where("root is not null")
         owned = own if owned is None else owned.unionByName(own)
-    usages = cut(owned.select(F.col("root").alias("project_id"), "ecosystem", "package", F.lit("runtime").alias("scope"), F.when(F.col("kind") == "optional", "optional").otherwise("regular").alias("kind"), F.lit("exact").alias("mapping_confidence"), F.col("path").alias("source_path")))
-    bad = manifests.problems(declared_py, "manifest.unreadable").unionByName(manifests.problems(imports, "usage.unreadable"))
+    relative = F.when(F.col("root") == ".", F.col("path")).otherwise(F.expr("substring(path, length(root) + 2)"))
+    owned = cut(owned.select("path", "ecosystem", F.col("root").alias("project_id"), relative.alias("relative")).withColumn("scope", source_scope(F.col("ecosystem"), F.col("relative"))))
+    imports = cut(manifests.python_imports(files.where(name.rlike(SOURCES["pypi"]))))
+    text = lambda eco: files.where(name.rlike(SOURCES[eco]))
+    of = lambda loads, eco: loads.join(owned.where(F.col("ecosystem") == eco), "path")
+    own = lambda eco: owned.where(F.col("ecosystem") == eco)
+    regular = F.lit("regular").alias("kind")
+    js = of(manifests.js_loads(text("npm")).select("path", "reference", "kind"), "npm").withColumn("package", manifests.npm_package()).where("package is not null").withColumn("mapping_confidence", F.lit("exact"))
+    py = _python_usages(of(imports.where("problem is null").select("path", "reference", "kind"), "pypi"), own("pypi"), mapping)
+    go = _go_usages(of(builds.go_imports(text("go")).select("path", "reference", regular), "go"), declarations, files)
+    rust = _cargo_usages(of(builds.rust_references(text("cargo")).select("path", "reference", regular), "cargo"), cargo, own("cargo"))
+    columns = ["project_id", "ecosystem", "reference", "package", "scope", "kind", "mapping_confidence", F.col("path").alias("source_path")]
+    tools = builds.script_commands(files.where(name == "package.json")).where("supported").select(folder(F.col("path")).alias("project_id"), F.lit("npm").alias("ecosystem"), F.col("executable").alias("reference"), F.col("executable").alias("package"), F.lit("build").alias("scope"), F.lit("command").alias("kind"), F.lit("exact").alias("mapping_confidence"), F.col("path").alias("source_path"))
+    tools = tools.join(declarations.where("scope <> 'build'").select(KEY), KEY, "left_semi").select("project_id", "ecosystem", "reference", "package", "scope", "kind", "mapping_confidence", "source_path")
+    rows = js.select(columns).unionByName(py.select(columns)).unionByName(go.select(columns)).unionByName(rust.select(columns)).unionByName(tools)
+    usages = cut(rows.withColumn("kind", F.when(F.col("kind").isin("optional", "command"), F.col("kind")).otherwise("regular")))
+    bad = manifests.problems(toml, "manifest.unreadable").unionByName(manifests.problems(cargo, "manifest.unreadable")).unionByName(manifests.problems(imports, "usage.unreadable"))
     roots = projects.select(F.col("project_id").alias("root")).distinct()
     diagnostics = longest_prefix(bad.withColumn("folder", folder(F.col("path"))), "folder", roots, "root").select(F.col("root").alias("project_id"), "code", F.lit("error").alias("severity"), "path", "message")
     failed = diagnostics.select("project_id", F.when(F.col("code") == "manifest.unreadable", "manifest").otherwise("usage").alias("name")).distinct().withColumn("failed", F.lit(True))
     wanted = projects.select("project_id", F.explode(F.array(F.lit("manifest"), F.lit("usage"))).alias("name")).distinct()
     capabilities = wanted.join(failed, ["project_id", "name"], "left").select("project_id", "name", F.when(F.col("failed"), "partial").otherwise("complete").alias("state"))
-    exact = F.col("constraint_raw").rlike(r"^(==)?\s*\d+(\.\d+)*$")
-    found = evidence.findings(declarations, usages, resolved, capabilities, exact)
+    found = evidence.findings(declarations, usages, resolved, capabilities, exact_pin(F.col("constraint_scheme"), F.col("constraint_raw")))
     return {"projects": projects, "declarations": declarations, "resolved": resolved, "usages": usages, "capabilities": capabilities, "diagnostics": diagnostics, "findings": found}
 
 

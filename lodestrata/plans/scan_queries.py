@@ -17,7 +17,7 @@ _PROJECT = {
     "src/i.js": "import 'used'\nimport {\n x } from 'missing{m}/x'\n",
     "package-lock.json": '{"lockfileVersion":3,"packages":{"":{},"node_modules/used":{"version":"1.0.0"}}}',
     "pyproject.toml": '[project]\ndependencies = ["req{m}==1.0", "idle>=2"]\n',
-    "pkg/m.py": "import req{m}\nimport gone\n",
+    "pkg/m.py": "import os, req{m}\nimport gone\nimport yaml.nodes\nfrom pkg import n\n",
 }
 
 
@@ -31,7 +31,44 @@ def _files(spark, sf_dir):
 _FOUND = """with p as (select 'p' || p_partkey id, p_partkey % 7 m from part), f as (
 select id project_id, 'npm' ecosystem, 'missing' || m package, 'dependency.missing' code, 'error' severity from p union all select id, 'npm', 'a' || m, 'dependency.unpinned', 'warning' from p
 union all select id, 'npm', 'a' || m, 'dependency.unused', 'warning' from p where m <> 5 union all select id, 'pypi', 'idle', 'dependency.unpinned', 'warning' from p
-union all select id, 'pypi', 'idle', 'dependency.unused', 'warning' from p where m <> 5 union all select id, 'pypi', 'gone', 'dependency.missing', 'error' from p where m <> 5)"""
+union all select id, 'pypi', 'idle', 'dependency.unused', 'warning' from p where m <> 5 union all select id, 'pypi', 'pyyaml', 'dependency.missing', 'error' from p where m <> 5)"""
+
+
+#: Ten projects by a part's key: files of each, and the findings that they must give (ecosystem, package, code without its prefix, severity).
+_LAYOUTS = [
+    ({"package.json": '{"dependencies":{"x{m}":"1.0.0"}}', "a.js": "import fs from 'fs'\nimport p from 'node:path'\nimport y from 'x{m}/lib'\nimport './b'\nimport 'fs/promises'\n", "b.js": "require('https')"}, []),
+    ({"pyproject.toml": '[project]\ndependencies = ["PyYAML==6.0", "Pillow==1.0"]\n', "pkg/a.py": "import os, sys, yaml\nfrom pkg import b\nfrom PIL import Image\nimport pkg.b.c\n", "pkg/b.py": "import json.decoder\n", "tool.py": "import pkg\n"}, []),
+    ({"requirements.txt": "requests==2.0\nidle{m}==1\n", "src/app/m.py": "import app.x\nimport requests\nimport tool{m}\n", "setup.py": "import setuptools_{m}\n"}, [("pypi", "idle{m}", "unused", "warning")]),
+    ({"package.json": '{"devDependencies":{"jest":"29.0.0","chai":"4.0.0"},"scripts":{"test":"jest --ci"}}', "src/i.test.js": "import 'chai'\n", "src/i.js": "import 'chai'\n"}, [("npm", "chai", "scope-mismatch", "error")]),
+    ({"pyproject.toml": '[project]\ndependencies = []\n[dependency-groups]\ndev = ["pytest==8.0", "bs4-x{m}==1"]\n', "tests/test_a.py": "import pytest\nimport yaml\n", "conftest.py": "import pytest\n"}, [("pypi", "pyyaml", "missing", "error"), ("pypi", "bs4-x{m}", "unused", "warning")]),
+    ({"go.mod": "module ex.com/own{m}\n\nrequire (\n\tgithub.com/a/b v1.2.3\n\tgithub.com/a/b/v2 v2.0.0\n\tgolang.org/x/t v0.1.0 // indirect\n\tgithub.com/c/idle v1.0.0\n)\n", "m.go": 'package m\nimport (\n\t"fmt"\n\t"net/http"\n\t"ex.com/own{m}/sub"\n\t"github.com/a/b/v2/x"\n\t"github.com/a/b/y"\n)\n'}, [("go", "github.com/c/idle", "unused", "warning")]),
+    ({"Cargo.toml": '[package]\nname = "own"\n[dependencies]\nserde-x{m} = "=1.0.0"\nidle = "=1.0.0"\n[dev-dependencies]\nrstest = "=0.1.0"\n', "src/main.rs": "mod util;\nuse std::fs;\nuse serde_x{m}::De;\nuse util::x;\nuse crate::util;\n", "src/util.rs": "use super::x;\n", "tests/t.rs": "use rstest::rstest;\n"}, [("cargo", "idle", "unused", "warning")]),
+    ({"package.json": '{"dependencies":{"@s/a":"^1.0.0","v{m}":"1.0.0-rc.1"}}', "vite.config.js": "import '@s/a/plugin'\nimport 'lost-{m}'\n", "i.ts": "import v from 'v{m}'\n// import 'no'\nconst t = `import 'no2'`\n"}, [("npm", "@s/a", "unpinned", "warning"), ("npm", "lost-{m}", "missing", "error")]),
+    ({"package.json": '{"dependencies":{"outer":"1.0.0"}}', "o.js": "import 'outer'", "in/package.json": '{"dependencies":{"inner":"1.0.0"}}', "in/i.js": "import 'inner'\nimport 'outer'"}, [("npm", "outer", "missing", "error")]),
+    ({"pyproject.toml": "[project\n", "a.py": "import yaml\n"}, []),
+]
+
+
+def _layouts(spark, sf_dir):
+    key, rest = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 7).cast("string")
+    fill = lambda t: F.replace(F.lit(t), F.lit("{m}"), rest)
+    pick = None
+    for i, (files, _) in enumerate(_LAYOUTS):
+        entries = F.array(*[F.struct(F.concat(F.lit("q"), key, F.lit(f"/{n}")).alias("path"), fill(t).alias("text")) for n, t in files.items()])
+        pick = F.when(F.col("p_partkey") % 10 == i, entries) if pick is None else pick.when(F.col("p_partkey") % 10 == i, entries)
+    return _t(spark, sf_dir, "part").select(F.explode(pick).alias("f")).select("f.*")
+
+
+_LAYOUT_ROWS = " union all ".join(
+    f"select 'q' || p_partkey || '{'/in' if i == 8 else ''}' project_id, '{eco}' ecosystem, replace('{package}', '{{m}}', cast(p_partkey % 7 as varchar)) package, 'dependency.{code}' code, '{severity}' severity from part where p_partkey % 10 = {i}"
+    for i, (_, found) in enumerate(_LAYOUTS) for eco, package, code, severity in found
+)
+
+
+@_query(_LAYOUT_ROWS)
+def scan_layouts(spark, sf_dir):
+    """Ten layouts with standard, built-in and own modules, tests, tools, nested projects and an unreadable manifest: only true findings."""
+    return scan.scan(_layouts(spark, sf_dir))["findings"]
 
 
 @_query(f"{_FOUND} select * from f")

@@ -20,25 +20,43 @@ def _files(spark: SparkSession, at: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def _generations(spark: SparkSession, root: str) -> list[int]:
-    """Published generations: files of ``pointer`` named by a number that hold a version's name."""
+def _generations(spark: SparkSession, root: str) -> list[tuple[int, bool]]:
+    """Generations in order: files of ``pointer`` named by a number, and whether they hold a version's name."""
     fs, folder = _files(spark, f"{root}/pointer")
     if not fs.exists(folder):
         return []
-    return sorted(int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit() and s.getLen() > 0)
+    return sorted((int(s.getPath().getName()), s.getLen() > 0) for s in fs.listStatus(folder) if s.getPath().getName().isdigit())
 
 
 def current(spark: SparkSession, root: str) -> str | None:
-    """The published version's name: the one that the highest generation holds."""
-    found = _generations(spark, root)
+    """The published version's name: the one that the highest generation holds; generations without a name never were published."""
+    found = [n for n, named in _generations(spark, root) if named]
     return spark.read.text(f"{root}/pointer/{found[-1]}").first()[0] if found else None
 
 
+def _claim(spark: SparkSession, root: str, generation: int, version: str) -> None:
+    """Names ``version`` in a file of its own, then moves that to the generation's place unless something is there."""
+    fs, own = _files(spark, f"{root}/pointer/.{version}")
+    out = fs.create(own, False)
+    out.writeBytes(version)
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    keep = spark._sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    keep[0] = getattr(hadoop, "Options$Rename").NONE
+    try:
+        context = hadoop.FileContext.getFileContext(own.toUri() if own.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(own), fs.makeQualified(_files(spark, f"{root}/pointer/{generation}")[1]), keep)
+    except Exception as e:
+        fs.delete(own, False)
+        raise RuntimeError("another version was published; start again from it") from e
+
+
 def publish(spark: SparkSession, root: str, relations: dict[str, DataFrame], base: str | None) -> str:
     """Writes ``relations`` as a new version on top of ``base`` and names it; raises if another was published meanwhile.
 
-    A generation is a file that is created only if it isn't there, which the file system does at once: of two writers on the same
-    base one gets it, the other raises and takes its files away again. What fails before that leaves no published trace.
+    A generation's file appears with its content in one move that doesn't replace another: of two writers on the same base one gets
+    the place, the other raises and takes its files away. A writer that dies at any moment leaves either nothing published or
+    the whole version; what it leaves beside that is never read, and an empty generation of older writers is passed over.
     """
     version = uuid.uuid4().hex
     fs, folder = _files(spark, f"{root}/{version}")
@@ -46,15 +64,9 @@ def publish(spark: SparkSession, root: str, relations: dict[str, DataFrame], bas
         for name, df in relations.items():
             df.write.parquet(f"{root}/{version}/{name}")
         found = _generations(spark, root)
-        if (spark.read.text(f"{root}/pointer/{found[-1]}").first()[0] if found else None) != base:
+        if current(spark, root) != base:
             raise RuntimeError("another version was published; start again from it")
-        target = _files(spark, f"{root}/pointer/{found[-1] + 1 if found else 1}")[1]
-        try:
-            out = fs.create(target, False)
-        except Exception as e:
-            raise RuntimeError("another version was published; start again from it") from e
-        out.writeBytes(version)
-        out.close()
+        _claim(spark, root, found[-1][0] + 1 if found else 1, version)
     except BaseException:
         fs.delete(folder, True)
         raise

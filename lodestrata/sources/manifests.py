@@ -141,7 +141,7 @@ def go_mod(files: DataFrame) -> DataFrame:
     bare = F.regexp_replace("text", r"(?m)//(?! indirect).*$", "")
     block = F.array_join(F.regexp_extract_all(bare, F.lit(r"(?ms)^\s*require\s*\(\s*(.*?)^\s*\)"), F.lit(1)), "\n")
     single = F.array_join(F.regexp_extract_all(bare, F.lit(r"(?m)^\s*require[ \t]+([^(\s].*)$"), F.lit(1)), "\n")
-    rows = files.select("path", F.explode(F.split(F.concat_ws("\n", block, single), "\n")).alias("l")).withColumn("l", F.trim("l")).where(F.col("l").rlike(r'^\S+\s+v\S+'))
+    rows = files.select("path", F.explode(F.split(F.concat_ws("\n", block, single), "\n")).alias("l")).withColumn("l", F.regexp_replace("l", r"^\s+|\s+$", "")).where(F.col("l").rlike(r'^\S+\s+v\S+'))
     return rows.select("path", F.regexp_replace(F.regexp_extract("l", r"^(\S+)", 1), '"', "").alias("package"), F.regexp_extract("l", r"^\S+\s+(v\S+)", 1).alias("version"), F.col("l").contains("// indirect").alias("indirect"))
 
 
@@ -152,7 +152,7 @@ def go_replaces(files: DataFrame) -> DataFrame:
     for kind in ("replace", "exclude"):
         block = F.array_join(F.regexp_extract_all(bare, F.lit(rf"(?ms)^\s*{kind}\s*\(\s*(.*?)^\s*\)"), F.lit(1)), "\n")
         single = F.array_join(F.regexp_extract_all(bare, F.lit(rf"(?m)^\s*{kind}[ \t]+([^(\s].*)$"), F.lit(1)), "\n")
-        rows = files.select("path", F.lit(kind).alias("kind"), F.explode(F.split(F.concat_ws("\n", block, single), "\n")).alias("l")).withColumn("l", F.trim("l")).where("l <> ''")
+        rows = files.select("path", F.lit(kind).alias("kind"), F.explode(F.split(F.concat_ws("\n", block, single), "\n")).alias("l")).withColumn("l", F.regexp_replace("l", r"^\s+|\s+$", "")).where("l <> ''")
         out = rows if out is None else out.union(rows)
     side = F.split(F.col("l"), r"\s*=>\s*")
     word = lambda c, i: F.nullif(F.regexp_extract(c, r"^(\S+)(?:\s+(\S+))?", i), F.lit(""))
@@ -330,10 +330,22 @@ def js_loads(files: DataFrame) -> DataFrame:
     return _rows(files, "line int, reference string, kind string", ["line", "reference", "kind"], _js_loads).where("problem is null").drop("problem")
 
 
+#: Node's own modules.
+NODE_BUILTINS = [
+    "assert", "assert/strict", "async_hooks", "buffer", "child_process", "cluster", "console", "crypto", "dgram", "diagnostics_channel", "dns", "dns/promises", "domain", "events", "fs", "fs/promises",
+    "http", "http2", "https", "inspector", "inspector/promises", "module", "net", "os", "path", "path/posix", "path/win32", "perf_hooks", "process", "punycode", "querystring", "readline", "readline/promises",
+    "repl", "stream", "stream/consumers", "stream/promises", "stream/web", "string_decoder", "timers", "timers/promises", "tls", "tty", "url", "util", "util/types", "v8", "vm", "wasi", "worker_threads", "zlib",
+]
+
+
 def npm_package(reference: str = "reference"):
-    """The package of a module reference: two segments with a scope, one without; relative ones have none."""
-    c = F.col(reference)
-    return F.when(c.rlike(r"^(\.|/|#|node:)"), F.lit(None)).when(c.startswith("@"), F.regexp_extract(c, "^(@[^/]+/[^/]+)", 1)).otherwise(F.substring_index(c, "/", 1))
+    """The package of a module reference: two segments with a scope, one without, in lower case.
+
+    None for relative ones, ``#`` aliases, Node's own modules, and references with a scheme or to another host.
+    """
+    c = F.trim(F.col(reference))
+    none = (c == "") | c.rlike(r"^[./#]") | c.isin(*NODE_BUILTINS) | F.substring_index(c, "/", 1).contains(":")
+    return F.when(none, F.lit(None)).when(c.startswith("@"), F.nullif(F.lower(F.regexp_extract(c, "^(@[^/]+/[^/]+)", 1)), F.lit(""))).otherwise(F.lower(F.substring_index(c, "/", 1)))
 
 
 def _rows(files: DataFrame, schema: str, names: list[str], read: Callable[[str], list[tuple]]) -> DataFrame:
