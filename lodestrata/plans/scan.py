@@ -38,23 +38,35 @@ def _projects(files: DataFrame) -> DataFrame:
     return files.select(folder(F.col("path")).alias("project_id"), F.explode(found).alias("ecosystem")).distinct()
 
 
-def _declarations(files: DataFrame, toml: DataFrame, cargo: DataFrame) -> DataFrame:
-    """What the manifests of all ecosystems declare; ``toml`` and ``cargo`` are the parsed pyproject and Cargo files."""
+def _inclusions(files: DataFrame) -> DataFrame:
+    """``manifests.include_closure`` of the requirements files that make projects; only files of their kind are read for it."""
+    texts = files.where(F.col("path").rlike(r"\.(txt|in)$"))
+    return manifests.include_closure(texts, texts.where(F.substring_index("path", "/", -1).rlike(MANIFESTS["pypi"])))
+
+
+def _declarations(files: DataFrame, toml: DataFrame, cargo: DataFrame, inclusions: DataFrame) -> DataFrame:
+    """What the manifests of all ecosystems declare; ``toml`` and ``cargo`` are the parsed pyproject and Cargo files.
+
+    A requirements file declares for its project what it includes too; constraint files declare nothing.
+    """
     name = F.substring_index("path", "/", -1)
 
-    def rows(df: DataFrame, eco: str, scheme: str, package, scope, kind=None, constraint="constraint_raw", go_kind=None) -> DataFrame:
+    def rows(df: DataFrame, eco: str, scheme: str, package, scope, kind=None, constraint="constraint_raw", go_kind=None, home=None) -> DataFrame:
         return df.select(
-            folder(F.col("path")).alias("project_id"), F.lit(eco).alias("ecosystem"), package.alias("package"), scope.alias("scope"), (F.lit("direct") if kind is None else kind).alias("kind"),
+            (folder(F.col("path")) if home is None else home).alias("project_id"), F.lit(eco).alias("ecosystem"), package.alias("package"), scope.alias("scope"), (F.lit("direct") if kind is None else kind).alias("kind"),
             F.col(constraint).cast("string").alias("constraint_raw"), F.lit(scheme).alias("constraint_scheme"), F.col("path").alias("source_path"), F.lit(go_kind).cast("string").alias("go_kind"),
         )
 
     group = F.col("group")
     py_scope = F.when(group == "runtime", "runtime").when(group.startswith("extra:"), "optional").otherwise("development")
-    txt_scope = F.when(name.rlike(r"(?i)(dev|test)"), "development").otherwise("runtime")
+    # lines of each file once, by project: its own requirements files and what they include, a file of two roots once for each scope
+    scope = F.when(F.substring_index("root", "/", -1).rlike(r"(?i)(dev|test)"), "development").otherwise("runtime")
+    reached = inclusions.where("kind = 'requirement' and status = 'found'").select(folder(F.col("root")).alias("project_"), scope.alias("scope_"), "path").distinct()
+    included = manifests.requirements(files.join(reached.select("path").distinct(), "path", "left_semi")).join(reached, "path")
     return (
         rows(manifests.package_json(files.where(name == "package.json")), "npm", "semver", F.col("package"), F.col("scope"))
         .unionByName(rows(toml.where("problem is null"), "pypi", "pep440", manifests.pypi_name(F.col("display_name")), py_scope))
-        .unionByName(rows(manifests.requirements(files.where(name.rlike(r"^requirements[\w.-]*\.txt$"))), "pypi", "pep440", F.col("package"), txt_scope))
+        .unionByName(rows(included, "pypi", "pep440", F.col("package"), F.col("scope_"), home=F.col("project_")))
         .unionByName(rows(manifests.go_mod(files.where(name == "go.mod")), "go", "go", F.col("package"), F.lit("runtime"), F.when(F.col("indirect"), "transitive").otherwise("direct"), "version", "require"))
         .unionByName(rows(cargo.where("problem is null and package is not null"), "cargo", "cargo", F.col("package"), F.col("scope")))
     )
@@ -92,19 +104,21 @@ def _cargo_usages(uses: DataFrame, cargo: DataFrame, sources: DataFrame) -> Data
     return found.withColumn("mapping_confidence", F.when(F.col("package").isNull(), "inferred").otherwise("exact")).withColumn("package", F.coalesce("package", "reference"))
 
 
-def scan(files: DataFrame, mapping: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Relations of ``files(path, text)``: projects, declarations, resolved, usages, capabilities, diagnostics, findings.
+def scan(files: DataFrame, mapping: DataFrame | None = None, projects: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Relations of ``files(path, text)``: projects, declarations, resolved, usages, capabilities, diagnostics, inclusions, findings.
 
     A project is a folder with a manifest of npm, PyPI, Go or Cargo (``MANIFESTS``). Sources belong to the nearest one of their
     ecosystem above them; a source's scope comes from its path within the project. Imports of the language's own library and of
-    the project's own modules are no usages. ``mapping(reference, package)`` are configured names of Python modules. Locks
+    the project's own modules are no usages. ``mapping(reference, package)`` are configured names of Python modules; ``projects``
+    is given where ``files`` is only a part of the tree (see ``incremental``). Requirements files are read with what they include. Locks
     give resolved versions, package.json's scripts usages of the declared tools they run. A file that can't be read gives a
     diagnostic and makes its project's evidence partial.
     """
     name = F.substring_index("path", "/", -1)
-    projects = cut(_projects(files))  # relations that others are built from are written once, not parsed again for each
+    projects = cut(_projects(files)) if projects is None else projects  # relations that others are built from are written once, not parsed again for each
     toml, cargo = cut(manifests.pyproject(files.where(name == "pyproject.toml"))), cut(builds.cargo_toml(files.where(name == "Cargo.toml")))
-    declarations = cut(_declarations(files, toml, cargo))
+    inclusions = cut(_inclusions(files))
+    declarations = cut(_declarations(files, toml, cargo, inclusions))
     resolved = (
         manifests.package_lock(files.where(name == "package-lock.json")).where("instance <> ''").select(folder(F.col("path")).alias("project_id"), F.lit("npm").alias("ecosystem"), "package", "version")
         .unionByName(manifests.toml_lock(files.where(name.isin("poetry.lock", "pdm.lock", "uv.lock", "pylock.toml"))).where("problem is null").select(folder(F.col("path")).alias("project_id"), F.lit("pypi").alias("ecosystem"), manifests.pypi_name(F.col("display_name")).alias("package"), "version"))
@@ -133,14 +147,15 @@ def scan(files: DataFrame, mapping: DataFrame | None = None) -> dict[str, DataFr
     tools = tools.join(declarations.where("scope <> 'build'").select(KEY), KEY, "left_semi").select("project_id", "ecosystem", "reference", "package", "scope", "kind", "mapping_confidence", "source_path")
     rows = js.select(columns).unionByName(py.select(columns)).unionByName(go.select(columns)).unionByName(rust.select(columns)).unionByName(tools)
     usages = cut(rows.withColumn("kind", F.when(F.col("kind").isin("optional", "command"), F.col("kind")).otherwise("regular")))
-    bad = manifests.problems(toml, "manifest.unreadable").unionByName(manifests.problems(cargo, "manifest.unreadable")).unionByName(manifests.problems(imports, "usage.unreadable"))
+    lost = inclusions.where("status <> 'found' or (endless and path = root)").select(F.when(F.col("status") == "found", "manifest.include-cycle").otherwise(F.concat(F.lit("manifest.include-"), "status")).alias("code"), F.col("root").alias("path"), F.col("path").alias("message"))
+    bad = lost.unionByName(manifests.problems(toml, "manifest.unreadable")).unionByName(manifests.problems(cargo, "manifest.unreadable")).unionByName(manifests.problems(imports, "usage.unreadable"))
     roots = projects.select(F.col("project_id").alias("root")).distinct()
     diagnostics = longest_prefix(bad.withColumn("folder", folder(F.col("path"))), "folder", roots, "root").select(F.col("root").alias("project_id"), "code", F.lit("error").alias("severity"), "path", "message")
-    failed = diagnostics.select("project_id", F.when(F.col("code") == "manifest.unreadable", "manifest").otherwise("usage").alias("name")).distinct().withColumn("failed", F.lit(True))
+    failed = diagnostics.select("project_id", F.when(F.col("code").startswith("manifest."), "manifest").otherwise("usage").alias("name")).distinct().withColumn("failed", F.lit(True))
     wanted = projects.select("project_id", F.explode(F.array(F.lit("manifest"), F.lit("usage"))).alias("name")).distinct()
     capabilities = wanted.join(failed, ["project_id", "name"], "left").select("project_id", "name", F.when(F.col("failed"), "partial").otherwise("complete").alias("state"))
     found = evidence.findings(declarations, usages, resolved, capabilities, exact_pin(F.col("constraint_scheme"), F.col("constraint_raw")))
-    return {"projects": projects, "declarations": declarations, "resolved": resolved, "usages": usages, "capabilities": capabilities, "diagnostics": diagnostics, "findings": found}
+    return {"projects": projects, "declarations": declarations, "resolved": resolved, "usages": usages, "capabilities": capabilities, "diagnostics": diagnostics, "inclusions": inclusions, "findings": found}
 
 
 def canonical_rows(relations: dict[str, DataFrame]) -> DataFrame:

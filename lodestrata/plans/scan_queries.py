@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.operators import compare, inventory
-from lodestrata.plans import reports, scan, store
-from lodestrata.sources import positions
+from lodestrata.plans import incremental, reports, scan, store
+from lodestrata.sources import manifests, positions
 
 from .driver_queries import _query, _t
 from .parser_queries import _fine, _parser
@@ -99,6 +99,32 @@ def export_problems(spark, sf_dir):
     return scan.export_problems(parts)
 
 
+@_query("""with recursive n as (select c_custkey k from customer), m as (select max(k) top from n),
+e as (select k a, k // 2 b, false c from n where k > 1 union all select k, k - 1, true from n where k % 10 = 3 union all select k, 2 * k, false from n where k % 100 = 0 union all select k, -k, false from n where k % 50 = 7),
+cl(r, p, c, d) as (select k, k, false, 0 from n where k % 20 = 9 union select r, b, cl.c or e.c, d + 1 from cl join e on e.a = cl.p where d < 40 and cl.p > 0),
+ok as (select e.a, e.b from e join n on n.k = e.b), up(a, b) as (select a, b from ok union select up.a, ok.b from up join ok on ok.a = up.b), turning as (select distinct a from up where a in (select a from up where a = b) union select distinct a from up where b in (select a from up where a = b))
+select 'r/f' || r || '.txt' root, case when p < 0 then 'r/gone' || -p || '.txt' else 'r/f' || p || '.txt' end path, case when c then 'constraint' else 'requirement' end kind, min(d) depth, case when p between 1 and (select top from m) then 'found' else 'missing' end status,
+p in (select a from turning) endless from cl group by r, p, c""")
+def include_closure(spark, sf_dir):
+    """Customers as requirements files: each includes its half, some constrain their neighbour, some go round with their double, some name what isn't there."""
+    k = F.col("c_custkey")
+    line = lambda when, text: F.when(when, text).otherwise("")
+    name = lambda x: F.concat(F.lit("f"), x.cast("string"), F.lit(".txt\n"))
+    text = F.concat(line(k > 1, F.concat(F.lit("-r "), name(F.floor(k / 2)))), F.lit("pkg==1\n"), line(k % 10 == 3, F.concat(F.lit("-c "), name(k - 1))), line(k % 100 == 0, F.concat(F.lit("--requirement=../r/"), name(2 * k))), line(k % 50 == 7, F.concat(F.lit("-r gone"), k.cast("string"), F.lit(".txt"))))
+    files = _t(spark, sf_dir, "customer").select(F.concat(F.lit("r/f"), k.cast("string"), F.lit(".txt")).alias("path"), text.alias("text"), k.alias("k"))
+    return manifests.include_closure(files, files.where("k % 20 = 9"))
+
+
+@_query(_LAYOUT_ROWS.replace("p_partkey % 10 =", "p_partkey % 7 <> 3 and p_partkey % 10 =") + " union all " + _LAYOUT_ROWS.replace("'q' ||", "'n/q' ||").replace("p_partkey % 10 =", "p_partkey % 7 = 3 and p_partkey % 10 ="))
+def scan_update(spark, sf_dir):
+    """A scan brought up to date after every seventh project moved and one project in eleven had been broken before: the findings of a new scan."""
+    files = _layouts(spark, sf_dir)
+    k = F.regexp_extract("path", r"^q(\d+)", 1).cast("long")
+    broken = files.withColumn("text", F.when((k % 11 == 0) & F.col("path").rlike("(json|toml|txt|mod)$"), "{}").otherwise(F.col("text")))
+    moved = files.withColumn("path", F.when(k % 7 == 3, F.concat(F.lit("n/"), "path")).otherwise(F.col("path")))
+    return incremental.update(scan.scan(broken), incremental.file_state(broken), moved)[0]["findings"]
+
+
 _CALLS = "import lib\nfrom other{m} import helper\ndef a{k}():\n    b()\n    helper()\n    lib.go{m}()\ndef b():\n    return len('x')\nclass C:\n    def run(self):\n        self.go()\n    def go(self):\n        a{k}()\n"
 _parser(
     "python_calls", _CALLS, ["path", "caller", "callee"],

@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.checks import inside
 from lodestrata.functions.text import pypi_name
-from lodestrata.lineage import cut
+from lodestrata.lineage import Grown, cut
 from lodestrata.operators.compare import occurrences
+from lodestrata.operators.graph import longest_levels
 
 from .files import folder, numbered_lines
 
@@ -59,6 +61,33 @@ def includes(files: DataFrame) -> DataFrame:
     return rows.select("path", full.alias("target"), F.when(F.col("text").rlike(r"^\s*(-c|--constraint)"), "constraint").otherwise("requirement").alias("kind"))
 
 
+def include_closure(files: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:
+    """``(root, path, kind, depth, status, endless)``: what each requirements file of ``roots(path)`` includes, itself at depth 0.
+
+    Rounds of joins on new (root, file, kind) rows alone, so cycles end. What a constraint file includes is a constraint too;
+    a file reached as both has two rows, each with its least depth. ``status`` is found, missing, or outside for a target that
+    leaves the root folder (its ``path`` is the text as given); ``endless`` tells whether a file is in or leads into a cycle of includes.
+    """
+    edges = includes(files).withColumn("inner", inside(F.col("target")))
+    edges = cut(edges.select("path", F.coalesce("inner", "target").alias("target"), F.col("inner").isNull().alias("out"), "kind").distinct())
+    front = cut(roots.select(F.col("path").alias("root"), "path", F.lit("requirement").alias("kind"), F.lit(False).alias("out")).distinct().withColumn("depth", F.lit(0)))
+    seen = Grown(front)
+    for step in range(1, rounds + 1):
+        kind = F.when((F.col("f.kind") == "constraint") | (F.col("e.kind") == "constraint"), "constraint").otherwise("requirement")
+        found = front.alias("f").where("not out").join(edges.alias("e"), F.col("f.path") == F.col("e.path")).select("f.root", F.col("e.target").alias("path"), kind.alias("kind"), "e.out").distinct()
+        front = cut(found.join(seen.rows().select("root", "path", "kind"), ["root", "path", "kind"], "left_anti").withColumn("depth", F.lit(step)))
+        if front.isEmpty():
+            break
+        seen.add(front)
+    else:
+        raise RuntimeError(f"includes go deeper than {rounds} files")
+    there = files.select("path").distinct().withColumn("there", F.lit(True))
+    ends = edges.where("not out").select(F.col("path").alias("node"), F.col("target").alias("dep"))
+    round_ = longest_levels(ends.select("node").union(ends.select("dep")), ends).where("level is null").select(F.col("node").alias("path"), F.lit(True).alias("endless"))
+    status = F.when(F.col("out"), "outside").when(F.col("there"), "found").otherwise("missing")
+    return seen.rows().join(there, "path", "left").join(round_, "path", "left").select("root", "path", "kind", "depth", status.alias("status"), F.coalesce("endless", F.lit(False)).alias("endless"))
+
+
 #: Sections of package.json and their scopes.
 NPM_SECTIONS = {"dependencies": "runtime", "devDependencies": "development", "peerDependencies": "peer", "optionalDependencies": "optional"}
 
