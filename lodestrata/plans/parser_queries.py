@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.sources import builds, manifests, settings
 
-from .driver_queries import ORACLE, QUERIES, _t
+from .driver_queries import ORACLE, QUERIES, _query, _t
 
 
 def _parser(name: str, template: str, columns: list[str], rows: list[tuple], read, at: str = "f{k}"):
@@ -155,3 +155,20 @@ _parser("python_fan_in", '[project]\ndependencies = ["A{k}", "A{k}", "b"]\n', ["
 _parser("read_configuration", 'exclude = ["gen{k}", "out"]\n[import-mapping]\nyaml = "pyyaml{m}"\n', ["path", "key", "name", "value"], [("path", "'exclude'", "null", "'gen' || k"), ("path", "'exclude'", "null", "'out'"), ("path", "'import-mapping'", "'yaml'", "'pyyaml' || m")], lambda f: _fine(settings.configuration(f)))
 _parser("read_policy", '{"fail_on":["r{m}"],"exemptions":[{"risk":"r","package":"p{k}","owner":"o","reason":"x","expires_at":"2030-01-0{m}"},{"risk":"r","package":"q","owner":" ","reason":"x","expires_at":"2030-01-01"}]}', ["path", "place", "package", "problem"], [("path", "'0'", "'p' || k", "case when m = 0 then 'policy.incomplete' end"), ("path", "'1'", "'q'", "'policy.incomplete'")], lambda f: settings.policy(f)[1])
 _parser("read_records", '{"records":[{"package":"p{k}","version":"1.{m}","scripts":"s"},{"package":"q"}]}', ["path", "place", "package", "version", "problem"], [("path", "'0'", "'p' || k", "'1.' || m", "null"), ("path", "'1'", "'q'", "null", "'record.incomplete'")], lambda f: settings.records(f, "behavior"))
+
+
+@_query("""with p as (select p_partkey k, p_partkey % 5 f from part), v(k, key, value, status) as (
+select k, 'a', cast(k as varchar), 'resolved' from p union all select k, 'b', 'x' || k || '-' || k, 'resolved' from p where f = 0 union all select k, 'b', '${gone}/' || k, 'unresolved' from p where f = 1
+union all select k, 'b', '${c}', 'cycle' from p where f = 2 union all select k, 'c', '${b}' || '${a}', 'cycle' from p where f = 2 union all select k, 'd', '${b}+', 'cycle' from p where f = 2
+union all select k, 'b', 'v' || k || '.v' || k || '!', 'resolved' from p where f = 3 union all select k, 'c', 'v' || k, 'resolved' from p where f = 3 union all select k, 'b', '$ ' || '${}', 'unresolved' from p where f = 4)
+select 'd/p' || k || '/pom.xml' path, key, value, status from v""")
+def pom_properties(spark, sf_dir):
+    """Five forms of properties by a part's key: embedded, unknown, in and behind a cycle, nested through two levels, and odd texts."""
+    k = F.col("p_partkey")
+    s, f = k.cast("string"), k % 5
+    tags = (
+        F.when(f == 0, "<b>x${a}-${a}</b>").when(f == 1, "<b>${gone}/${a}</b>").when(f == 2, "<b>${c}</b><c>${b}${a}</c><d>${b}+</d>").when(f == 3, "<b>${c}.${c}!</b><c>v${a}</c>").otherwise("<b>$ ${}</b>")
+    )
+    text = F.concat(F.lit("<project><groupId>g</groupId><artifactId>p"), s, F.lit("</artifactId><properties><a>"), s, F.lit("</a>"), tags, F.lit("</properties></project>"))
+    files = _t(spark, sf_dir, "part").select(F.concat(F.lit("d/p"), s, F.lit("/pom.xml")).alias("path"), text.alias("text"))
+    return manifests.pom_properties(files).where("length(key) = 1")

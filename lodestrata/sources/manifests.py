@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.checks import inside
 from lodestrata.functions.text import pypi_name
 from lodestrata.lineage import Grown, cut
+from lodestrata.operators import substitution
 from lodestrata.operators.compare import occurrences
 from lodestrata.operators.graph import longest_levels
 
@@ -253,6 +254,9 @@ def _pom_model(text: str) -> list[tuple]:
     out += [("property", tag(x), (x.text or "").strip(), None) for x in (child(root, "properties") if child(root, "properties") is not None else []) if tag(x)]
     out += [("managed", f"{value(d, 'groupId')}:{value(d, 'artifactId')}", value(d, "version"), value(d, "scope")) for d in dependencies(child(root, "dependencyManagement"))]
     out += [("dependency", f"{value(d, 'groupId')}:{value(d, 'artifactId')}", value(d, "version"), value(d, "scope")) for d in dependencies(root)]
+    build = child(root, "build")
+    for fact, node in (("plugin", child(build, "plugins")), ("managed-plugin", child(child(build, "pluginManagement"), "plugins"))):
+        out += [(fact, f"{value(p, 'groupId') or 'org.apache.maven.plugins'}:{value(p, 'artifactId')}", value(p, "version"), None) for p in node if tag(p) == "plugin"] if node is not None else []
     for profile in child(root, "profiles") if child(root, "profiles") is not None else []:
         out += [("profile-dependency", f"{value(d, 'groupId')}:{value(d, 'artifactId')}", value(d, "version"), value(d, "scope")) for d in dependencies(profile)]
         out += [("profile-management", f"{value(d, 'groupId')}:{value(d, 'artifactId')}", value(d, "version"), value(d, "scope")) for d in dependencies(child(profile, "dependencyManagement"))]
@@ -264,14 +268,8 @@ def pom_facts(files: DataFrame) -> DataFrame:
     return _rows(files, "fact string, key string, value string, extra string", ["fact", "key", "value", "extra"], _pom_model)
 
 
-def pom(files: DataFrame, rounds: int = 16) -> DataFrame:
-    """pom.xml dependencies in effect: ``(path, package, constraint_raw, scope, maven_kind)``.
-
-    Parents are the files of ``files`` with the parent's coordinates, found by joins, the nearest first. Properties, managed versions
-    and managed scopes come from the file itself, else from its nearest ancestor that has them; dependencies of ancestors are
-    inherited. ``${...}`` is filled in from properties and ``project.version``; what isn't known stays as it is. Profiles' rows
-    are kept apart by ``maven_kind``. A chain of parents that returns to itself, or is longer than ``rounds``, ends there.
-    """
+def _pom_chain(files: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Coordinates ``(path, own, own_version)`` of pom files, and their and their ancestors' facts with ``depth``, the nearest first."""
     facts = cut(pom_facts(files).where("problem is null").drop("problem"))
     selfs = facts.where("fact = 'self'").select("path", F.col("key").alias("own"), F.col("value").alias("own_version"))
     by_name = selfs.groupBy(F.col("own").alias("key")).agg(F.min("path").alias("up"))
@@ -283,22 +281,52 @@ def pom(files: DataFrame, rounds: int = 16) -> DataFrame:
         if front.isEmpty():
             break
         chain = cut(chain.union(front))
-    seen = chain.join(facts.withColumnRenamed("path", "at"), "at")
-    nearest = lambda kind, *cols: seen.where(F.col("fact") == kind).groupBy("path", "key").agg(F.min_by(F.struct(*cols), "depth").alias("n"))
-    properties = nearest("property", "value").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("key", "n.value"))).alias("properties"))
-    managed = nearest("managed", "value", "extra").select("path", "key", F.col("n.value").alias("managed_version"), F.col("n.extra").alias("managed_scope"))
-    kinds = ["dependency", "profile-dependency", "profile-management"]
-    wanted = seen.where(F.col("fact").isin(*kinds)).groupBy("path", "fact", "key").agg(F.min_by(F.struct("value", "extra"), "depth").alias("n")).select("path", "fact", "key", "n.value", "n.extra")
-    rows = wanted.join(managed, ["path", "key"], "left").join(properties, "path", "left").join(selfs, "path")
-    known = F.map_concat(F.coalesce("properties", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
-
-    def filled(c: Column) -> Column:
-        name = F.regexp_extract(c, r"^\$\{([^}]+)\}$", 1)
-        return F.coalesce(F.try_element_at(known, name), F.when(name.isin("project.version", "version"), F.col("own_version")), c)
-
-    version = F.coalesce("value", "managed_version")
-    scope = F.coalesce("extra", "managed_scope", F.lit("compile"))
-    return rows.select("path", filled(F.col("key")).alias("package"), F.coalesce(filled(filled(version)), F.lit("")).alias("constraint_raw"), F.when(scope == "test", "test").when(scope.isin("provided", "system"), "build").otherwise("runtime").alias("scope"), F.col("fact").alias("maven_kind"))
+    return selfs, cut(chain.join(facts.withColumnRenamed("path", "at"), "at"))
+
+
+def _nearest(seen: DataFrame, kind: str, *cols: str) -> DataFrame:
+    return seen.where(F.col("fact") == kind).groupBy("path", "key").agg(F.min_by(F.struct(*cols), "depth").alias("n"))
+
+
+def _pom_properties(selfs: DataFrame, seen: DataFrame) -> DataFrame:
+    parent = _nearest(seen.where("depth = 0"), "parent", "value").select("path", F.col("key").alias("up"), F.col("n.value").alias("up_version"))
+    part = lambda c, i: F.split(c, ":", 2)[i]
+    names = {"groupId": part(F.col("own"), 0), "artifactId": part(F.col("own"), 1), "version": F.col("own_version"), "parent.groupId": part(F.col("up"), 0), "parent.artifactId": part(F.col("up"), 1), "parent.version": F.col("up_version")}
+    given = [F.struct(F.lit(p + k).alias("key"), v.alias("value")) for k, v in names.items() for p in ("project.", "pom.", "") if p or k == "version"]
+    own = selfs.join(parent, "path", "left").select("path", F.inline(F.array(*given))).where("value is not null")
+    told = _nearest(seen, "property", "value").select("path", "key", F.col("n.value").alias("value"))
+    return substitution.resolve(told.unionByName(own.join(told, ["path", "key"], "left_anti").select("path", "key", "value")).withColumnRenamed("path", "scope"))
+
+
+def pom_properties(files: DataFrame, rounds: int = 16) -> DataFrame:
+    """``(path, key, value, status)``: the properties in effect of pom.xml files, references in them filled in; see ``substitution.resolve``.
+
+    A file's own properties go before its ancestors', these before the project's and the parent's coordinates.
+    """
+    return _pom_properties(*_pom_chain(files, rounds)).withColumnRenamed("scope", "path")
+
+
+def pom(files: DataFrame, rounds: int = 16) -> DataFrame:
+    """pom.xml dependencies and plugins in effect: ``(path, package, constraint_raw, scope, maven_kind)``.
+
+    Parents are the files of ``files`` with the parent's coordinates, found by joins, the nearest first. Properties, managed versions
+    and managed scopes come from the file itself, else from its nearest ancestor that has them; dependencies and plugins of ancestors
+    are inherited. ``${...}`` anywhere in a text is filled in from the properties, which may hold references themselves; what isn't known
+    or goes round stays as it is. Profiles' rows are kept apart by ``maven_kind``. A chain of parents that returns to itself, or is
+    longer than ``rounds``, ends there.
+    """
+    selfs, seen = _pom_chain(files, rounds)
+    resolved = cut(_pom_properties(selfs, seen))
+    managed = _nearest(seen, "managed", "value", "extra").select("path", "key", F.lit("dependency").alias("of"), F.col("n.value").alias("managed_version"), F.col("n.extra").alias("managed_scope"))
+    plugins = _nearest(seen, "managed-plugin", "value").select("path", "key", F.lit("plugin").alias("of"), F.col("n.value").alias("managed_version"), F.lit(None).cast("string").alias("managed_scope"))
+    kinds = ["dependency", "profile-dependency", "profile-management", "plugin"]
+    wanted = seen.where(F.col("fact").isin(*kinds)).groupBy("path", "fact", "key").agg(F.min_by(F.struct("value", "extra"), "depth").alias("n")).select("path", "fact", "key", "n.value", "n.extra", F.when(F.col("fact") == "plugin", "plugin").otherwise("dependency").alias("of"))
+    rows = wanted.join(managed.unionByName(plugins), ["path", "key", "of"], "left").join(selfs, "path")
+    rows = rows.withColumn("version", F.coalesce("value", "managed_version")).withColumn("scope", F.coalesce("extra", "managed_scope", F.lit("compile")))
+    for column, name in (("key", "package"), ("version", "constraint_"), ("scope", "scope_")):
+        rows = substitution.fill(rows, "path", column, resolved, name)
+    scope = F.when(F.col("fact") == "plugin", "build").when(F.col("scope_") == "test", "test").when(F.col("scope_").isin("provided", "system"), "build").otherwise("runtime")
+    return rows.select("path", "package", F.coalesce("constraint_", F.lit("")).alias("constraint_raw"), scope.alias("scope"), F.col("fact").alias("maven_kind"))
 
 
 def vcpkg_json(files: DataFrame) -> DataFrame:
