@@ -56,4 +56,4 @@ def test_run_equals_brute_force(spark, tmp_path):
 
 
 def test_queries_are_registered():
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)} and set(queries.ORACLE) <= set(queries.QUERIES)
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)} and set(queries.ORACLE) <= set(queries.QUERIES)
