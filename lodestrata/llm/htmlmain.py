@@ -4,9 +4,10 @@ Pass one scores the containers of each page (their own text less links, outside
 each page votes for its best container's generalised path of tags and classes; Spark adds the votes up by
 host. Pass two re-extracts every page with its host's winning path; a page without that path uses its own.
 
-Elements such as ``nav`` or ``form`` never hold the article. A name (``sidebar``, ``comments``) or a ``header``
-only makes an element suspect: its text is left out unless the article itself stands in it, the page has no
-other text, or it is an article's own header with a heading.
+Elements such as ``nav`` or ``form`` hold no article text, but for an article or main element within one that may wrap a
+whole page. A name (``sidebar``, ``comments``) or a ``header`` only makes an element suspect: its text is left out unless the
+article itself stands in it, a name of a short part holds most of a page's text that has no article element elsewhere, the
+page has no other text, or it is an article's own header with a heading.
 """
 
 from __future__ import annotations
@@ -31,13 +32,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CONTAINERS = frozenset("article main section div td table tbody tr center".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption address hr br th thead tfoot caption details summary body html fieldset header".split())
 NOT_TEXT = frozenset("head script style noscript template iframe object svg math canvas nav footer aside form button select option textarea dialog menu".split())
+#: Of those, the ones that a page may put around an article, and around its main element.
+AROUND_ARTICLE = frozenset("form nav".split())
+AROUND_MAIN = AROUND_ARTICLE | frozenset("footer aside dialog menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of class names and ids, and roles, of boilerplate; parts in front of a name that only says what a page has or lacks.
 BAD_NAME = frozenset(
-    """ad ads advert advertisement advertisements adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer
+    """ad ads advert advertisement advertisements adverts banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies discussion disqus footer
     gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted recommend recommended
     related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets""".split()
 )
+#: Of these, names of parts that are short beside an article: one that holds most of a page's text is the article under an odd name.
+SHORT_NAME = frozenset("banner masthead notice notices notification pager pagination share sharing social topbar".split())
 MODIFIERS = frozenset("has with no without is not show hide js".split())
 BAD_ROLE = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status toolbar".split())
 #: An open element that a new one of the same row closes, up to the next container.
@@ -81,7 +87,9 @@ class _Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int | None]] = []  # tag, whether it is boilerplate, its number if it is suspect
+        self.open: list[tuple[str, int, int | None]] = []  # tag, what it adds to ``bad`` (an article within gates takes it off), its number if it is suspect
+        self.gates: list[str] = []  # tags of open boilerplate elements; others than by their tag as ""
+        self.names: list[str] = []  # of all suspects by number
         self.path: list[str] = []
         self.bad = self.links = self.articles = 0
         self.suspects: list[tuple[int, str, bool]] = []  # open ones: number, name, whether an article is around it
@@ -103,6 +111,8 @@ class _Page(HTMLParser):
             if tag in BLOCKS or bad or suspect is not None:
                 self._end_block()
             self.bad -= bad
+            if bad > 0:
+                self.gates.pop()
             self.links -= tag == "a"
             self.articles -= tag in ("article", "main")
             if suspect is not None:
@@ -134,8 +144,14 @@ class _Page(HTMLParser):
         if name:
             number, self.seen = self.seen, self.seen + 1
             self.suspects.append((number, name, self.articles > 0))
-        self.open.append((tag, bad, number))
-        self.bad += bad
+            self.names.append(name)
+        weight = int(bad)
+        if bad:
+            self.gates.append(tag if tag in NOT_TEXT and "hidden" not in named else "")
+        elif self.bad > 0 and (tag == "main" and AROUND_MAIN.issuperset(self.gates) or tag == "article" and AROUND_ARTICLE.issuperset(self.gates)):
+            weight = -self.bad
+        self.open.append((tag, weight, number))
+        self.bad += weight
         self.links += tag == "a"
         if tag in CONTAINERS:
             self.path.append(_step(tag, named))
@@ -167,6 +183,14 @@ def blocks(html: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     page.close()
     page._pop(0)
     page._end_block()
+    sizes: dict[int, int] = {}
+    for _, text, linked, around in page.blocks:
+        for n in around:
+            sizes[n] = sizes.get(n, 0) + max(0, len(text) - 2 * linked)
+    marked = any(step.split(".", 1)[0] in ("article", "main") for path, _, _, around in page.blocks if page.cleared.issuperset(around) for step in path)
+    if sizes and not marked:
+        least = SHARE * sum(max(0, len(text) - 2 * linked) for _, text, linked, _ in page.blocks)
+        page.cleared.update(n for n, size in sizes.items() if size > 0 and size >= least and page.names[n] in SHORT_NAME)
     free = [b for b in page.blocks if page.cleared.issuperset(b[3])]
     return [b[:3] for b in free or page.blocks]
 

@@ -89,3 +89,19 @@ def test_generated_pages_equal_their_article(spark):
         want[n] = joined(plain(title), *map(plain, parts))
     got = {r.page_id: (r.text, r.n_chars) for r in htmlmain.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {n: (t, len(t)) for n, t in want.items()}
+
+
+STORY = "<p>One long sentence of the article stands here.</p><p>Another one follows it, longer than the first one is.</p>"
+TOLD = "One long sentence of the article stands here. Another one follows it, longer than the first one is."
+
+
+def test_gates_and_names_around_the_article():
+    text = lambda html: htmlmain.main_text(html, None)[0]
+    assert text(f'<form id="aspnetForm"><input><p>Search</p><article>{STORY}</article><p>Send</p></form>') == TOLD
+    assert text(f"<nav><a href='/'>Home</a><article>{STORY}</article><footer>All rights</footer>") == TOLD
+    assert text(f"<aside><main>{STORY}</main><p>Ad</p></aside>") == TOLD
+    assert text(f'<div class="article-notice">{STORY}</div><div class="x">Other small text.</div>').startswith(TOLD)
+    assert text(f'<div class="story-share">{STORY}</div><p>Copyright</p>').startswith(TOLD)
+    assert text(f'<article>{STORY}<ol class="commentlist"><li>A reader says a lot, and more than the article itself does, and still more of it, and on and on and on, without an end in sight.</li></ol></article>') == TOLD
+    assert text(f"<div>{STORY}</div><aside><article>A teaser of another page that is left out</article></aside><form><template><article>No</article></template></form><div hidden><article>Neither</article></div>") == TOLD
+    assert text(f"<article>{STORY}</article><form><p>Comment</p></form>") == TOLD
