@@ -70,6 +70,41 @@ def nested_page(df: DataFrame, lists: list[str], limit: int, offset: int = 0) ->
     return out.withColumn("truncated", more)
 
 
+#: Bytes that a response may have, and entries of a list that a page may ask for.
+RESPONSE_BYTES, MOST_ENTRIES = 256 * 1024, 100
+#: Bytes between two entries of a response.
+SEPARATOR_BYTES = 2
+
+
+def byte_pages(responses: DataFrame, entries: DataFrame, by: list[str], limit: int, offset: int = 0, budget: int = RESPONSE_BYTES) -> DataFrame:
+    """``(*by, status, page_limit, n_bytes, truncated, next_offset)`` of ``responses(*by, base_bytes)`` whose nested lists are paged to fit ``budget``.
+
+    ``entries(*by, record, list, place, json)`` has a row for each entry of each record's lists, ``place`` from 0. A page takes
+    the places ``offset`` to ``offset + page_limit`` of every list; ``page_limit`` is ``limit``, or the first of its halves (down to 1) with which the
+    response fits; ``status`` is budget-exceeded where not even 1 does. The bytes of all halves are summed up in one
+    aggregation, so no list is gathered or cut more than once (``page_entries``). Null texts count as empty.
+    """
+    if not 1 <= limit <= MOST_ENTRIES or offset < 0:
+        raise ValueError(f"limit must be 1 to {MOST_ENTRIES}, offset 0 or more")
+    limits = [limit]
+    while limits[-1] > 1:
+        limits.append(max(1, limits[-1] // 2))
+    size = F.coalesce(F.octet_length("json"), F.lit(0)) + SEPARATOR_BYTES
+    inside = lambda k: (F.col("place") >= offset) & (F.col("place") < offset + k)
+    sums = entries.groupBy(by).agg(*[F.sum(F.when(inside(k), size)).alias(f"b{k}") for k in limits], F.max("place").alias("last"))
+    whole = lambda k: F.col("base_bytes") + F.coalesce(F.col(f"b{k}"), F.lit(0))
+    rows = responses.join(sums, by, "left").withColumn("page_limit", F.coalesce(*[F.when(whole(k) <= budget, F.lit(k)) for k in limits]))
+    n_bytes = F.coalesce(*[F.when(F.col("page_limit") == k, whole(k)) for k in limits])
+    more = F.coalesce(F.col("last") >= offset + F.col("page_limit"), F.col("page_limit").isNull())
+    return rows.select(*by, F.when(F.col("page_limit").isNull(), "budget-exceeded").otherwise("ok").alias("status"), "page_limit", n_bytes.alias("n_bytes"), more.alias("truncated"), F.when(more, offset + F.col("page_limit")).alias("next_offset"))
+
+
+def page_entries(entries: DataFrame, pages: DataFrame, by: list[str], offset: int = 0) -> DataFrame:
+    """The rows of ``entries`` that lie on the page that ``byte_pages`` chose for their response."""
+    chosen = pages.where("page_limit is not null").select(*by, "page_limit")
+    return entries.join(chosen, by).where((F.col("place") >= offset) & (F.col("place") < offset + F.col("page_limit"))).drop("page_limit")
+
+
 def importer_mismatches(manifest: DataFrame, lock: DataFrame) -> DataFrame:
     """``(importer, package, problem)`` where a manifest's constraint and a lock's specifier differ or one lacks the entry."""
     m = manifest.select("importer", "package", F.col("constraint_raw").alias("m"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.operators import binding, constraints, graph, inventory, ranking
+from lodestrata.operators import binding, constraints, graph, inventory, ranking, selection
 
 from .driver_queries import _query, _t
 
@@ -100,3 +100,29 @@ def lock_bindings_by_text(spark, sf_dir):
     version = F.when(k % 11 > 0, F.concat(_s(k % 8), F.lit("."), _s(k % 4), F.when(k % 3 == 0, ".0").when(k % 3 == 1, "+local").otherwise(""))).otherwise("not a version")
     locks = _t(spark, sf_dir, "customer").select(k.alias("record"), (k % 40).alias("project_id"), F.concat(F.lit("pkg-"), _s(k % 9)).alias("package"), version.alias("version"))
     return binding.bind_locks_by_text(declared, locks).select("declaration", "outcome", "record")
+
+
+_ENTRIES = """e as (select conv_id % 40 response, conv_id record, role list, row_number() over (partition by conv_id, role order by turn, text) - 1 place, strlen(coalesce(text, '')) + 2 n from conversations),
+s as (select response, 60 base, sum(n) filter (place between 1 and 12) b12, sum(n) filter (place between 1 and 6) b6, sum(n) filter (place between 1 and 3) b3, sum(n) filter (place = 1) b1, max(place) top from e group by 1),
+p as (select response, top, case when base + coalesce(b12, 0) <= 2000 then 12 when base + coalesce(b6, 0) <= 2000 then 6 when base + coalesce(b3, 0) <= 2000 then 3 when base + coalesce(b1, 0) <= 2000 then 1 end page_limit,
+  case when base + coalesce(b12, 0) <= 2000 then base + coalesce(b12, 0) when base + coalesce(b6, 0) <= 2000 then base + coalesce(b6, 0) when base + coalesce(b3, 0) <= 2000 then base + coalesce(b3, 0) when base + coalesce(b1, 0) <= 2000 then base + coalesce(b1, 0) end n_bytes from s)"""
+
+
+def _paged(spark, sf_dir):
+    """Conversations as the records of 40 responses, a list of texts for each role."""
+    rows = _t(spark, sf_dir, "conversations")
+    place = F.row_number().over(W.partitionBy("conv_id", "role").orderBy("turn", "text")) - 1
+    entries = rows.select((F.col("conv_id") % 40).alias("response"), F.col("conv_id").alias("record"), F.col("role").alias("list"), place.alias("place"), F.col("text").alias("json"))
+    responses = entries.select("response", F.lit(60).alias("base_bytes")).distinct()
+    return entries, selection.byte_pages(responses, entries, ["response"], 12, 1, 2000)
+
+
+@_query(f"""with {_ENTRIES} select response, case when page_limit is null then 'budget-exceeded' else 'ok' end status, page_limit, cast(n_bytes as bigint) n_bytes, page_limit is null or top >= 1 + page_limit truncated, case when page_limit is null or top >= 1 + page_limit then 1 + page_limit end next_offset from p""")
+def response_pages(spark, sf_dir):
+    return _paged(spark, sf_dir)[1].withColumn("n_bytes", F.col("n_bytes").cast("long"))
+
+
+@_query(f"with {_ENTRIES} select record, list, cast(place as integer) place from e join p using (response) where place >= 1 and place < 1 + page_limit")
+def response_entries(spark, sf_dir):
+    entries, pages = _paged(spark, sf_dir)
+    return selection.page_entries(entries, pages, ["response"], 1).select("record", "list", "place")

@@ -47,3 +47,29 @@ def test_pep440_conflicts(spark):
     df = spark.createDataFrame([("p", "pypi", k, c) for k, cs in cases.items() for c in cs], "project_id string, ecosystem string, package string, constraint_raw string")
     want = {"a": True, "b": True, "c": False, "d": False, "e": True, "f": None, "g": False, "h": False, "i": True, "j": False, "k": False}
     assert {r.package: r.conflict for r in selection.pep440_conflicts(df).collect()} == want
+
+
+def test_pages_by_bytes_follow_the_halving_rule(spark):
+    import random
+
+    r = random.Random(4)
+    lists = {(q, rec, c): ["x" * r.randint(0, 40) + "é" * r.randint(0, 3) for _ in range(r.choice([0, 1, 5, 40, 130]))] for q in range(12) for rec in range(3) for c in "ab"}
+    rows = [(q, rec, c, i, t) for (q, rec, c), ts in lists.items() for i, t in enumerate(ts)]
+    entries = spark.createDataFrame([*rows, (99, 0, "a", 0, None)], "q int, record int, list string, place int, json string")
+    responses = spark.createDataFrame([(q, 50) for q in range(13)] + [(99, 10), (77, 5000)], "q int, base_bytes int")
+    for limit, offset, budget in ((100, 0, 900), (7, 3, 400), (1, 0, 60)):
+        pages = selection.byte_pages(responses, entries, ["q"], limit, offset, budget)
+        got = {p.q: p for p in pages.collect()}
+        kept = {q: sum(1 for e in selection.page_entries(entries, pages, ["q"], offset).collect() if e.q == q) for q in range(12)}
+        assert got[77].status == "budget-exceeded" or budget >= 5000
+        assert got[12].page_limit == limit and not got[12].truncated
+        for q in range(12):
+            own, k = [ts for (p, _, _), ts in lists.items() if p == q], limit
+            size = lambda k: 50 + sum(len(t.encode()) + 2 for ts in own for t in ts[offset : offset + k])  # noqa: B023, E731
+            while size(k) > budget and k > 1:
+                k = max(1, k // 2)
+            fits = size(k) <= budget
+            assert (got[q].status, got[q].page_limit) == (("ok", k) if fits else ("budget-exceeded", None))
+            if fits:
+                more = any(len(ts) > offset + k for ts in own)
+                assert (got[q].n_bytes, got[q].truncated, got[q].next_offset) == (size(k), more, offset + k if more else None) and kept[q] == sum(len(ts[offset : offset + k]) for ts in own)
