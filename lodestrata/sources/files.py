@@ -23,18 +23,23 @@ def excluded(path: Column, names: list[str] | tuple[str, ...] = EXCLUDED) -> Col
 def read_files(spark: SparkSession, root: str, glob: str | None = None, skip: list[str] | tuple[str, ...] = EXCLUDED, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``(path, name, digest, text, problem)`` of the files under ``root``; paths are relative to it.
 
-    The name filter prunes the listing. A file over ``max_bytes`` keeps its row with ``problem`` and no text.
+    The name filter prunes the listing; a file over ``max_bytes`` is never read: it keeps its row with ``problem``, no text, and a digest
+    of its length and time. (Folders in ``skip`` are listed, and read unless too large: the listing takes no path filter.)
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    raw = reader.load(root)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     path = F.regexp_replace(F.substring_index(F.col("path"), base + "/", -1), "^/+", "")
-    rows = raw.select(path.alias("path"), "length", "content").where(~excluded(F.col("path"), skip))
-    fits = F.col("length") <= max_bytes
+    name = F.element_at(F.split("path", "/"), -1)
+    # both conditions reach the listing, so content is read of small files alone
+    small = reader.load(root).where(F.col("length") <= max_bytes).select(path.alias("path"), "content").where(~excluded(F.col("path"), skip))
+    large = reader.load(root).where(F.col("length") > max_bytes).select(path.alias("path"), "length", "modificationTime").where(~excluded(F.col("path"), skip))
     text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
-    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest"), F.when(fits, text).alias("text"), F.when(~fits, F.lit("file.too-large")).alias("problem"))
+    none = F.lit(None).cast("string")
+    rows = small.select("path", name.alias("name"), F.sha2("content", 256).alias("digest"), text.alias("text"), none.alias("problem"))
+    mark = F.concat_ws(" ", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
+    return rows.unionByName(large.select("path", name.alias("name"), F.sha2(mark, 256).alias("digest"), none.alias("text"), F.lit("file.too-large").alias("problem")))
 
 
 def folder(path: Column) -> Column:
