@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions.checks import inside
@@ -38,11 +39,13 @@ def requirements(files: DataFrame) -> DataFrame:
     Continued lines are joined and keep the number of their first physical line; options of a line (``--hash`` and the like) are
     taken off, option lines skipped. ``name @ address`` has no constraint but a ``url``.
     """
-    lines = files.where("text is not null").select("path", F.split(F.col("text"), "\n").alias("l"))
-    # a line continues the one before it if that ends in a backslash: such lines are glued to their first one
-    marked = lines.select("path", F.posexplode("l").alias("at", "text"), "l").withColumn("continues", (F.col("at") > 0) & F.coalesce(F.try_element_at("l", F.col("at").cast("int")).endswith("\\"), F.lit(False)))
-    whole = F.expr("aggregate(slice(l, at + 1, size(l)), named_struct('t', '', 'more', true), (s, x) -> if(s.more, named_struct('t', concat(s.t, regexp_replace(x, '\\\\\\\\$', ' ')), 'more', endswith(x, '\\\\')), s)).t")
-    glued = marked.where("not continues").select("path", (F.col("at") + 1).alias("line"), F.when(F.col("text").endswith("\\"), whole).otherwise(F.col("text")).alias("text"))
+    # a line that ends in a backslash goes on in the next: joined before lines are cut, and counted for the numbers of those after it
+    joint = "\u0001"
+    joined = F.regexp_replace(F.regexp_replace("text", r"\\\n", joint), r"\\(?=\n|\z)", " ")
+    marked = files.where("text is not null").select("path", F.monotonically_increasing_id().alias("file"), joined.alias("joined"))
+    lines = marked.select("path", "file", F.posexplode(F.split("joined", "\n")).alias("at", "text"))
+    before = F.sum(F.length("text") - F.length(F.replace("text", F.lit(joint), F.lit("")))).over(W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+    glued = lines.select("path", (F.col("at") + 1 + F.coalesce(before, F.lit(0))).cast("int").alias("line"), F.replace("text", F.lit(joint), F.lit(" ")).alias("text"))
     rows = glued.withColumn("text", F.regexp_replace("text", OPTION, "")).where(~F.col("text").rlike(r"^\s*(#|-|$)"))
     part = lambda rule, i: F.trim(F.regexp_extract("text", rule, i))
     direct = F.col("text").rlike(DIRECT)
@@ -343,17 +346,30 @@ def java_imports(files: DataFrame) -> DataFrame:
     return numbered_lines(files).where(F.col("text").rlike(rule)).select("path", "line", F.regexp_replace(F.regexp_extract("text", rule, 1), r"\.\*?$", "").alias("reference"))
 
 
+#: Comments and literals of C: matched in this order from the left, so that marks within one don't open another.
+_C_PIECES = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.S)
+_C_LINE = re.compile(r"""^\s*\#\s*(?:(if)|(endif)\b|include\s*(?:<([^>"]+)>|"([^>"]+)"))""")
+
+
+def _c_includes(text: str) -> list[tuple]:
+    bare = _C_PIECES.sub(lambda m: m[0] if m[0][0] in "\"'" else re.sub(r"[^\n]", " ", m[0]), text)
+    out, depth = [], 0
+    for line, found in enumerate(map(_C_LINE.match, bare.split("\n")), 1):
+        if found:
+            depth += (found[1] is not None) - (found[2] is not None)
+            if name := found[3] or found[4]:
+                out.append((line, name, str(found[4] is not None), str(depth > 0)))
+    return out
+
+
 def c_includes(files: DataFrame) -> DataFrame:
     """C and C++ includes: ``(path, line, reference, quoted, conditional)``; macro operands are no references.
 
     ``conditional`` tells whether the line stands within an ``#if``: more of them have opened than closed in the lines before it.
+    Comments are blanked out with their newlines kept, so ``line`` is the file's.
     """
-    rule = r'^\s*#\s*include\s*([<"])([^>"]+)[>"]'
-    bare = files.withColumn("text", F.regexp_replace("text", r"/\*[^*]*\*/", ""))
-    rows = bare.where("text is not null").select("path", F.split("text", "\n").alias("l")).select("path", "l", F.posexplode("l").alias("at", "text")).where(F.col("text").rlike(rule))
-    before = F.slice("l", F.lit(1), F.col("at"))
-    opened = F.size(F.filter(before, lambda x: x.rlike(r"^\s*#\s*if"))) - F.size(F.filter(before, lambda x: x.rlike(r"^\s*#\s*endif")))
-    return rows.select("path", (F.col("at") + 1).alias("line"), F.regexp_extract("text", rule, 2).alias("reference"), (F.regexp_extract("text", rule, 1) == '"').alias("quoted"), (opened > 0).alias("conditional"))
+    rows = _rows(files.where("text is not null"), "line int, reference string, quoted string, conditional string", ["line", "reference", "quoted", "conditional"], _c_includes).where("problem is null")
+    return rows.select("path", "line", "reference", F.col("quoted").cast("boolean").alias("quoted"), F.col("conditional").cast("boolean").alias("conditional"))
 
 
 #: A module load's keyword up to its literal, and which kind it is.

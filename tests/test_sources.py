@@ -127,3 +127,12 @@ def test_cyclonedx_and_vex(spark, tmp_path):
     assert feeds.sbom_quality(components).first().asDict() == {"n_components": 2, "n_ref": 2, "n_name": 2, "n_version": 1, "n_purl": 0}
     vex = {"statements": [{"vulnerability": {"name": "V"}, "products": [{"@id": "p"}, {"@id": "q"}], "status": "fixed"}]}
     assert rows(feeds.vex(spark, write(tmp_path, "v.json", vex)), "vulnerability", "product", "status") == [("V", "p", "fixed"), ("V", "q", "fixed")]
+
+
+def test_lines_keep_their_numbers(spark):
+    c = '/* one\n two */ #include <a.h>\n// #include "no.h"\n#if X /* \n * ** \n*/\n#include "b.h"\n#endif\nchar *s = "/*";\n  # include <c/d.h> // "x"\n#include MACRO\n/* open\n#include <e.h>'
+    got = manifests.c_includes(spark.createDataFrame([("f.c", c), ("g.c", None)], "path string, text string")).collect()
+    assert sorted(map(tuple, got)) == [("f.c", 2, "a.h", False, False), ("f.c", 7, "b.h", True, True), ("f.c", 10, "c/d.h", False, False)]
+    r = "a \\\n==1\n# c\nb \\\n\\\n>=2\nc==3\\"
+    rows = manifests.requirements(spark.createDataFrame([("r.txt", r), ("r.txt", r)], "path string, text string")).select("line", "package", "constraint_raw").collect()
+    assert sorted(map(tuple, rows)) == sorted([(1, "a", "==1"), (4, "b", ">=2"), (7, "c", "==3")] * 2)
