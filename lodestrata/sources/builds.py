@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import pypi_name
 
+from . import lexer
 from .files import numbered_lines
 from .manifests import _requirement, _rows
 
@@ -24,13 +25,10 @@ def _strip(files: DataFrame, block: str | None, line: str) -> DataFrame:
 
 
 def gradle_dependencies(files: DataFrame) -> DataFrame:
-    """build.gradle and build.gradle.kts literal coordinates: ``(path, line, package, constraint_raw, configuration, scope)``; nothing is evaluated."""
-    rule = r"""^\s*([a-zA-Z]+)\s*\(?\s*(?:platform\s*\(\s*|enforcedPlatform\s*\(\s*)?['"]([\w.\-]+):([\w.\-]+)(?::([^'":@$]+))?[^'"$]*['"]"""
-    rows = numbered_lines(_strip(files, None, r"(?m)//.*$")).where(F.col("text").rlike(rule) & F.lower("text").rlike(r"(implementation|api|compile|runtime|only|processor|kapt|classpath)"))
-    part = lambda i: F.regexp_extract("text", rule, i)
-    configuration = part(1)
-    scope = F.when(F.col("text").contains("latform("), "build").when(configuration.startswith("test"), "test").when(configuration.isin("compileOnly", "annotationProcessor", "kapt", "classpath"), "build").otherwise("runtime")
-    return rows.select("path", "line", F.concat_ws(":", part(2), part(3)).alias("package"), F.nullif(part(4), F.lit("")).alias("constraint_raw"), configuration.alias("configuration"), scope.alias("scope"))
+    """build.gradle and build.gradle.kts literal coordinates: ``(path, line, package, constraint_raw, configuration, scope, kind, literal, context)``; nothing is evaluated (see ``lexer.gradle_calls``)."""
+    names = ["line", "package", "constraint_raw", "configuration", "scope", "kind", "literal", "context"]
+    rows = _rows(files, "line int, " + ", ".join(f"{n} string" for n in names[1:]), names, lexer.gradle_calls)
+    return rows.where("problem is null").withColumn("literal", F.col("literal").cast("boolean")).drop("problem")
 
 
 def version_catalog(files: DataFrame) -> DataFrame:
@@ -182,13 +180,10 @@ def conanfile(files: DataFrame) -> DataFrame:
 
 
 def cmake_commands(files: DataFrame) -> DataFrame:
-    """CMake ``find_package`` and ``FetchContent_Declare``: ``(path, package, version, kind)``; computed names are left out."""
-    bare = _strip(files, r"(?s)#\[\[.*?\]\]", r"(?m)#.*$")
-    out = None
-    for kind, rule in {"find_package": r"(?i)\bfind_package\s*\(\s*([\w.+\-]+)(?:\s+([\d.]+))?", "fetch_content": r"(?is)\bFetchContent_Declare\s*\(\s*([\w.+\-]+)(?:[^)]*?GIT_TAG\s+([^\s)]+))?"}.items():
-        own = bare.select("path", F.explode(F.regexp_extract_all("text", F.lit(rule), F.lit(0))).alias("c")).select("path", F.regexp_extract("c", rule, 1).alias("package"), F.nullif(F.regexp_extract("c", rule, 2), F.lit("")).alias("version"), F.lit(kind).alias("kind"))
-        out = own if out is None else out.union(own)
-    return out
+    """CMake's literal package commands: ``(path, line, package, version, kind, required, components, conditional)`` (see ``lexer.cmake_calls``)."""
+    names = ["line", "package", "version", "kind", "required", "components", "conditional"]
+    rows = _rows(files, "line int, " + ", ".join(f"{n} string" for n in names[1:]), names, lexer.cmake_calls)
+    return rows.where("problem is null").withColumn("required", F.col("required").cast("boolean")).withColumn("conditional", F.col("conditional").cast("boolean")).drop("problem")
 
 
 def bazel_deps(files: DataFrame) -> DataFrame:

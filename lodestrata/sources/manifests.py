@@ -12,6 +12,7 @@ import json
 import re
 import tomllib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,7 @@ from lodestrata.operators import substitution
 from lodestrata.operators.compare import occurrences
 from lodestrata.operators.graph import longest_levels
 
+from . import lexer
 from .files import folder, numbered_lines
 
 #: The forms of a requirement line, by name and by name and address.
@@ -372,35 +374,24 @@ def c_includes(files: DataFrame) -> DataFrame:
     return rows.select("path", "line", "reference", F.col("quoted").cast("boolean").alias("quoted"), F.col("conditional").cast("boolean").alias("conditional"))
 
 
-#: A module load's keyword up to its literal, and which kind it is.
-JS_LOADS = {
-    "regular": r"""(?:^|[;}\s])(?:import|export)\b\s*(?:type\s+)?(?:[\w$*\s{},]*?\bfrom\s*)?(['"])([^'"\n]+)\1|\brequire\(\s*(['"])([^'"\n]+)\3\s*\)""",
-    "dynamic": r"""\bimport\(\s*(['"])([^'"\n]+)\1\s*\)""",
-}
-#: Comments, strings and templates: matched in this order from the left, so that marks within one don't open another.
-_JS_PIECES = re.compile(r"""//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.S)
+#: Endings of sources in which tags may stand among code.
+JSX_ENDINGS = r"\.(js|jsx|tsx|mjs|cjs)$"
 
 
-def _js_loads(text: str) -> list[tuple]:
-    def blank(m: re.Match) -> str:
-        piece = m[0]
-        literal = piece[0] in "\"'" and not re.search(r"[\s'\"]", piece[1:-1])  # a module's name has no space or quote in it
-        return piece if literal else "".join(c if c == "\n" else " " for c in piece)
-
-    bare, out = _JS_PIECES.sub(blank, text), []
-    for kind, rule in JS_LOADS.items():
-        for m in re.finditer(rule, bare):
-            reference = next(g for g in m.groups()[1::2] if g)
-            out.append((bare.count("\n", 0, m.start() + len(m[0]) - len(m[0].lstrip())) + 1, reference, kind))
-    return sorted(out)
-
-
-def js_loads(files: DataFrame) -> DataFrame:
+def js_loads(files: DataFrame, computed: bool = False) -> DataFrame:
     """Literal module loads of JavaScript and TypeScript: ``(path, line, reference, kind)``, also over several lines.
 
-    Comments and template strings are blanked out with their newlines kept, so ``line`` is where the load begins; non-literals give none.
+    ``kind`` is regular, dynamic (``import()``) or resolve (``require.resolve``); ``line`` is where the load begins. Strings, templates,
+    regular expressions, comments and text between tags hold no loads, a template's substitutions may. With ``computed`` loads whose module isn't a
+    literal are rows without a reference. Null and empty texts give none.
     """
-    return _rows(files, "line int, reference string, kind string", ["line", "reference", "kind"], _js_loads).where("problem is null").drop("problem")
+    tags = F.col("path").rlike(JSX_ENDINGS)
+    out = None
+    for own, language in ((files.where(tags), "JSX"), (files.where(~tags | F.col("path").isNull()), "JAVASCRIPT")):
+        rows = _rows(own, "line int, reference string, kind string", ["line", "reference", "kind"], partial(lexer.module_loads, language=language))
+        out = rows if out is None else out.unionByName(rows)
+    out = out.where("problem is null").drop("problem")
+    return out if computed else out.where("kind <> 'computed'")
 
 
 #: Node's own modules.
