@@ -43,8 +43,8 @@ def govulncheck(spark: SparkSession, path: str) -> DataFrame:
     return objects.select("ordinal", row.alias("r")).where("r.finding is not null").select("ordinal", F.col("r.finding.osv").alias("osv"), F.col("r.finding.trace")[0]["module"].alias("module"), F.col("r.finding.trace")[0]["version"].alias("version"), F.exists("r.finding.trace", lambda t: t["function"].isNotNull()).alias("called"))
 
 
-def cmake_targets(spark: SparkSession, replies: str, indexes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Targets ``(id, name, kind)`` of CMake File API replies and their relationships ``(parent, child, present)``."""
+def cmake_targets(spark: SparkSession, replies: str) -> tuple[DataFrame, DataFrame]:
+    """Targets ``(id, name, kind)`` of the target files in a reply folder and their relationships ``(parent, child, present)``; ``cmake_model`` follows replies from their index."""
     doc = spark.read.schema("id string, name string, type string, dependencies array<struct<id:string>>").option("pathGlobFilter", "target-*.json").json(replies, multiLine=True)
     targets = doc.select("id", "name", F.col("type").alias("kind"))
     wanted = doc.select(F.col("id").alias("parent"), F.explode("dependencies").alias("d")).select("parent", F.col("d.id").alias("child"))
