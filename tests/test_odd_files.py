@@ -3,14 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.plans import scan
+from lodestrata.plans import callgraph, scan
 from lodestrata.sources import builds, manifests, positions, settings
 
 TEXTS = [None, "", "{bad", "]\x00[", "[x]\ny", "<a><b>", "[1, 2]", '"text"', "a: [b\n", "import {", "[[package]]\n", "{}", "x = 1\n", "\\\n", "()" * 2000]
 PARSERS = {
     **{n: getattr(manifests, n) for n in "requirements includes package_json package_lock package_lock_v1 npmrc go_mod go_replaces go_sum gradle_lockfile cargo_lock pom_facts pom vcpkg_json java_imports c_includes js_loads python_imports pyproject toml_lock toml_lock_edges lock_hashes pipfile_lock pnpm_lock".split()},
     **{n: getattr(builds, n) for n in "gradle_dependencies version_catalog cargo_toml pipfile setup_cfg script_metadata pip_commands yarn_lock go_imports css_imports component_scripts rust_references conanfile cmake_commands bazel_deps script_commands workflow_commands tsconfig_types setup_py python_tasks uv_sources conan_lock vcpkg_pins cargo_overrides pytest_plugins".split()},
-    "json_keys": positions.json_keys, "ini_keys": positions.ini_keys, "configuration": settings.configuration, "records": lambda f: settings.records(f, "abi"), "policy": lambda f: settings.policy(f)[1], "python_calls": scan.python_calls,
+    "json_keys": positions.json_keys, "ini_keys": positions.ini_keys, "configuration": settings.configuration, "records": lambda f: settings.records(f, "abi"), "policy": lambda f: settings.policy(f)[1], "python_calls": scan.python_calls, "call_facts": callgraph.facts,
 }
 
 

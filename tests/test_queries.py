@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lodestrata.plans import binding_queries, cmake_queries, finding_queries, lexer_queries, parser_queries, scan_queries, version_queries  # noqa: F401
+from lodestrata.plans import binding_queries, callgraph_queries, cmake_queries, finding_queries, lexer_queries, parser_queries, scan_queries, version_queries  # noqa: F401
 from lodestrata.plans.driver_queries import ORACLE, QUERIES
 
 DIR = "/root/testdata/sf0.001"
