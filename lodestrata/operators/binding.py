@@ -70,11 +70,18 @@ def bind_locks(declarations: DataFrame, locks: DataFrame, holds: Column) -> Data
 
     Candidates are records of ``locks(record, project_id, package, ...)`` of the same PyPI name whose version ``holds`` (true, false
     or null). ``outcome``: bound where exactly one may hold and it does, none, ambiguous, or unknown where the only one can't be told.
+    ``holds`` may use all columns but ``declaration`` and ``record``: it is told once for each pair of different declarations and
+    records of a project's package, whose copies are counted, so a package with many of either doesn't multiply them.
     """
-    left = declarations.withColumn("name_", pypi_name(F.col("package")))
+    given = [c for c in declarations.columns if c != "declaration"]
+    asked = declarations.select(*given).distinct().withColumn("name_", pypi_name(F.col("package")))
     right = locks.withColumn("name_", pypi_name(F.col("package"))).drop("package")
-    hits = left.join(right, ["project_id", "name_"]).withColumn("holds_", holds).where(F.coalesce(F.col("holds_"), F.lit(True)))
-    per = hits.groupBy("declaration").agg(F.count("*").alias("n"), F.count_if(F.col("holds_").isNull()).alias("n_unknown"), F.min("record").alias("only"))
+    right = right.groupBy(*[c for c in right.columns if c != "record"]).agg(F.count("*").alias("copies_"), F.min("record").alias("record_"))
+    hits = asked.join(right, ["project_id", "name_"]).withColumn("holds_", holds).where(F.coalesce(F.col("holds_"), F.lit(True)))
+    kinds = hits.groupBy(*given).agg(F.sum("copies_").alias("n"), F.sum(F.when(F.col("holds_").isNull(), F.col("copies_")).otherwise(0)).alias("n_unknown"), F.min("record_").alias("only"))
+    kinds = kinds.withColumnsRenamed({c: f"{c}_of" for c in given})
+    found = declarations.join(kinds, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in given])
+    per = found.groupBy("declaration").agg(F.sum("n").alias("n"), F.sum("n_unknown").alias("n_unknown"), F.min("only").alias("only"))
     outcome = F.when(F.col("n").isNull(), "none").when(F.col("n") > 1, "ambiguous").when(F.col("n_unknown") > 0, "unknown").otherwise("bound")
     return declarations.join(per, "declaration", "left").select(*declarations.columns, outcome.alias("outcome"), F.when(outcome == "bound", F.col("only")).alias("record"))
 

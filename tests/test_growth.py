@@ -1,5 +1,8 @@
 """Inputs as the queries' SQL has them, and work that grows no faster than they do."""
 
+from pyspark.sql import functions as F
+
+from lodestrata.operators import binding, inventory
 from lodestrata.plans import finding_queries
 from lodestrata.plans.driver_queries import _t
 
@@ -9,3 +12,29 @@ DIR = "/root/testdata/sf0.001"
 def test_references_in_constraints_reach_spark_as_written(spark):
     declared = finding_queries._relations(spark, DIR)[0]
     assert declared.where(declared.constraint_raw == "${v}").count() == _t(spark, DIR, "orders").where("o_orderkey % 7 = 1").count() > 0
+
+
+def test_bindings_are_told_once_for_each_pair_of_different_declarations_and_records(spark):
+    told = spark.sparkContext.accumulator(0)
+
+    def fits(version, least):
+        told.add(1)
+        return None if version is None else version >= least
+
+    declared = spark.range(300).selectExpr("id declaration", "0 project_id", "'A.b' package", "cast(id % 3 as int) least")
+    locks = spark.createDataFrame([(i, 0, "a-b", None if i == 7 else 1 if i == 8 else 0) for i in range(300)] + [(400, 1, "a-b", 9)], "record int, project_id int, package string, version int")
+    out = binding.bind_locks(declared, locks, F.udf(fits, "boolean")("version", "least"))
+    got = {r.declaration: (r.outcome, r.record) for r in out.collect()}
+    assert got == {i: ("unknown" if i % 3 == 2 else "ambiguous", None) for i in range(300)}
+    assert 0 < told.value <= 4 * 9  # not 300 * 300
+    only = binding.bind_locks(declared, locks.where("record in (8, 400)"), F.udf(fits, "boolean")("version", "least")).collect()
+    assert {(r.declaration % 3, r.outcome, r.record) for r in only} == {(0, "bound", 8), (1, "bound", 8), (2, "none", None)}
+
+
+def test_requests_join_counted_candidates(spark):
+    inv = spark.createDataFrame([(1, "npm", "x"), (2, "npm", "x"), (3, "Go", "y")], "project_id int, ecosystem string, package string")
+    requests = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "z"), (5, None)], "request int, package string")
+    out = inventory.explain(inv, requests)
+    assert {(r.request, r.outcome, r.n, r.project_id, r.ecosystem) for r in out.collect()} == {(1, "ambiguous", 2, None, None), (2, "ambiguous", 2, None, None), (3, "found", 1, 3, "Go"), (4, "not-found", 0, None, None), (5, "not-found", 0, None, None)}
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.rindex("Aggregate") > text.index("Join")
