@@ -108,10 +108,11 @@ def filtered(inventory: DataFrame, ecosystem: str | None = None, package: str |
 def explain(inventory: DataFrame, requests: DataFrame) -> DataFrame:
     """``requests(request, package)`` with ``outcome`` found, not-found or ambiguous, ``n`` and, if found, the ``project_id`` and ``ecosystem``.
 
-    Requests join the inventory on the exact package; candidates are counted, never gathered.
+    The inventory is counted by exact package before requests join it: many requests of a package with many candidates aren't multiplied.
     """
-    hits = requests.join(inventory.select(*KEY), "package", "left")
-    per = hits.groupBy("request", "package").agg(F.count("ecosystem").alias("n"), F.min(F.struct("project_id", "ecosystem")).alias("one"))
+    candidates = inventory.groupBy("package").agg(F.count("ecosystem").alias("n"), F.min(F.struct("project_id", "ecosystem")).alias("one"))
+    hits = requests.join(candidates, "package", "left")
+    per = hits.groupBy("request", "package").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("one").alias("one"))
     outcome = F.when(F.col("n") == 0, "not-found").when(F.col("n") == 1, "found").otherwise("ambiguous")
     only = lambda c: F.when(F.col("n") == 1, F.col(f"one.{c}")).alias(c)
     return per.select("request", "package", outcome.alias("outcome"), "n", only("project_id"), only("ecosystem"))
