@@ -39,6 +39,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly over the shuffle partitions, or over all cores if these are more: rows of one small file that stand for
+    much work, such as texts to parse, would else be one task. The number is fixed, so that adaptive execution doesn't join the parts again."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 class Grown:
     """Rows that grow by parts: a part is written again only when parts of its size have piled up, so n parts cost n log n rows, not n squared."""
 

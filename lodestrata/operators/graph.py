@@ -30,10 +30,11 @@ def reverse_paths(edges: DataFrame, targets: DataFrame, depth: int = 64) -> Data
 
 def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:
     """``(node, distance)``: nodes within reach of ``roots(node)`` along ``edges(parent, child)`` by breadth-first rounds."""
-    front = cut(roots.select("node").distinct().withColumn("distance", F.lit(0)))
+    links = written(edges.select("parent", "child"))
+    front = written(roots.select("node").distinct().withColumn("distance", F.lit(0)))
     seen = Grown(front)
     for step in range(1, rounds + 1):
-        front = cut(front.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().join(seen.rows().select("node"), "node", "left_anti").withColumn("distance", F.lit(step)))
+        front = written(front.join(links.hint("merge"), F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct().join(seen.rows().select("node").hint("merge"), "node", "left_anti").withColumn("distance", F.lit(step)))
         if front.isEmpty():
             return seen.rows()
         seen.add(front)
@@ -58,13 +59,14 @@ def alias_groups(pairs: DataFrame, rounds: int = 60) -> DataFrame:
 def fixpoint(edges: DataFrame, facts: DataFrame, rounds: int = 64) -> tuple[DataFrame, bool]:
     """Facts ``(node, fact)`` carried along ``edges(source, target)`` until nothing new comes, and whether that was within ``rounds``.
 
-    Each round joins only the facts that are new; facts and edges are distinct, so cycles end.
+    Each round joins only the facts that are new; facts and edges are distinct, so cycles end. Edges are evaluated once, and the
+    joins are merges: a table of any size that is broadcast goes through the driver, in every round.
     """
-    links = edges.select("source", "target").distinct()
-    front = cut(facts.select("node", "fact").distinct())
+    links = written(edges.select("source", "target").distinct())
+    front = written(facts.select("node", "fact").distinct())
     known = Grown(front)
     for _ in range(rounds):
-        front = cut(front.join(links, F.col("node") == F.col("source")).select(F.col("target").alias("node"), "fact").distinct().join(known.rows(), ["node", "fact"], "left_anti"))
+        front = written(front.join(links.hint("merge"), F.col("node") == F.col("source")).select(F.col("target").alias("node"), "fact").distinct().join(known.rows().hint("merge"), ["node", "fact"], "left_anti"))
         if front.isEmpty():
             return known.rows(), True
         known.add(front)
@@ -73,11 +75,12 @@ def fixpoint(edges: DataFrame, facts: DataFrame, rounds: int = 64) -> tuple[Data
 
 def first_paths(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:
     """``(node, distance, before)`` of nodes in reach of ``roots(node)`` along ``edges(parent, child)``: breadth first, with the least predecessor."""
-    front = cut(roots.select("node").distinct().select("node", F.lit(0).alias("distance"), F.lit(None).cast(roots.schema["node"].dataType).alias("before")))
+    links = written(edges.select("parent", "child"))
+    front = written(roots.select("node").distinct().select("node", F.lit(0).alias("distance"), F.lit(None).cast(roots.schema["node"].dataType).alias("before")))
     seen = Grown(front)
     for step in range(1, rounds + 1):
-        found = front.join(edges, F.col("node") == F.col("parent")).groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("before"))
-        front = cut(found.join(seen.rows().select("node"), "node", "left_anti").select("node", F.lit(step).alias("distance"), "before"))
+        found = front.join(links.hint("merge"), F.col("node") == F.col("parent")).groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("before"))
+        front = written(found.join(seen.rows().select("node").hint("merge"), "node", "left_anti").select("node", F.lit(step).alias("distance"), "before"))
         if front.isEmpty():
             return seen.rows()
         seen.add(front)

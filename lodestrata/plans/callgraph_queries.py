@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestrata.lineage import spread
+
 from . import callgraph
 from .driver_queries import ORACLE, QUERIES, _t
 
@@ -31,7 +33,7 @@ def call_graph(spark, sf_dir):
     key = F.col("p_partkey")
     pick = lambda i: F.element_at(F.array(*[F.lit(f[i]) for f in FORMS]), (key % len(FORMS) + 1).cast("int"))
     file = lambda name, i: F.struct(F.concat(F.lit(name), key.cast("string"), F.lit(".py")).alias("path"), F.replace(F.replace(pick(i), F.lit("{k}"), key.cast("string")), F.lit("{m}"), (key % 7).cast("string")).alias("text"))
-    files = _t(spark, sf_dir, "part").select(F.inline(F.array(file("a", 0), file("b", 1))))
+    files = spread(_t(spark, sf_dir, "part").select("p_partkey")).select(F.inline(F.array(file("a", 0), file("b", 1))))
     return callgraph.reach(callgraph.facts(files))[1]
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.lineage import spread
 from lodestrata.sources import builds, manifests
 
 from .driver_queries import ORACLE, QUERIES, _t
@@ -19,7 +20,7 @@ def _forms(name: str, columns: list[str], forms: list[tuple[str, str, list[tuple
         key = F.col("p_partkey")
         pick = lambda i: F.element_at(F.array(*[F.lit(f[i]) for f in forms]), (key % len(forms) + 1).cast("int"))
         text = F.replace(F.replace(pick(1), F.lit("{k}"), key.cast("string")), F.lit("{m}"), (key % 7).cast("string"))
-        out = read(_t(spark, sf_dir, "part").select(F.concat(F.lit("f"), key.cast("string"), pick(0)).alias("path"), text.alias("text")))
+        out = read(spread(_t(spark, sf_dir, "part").select("p_partkey")).select(F.concat(F.lit("f"), key.cast("string"), pick(0)).alias("path"), text.alias("text")))
         return out.select("path", *[F.col(c).cast("string") if c == "line" else F.col(c) for c in columns])
 
     run.__name__ = name

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestrata.lineage import spread
 from lodestrata.sources import builds, manifests, settings
 
 from .driver_queries import ORACLE, QUERIES, _query, _t
@@ -21,7 +22,7 @@ def _parser(name: str, template: str, columns: list[str], rows: list[tuple], rea
     def run(spark, sf_dir):
         key, rest = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 7).cast("string")
         fill = lambda t: F.replace(F.replace(F.replace(F.lit(t), F.lit("{k}"), key), F.lit("{m}"), rest), F.lit("{b}"), F.lit("\\"))
-        files = _t(spark, sf_dir, "part").select(fill(at).alias("path"), fill(template).alias("text"))
+        files = spread(_t(spark, sf_dir, "part").select("p_partkey")).select(fill(at).alias("path"), fill(template).alias("text"))
         out = read(files)
         kinds = dict(out.dtypes)
         return out.select(*[(F.col(f"`{c}`").cast("string") if kinds[c] not in ("boolean", "string") else F.col(f"`{c}`")).alias(c) for c in columns])

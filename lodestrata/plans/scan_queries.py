@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestrata.lineage import cut, spread
 from lodestrata.operators import compare, inventory
 from lodestrata.plans import incremental, reports, scan, store
 from lodestrata.sources import manifests, positions
@@ -25,7 +26,7 @@ def _files(spark, sf_dir):
     key, rest = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 7).cast("string")
     fill = lambda t: F.replace(F.replace(F.lit(t), F.lit("{k}"), key), F.lit("{m}"), rest)
     entries = F.array(*[F.struct(F.concat(F.lit("p"), key, F.lit(f"/{name}")).alias("path"), (F.when(F.col("p_partkey") % 7 == 5, "def") if name.endswith(".py") else F.when(F.lit(False), "")).otherwise(fill(text)).alias("text")) for name, text in _PROJECT.items()])
-    return _t(spark, sf_dir, "part").select(F.explode(entries).alias("f")).select("f.*")
+    return spread(_t(spark, sf_dir, "part").select("p_partkey")).select(F.explode(entries).alias("f")).select("f.*")
 
 
 _FOUND = """with p as (select 'p' || p_partkey id, p_partkey % 7 m from part), f as (
@@ -56,7 +57,7 @@ def _layouts(spark, sf_dir):
     for i, (files, _) in enumerate(_LAYOUTS):
         entries = F.array(*[F.struct(F.concat(F.lit("q"), key, F.lit(f"/{n}")).alias("path"), fill(t).alias("text")) for n, t in files.items()])
         pick = F.when(F.col("p_partkey") % 10 == i, entries) if pick is None else pick.when(F.col("p_partkey") % 10 == i, entries)
-    return _t(spark, sf_dir, "part").select(F.explode(pick).alias("f")).select("f.*")
+    return spread(_t(spark, sf_dir, "part").select("p_partkey")).select(F.explode(pick).alias("f")).select("f.*")
 
 
 _LAYOUT_ROWS = " union all ".join(
@@ -134,7 +135,7 @@ _parser(
 _parser(
     "callable_symbols", _CALLS, ["node", "entry"],
     [("'d.f' || k || '.C.run'", "'d.f' || k || '.C.run'"), ("'d.f' || k || '.C.go'", "'d.f' || k || '.C.run'"), ("'d.f' || k || '.a' || k", "'d.f' || k || '.C.run'"), ("'d.f' || k || '.b'", "'d.f' || k || '.C.run'"), ("'other' || m || '.helper'", "'d.f' || k || '.C.run'"), ("'lib.go' || m", "'d.f' || k || '.C.run'")],
-    lambda f: scan.callable_from(calls := _fine(scan.python_calls(f)), calls.where(F.col("caller").endswith(".run")).select(F.col("caller").alias("entry")))[0].withColumnRenamed("fact", "entry"), "d/f{k}.py",
+    lambda f: scan.callable_from(calls := cut(_fine(scan.python_calls(f))), calls.where(F.col("caller").endswith(".run")).select(F.col("caller").alias("entry")))[0].withColumnRenamed("fact", "entry"), "d/f{k}.py",
 )
 _parser("json_positions", '{"a{k}": [1, {"b": "x: {m}"}],\n  "c" : {"d{m}": null}}', ["path", "line", "column", "key"], [("path", "'1'", "'2'", "'.a' || k"), ("path", "'1'", "cast(12 + length(cast(k as varchar)) as varchar)", "'.a' || k || '[1].b'"), ("path", "'2'", "'3'", "'.c'"), ("path", "'2'", "'10'", "'.c.d' || m")], lambda f: _fine(positions.json_keys(f)))
 _parser("ini_positions", "# x\n[options]\nInstall_Requires =\n  a{k}\n[s{m}]\nb: 1\n", ["path", "line", "section", "key"], [("path", "'2'", "'options'", "null"), ("path", "'3'", "'options'", "'install_requires'"), ("path", "'5'", "'s' || m", "null"), ("path", "'6'", "'s' || m", "'b'")], lambda f: _fine(positions.ini_keys(f)))
