@@ -28,14 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
     """``df`` written as Parquet under the shared folder and read again, for rounds that join their own results.
 
     ``checkpoint()`` keeps the plan's estimate of its size, which squares with each join of a result with itself: after
-    twenty rounds planning takes minutes over a number of millions of digits. A file's size is what it is.
+    twenty rounds planning takes minutes over a number of millions of digits. A file's size is what it is. Rows of each value of ``by``, which has few, lie apart: a condition on it reads only these.
     """
     at = f"{shared_folder(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    (df.write.partitionBy(by) if by else df.write).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import ast
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import source_scope
-from lodestrata.lineage import cut
+from lodestrata.lineage import cut, written
 from lodestrata.operators import evidence, graph
 from lodestrata.operators.constraints import exact_pin, priority_lookup
 from lodestrata.operators.lookup import longest_prefix, prefixes
@@ -28,6 +29,8 @@ PYTHON_MODULES = {
 #: What makes a folder a project of an ecosystem, and which files are its sources.
 MANIFESTS = {"npm": r"^package\.json$", "pypi": r"^(pyproject\.toml|requirements[\w.-]*\.txt)$", "go": r"^go\.mod$", "cargo": r"^Cargo\.toml$"}
 SOURCES = {"npm": r"\.(js|jsx|ts|tsx|mjs|cjs)$", "pypi": r"\.py$", "go": r"\.go$", "cargo": r"\.rs$"}
+#: Kinds of files that a scan reads, by their endings; others aren't read.
+KINDS = {"json": r"\.json$", "toml": r"\.toml$", "lock": r"\.lock$", "txt": r"\.(txt|in)$", "mod": r"\.mod$", **SOURCES}
 _DECLARED = ["project_id", "ecosystem", "package", "scope", "kind", "constraint_raw", "constraint_scheme", "source_path", "go_kind"]
 
 
@@ -44,8 +47,8 @@ def _inclusions(files: DataFrame) -> DataFrame:
     return manifests.include_closure(texts, texts.where(F.substring_index("path", "/", -1).rlike(MANIFESTS["pypi"])))
 
 
-def _declarations(files: DataFrame, toml: DataFrame, cargo: DataFrame, inclusions: DataFrame) -> DataFrame:
-    """What the manifests of all ecosystems declare; ``toml`` and ``cargo`` are the parsed pyproject and Cargo files.
+def _declarations(some: Callable[..., DataFrame], toml: DataFrame, cargo: DataFrame, inclusions: DataFrame) -> DataFrame:
+    """What the manifests of all ecosystems declare; ``some`` gives files of kinds, ``toml`` and ``cargo`` are the parsed pyproject and Cargo files.
 
     A requirements file declares for its project what it includes too; constraint files declare nothing.
     """
@@ -62,12 +65,12 @@ def _declarations(files: DataFrame, toml: DataFrame, cargo: DataFrame, inclusion
     # lines of each file once, by project: its own requirements files and what they include, a file of two roots once for each scope
     scope = F.when(F.substring_index("root", "/", -1).rlike(r"(?i)(dev|test)"), "development").otherwise("runtime")
     reached = inclusions.where("kind = 'requirement' and status = 'found'").select(folder(F.col("root")).alias("project_"), scope.alias("scope_"), "path").distinct()
-    included = manifests.requirements(files.join(reached.select("path").distinct(), "path", "left_semi")).join(reached, "path")
+    included = manifests.requirements(some("txt").join(reached.select("path").distinct(), "path", "left_semi")).join(reached, "path")
     return (
-        rows(manifests.package_json(files.where(name == "package.json")), "npm", "semver", F.col("package"), F.col("scope"))
+        rows(manifests.package_json(some("json").where(name == "package.json")), "npm", "semver", F.col("package"), F.col("scope"))
         .unionByName(rows(toml.where("problem is null"), "pypi", "pep440", manifests.pypi_name(F.col("display_name")), py_scope))
         .unionByName(rows(included, "pypi", "pep440", F.col("package"), F.col("scope_"), home=F.col("project_")))
-        .unionByName(rows(manifests.go_mod(files.where(name == "go.mod")), "go", "go", F.col("package"), F.lit("runtime"), F.when(F.col("indirect"), "transitive").otherwise("direct"), "version", "require"))
+        .unionByName(rows(manifests.go_mod(some("mod").where(name == "go.mod")), "go", "go", F.col("package"), F.lit("runtime"), F.when(F.col("indirect"), "transitive").otherwise("direct"), "version", "require"))
         .unionByName(rows(cargo.where("problem is null and package is not null"), "cargo", "cargo", F.col("package"), F.col("scope")))
     )
 
@@ -114,18 +117,21 @@ def scan(files: DataFrame, mapping: DataFrame | None = None, projects: DataFrame
     give resolved versions, package.json's scripts usages of the declared tools they run. A file that can't be read gives a
     diagnostic and makes its project's evidence partial.
     """
+    kind = F.coalesce(*[F.when(F.col("path").rlike(rule), F.lit(k)) for k, rule in KINDS.items()])
+    kept = written(files.select("path", "text", kind.alias("kind")).where("kind is not null"), "kind")  # read once, by kind: each relation below reads files of its own
+    some = lambda *kinds: kept.where(F.col("kind").isin(*kinds)).select("path", "text")
     name = F.substring_index("path", "/", -1)
-    projects = cut(_projects(files)) if projects is None else projects  # relations that others are built from are written once, not parsed again for each
-    toml, cargo = cut(manifests.pyproject(files.where(name == "pyproject.toml"))), cut(builds.cargo_toml(files.where(name == "Cargo.toml")))
-    inclusions = cut(_inclusions(files))
-    declarations = cut(_declarations(files, toml, cargo, inclusions))
+    projects = cut(_projects(some("json", "toml", "txt", "mod"))) if projects is None else projects  # relations that others are built from are written once, not parsed again for each
+    toml, cargo = cut(manifests.pyproject(some("toml").where(name == "pyproject.toml"))), cut(builds.cargo_toml(some("toml").where(name == "Cargo.toml")))
+    inclusions = cut(_inclusions(some("txt")))
+    declarations = cut(_declarations(some, toml, cargo, inclusions))
     resolved = (
-        manifests.package_lock(files.where(name == "package-lock.json")).where("instance <> ''").select(folder(F.col("path")).alias("project_id"), F.lit("npm").alias("ecosystem"), "package", "version")
-        .unionByName(manifests.toml_lock(files.where(name.isin("poetry.lock", "pdm.lock", "uv.lock", "pylock.toml"))).where("problem is null").select(folder(F.col("path")).alias("project_id"), F.lit("pypi").alias("ecosystem"), manifests.pypi_name(F.col("display_name")).alias("package"), "version"))
-        .unionByName(manifests.cargo_lock(files.where(name == "Cargo.lock")).select(folder(F.col("path")).alias("project_id"), F.lit("cargo").alias("ecosystem"), "package", "version"))
+        manifests.package_lock(some("json").where(name == "package-lock.json")).where("instance <> ''").select(folder(F.col("path")).alias("project_id"), F.lit("npm").alias("ecosystem"), "package", "version")
+        .unionByName(manifests.toml_lock(some("toml", "lock").where(name.isin("poetry.lock", "pdm.lock", "uv.lock", "pylock.toml"))).where("problem is null").select(folder(F.col("path")).alias("project_id"), F.lit("pypi").alias("ecosystem"), manifests.pypi_name(F.col("display_name")).alias("package"), "version"))
+        .unionByName(manifests.cargo_lock(some("lock").where(name == "Cargo.lock")).select(folder(F.col("path")).alias("project_id"), F.lit("cargo").alias("ecosystem"), "package", "version"))
     )
     kind = F.array_compact(F.array(*[F.when(name.rlike(rule), F.lit(eco)) for eco, rule in SOURCES.items()]))
-    sources = files.select("path", F.explode(kind).alias("ecosystem"), folder(F.col("path")).alias("folder"))
+    sources = some(*SOURCES).select("path", F.explode(kind).alias("ecosystem"), folder(F.col("path")).alias("folder"))
     owned = None
     for eco in SOURCES:
         roots = projects.where(F.col("ecosystem") == eco).select(F.col("project_id").alias("root"))
@@ -133,17 +139,16 @@ def scan(files: DataFrame, mapping: DataFrame | None = None, projects: DataFrame
         owned = own if owned is None else owned.unionByName(own)
     relative = F.when(F.col("root") == ".", F.col("path")).otherwise(F.expr("substring(path, length(root) + 2)"))
     owned = cut(owned.select("path", "ecosystem", F.col("root").alias("project_id"), relative.alias("relative")).withColumn("scope", source_scope(F.col("ecosystem"), F.col("relative"))))
-    imports = cut(manifests.python_imports(files.where(name.rlike(SOURCES["pypi"]))))
-    text = lambda eco: files.where(name.rlike(SOURCES[eco]))
+    imports = cut(manifests.python_imports(some("pypi")))
     of = lambda loads, eco: loads.join(owned.where(F.col("ecosystem") == eco), "path")
     own = lambda eco: owned.where(F.col("ecosystem") == eco)
     regular = F.lit("regular").alias("kind")
-    js = of(manifests.js_loads(text("npm")).select("path", "reference", "kind"), "npm").withColumn("package", manifests.npm_package()).where("package is not null").withColumn("mapping_confidence", F.lit("exact"))
+    js = of(manifests.js_loads(some("npm")).select("path", "reference", "kind"), "npm").withColumn("package", manifests.npm_package()).where("package is not null").withColumn("mapping_confidence", F.lit("exact"))
     py = _python_usages(of(imports.where("problem is null").select("path", "reference", "kind"), "pypi"), own("pypi"), mapping)
-    go = _go_usages(of(builds.go_imports(text("go")).select("path", "reference", regular), "go"), declarations, files)
-    rust = _cargo_usages(of(builds.rust_references(text("cargo")).select("path", "reference", regular), "cargo"), cargo, own("cargo"))
+    go = _go_usages(of(builds.go_imports(some("go")).select("path", "reference", regular), "go"), declarations, some("mod"))
+    rust = _cargo_usages(of(builds.rust_references(some("cargo")).select("path", "reference", regular), "cargo"), cargo, own("cargo"))
     columns = ["project_id", "ecosystem", "reference", "package", "scope", "kind", "mapping_confidence", F.col("path").alias("source_path")]
-    tools = builds.script_commands(files.where(name == "package.json")).where("supported").select(folder(F.col("path")).alias("project_id"), F.lit("npm").alias("ecosystem"), F.col("executable").alias("reference"), F.col("executable").alias("package"), F.lit("build").alias("scope"), F.lit("command").alias("kind"), F.lit("exact").alias("mapping_confidence"), F.col("path").alias("source_path"))
+    tools = builds.script_commands(some("json").where(name == "package.json")).where("supported").select(folder(F.col("path")).alias("project_id"), F.lit("npm").alias("ecosystem"), F.col("executable").alias("reference"), F.col("executable").alias("package"), F.lit("build").alias("scope"), F.lit("command").alias("kind"), F.lit("exact").alias("mapping_confidence"), F.col("path").alias("source_path"))
     tools = tools.join(declarations.where("scope <> 'build'").select(KEY), KEY, "left_semi").select("project_id", "ecosystem", "reference", "package", "scope", "kind", "mapping_confidence", "source_path")
     rows = js.select(columns).unionByName(py.select(columns)).unionByName(go.select(columns)).unionByName(rust.select(columns)).unionByName(tools)
     usages = cut(rows.withColumn("kind", F.when(F.col("kind").isin("optional", "command"), F.col("kind")).otherwise("regular")))

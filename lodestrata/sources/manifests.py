@@ -12,7 +12,7 @@ import json
 import re
 import tomllib
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -412,21 +412,35 @@ def npm_package(reference: str = "reference"):
     return F.when(none, F.lit(None)).when(c.startswith("@"), F.nullif(F.lower(F.regexp_extract(c, "^(@[^/]+/[^/]+)", 1)), F.lit(""))).otherwise(F.lower(F.substring_index(c, "/", 1)))
 
 
+#: Rows of so many texts of so many characters at most are kept by a task that reads files: copies of a file are parsed once while they are near.
+EQUAL_TEXTS, SHORT_TEXT = 1024, 4096
+
+
 def _rows(files: DataFrame, schema: str, names: list[str], read: Callable[[str], list[tuple]]) -> DataFrame:
-    """Rows of a per-file helper; a file that raises gives a row with ``problem`` alone."""
+    """Rows of a per-file helper; a file that raises gives a row with ``problem`` alone. ``read`` must depend on the text alone."""
+
+    def attempt(text: str) -> tuple[list[tuple], str | None]:
+        try:
+            return list(read(text)), None
+        except ImportError:
+            raise
+        except Exception as e:  # whatever a file's content does to its helper is that file's problem
+            return [(None,) * len(names)], f"{type(e).__name__}: {e}"[:200]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = lru_cache(EQUAL_TEXTS)(attempt)
         for batch in batches:
-            out: list[dict] = []
+            paths: list[str] = []
+            rows: list[tuple] = []
+            problems: list[str | None] = []
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    out.extend({"path": path, "problem": None} | dict(zip(names, r, strict=True)) for r in read(text or ""))
-                except ImportError:
-                    raise
-                except Exception as e:  # whatever a file's content does to its helper is that file's problem
-                    out.append({"path": path, "problem": f"{type(e).__name__}: {e}"[:200]})
+                found, problem = (kept if len(text or "") <= SHORT_TEXT else attempt)(text or "")
+                paths += [path] * len(found)
+                rows += found
+                problems += [problem] * len(found)
+            columns = [paths, *(zip(*rows, strict=True) if rows else [[]] * len(names)), problems]
             cols = ["path", *names, "problem"]
-            yield pa.RecordBatch.from_arrays([pa.array([o.get(c) for o in out], pa.int32() if c == "line" else pa.string()) for c in cols], cols)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if c == "line" else pa.string()) for c, v in zip(cols, columns, strict=True)], cols)
 
     return files.select("path", "text").mapInArrow(parse, f"path string, {schema}, problem string")
 
