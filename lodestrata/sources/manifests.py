@@ -161,14 +161,18 @@ def npm_origins(packages: DataFrame, registries: DataFrame, public: str = "https
 def npm_edges(instances: DataFrame) -> DataFrame:
     """``(path, parent, child, request, target)``: each request bound to the nearest ``node_modules`` that has it, else null.
 
-    Ancestors of an instance explode with their depth; one equi join and a maximum find the nearest.
+    Ancestors of an instance explode with their depth; one equi join and a maximum find the nearest. The join is a merge: instances
+    are many for each row that they come from, so an estimate by that table's size would broadcast them. The depth is the maximum, not the
+    text, so that groups are hashed, not sorted.
     """
     wanted = instances.select("path", F.col("instance").alias("parent"), F.explode("requests").alias("child", "request"))
     parts = F.split("parent", "/node_modules/")
-    ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/node_modules/").alias("at")))
-    spots = wanted.select("*", F.explode(ups).alias("u")).select("path", "parent", "child", "request", "u.depth", F.when(F.col("u.at") == "", F.concat(F.lit("node_modules/"), F.col("child"))).otherwise(F.concat("u.at", F.lit("/node_modules/"), "child")).alias("spot"))
-    found = spots.join(instances.select("path", F.col("instance").alias("spot"), F.lit(True).alias("there")), ["path", "spot"], "left")
-    return found.groupBy("path", "parent", "child", "request").agg(F.max_by(F.when(F.col("there"), F.col("spot")), F.when(F.col("there"), F.col("depth"))).alias("target"))
+    at = F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/node_modules/")
+    spot = F.when(at == "", F.concat(F.lit("node_modules/"), F.col("child"))).otherwise(F.concat(at, F.lit("/node_modules/"), "child"))
+    spots = wanted.select("*", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).withColumn("spot", spot)
+    found = spots.join(instances.select("path", F.col("instance").alias("spot"), F.lit(True).alias("there")).hint("merge"), ["path", "spot"], "left")
+    nearest = found.groupBy("path", "parent", "child", "request").agg(F.max(F.when(F.col("there"), F.col("depth"))).alias("depth"))
+    return nearest.select("path", "parent", "child", "request", F.when(F.col("depth").isNotNull(), spot).alias("target"))
 
 
 def go_mod(files: DataFrame) -> DataFrame:

@@ -88,3 +88,9 @@ def test_equal_short_texts_are_parsed_once_by_a_task(spark):
     assert sorted((r.path, r.a, r.b) for r in rows if not r.problem) == sorted([(f"f{i}", "2", b) for i in range(0, 50, 5) for b in "01"] + [(f"f{i}", " " * 5000 + "1", "0") for i in range(4, 50, 5)])
     assert {r.path for r in rows if r.problem and r.a is None and r.problem.startswith("ValueError")} == {f"f{i}" for i in range(50) if i % 5 in (2, 3)}
     assert told.value == 4 + 10  # long texts are parsed each
+
+
+@pytest.mark.parametrize("name", ["npm_lock_edges", "npm_lock_v1_edges"])
+def test_what_files_say_is_not_broadcast_by_the_size_of_the_table_behind_them(spark, name):
+    plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
