@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import pypi_name
+from lodestrata.lineage import written
 
 from . import lexer
 from .files import numbered_lines
@@ -294,11 +295,15 @@ def uv_sources(files: DataFrame) -> DataFrame:
 
 
 def uv_origins(packages: DataFrame, facts: DataFrame) -> DataFrame:
-    """``packages(path, package)`` with the ``origin`` that ``uv_sources`` gives them: their own source, else the file's default index, else the public one."""
+    """``packages(path, package)`` with the ``origin`` that ``uv_sources`` gives them: their own source, else the file's default index, else the public one.
+
+    Facts are read once for the three joins, which are merges: an estimate by the size of the table behind the files would broadcast facts of any number.
+    """
+    facts = written(facts)
     own = facts.where("fact = 'source'").select("path", F.col("name").alias("package"), "kind", "location")
     named = facts.where("fact = 'index'").select("path", F.col("name").alias("location"), F.col("location").alias("address"))
     default = facts.where("fact = 'index' and kind = 'default'").groupBy("path").agg(F.min("location").alias("default"))
-    rows = packages.join(own, ["path", "package"], "left").join(named, ["path", "location"], "left").join(default, "path", "left")
+    rows = packages.join(own.hint("merge"), ["path", "package"], "left").join(named.hint("merge"), ["path", "location"], "left").join(default.hint("merge"), "path", "left")
     return rows.select(*packages.columns, F.when(F.col("kind") == "index", F.coalesce("address", F.lit("unknown"))).when(F.col("kind").isNotNull(), F.col("location")).otherwise(F.coalesce("default", F.lit("https://pypi.org/simple"))).alias("origin"))
 
 

@@ -90,7 +90,7 @@ def test_equal_short_texts_are_parsed_once_by_a_task(spark):
     assert told.value == 4 + 10  # long texts are parsed each
 
 
-@pytest.mark.parametrize("name", ["npm_lock_edges", "npm_lock_v1_edges"])
+@pytest.mark.parametrize("name", ["npm_lock_edges", "npm_lock_v1_edges", "uv_origins"])
 def test_what_files_say_is_not_broadcast_by_the_size_of_the_table_behind_them(spark, name):
     plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
