@@ -12,20 +12,26 @@ def reverse_paths(edges: DataFrame, targets: DataFrame, depth: int = 64) -> Data
     """Simple paths against the edges: ``(path, length, rooted, truncated)`` from each node of ``targets(node)`` to its ancestors.
 
     ``edges(parent, child)``. A path repeats no node and has ``depth`` edges at most; ``rooted`` tells whether
-    nothing points at its last node, ``truncated`` whether it goes on beyond ``depth``. One join for each level, on the frontier only.
+    nothing points at its last node, ``truncated`` whether it goes on beyond ``depth``. One join for each level, on the frontier only:
+    edges are evaluated once and tell whether their parent is a root, and the joins are merges (see ``fixpoint``).
     """
     up = edges.select("parent", "child").distinct()
-    front = targets.select(F.array("node").alias("path"), F.col("node").alias("end")).distinct()
-    out = front
+    below = written(up.select(F.col("child").alias("node")).distinct().withColumn("below", F.lit(True)))
+    up = written(up.join(below.hint("merge"), F.col("parent") == F.col("node"), "left").select("parent", "child", F.col("below").isNull().alias("top")))
+    onward = lambda df: df.join(up.hint("merge"), F.col("end") == F.col("child")).where(~F.array_contains("path", F.col("parent")))
+    front = written(targets.select("node").distinct().join(below.hint("merge"), "node", "left").select(F.array("node").alias("path"), F.col("node").alias("end"), F.col("below").isNull().alias("rooted")))
+    out, ended = front.limit(0), False
     for _ in range(depth):
-        front = cut(front.join(up, F.col("end") == F.col("child")).where(~F.array_contains("path", F.col("parent"))).select(F.concat("path", F.array("parent")).alias("path"), F.col("parent").alias("end")))
-        if front.isEmpty():
+        longer = written(onward(front).select(F.concat("path", F.array("parent")).alias("path"), F.col("parent").alias("end"), F.col("top").alias("rooted")))
+        if longer.isEmpty():
+            ended = True
             break
-        out = out.union(front)
-    roots = up.select(F.col("child").alias("end")).distinct().withColumn("has_parent", F.lit(True))
-    more = front.join(up, F.col("end") == F.col("child")).where(~F.array_contains("path", F.col("parent"))).select("path").distinct().withColumn("more", F.lit(True))
-    marked = out.join(roots, "end", "left").join(more, "path", "left")
-    return marked.select("path", (F.size("path") - 1).alias("length"), F.col("has_parent").isNull().alias("rooted"), F.coalesce("more", F.lit(False)).alias("truncated"))
+        out, front = out.union(front), longer
+    told = lambda df, truncated: df.select("path", (F.size("path") - 1).alias("length"), "rooted", truncated.alias("truncated"))
+    if ended:
+        return told(out.union(front), F.lit(False))
+    more = onward(front).select("path").distinct().withColumn("more", F.lit(True))
+    return told(out, F.lit(False)).union(told(front.join(more.hint("merge"), "path", "left"), F.coalesce("more", F.lit(False))))
 
 
 def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000) -> DataFrame:

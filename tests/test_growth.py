@@ -94,3 +94,18 @@ def test_equal_short_texts_are_parsed_once_by_a_task(spark):
 def test_what_files_say_is_not_broadcast_by_the_size_of_the_table_behind_them(spark, name):
     plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_paths_against_edges_evaluate_edges_once(spark):
+    told = spark.sparkContext.accumulator(0)
+
+    def above(i):
+        told.add(1)
+        return i // 2
+
+    edges = spark.range(1, 16, numPartitions=1).select(F.udf(above, "long")("id").alias("parent"), F.col("id").alias("child"))
+    ends = spark.createDataFrame([(13,), (99,)], "node long")
+    rows = lambda depth: {(tuple(r.path), r.length, r.rooted, r.truncated) for r in graph.reverse_paths(edges, ends, depth).collect()}
+    assert rows(9) == {((13,), 0, False, False), ((13, 6), 1, False, False), ((13, 6, 3), 2, False, False), ((13, 6, 3, 1), 3, False, False), ((13, 6, 3, 1, 0), 4, True, False), ((99,), 0, True, False)}
+    assert told.value <= 2 * 15
+    assert rows(2) == {((13,), 0, False, False), ((13, 6), 1, False, False), ((13, 6, 3), 2, False, True), ((99,), 0, True, False)}
