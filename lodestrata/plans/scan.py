@@ -186,6 +186,20 @@ def export_problems(relations: dict[str, DataFrame]) -> DataFrame:
     return out.unionByName(lost).where("n > 0")
 
 
+#: Nodes of Python's syntax that hold no call, and the lists of a statement that hold statements, in the order of its fields.
+_LEAVES = frozenset([ast.Name, ast.Constant, ast.Load, ast.Store, ast.Del, ast.alias, ast.Import, ast.ImportFrom, ast.Global, ast.Nonlocal, ast.Pass, ast.Break, ast.Continue])
+_BODIES = ("body", "handlers", "orelse", "finalbody", "cases")
+
+
+def _statements(module: ast.Module) -> list[ast.AST]:
+    """The statements of a module in the order of ``ast.walk``, which visits expressions too."""
+    out: list[ast.AST] = [module]
+    for node in out:
+        for name in _BODIES:
+            out += getattr(node, name, ())
+    return out
+
+
 def python_calls(files: DataFrame) -> DataFrame:
     """Calls between functions of Python sources: ``(path, caller, callee, problem)``; names are ``module.function`` by the file's path.
 
@@ -194,13 +208,16 @@ def python_calls(files: DataFrame) -> DataFrame:
 
     def read(text: str) -> list[tuple]:
         module = ast.parse(text)
-        names = {a.asname or a.name: f"{n.module}.{a.name}" for n in ast.walk(module) if isinstance(n, ast.ImportFrom) and n.module and not n.level for a in n.names}
-        names |= {a.asname or a.name: a.name for n in ast.walk(module) if isinstance(n, ast.Import) for a in n.names}
+        statements = _statements(module)
+        names = {a.asname or a.name: f"{n.module}.{a.name}" for n in statements if isinstance(n, ast.ImportFrom) and n.module and not n.level for a in n.names}
+        names |= {a.asname or a.name: a.name for n in statements if isinstance(n, ast.Import) for a in n.names}
         tops = {n.name for n in module.body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)}
         out: set[tuple] = set()
 
         def walk(node: ast.AST, inside: str, owner: str | None) -> None:
             for child in ast.iter_child_nodes(node):
+                if type(child) in _LEAVES:
+                    continue
                 if isinstance(child, ast.ClassDef):
                     walk(child, inside, child.name)
                 elif isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):

@@ -1,5 +1,7 @@
 """Inputs as the queries' SQL has them, and work that grows no faster than they do."""
 
+import ast
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +111,12 @@ def test_paths_against_edges_evaluate_edges_once(spark):
     assert rows(9) == {((13,), 0, False, False), ((13, 6), 1, False, False), ((13, 6, 3), 2, False, False), ((13, 6, 3, 1), 3, False, False), ((13, 6, 3, 1, 0), 4, True, False), ((99,), 0, True, False)}
     assert told.value <= 2 * 15
     assert rows(2) == {((13,), 0, False, False), ((13, 6), 1, False, False), ((13, 6, 3), 2, False, True), ((99,), 0, True, False)}
+
+
+def test_imports_of_python_are_found_among_statements_alone():
+    text = "import a\nif x:\n    try:\n        import b as c\n    except E:\n        from d import e\n    else:\n        import f\n    finally:\n        import g\nmatch y:\n    case 1:\n        import h\nwith z as w:\n    async def k():\n        from l import m\nfor i in j:\n    pass\nelse:\n    import n\nclass O:\n    def p(q=lambda: 1): import r\n"
+    module = ast.parse(text)
+    kept = lambda nodes: [n.lineno for n in nodes if isinstance(n, ast.Import | ast.ImportFrom)]
+    found = scan._statements(module)
+    assert kept(found) == kept(ast.walk(module)) and len(kept(found)) == 9
+    assert not any(isinstance(n, ast.expr) for n in found) and len(found) < len(list(ast.walk(module))) / 2
