@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.lineage import cut
+from lodestrata.lineage import cut, written
 
 from .files import folder
 
@@ -28,8 +28,7 @@ _TARGET = f"id string, name string, type string, abstract boolean, codemodelVers
 
 def _document(schema: str) -> Column:
     """The text as a document of ``schema``; null where it is no JSON object."""
-    whole = F.try_parse_json("text")
-    return F.when(F.expr("schema_of_variant(try_parse_json(text))").startswith("OBJECT") & whole.isNotNull(), F.from_json("text", schema))
+    return F.when(F.col("text").rlike(r"^[ \t\n\r]*\{") & F.try_parse_json("text").isNotNull(), F.from_json("text", schema))
 
 
 def _place(home: Column, reference: Column) -> Column:
@@ -51,7 +50,10 @@ def model(files: DataFrame) -> dict[str, DataFrame]:
     Null texts are malformed; empty tables give empty relations. Files that no index leads to aren't read.
     """
     name = F.substring_index("path", "/", -1)
-    listed = files.where(name.rlike(r"^index-.*\.json$")).select(F.col("path").alias("index"), _document(_INDEX).alias("d"))
+    index = F.coalesce(name.rlike(r"^index-.*\.json$"), F.lit(False)).cast("int")
+    kept = written(files.select("path", "text", index.alias("is_index")), "is_index")  # each step below reads files again
+    files = kept.select("path", "text")
+    listed = kept.where("is_index = 1").select(F.col("path").alias("index"), _document(_INDEX).alias("d"))
     wanted = F.filter("d.objects", lambda o: (o["kind"] == "codemodel") & (o["version"]["major"] == 2))
     listed = cut(listed.select("index", F.col("d").isNotNull().alias("read"), F.coalesce(wanted, F.array().cast("array<struct<kind:string,version:struct<major:int,minor:int>,jsonFile:string>>")).alias("w")))
     lost = listed.where(F.size("w") != 1).select("index", F.when(F.col("read"), "index.codemodels").otherwise("index.malformed").alias("code"), F.when(F.col("read"), F.size("w").cast("string")).alias("subject"))
