@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from .common import cut, small_batches
 from .wordtable import release, word_table
 
 #: Bytes of ids that a worker passes on at once.
@@ -107,6 +108,7 @@ def encoded_and_decoded(docs: DataFrame, path: str, id_col: str = "doc_id", text
                     flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))])
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(texts, pa.string())], ["i", "ids", "decoded"])
         finally:
+            table = piece = parts = texts = own = flat = batch = None  # else they stay until this generator goes
             release()
 
     kind = dict(rows.dtypes)["i"]
@@ -116,9 +118,10 @@ def encoded_and_decoded(docs: DataFrame, path: str, id_col: str = "doc_id", text
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
     """One row per document: ``id_col``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``; the text is encoded, then decoded from its ids.
 
-    Null and empty texts have no ids and decode to the empty text; null ids and repeated rows each give a row, an empty
+    The digests are written once (see ``cut``), so that the texts' batches can be held small. Null and empty texts have no ids and decode to the empty text; null ids and repeated rows each give a row, an empty
     table gives an empty result, other columns are not read.
     """
     rows = encoded_and_decoded(docs, path, id_col, text_col, ranks)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return rows.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    with small_batches(docs.sparkSession):
+        return cut(rows.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))

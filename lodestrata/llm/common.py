@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +12,28 @@ from lodestrata.lineage import cut, shared_folder  # noqa: F401
 
 #: Keys of rows to take out are broadcast up to this number (two longs each), else joined by a shuffle.
 BROADCAST_KEYS = 500_000
+#: Rows and bytes of an Arrow batch of whole texts. Spark's own bound (10,000 rows) holds tens of MB a task, several times over: in the JVM's
+#: direct buffers, which it keeps, and in the worker.
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 2_000_000}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts go to Python in small Arrow batches in what is run (not only planned) within; the session's settings come back after it."""
+    before = {k: spark.conf.get(k, None) for k in BATCH_CONF}
+    for k, v in BATCH_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that no column of ``df`` has (names compare without case)."""
     taken, name = {c.lower() for c in df.columns}, stem

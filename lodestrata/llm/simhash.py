@@ -15,6 +15,7 @@ its members link to one representative first, and only pairs of different groups
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,8 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import BROADCAST_KEYS, counted_side, cut, fresh, without
+from .common import BROADCAST_KEYS, counted_side, cut, fresh, small_batches, without
 from .components import components
+from .workers import trimming
 
 RADIUS = 4
 #: A key of agreeing segments with more fingerprints than this is linked through a representative first.
@@ -62,8 +64,12 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def _fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array([fingerprint(x.as_py()) for x in texts], pa.int64())
+def _fingerprints(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def each(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            yield pa.array([fingerprint(x.as_py()) for x in texts], pa.int64())
+
+    return trimming(each)(parts)
 
 
 fingerprint_udf = F.arrow_udf(_fingerprints, LongType())
@@ -188,7 +194,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id take part and carry null; a component of null ids only has a null ``component_id``. Repeated rows each
     give a row; other columns of ``docs`` are not read. An empty table gives an empty result.
     """
-    fps = cut(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))
+    with small_batches(docs.sparkSession):
+        fps = cut(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))
     classes = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(near_links(classes.select("fp"), radius))
     labelled = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")

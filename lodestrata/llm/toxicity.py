@@ -18,8 +18,9 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_sample, without
+from .common import cut, hash_sample, small_batches, without
 from .toxfeatures import N_FEATURES, features, stems  # noqa: F401
+from .workers import trimming
 
 #: Labelled rows that a fit reads at most; this bound lets them be broadcast (an id and a label each).
 SAMPLE_ROWS = 20_000
@@ -44,7 +45,7 @@ def _lexicon(rows: DataFrame) -> dict[str, float]:
             own = [list(stems(x.as_py())) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string())), batch.column(1)], ["stems", "y"])
 
-    split_rows = rows.select("text", "y").mapInArrow(split, "stems array<string>, y double")
+    split_rows = rows.select("text", "y").mapInArrow(trimming(split), "stems array<string>, y double")
     counts = split_rows.select(F.explode("stems").alias("stem"), "y").groupBy("stem").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     n_bad, n_good = rows.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0.0))).first()
     ratio = ((F.col("bad") + 0.5) / (n_bad + 1)) / ((F.col("good") + 0.5) / (n_good + 1))
@@ -65,7 +66,7 @@ def _scored(rows: DataFrame, marks: DataFrame, fold: int, held: int, sample: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.float64()))], ["id", "a", "x"])
 
     def vectors(of: DataFrame, a: str, a_kind: str) -> DataFrame:
-        return of.select("id", a, "text").mapInArrow(measure, f"id {kind}, a {a_kind}, x array<double>").withColumn("x", array_to_vector("x"))
+        return of.select("id", a, "text").mapInArrow(trimming(measure), f"id {kind}, a {a_kind}, x array<double>").withColumn("x", array_to_vector("x"))
 
     known = cut(vectors(texts.withColumn("a", F.struct("y", "calibrates")), "a", "struct<y:double,calibrates:boolean>").select("id", "a.y", "a.calibrates", "x"))
     sums = {r.calibrates: (r.n, r.bad) for r in known.groupBy("calibrates").agg(F.count("*").alias("n"), F.sum("y").alias("bad")).collect()}
@@ -119,5 +120,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    scored = _scored(rows, marks, 4, 2, SAMPLE_ROWS, threshold)
-    return without(docs, scored.where("predicted = 1").select(F.col("id").alias("i"), "h"), id_col, F.xxhash64(F.col(f"`{text_col}`")))
+    with small_batches(docs.sparkSession):
+        scored = cut(_scored(rows, marks, 4, 2, SAMPLE_ROWS, threshold).where("predicted = 1").select("id", "h"))
+    return without(docs, scored.select(F.col("id").alias("i"), "h"), id_col, F.xxhash64(F.col(f"`{text_col}`")))

@@ -13,6 +13,8 @@ import struct
 
 import numpy as np
 
+from .workers import trim
+
 #: Code points with Unicode's White_Space property.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: kind -> (words of a text, separator). "byte": a byte-level pre-tokenizer, where one space belongs to the
@@ -150,3 +152,4 @@ def word_table(path: str, kind: str, ranks: str | None = None) -> WordTable:
 def release() -> None:
     """Drops this worker's tables: a worker outlives its task, and other stages need its memory."""
     _TABLES.clear()
+    trim()

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,30 @@ def test_very_long_texts_are_read_whole(spark):
     lines = spark.createDataFrame([(i, "\n".join(f"own {i} {k} line of this text" for k in range(30_000)) + f"\n{line}", f"s{i}") for i in range(5)], "doc_id long, text string, source string")
     got = linededup.drop_boilerplate(lines, removed_col="n").select("doc_id", "n", F.substring_index("text", "\n", -1).alias("last")).collect()
     assert {r.doc_id: r.n for r in got} == {i: int(i > 0) for i in range(5)} and [r.doc_id for r in got if r.last == line] == [0]
+
+
+def test_whole_texts_go_to_python_in_small_batches_and_settings_come_back(spark):
+    from lodestrata.llm.common import BATCH_CONF, cut, small_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    before = {k: spark.conf.get(k, None) for k in BATCH_CONF}
+    rows = spark.range(0, 1200, 1, 1).selectExpr("repeat('x', 10) as text")
+    with small_batches(spark):
+        small = cut(rows.mapInArrow(sizes, "n long"))
+    assert small.agg({"n": "sum"}).first()[0] == 1200 and max(r.n for r in small.collect()) <= 500
+    assert {k: spark.conf.get(k, None) for k in BATCH_CONF} == before
+
+
+def test_workers_give_memory_back_when_a_task_ends_or_is_given_up(monkeypatch):
+    from lodestrata.llm import workers
+
+    told = []
+    monkeypatch.setattr(workers, "trim", lambda: told.append(1))
+    assert list(workers.trimming(lambda parts: (2 * x for x in parts))(iter([1, 2]))) == [2, 4] and told == [1]
+    given_up = workers.trimming(lambda parts: (x for x in parts))(iter([1, 2]))
+    next(given_up)
+    given_up.close()
+    assert told == [1, 1]
