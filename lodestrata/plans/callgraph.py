@@ -12,7 +12,7 @@ import ast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.lineage import Grown, cut, written
+from lodestrata.lineage import Grown, written
 from lodestrata.operators.graph import fixpoint
 from lodestrata.sources.manifests import _rows
 
@@ -220,65 +220,68 @@ def facts(files: DataFrame) -> DataFrame:
 def _ancestors(rows, holds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(owner, attr, home)``: of each class's members those of the nearest class by steps, then by order of bases; and the same without its own."""
     copies = rows("copy").select(F.col("b").alias("source"), F.col("a").alias("target"))
-    links = copies.unionByName(rows("load").join(holds.where("o like 'm:%'"), F.col("b") == F.col("v")).select(F.concat(F.expr("substring(o, 3)"), F.lit("."), "c").alias("source"), F.col("a").alias("target")))
+    links = copies.unionByName(rows("load").join(holds.where("o like 'm:%'").hint("merge"), F.col("b") == F.col("v")).select(F.concat(F.expr("substring(o, 3)"), F.lit("."), "c").alias("source"), F.col("a").alias("target")))
     named, _ = fixpoint(links, holds.where("o like 'c:%'").select(F.col("v").alias("node"), F.col("o").alias("fact")))
-    bases = cut(rows("base").join(named, F.col("c") == F.col("node")).select(F.col("a").alias("class"), F.expr("substring(fact, 3)").alias("parent"), F.col("b").alias("place")).distinct())
-    front = holds.where("o like 'c:%'").select(F.expr("substring(o, 3)").alias("owner")).distinct().select("owner", F.col("owner").alias("class"), F.lit("").alias("place"), F.lit(0).alias("steps"))
-    seen = Grown(cut(front))
-    front, steps = seen.rows(), 0
+    bases = written(rows("base").join(named.hint("merge"), F.col("c") == F.col("node")).select(F.col("a").alias("class"), F.expr("substring(fact, 3)").alias("parent"), F.col("b").alias("place")).distinct())
+    front = written(holds.where("o like 'c:%'").select(F.expr("substring(o, 3)").alias("owner")).distinct().select("owner", F.col("owner").alias("class"), F.lit("").alias("place"), F.lit(0).alias("steps")))
+    seen, steps = Grown(front), 0
     while True:  # a class is met once, by its fewest steps, so cycles of bases end
         steps += 1
-        met = front.join(bases, "class").groupBy("owner", F.col("parent").alias("class")).agg(F.min(F.concat(front["place"], bases["place"])).alias("place")).withColumn("steps", F.lit(steps))
-        front = written(met.join(seen.rows().select("owner", "class"), ["owner", "class"], "left_anti").select("owner", "class", "place", "steps"))
+        met = front.join(bases.hint("merge"), "class").groupBy("owner", F.col("parent").alias("class")).agg(F.min(F.concat(front["place"], bases["place"])).alias("place")).withColumn("steps", F.lit(steps))
+        front = written(met.join(seen.rows().select("owner", "class").hint("merge"), ["owner", "class"], "left_anti").select("owner", "class", "place", "steps"))
         if front.isEmpty():
             break
         seen.add(front)
-    members = seen.rows().join(rows("member").select(F.col("a").alias("class"), F.col("b").alias("attr")).distinct(), "class")
+    members = seen.rows().join(rows("member").select(F.col("a").alias("class"), F.col("b").alias("attr")).distinct().hint("merge"), "class")
     nearest = lambda df: df.groupBy("owner", "attr").agg(F.min_by("class", F.struct("steps", "place")).alias("home"))
-    return cut(nearest(members)), cut(nearest(members.where("steps > 0")))
+    return written(nearest(members)), written(nearest(members.where("steps > 0")))
 
 
 def reach(found: DataFrame, rounds: int = 64) -> tuple[DataFrame, DataFrame, bool]:
     """``holds(v, o)``, ``calls(caller, callee)`` of ``facts``, and whether nothing new came within ``rounds``.
 
     Copies between variables and the calls that add copies (arguments to parameters, results to calls, attributes) depend on each other; each
-    round joins new objects with all copies and new copies with all objects. A module's own code is the caller named after the module.
-    An inherited member is its nearest class's; ``self`` holds an instance of every class that has the method. Calls of what isn't read reach nothing.
+    round joins new objects with all uses of variables, copies among them, and new copies with all objects. A module's own code is the caller
+    named after the module. An inherited member is its nearest class's; ``self`` holds an instance of every class that has the method. Calls of
+    what isn't read reach nothing. Joins are merges (see ``fixpoint``): facts are many for each row that their files come from, so an estimate
+    by that table's size would broadcast them, whole, to each task.
     """
-    found = cut(found.where("problem is null").select("kind", "a", "b", "c").distinct())
+    found = written(found.where("problem is null").select("kind", "a", "b", "c").distinct(), "kind")
     rows = lambda kind: found.where(F.col("kind") == kind)
     first = rows("hold").select(F.col("a").alias("v"), F.col("b").alias("o"))
     members, above = _ancestors(rows, first)
-    own = members.join(rows("self").select(F.col("a").alias("home"), F.col("b").alias("attr"), F.col("c").alias("v")), ["home", "attr"]).select("v", F.concat(F.lit("i:"), "owner").alias("o"))
+    own = members.join(rows("self").select(F.col("a").alias("home"), F.col("b").alias("attr"), F.col("c").alias("v")).hint("merge"), ["home", "attr"]).select("v", F.concat(F.lit("i:"), "owner").alias("o"))
     # an attribute of an object is a variable: of its nearest class, of its module
-    at = members.select(F.concat(F.lit("i:"), "owner").alias("o"), "attr", "home").unionByName(members.select(F.concat(F.lit("c:"), "owner").alias("o"), "attr", "home")).unionByName(above.select(F.concat(F.lit("s:"), "owner").alias("o"), "attr", "home"))
-    loads = cut(rows("load").select(F.col("b").alias("v"), F.col("c").alias("attr"), F.col("a").alias("to")))
-    stores = cut(rows("store").select(F.col("a").alias("v"), F.col("b").alias("attr"), F.col("c").alias("source")))
-    sites = cut(rows("call").select(F.col("b").alias("v"), F.col("a").alias("site"), F.col("c").alias("caller")))
-    args = rows("arg").select(F.col("a").alias("site"), F.col("b").alias("place"), F.col("c").alias("source"))
-    params = rows("param").select(F.col("a").alias("f"), F.col("b").alias("place"), F.col("c").alias("to"))
-    returns = rows("return").select(F.col("a").alias("f"), F.col("b").alias("source"))
-    init = members.where("attr = '__init__'").select(F.concat(F.lit("c:"), "owner").alias("o"), F.concat(F.lit("f:"), "home", F.lit(".__init__")).alias("f"))
+    at = members.select(F.concat(F.lit("i:"), "owner").alias("o"), F.col("attr").alias("name"), "home").unionByName(members.select(F.concat(F.lit("c:"), "owner").alias("o"), F.col("attr").alias("name"), "home")).unionByName(above.select(F.concat(F.lit("s:"), "owner").alias("o"), F.col("attr").alias("name"), "home")).hint("merge")
+    # what is done with a variable's objects: an attribute loaded to or stored from another variable, a call at a site by its caller, a copy
+    use = lambda kind, v, name, to: rows(kind).select(F.col(v).alias("v"), F.lit(kind).alias("use"), F.col(name).alias("name"), F.col(to).alias("to"))
+    uses = written(use("load", "b", "c", "a").union(use("store", "a", "b", "c")).union(use("call", "b", "c", "a")))
+    args = rows("arg").select(F.col("a").alias("site"), F.col("b").alias("place"), F.col("c").alias("source")).hint("merge")
+    params = rows("param").select(F.col("a").alias("f"), F.col("b").alias("place"), F.col("c").alias("to")).hint("merge")
+    returns = rows("return").select(F.col("a").alias("f"), F.col("b").alias("source")).hint("merge")
+    init = members.where("attr = '__init__'").select(F.concat(F.lit("c:"), "owner").alias("o"), F.concat(F.lit("f:"), "home", F.lit(".__init__")).alias("f")).hint("merge")
+    place = F.when(F.col("o").startswith("m:"), F.concat_ws(".", F.expr("substring(o, 3)"), "name")).when(F.col("home").isNotNull(), F.concat_ws(".", "home", "name"))
 
     new_holds = written(first.unionByName(own).distinct())
     new_copies = written(rows("copy").select(F.col("b").alias("source"), F.col("a").alias("to")).distinct())
-    holds, copies, reached = Grown(new_holds), Grown(new_copies), Grown(written(sites.limit(0).select("site", "caller", F.lit("").alias("f"))))
+    holds, copies, reached = Grown(new_holds), Grown(new_copies), Grown(written(rows("call").limit(0).select(F.col("a").alias("site"), F.col("c").alias("caller"), F.lit("").alias("f"))))
     for _ in range(rounds):
-        place = lambda df: df.join(new_holds, "v").join(at, ["o", "attr"], "left").withColumn("place", F.when(F.col("o").startswith("m:"), F.concat_ws(".", F.expr("substring(o, 3)"), "attr")).when(F.col("home").isNotNull(), F.concat_ws(".", "home", "attr"))).where("place is not null")
-        called = cut(sites.join(new_holds.where("o like 'f:%' or o like 'c:%'"), "v"))
-        entered = called.where("o like 'f:%'").select("site", "caller", F.col("o").alias("f")).unionByName(called.join(init, "o").select("site", "caller", "f")).distinct()
-        entered = written(entered.join(reached.rows(), ["site", "caller", "f"], "left_anti"))
+        copied = copies.rows().select(F.col("source").alias("v"), F.lit("copy").alias("use"), F.lit(None).cast("string").alias("name"), "to")
+        met = written(uses.union(copied).join(new_holds.hint("merge"), "v").where("use = 'copy' or case when use = 'call' then o like 'f:%' or o like 'c:%' else o not like 'f:%' end").select("use", "name", "to", "o"))
+        called = met.where("use = 'call'").select(F.col("to").alias("site"), F.col("name").alias("caller"), "o")
+        entered = called.where("o like 'f:%'").select("site", "caller", F.col("o").alias("f")).unionByName(called.where("o like 'c:%'").join(init, "o").select("site", "caller", "f")).distinct()
+        entered = written(entered.join(reached.rows().hint("merge"), ["site", "caller", "f"], "left_anti"))
         reached.add(entered)
+        placed = met.where("use in ('load', 'store')").join(at, ["o", "name"], "left").withColumn("place", place).where("place is not null")
         more = (
-            place(loads).select(F.col("place").alias("source"), "to")
-            .unionByName(place(stores).select("source", F.col("place").alias("to")))
+            placed.select(F.when(F.col("use") == "load", F.col("place")).otherwise(F.col("to")).alias("source"), F.when(F.col("use") == "load", F.col("to")).otherwise(F.col("place")).alias("to"))
             .unionByName(entered.join(args, "site").join(params, ["f", "place"]).select("source", "to"))
             .unionByName(entered.join(returns, "f").select("source", F.col("site").alias("to")))
         ).distinct()
-        more = written(more.join(copies.rows(), ["source", "to"], "left_anti"))
+        more = written(more.join(copies.rows().hint("merge"), ["source", "to"], "left_anti"))
         made = called.where("o like 'c:%'").select(F.col("site").alias("v"), F.concat(F.lit("i:"), F.expr("substring(o, 3)")).alias("o"))
-        carried = new_holds.join(copies.rows(), F.col("v") == F.col("source")).select(F.col("to").alias("v"), "o").unionByName(more.join(holds.rows(), F.col("v") == F.col("source")).select(F.col("to").alias("v"), "o"))
-        new_holds = written(carried.unionByName(made).distinct().join(holds.rows(), ["v", "o"], "left_anti"))
+        carried = met.where("use = 'copy'").select(F.col("to").alias("v"), "o").unionByName(more.join(holds.rows().hint("merge"), F.col("v") == F.col("source")).select(F.col("to").alias("v"), "o"))
+        new_holds = written(carried.unionByName(made).distinct().join(holds.rows().hint("merge"), ["v", "o"], "left_anti"))
         if not more.isEmpty():
             copies.add(more)
         if new_holds.isEmpty():
