@@ -483,7 +483,13 @@ def python_imports(files: DataFrame) -> DataFrame:
     return _rows(files, "line int, reference string, kind string", ["line", "reference", "kind"], read)
 
 
+#: A requirement of a name and at most one plain clause, whose parts stand as the library gives them.
+_PLAIN_REQUIREMENT = re.compile(r"[ \t]*([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)[ \t]*(?:(==|>=|<=|!=|<|>)[ \t]*([0-9]+(?:\.[0-9]+)*))?[ \t]*").fullmatch
+
+
 def _requirement(raw: str) -> tuple[str, str, str | None]:
+    if m := _PLAIN_REQUIREMENT(raw):
+        return m[1], (m[2] or "") + (m[3] or ""), None
     from packaging.requirements import Requirement
 
     r = Requirement(raw)

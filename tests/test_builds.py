@@ -1,10 +1,14 @@
 import base64
+import configparser
 import json
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from packaging.requirements import InvalidRequirement, Requirement
 from pyspark.sql import functions as F
 
 from lodestrata.operators import constraints
-from lodestrata.sources import builds, evidence_files
+from lodestrata.sources import builds, evidence_files, manifests
 
 from .test_sources import rows, table, write
 
@@ -88,3 +92,45 @@ def test_constraints(spark):
     assert [r.h for r in marks.select(constraints.markers({"python_version": "3.12"})(F.col("m")).alias("h")).collect()] == [True, False, None, True]
     lines = spark.createDataFrame([("r", 1, "a==1.0  # c", "a", "==1.0"), ("r", 2, "b>=1", "b", ">=1")], "path string, line int, text string, package string, constraint_raw string")
     assert rows(constraints.update_preview(lines, spark.createDataFrame([("a", "2.0"), ("b", "3")], "package string, version string")), "new_text") == [("a==2.0  # c",)]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(["[a]", "[options]", "[DEFAULT]", "[]", "[x] ]", "a = 1", "b: 2", "A=3", "=x", "k", "  c", "  [d]", " # e", "; f", "", "   ", "\t g = h", "i =", "j = k : l", "m : n = o", "\x1c", "é = ü\r", "  - p"]), max_size=9))
+def test_ini_texts_are_read_as_the_library_does(lines):
+    text = "\n".join(lines)
+    c = configparser.RawConfigParser()
+    try:
+        c.read_string(text)
+        want = {s: dict(c.items(s)) for s in c.sections()}
+    except configparser.Error as e:
+        want = str(e)
+    try:
+        got = builds._ini(text)
+    except ValueError as e:
+        got = str(e)
+    assert got == want
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="aB1.-_ \t=<>!~,*;[]", max_size=9) | st.from_regex(r"[ab1][ab1._-]{0,3} ?(==|>=|<=|!=|<|>|~=|===) ?[01]{1,2}(\.[01]{1,2}){0,2}(a1|\.\*)?", fullmatch=True))
+def test_requirements_are_read_as_the_library_does(text):
+    try:
+        r = Requirement(text)
+        want = (r.name, str(r.specifier), str(r.marker) if r.marker else None)
+    except InvalidRequirement:
+        want = None
+    try:
+        got = manifests._requirement(text)
+    except InvalidRequirement:
+        got = None
+    assert got == want
+
+
+def test_plain_ini_files_and_requirements_need_no_library(monkeypatch):
+    def refuse(*_):
+        raise AssertionError("read by the library")
+
+    monkeypatch.setattr(configparser.RawConfigParser, "read_string", refuse)
+    monkeypatch.setattr(Requirement, "__init__", refuse)
+    assert builds._ini("[pytest]\naddopts = -q\n  -p x\n") == {"pytest": {"addopts": "-q\n-p x"}}
+    assert manifests._requirement("  A1>=1.2") == ("A1", ">=1.2", None)
