@@ -396,14 +396,10 @@ def pytest_plugins(files: DataFrame) -> DataFrame:
             wanted = own.get("required_plugins", "")
             required += wanted.split() if isinstance(wanted, str) else wanted
         except tomllib.TOMLDecodeError:
-            c = configparser.RawConfigParser()
-            try:
-                c.read_string(text)
-            except configparser.Error as e:
-                raise ValueError(str(e)) from e
+            c = _ini(text)
             for section in ("pytest", "tool:pytest"):
-                options += c.get(section, "addopts", fallback="").split()
-                required += c.get(section, "required_plugins", fallback="").split()
+                options += c.get(section, {}).get("addopts", "").split()
+                required += c.get(section, {}).get("required_plugins", "").split()
         out = [options[i + 1] if o == "-p" and i + 1 < len(options) else o[2:] for i, o in enumerate(options) if o == "-p" or o.startswith("-p") and not o.startswith("--")]
         return [(m,) for m in sorted({*(x for x in out if x and not x.startswith("no:")), *(r.split("=")[0].split(">")[0].split("<")[0] for r in required)})]
 
