@@ -27,6 +27,8 @@ from .wordtable import word_table
 BLOCK, MAGIC, PERCENTILE = 128, b"PFR1", 90
 #: Ids at which a segment is closed (it ends with the document that reaches it).
 SEGMENT_IDS = 1_000_000
+#: Texts whose new words are learnt together.
+ENCODE_ROWS = 100
 #: Segments whose starts are broadcast (16 bytes each); beyond this number they are joined by a shuffle.
 BROADCAST_SEGMENTS = 500_000
 SCHEMA = "part int, segment int, n_docs int, n_tokens long, payload binary"
@@ -143,15 +145,16 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int = 1, id_c
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([n], pa.int64()), pa.array([payload], pa.binary())], ["part", "segment", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = table.encode(text.as_py()) + end
-                ids.append(i)
-                lengths.append(len(own) // 4)
-                parts.append(own)
-                n += len(own) // 4
-                if n >= segment_ids:
-                    yield row()
-                    ids, lengths, parts, n, segment = [], [], [], 0, segment + 1
+            for at in range(0, batch.num_rows, ENCODE_ROWS):
+                some = batch.slice(at, ENCODE_ROWS)
+                for i, own in zip(some.column(0).to_pylist(), table.encode_many(some.column(1).to_pylist()), strict=True):
+                    ids.append(i)
+                    lengths.append(len(own) // 4 + 1)
+                    parts += (own, end)
+                    n += lengths[-1]
+                    if n >= segment_ids:
+                        yield row()
+                        ids, lengths, parts, n, segment = [], [], [], 0, segment + 1
         if ids:
             yield row()
 

@@ -30,7 +30,7 @@ LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 FINE = {
     "byte": re.compile(f"{SHORT}| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+"),
-    "word": re.compile(f"{SHORT}|[{LETTERS}]+|[0-9]|[^\\s{LETTERS}0-9]+"),
+    "word": re.compile(f"[{LETTERS}]+|[0-9]|{SHORT}|[^\\s{LETTERS}0-9]+"),  # the commonest first; at a quote mark the first two don't match
 }
 #: Words that a table holds at once. It has two halves: a full young one becomes the old one, whose words come back when met
 #: again, so that frequent words stay and rare ones go.
@@ -57,7 +57,7 @@ def _by_ranks(path: str):
 class WordTable:
     def __init__(self, path: str, kind: str, limit: int = TABLE_WORDS, ranks: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -73,6 +73,12 @@ class WordTable:
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
 
         self.fast = _by_ranks(ranks) if ranks and kind == "byte" else None
+        self.bare = None  # for words of plain texts, which are in lower case and cut already: the same model without what does that
+        if kind == "word":
+            space = pre_tokenizers.WhitespaceSplit()  # ASCII's marks and letters stand for their bytes, others are mapped to them
+            self.bare = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+            self.bare[0].pre_tokenizer = space
+            self.bare[1].pre_tokenizer = pre_tokenizers.Sequence([space, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -88,17 +94,7 @@ class WordTable:
             else:
                 solid.append(w)
         if whole := [w for w in solid if self.single(w)]:
-            # one word is one run of ids that ends at an id with the end-of-word mark: no offsets are needed
-            left = []
-            for at in range(0, len(whole), JOIN_WORDS):
-                part = whole[at : at + JOIN_WORDS]
-                ids = np.array(self.tokenizer.encode_batch_fast([self.separator.join(part)], add_special_tokens=False)[0].ids, "<u4")
-                ends = np.flatnonzero(self.last[ids])
-                if len(ends) != len(part) or ends[-1] + 1 != len(ids):
-                    left += part
-                    continue
-                flat, cuts = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
-                self.table.update((w, flat[cuts[i] : cuts[i + 1]]) for i, w in enumerate(part))
+            left = self._learn_single(whole, self.tokenizer)
             known = set(whole) - set(left)
             solid = [w for w in solid if w not in known]
         for at in range(0, len(solid), JOIN_WORDS):
@@ -114,6 +110,39 @@ class WordTable:
             flat, bounds = ids.tobytes(), (4 * bounds).tolist()
             self.table.update((w, flat[bounds[i] : bounds[i + 1]]) for i, w in enumerate(part))
 
+    def _learn_single(self, words: list[str], tokenizer) -> list[str]:
+        """Learns words that are one run of ids each, which ends at an id with the end-of-word mark: no offsets are needed. Returns those of parts where this doesn't hold."""
+        left = []
+        for at in range(0, len(words), JOIN_WORDS):
+            part = words[at : at + JOIN_WORDS]
+            ids = np.array(tokenizer.encode_batch_fast([self.separator.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) != len(part) or ends[-1] + 1 != len(ids):
+                left += part
+                continue
+            flat, cuts = ids.tobytes(), (4 * ends + 4).tolist()
+            self.table.update(zip(part, map(flat.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+        return left
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """``encode`` of each text: words that are new to the table are learnt together, for all texts at hand."""
+        if not self.bare:
+            return [self.encode(t) for t in texts]
+        plain = [bool(t) and bool(PLAIN(t)) and not self.added(t) for t in texts]
+        words = [self.fine(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
+        met = set().union(*words)
+        if 2 * (len(self.table) + len(met)) > self.limit:
+            self.old, self.table = self.table, {}
+        table, old = self.table, self.old
+        new = [w for w in met if w not in table]
+        table.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in table]
+        left = self._learn_single([w for w in new if w.isascii()], self.bare[0]) + self._learn_single([w for w in new if not w.isascii()], self.bare[1])
+        self._learn(left)
+        get = table.__getitem__
+        out = [b"".join(map(get, own)) for own in words]
+        return [own if p else self.encode(t) for t, p, own in zip(texts, plain, out, strict=True)]
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers; null: none."""
         if not text:

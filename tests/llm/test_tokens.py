@@ -28,6 +28,24 @@ def test_word_tables_equal_the_library(text):
         assert np.frombuffer(wordtable.word_table(path, kind, ranks).encode(text), "<u4").tolist() == whole(wordtable.word_table(path, kind, ranks).tokenizer, text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'abXsÉéßÿ×.,<|>19"), st.characters(max_codepoint=0x17F)), max_size=30) | st.sampled_from(ODD[:-1]), max_size=4))
+def test_texts_encoded_together_equal_the_library(texts):
+    for path, kind in ((WORD, "word"), (BYTE, "byte")):
+        table = wordtable.word_table(path, kind)
+        assert [np.frombuffer(x, "<u4").tolist() for x in table.encode_many([*texts, None])] == [whole(table.tokenizer, t) for t in [*texts, None]]
+
+
+def test_new_words_of_several_texts_are_learnt_together():
+    t, parts = wordtable.WordTable(WORD, "word", limit=40), []
+    for name in ("_learn_single", "_learn"):
+        own = getattr(t, name)
+        setattr(t, name, lambda words, *more, own=own: parts.append(len(words)) or own(words, *more))
+    for texts in (["a b é", "c d", "b e"], ["a Ab", "f"], [f"w{i}" for i in range(30)], ["b a"]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in t.encode_many(texts)] == [whole(t.tokenizer, x) for x in texts]
+    assert parts[:3] == [5, 1, 0] and len(parts) == 12 and len(t.table) + len(t.old) <= 60
+
+
 def test_full_table_keeps_frequent_words():
     t = wordtable.WordTable(BYTE, "byte", limit=8)
     for text in ("a b c d e", "f g", "a b c d e", "a h", "a i j", "a k l m", "a b"):
