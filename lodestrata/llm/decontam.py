@@ -3,7 +3,7 @@
 A window is 13 consecutive words of a benchmark item (a shorter item is one window). Each window keeps
 the least of its hashed 4-word grams; documents keep the same minimum for each of their own windows.
 Equal windows have equal minima, so joining the two sets of minima finds every shared span of 13 words
-or more. A hit is then extended to its whole window, word by word, and windows merge into spans. An item
+or more; windows that follow each other with one minimum are one row of that join. A hit is then extended to its whole window, word by word, and windows merge into spans. An item
 of L < 13 words is its own L-gram (a window of one gram), looked up in the documents' L-grams.
 """
 
@@ -17,16 +17,23 @@ from .common import BROADCAST_KEYS, cut, without
 WINDOW, GRAM = 13, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words before lower-casing.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: The benchmark's windows are broadcast up to this number (under 64 MB); beyond it, they are joined by a shuffle.
-BROADCAST_WINDOWS = 200_000
+#: The benchmark's windows are broadcast up to this number (under 64 MB), their marks (a number each) up to the other; beyond it, they are joined by a shuffle.
+BROADCAST_WINDOWS, BROADCAST_MARKS = 200_000, 1_000_000
+
+
+def _word(letters: str) -> str:
+    """The pattern of words of ``letters``, 0-9 and all beyond ASCII: what isn't in them is listed one by one, which Java looks up in a table; ranges cost it ten times as much."""
+    return "[^" + "".join(f"\\x{c:02X}" for c in range(128) if chr(c) not in "0123456789" + letters) + "]+"
+
+
+#: ``WORD``, and words before lower-casing.
+LISTED_WORD, ANY_WORD = _word(LOWER), _word(LOWER + UPPER)
 
 
 def words(text: Column) -> Column:
     """Words of a text, A-Z lower-cased. Null: no words."""
     plain = F.length(text) == F.octet_length(text)
-    return F.regexp_extract_all(F.when(plain, F.lower(text)).otherwise(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.when(plain, F.lower(text)).otherwise(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)), F.lit(LISTED_WORD), F.lit(0))
 
 
 def _shift(a: Column, by: int) -> Column:
@@ -77,6 +84,24 @@ def _windows(df: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
     return marked.select(*keep, F.col("x.length").alias("length"), F.posexplode_outer("x.minima").alias("start", "mark"))
 
 
+def _runs(df: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
+    """A row for each run of windows of one length that follow each other and have the same mark: ``keep`` columns, ``length``, ``start``, ``end`` (the first window beyond), ``key``.
+
+    Neighbours mostly share their least gram, so runs are several times fewer than windows.
+    """
+    marked = _minima(df, lengths).select(*keep, F.explode_outer("marks").alias("x")).select(*keep, "x.length", "x.minima")
+    n, at = F.size("minima"), lambda i: F.get(F.col("minima"), i)
+    starts = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (at(i) != at(i - 1))))
+    marked = marked.withColumn("starts", starts)
+    runs = F.transform("starts", lambda s, i: F.struct(s.alias("start"), F.coalesce(F.get(F.col("starts"), i + 1), n).alias("end"), at(s).alias("mark")))
+    return marked.select(*keep, "length", F.explode_outer(runs).alias("r")).select(*keep, "length", "r.start", "r.end", F.when(F.col("r.mark").isNotNull(), _key("length", "r.mark")).alias("key"))
+
+
+def _key(length: str, mark: str) -> Column:
+    """One number for a mark and its windows' length; should two marks share one, the comparison word by word parts them."""
+    return F.xxhash64(length, mark)
+
+
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int], int]:
     """Distinct windows ``(length, mark, span, items)``, the lengths that occur and the number of windows.
 
@@ -90,7 +115,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return found, lengths, found.count()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, broadcast_marks: int = BROADCAST_MARKS) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``.
 
     A word is hit if any occurrence of a benchmark window covers it; ``n_items`` counts items (null ids
@@ -106,20 +131,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         hits = counted.select("id", "th", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")).limit(0)
     else:
         split = base.select("id", "th", words(F.col("t")).alias("w")).where(F.size("w") >= min(lengths))
-        marks = bench.select("length", "mark").distinct()
-        near = cut(_windows(split, lengths, ["id", "th"]).join(F.broadcast(marks) if n <= broadcast_windows else marks, ["length", "mark"], "left_semi").select("id", "th", "length", "start"))
+        # sides too large for a broadcast say so: Spark's own estimate takes texts for as small as the file they were packed in
+        side = lambda df, few: F.broadcast(df) if few else df.hint("merge")
+        marks = cut(bench.select(_key("length", "mark").alias("key")).distinct())
+        near = cut(_runs(split, lengths, ["id", "th"]).join(side(marks, marks.count() <= broadcast_marks), "key", "left_semi").select("id", "th", "length", "start", "end"))
         # only the places of equal marks move; the words of their documents are read again and compared there
-        places = near.groupBy("id", "th").agg(F.collect_set(F.struct("length", "start")).alias("places")).withColumnsRenamed({"id": "i2", "th": "th2"})
-        texts = base.join(F.broadcast(places) if near.count() <= BROADCAST_KEYS else places, F.col("id").eqNullSafe(F.col("i2")) & (F.col("th") == F.col("th2"))).select("id", "th", words(F.col("t")).alias("w"), "places")
-        read = texts.select("id", "th", F.explode(F.transform("places", lambda p: F.struct(p["length"].alias("length"), p["start"].alias("start"), F.array_join(F.slice("w", p["start"] + 1, p["length"]), " ").alias("span")))).alias("x"))
-        found = read.select("id", "th", "x.*").join(F.broadcast(bench) if n <= broadcast_windows else bench, ["length", "span"])
+        places = near.groupBy("id", "th").agg(F.collect_set(F.struct("length", "start", "end")).alias("places")).withColumnsRenamed({"id": "i2", "th": "th2"})
+        texts = base.join(side(places, near.count() <= BROADCAST_KEYS), F.col("id").eqNullSafe(F.col("i2")) & (F.col("th") == F.col("th2"))).select("id", "th", words(F.col("t")).alias("w"), "places")
+        window = lambda p, at: F.struct(p["length"].alias("length"), at.alias("start"), F.array_join(F.slice("w", at + 1, p["length"]), " ").alias("span"))
+        read = texts.select("id", "th", F.explode(F.flatten(F.transform("places", lambda p: F.transform(F.sequence(p["start"], p["end"] - 1), lambda at: window(p, at))))).alias("x"))
+        found = read.select("id", "th", "x.*").join(side(bench, n <= broadcast_windows), ["length", "span"])
         spans = found.select("id", "th", F.struct("start", (F.col("start") + F.col("length")).alias("end")).alias("span"), "items")
         per = spans.groupBy("id", "th").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
         start = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n"))
         cover = F.aggregate("spans", start, lambda s, x: F.struct(F.greatest(s["to"], x["end"]).alias("to"), (s["n"] + F.greatest(x["end"] - F.greatest(s["to"], x["start"]), F.lit(0))).alias("n")))
         hits = per.select("id", "th", cover["n"].alias("n_hit"), "items")
     hits = hits.withColumnsRenamed({"id": "i2", "th": "th2"})
-    out = counted.join(hits, F.col("id").eqNullSafe(F.col("i2")) & F.col("th").eqNullSafe(F.col("th2")), "left")
+    out = counted.join(hits.hint("merge"), F.col("id").eqNullSafe(F.col("i2")) & F.col("th").eqNullSafe(F.col("th2")), "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),

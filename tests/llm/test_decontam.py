@@ -71,3 +71,31 @@ def test_items_with_a_null_id_hit_words(spark, limit):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert got == {1: (30, 0, sha(""), True), 2: (4, 1, sha("7"), True), 3: (0, 0, sha(""), False)}
     assert [r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()] == [3]
+
+
+def test_beyond_the_bounds_runs_of_windows_are_joined_and_nothing_is_broadcast(spark, monkeypatch):
+    cut, plans, joined = decontam.cut, [], []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = cut(df)
+        if "end" in out.columns:
+            joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(decontam, "cut", kept)
+    monkeypatch.setattr(decontam, "BROADCAST_KEYS", 0)
+    docs = spark.createDataFrame([(i, t, "w", 1, "s") for i, t in enumerate(TEXTS)], DOCS)
+    out = decontam.contamination(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), broadcast_windows=0, broadcast_marks=0)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    items = [(i, t) for i, t in ITEMS if i is not None]
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()} == {i: brute(t, items) for i, t in enumerate(TEXTS)}
+    assert not [p for p in plans if "Broadcast" in p]
+    assert 0 < joined[0] < sum(len(words(t)) for t in TEXTS) / 4  # "of " * 100 is one row, not 88
+
+
+def test_listed_characters_are_those_of_the_ranges(spark):
+    text = " ".join(f"a{chr(c)}B" for c in [*range(0x180), 0x2028, 0xE000, 0xFFFF, 0x10000, 0x1F600])
+    row = spark.createDataFrame([(text,)], "t string").select(decontam.words(decontam.F.col("t")).alias("w"), decontam.F.regexp_count("t", decontam.F.lit(decontam.ANY_WORD)).alias("n")).first()
+    assert row.w == words(text) and row.n == len(row.w)
+    assert "-" not in decontam.LISTED_WORD + decontam.ANY_WORD  # a range costs ten times a list
