@@ -39,6 +39,15 @@ def written(df: DataFrame, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` whose joins, and those of what is selected, filtered or grouped from it, are merges unless the other side is marked for broadcast.
+
+    For written rows that are many for their bytes: Spark takes them for as small as their packed files, or as the table they were made from, and would
+    send millions of them through the driver to each task.
+    """
+    return df.hint("merge")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out evenly over the shuffle partitions, or over all cores if these are more: rows of one small file that stand for
     much work, such as texts to parse, would else be one task. The number is fixed, so that adaptive execution doesn't join the parts again."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.lineage import written
+from lodestrata.lineage import merged, written
 
 #: A reference or a stretch without one; a lone ``$`` or an open ``${`` is text.
 _PIECE = r"\$\{([^${}]*)\}|[^$]+|\$"
@@ -29,35 +29,37 @@ def resolve(values: DataFrame, rounds: int = 200, most: int = MOST) -> DataFrame
 
     ``status``: resolved; unresolved where a reference has no value (it stays in the text); cycle in or behind a cycle of
     references, or beyond ``rounds`` levels of them; too-long beyond ``most`` characters. The last two keep the text as given. Each round
-    joins only references to values that the round before settled. Of several values of a key the least counts; null values are empty.
+    joins only references to values that the round before settled; the joins are merges. Of several values of a key the least counts; null values are empty.
     """
     rows = values.groupBy("scope", "key").agg(F.min(F.coalesce("value", F.lit(""))).alias("value"))
-    pieces = written(_pieces(rows.where(F.contains("value", F.lit("${"))), ["scope", "key"], "value"))
+    rows = merged(written(rows))  # used in each round
+    pieces = merged(written(_pieces(rows.where(F.contains("value", F.lit("${"))), ["scope", "key"], "value")))
     known = rows.select("scope", F.col("key").alias("ref")).withColumn("there", F.lit(True))
-    pieces = written(pieces.join(known, ["scope", "ref"], "left").select("scope", "key", "place", F.coalesce("there", F.lit(False)).alias("waits"), "ref", "piece"))
+    pieces = merged(written(pieces.join(known, ["scope", "ref"], "left").select("scope", "key", "place", F.coalesce("there", F.lit(False)).alias("waits"), "ref", "piece")))
     # a text waits for its distinct references that have values; the others stay as they are
-    waiting = written(pieces.where("waits").groupBy("scope", "key").agg(F.count_distinct("ref").alias("n")))
+    waiting = merged(written(pieces.where("waits").groupBy("scope", "key").agg(F.count_distinct("ref").alias("n"))))
     lost = pieces.where("ref is not null and not waits").select("scope", "key").distinct().withColumn("lost", F.lit(True))
     first = rows.join(waiting, ["scope", "key"], "left_anti").join(lost, ["scope", "key"], "left")
-    done = written(first.select("scope", "key", "value", F.when(F.col("lost"), "unresolved").otherwise("resolved").alias("status")))
+    done = merged(written(first.select("scope", "key", "value", F.when(F.col("lost"), "unresolved").otherwise("resolved").alias("status"))))
     front = done
-    links = written(pieces.where("waits").select("scope", "key", "ref").distinct())
+    links = merged(written(pieces.where("waits").select("scope", "key", "ref").distinct()))
     arrived = None
     for _ in range(rounds):
         new = links.join(front.select("scope", F.col("key").alias("ref")), ["scope", "ref"]).groupBy("scope", "key").agg(F.count("*").alias("got"))
-        arrived = written(new if arrived is None else arrived.unionByName(new).groupBy("scope", "key").agg(F.sum("got").alias("got")))
-        ready = waiting.join(arrived, ["scope", "key"]).where("got = n").select("scope", "key")
+        arrived = merged(written(new if arrived is None else arrived.unionByName(new).groupBy("scope", "key").agg(F.sum("got").alias("got"))))
+        ready = merged(written(waiting.join(arrived, ["scope", "key"]).where("got = n").select("scope", "key")))
         if ready.isEmpty():
             break
         arrived = arrived.join(ready, ["scope", "key"], "left_anti")
         own = pieces.join(ready, ["scope", "key"], "left_semi").join(done.select("scope", F.col("key").alias("ref"), F.col("value").alias("fill"), F.col("status").alias("from")), ["scope", "ref"], "left")
         text = F.when(F.col("waits"), F.col("fill")).otherwise(F.col("piece"))
-        size = own.groupBy("scope", "key").agg(F.sum(F.length(text)).alias("size"), F.bool_or((F.col("from") == "unresolved") | (F.col("ref").isNotNull() & ~F.col("waits"))).alias("open"), F.bool_or(F.col("from") == "too-long").alias("long"))
-        fits = own.join(size.where((F.col("size") <= most) & ~F.coalesce("long", F.lit(False))), ["scope", "key"]).groupBy("scope", "key", "open").agg(_joined(F.struct("place", text.alias("text"))).alias("value"))
+        own = merged(written(own.select("scope", "key", "place", text.alias("text"), "from", "ref", "waits")))
+        size = own.groupBy("scope", "key").agg(F.sum(F.length("text")).alias("size"), F.bool_or((F.col("from") == "unresolved") | (F.col("ref").isNotNull() & ~F.col("waits"))).alias("open"), F.bool_or(F.col("from") == "too-long").alias("long"))
+        fits = own.join(size.where((F.col("size") <= most) & ~F.coalesce("long", F.lit(False))), ["scope", "key"]).groupBy("scope", "key", "open").agg(_joined(F.struct("place", "text")).alias("value"))
         fine = fits.select("scope", "key", "value", F.when(F.col("open"), "unresolved").otherwise("resolved").alias("status"))
         long = size.where((F.col("size") > most) | F.col("long")).select("scope", "key").join(rows, ["scope", "key"]).select("scope", "key", "value", F.lit("too-long").alias("status"))
-        front = written(fine.unionByName(long))
-        done = written(done.unionByName(front))
+        front = merged(written(fine.unionByName(long)))
+        done = merged(written(done.unionByName(front)))
     rest = rows.join(done, ["scope", "key"], "left_anti").select("scope", "key", "value", F.lit("cycle").alias("status"))
     return done.unionByName(rest)
 

@@ -171,5 +171,5 @@ def pom_properties(spark, sf_dir):
         F.when(f == 0, "<b>x${a}-${a}</b>").when(f == 1, "<b>${gone}/${a}</b>").when(f == 2, "<b>${c}</b><c>${b}${a}</c><d>${b}+</d>").when(f == 3, "<b>${c}.${c}!</b><c>v${a}</c>").otherwise("<b>$ ${}</b>")
     )
     text = F.concat(F.lit("<project><groupId>g</groupId><artifactId>p"), s, F.lit("</artifactId><properties><a>"), s, F.lit("</a>"), tags, F.lit("</properties></project>"))
-    files = _t(spark, sf_dir, "part").select(F.concat(F.lit("d/p"), s, F.lit("/pom.xml")).alias("path"), text.alias("text"))
+    files = spread(_t(spark, sf_dir, "part").select("p_partkey")).select(F.concat(F.lit("d/p"), s, F.lit("/pom.xml")).alias("path"), text.alias("text"))
     return manifests.pom_properties(files).where("length(key) = 1")

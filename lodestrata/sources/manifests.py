@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.checks import inside
 from lodestrata.functions.text import pypi_name
-from lodestrata.lineage import Grown, cut
+from lodestrata.lineage import Grown, cut, merged
 from lodestrata.operators import substitution
 from lodestrata.operators.compare import occurrences
 from lodestrata.operators.graph import longest_levels
@@ -278,19 +278,20 @@ def pom_facts(files: DataFrame) -> DataFrame:
 
 
 def _pom_chain(files: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Coordinates ``(path, own, own_version)`` of pom files, and their and their ancestors' facts with ``depth``, the nearest first."""
-    facts = cut(pom_facts(files).where("problem is null").drop("problem"))
+    """Coordinates ``(path, own, own_version)`` of pom files, and their and their ancestors' facts with ``depth``, the nearest first; to be joined by merges."""
+    facts = merged(cut(pom_facts(files).where("problem is null").drop("problem")))
     selfs = facts.where("fact = 'self'").select("path", F.col("key").alias("own"), F.col("value").alias("own_version"))
     by_name = selfs.groupBy(F.col("own").alias("key")).agg(F.min("path").alias("up"))
     parents = facts.where("fact = 'parent'").select("path", "key").join(by_name, "key").select("path", "up").where("path <> up")
-    chain = cut(selfs.select("path", F.col("path").alias("at"), F.lit(0).alias("depth")))
+    parents = merged(cut(parents))
+    chain = merged(cut(selfs.select("path", F.col("path").alias("at"), F.lit(0).alias("depth"))))
     front = chain
     for depth in range(1, rounds + 1):
         front = cut(front.join(parents.withColumnRenamed("path", "at"), "at").select("path", F.col("up").alias("at"), F.lit(depth).alias("depth")).join(chain.select("path", "at"), ["path", "at"], "left_anti"))
         if front.isEmpty():
             break
-        chain = cut(chain.union(front))
-    return selfs, cut(chain.join(facts.withColumnRenamed("path", "at"), "at"))
+        chain = merged(cut(chain.union(front)))
+    return selfs, merged(cut(chain.join(facts.withColumnRenamed("path", "at"), "at")))
 
 
 def _nearest(seen: DataFrame, kind: str, *cols: str) -> DataFrame:
