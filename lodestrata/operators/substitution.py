@@ -67,11 +67,11 @@ def resolve(values: DataFrame, rounds: int = 200, most: int = MOST) -> DataFrame
 def fill(rows: DataFrame, scope: str, text: str, resolved: DataFrame, name: str) -> DataFrame:
     """``rows`` with ``name``: the column ``text`` with its references filled in from ``resolve``'s rows of the row's ``scope``.
 
-    References without a value, in cycles or too long stay as they are. Distinct texts are filled in once.
+    References without a value, in cycles or too long stay as they are. Distinct texts are filled in once; the joins are merges.
     """
     texts = rows.where(F.contains(F.col(text), F.lit("${"))).select(F.col(scope).alias("scope"), F.col(text).alias("text")).distinct()
-    values = resolved.where("status in ('resolved', 'unresolved')").select("scope", F.col("key").alias("ref"), "value")
+    values = merged(resolved.where("status in ('resolved', 'unresolved')").select("scope", F.col("key").alias("ref"), "value"))
     pieces = _pieces(texts, ["scope", "text"], "text").join(values, ["scope", "ref"], "left")
     done = pieces.groupBy("scope", "text").agg(_joined(F.struct("place", F.coalesce("value", "piece").alias("text"))).alias("filled_"))
-    own = done.select(F.col("scope").alias("scope_"), F.col("text").alias("text_"), "filled_")
+    own = merged(done.select(F.col("scope").alias("scope_"), F.col("text").alias("text_"), "filled_"))
     return rows.join(own, (rows[scope] == own["scope_"]) & (rows[text] == own["text_"]), "left").select(*[rows[c] for c in rows.columns], F.coalesce("filled_", rows[text]).alias(name))

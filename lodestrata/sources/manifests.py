@@ -326,13 +326,14 @@ def pom(files: DataFrame, rounds: int = 16) -> DataFrame:
     longer than ``rounds``, ends there.
     """
     selfs, seen = _pom_chain(files, rounds)
-    resolved = cut(_pom_properties(selfs, seen))
+    resolved = merged(cut(_pom_properties(selfs, seen)))
     managed = _nearest(seen, "managed", "value", "extra").select("path", "key", F.lit("dependency").alias("of"), F.col("n.value").alias("managed_version"), F.col("n.extra").alias("managed_scope"))
     plugins = _nearest(seen, "managed-plugin", "value").select("path", "key", F.lit("plugin").alias("of"), F.col("n.value").alias("managed_version"), F.lit(None).cast("string").alias("managed_scope"))
     kinds = ["dependency", "profile-dependency", "profile-management", "plugin"]
     wanted = seen.where(F.col("fact").isin(*kinds)).groupBy("path", "fact", "key").agg(F.min_by(F.struct("value", "extra"), "depth").alias("n")).select("path", "fact", "key", "n.value", "n.extra", F.when(F.col("fact") == "plugin", "plugin").otherwise("dependency").alias("of"))
-    rows = wanted.join(managed.unionByName(plugins), ["path", "key", "of"], "left").join(selfs, "path")
+    rows = wanted.join(managed.unionByName(plugins), ["path", "key", "of"], "left").join(selfs, "path")  # merges, as ``seen`` and ``selfs`` say
     rows = rows.withColumn("version", F.coalesce("value", "managed_version")).withColumn("scope", F.coalesce("extra", "managed_scope", F.lit("compile")))
+    rows = merged(cut(rows))  # each of the columns filled in reads them twice
     for column, name in (("key", "package"), ("version", "constraint_"), ("scope", "scope_")):
         rows = substitution.fill(rows, "path", column, resolved, name)
     scope = F.when(F.col("fact") == "plugin", "build").when(F.col("scope_") == "test", "test").when(F.col("scope_").isin("provided", "system"), "build").otherwise("runtime")

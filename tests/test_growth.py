@@ -154,7 +154,7 @@ def test_facts_of_calls_are_broadcast_to_no_task(spark, monkeypatch):
     assert plans and not [p for p in plans if "Broadcast" in p]
 
 
-@pytest.mark.parametrize("name", ["pom_properties"])
+@pytest.mark.parametrize("name", ["pom_properties", "parse_pom"])
 def test_facts_of_poms_are_broadcast_to_no_task(spark, monkeypatch, name):
     plans = []
     plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
