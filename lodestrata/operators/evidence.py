@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.lineage import merged
+
 from .compare import first_distinct
 
 KEY = ["project_id", "ecosystem", "package"]
@@ -141,7 +143,7 @@ def findings(declarations: DataFrame, usages: DataFrame, resolved: DataFrame, ca
     A usage of a package that only a Maven profile or a separate environment declares says nothing. Missing needs complete
     manifests, unused also complete usages and mappings without an unknown one; else nothing is concluded.
     """
-    known = facts(declarations, usages, resolved, exact).join(gates(usages, capabilities), "project_id", "left")
+    known = facts(declarations, usages, resolved, exact).join(merged(gates(usages, capabilities)), "project_id", "left")
     complete = lambda c: F.coalesce(c, F.lit(True))
     used = (F.size("uses") > 0) & ~F.col("profile_only") & ~F.col("environment_only")
     lone = used & ~F.col("declared") & complete("manifest_complete")

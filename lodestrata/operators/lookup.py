@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.lineage import merged
+
 
 def prefixes(path: Column, separator: str = "/") -> Column:
     """A path and its ancestors, ``.`` (the root) included."""
@@ -17,13 +19,13 @@ def longest_prefix(rows: DataFrame, path: str, owners: DataFrame, root: str, sep
     """``rows`` with the columns of the owner whose ``root`` is the longest whole-segment prefix of ``path``; none: nulls.
 
     Paths explode to their prefixes, an equi join finds owners, and a maximum keeps the longest: no range join.
-    Distinct paths are looked up once.
+    Distinct paths are looked up once. The second join is a merge: rows and owners found may both be many for their estimated size.
     """
     paths = rows.select(path).where(F.col(path).isNotNull()).distinct()
     own = owners.withColumnRenamed(root, "root_")
     hits = paths.select(path, F.explode(prefixes(F.col(path), separator)).alias("root_")).join(own, "root_")
     best = hits.groupBy(path).agg(F.max_by(F.struct("root_", *[c for c in own.columns if c != "root_"]), F.when(F.col("root_") == ".", 0).otherwise(F.length("root_"))).alias("o"))
-    return rows.join(best, path, "left").select(rows["*"], F.col("o.root_").alias(root), *[F.col(f"o.{c}") for c in own.columns if c != "root_"])
+    return rows.join(merged(best), path, "left").select(rows["*"], F.col("o.root_").alias(root), *[F.col(f"o.{c}") for c in own.columns if c != "root_"])
 
 
 def unique_match(left: DataFrame, right: DataFrame, on: Column, left_id: list[str], right_id: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.lineage import cut
+from lodestrata.lineage import cut, merged
 from lodestrata.operators.compare import input_changes
 from lodestrata.operators.lookup import longest_prefix
 from lodestrata.sources.files import folder
@@ -49,19 +49,20 @@ def stale_projects(old: dict[str, DataFrame], changes: DataFrame, projects: Data
 def update(old: dict[str, DataFrame], old_state: DataFrame, files: DataFrame, old_mapping: DataFrame | None = None, mapping: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """The relations of ``scan(files, mapping)`` and the new file state, from those of an earlier scan: equal to scanning all again.
 
-    Unchanged projects' files are hashed but not parsed (includes of requirements files are read anew: they say who depends on whom).
+    Unchanged projects' files are hashed but not parsed (includes of requirements files are read anew: they say who depends on whom). Joins are merges, as in ``scan``.
     """
-    state = cut(file_state(files))
-    changes = cut(input_changes(old_state, state))
-    projects, inclusions = cut(_projects(files)), cut(_inclusions(files))
+    kept_rows = lambda df: merged(cut(df))
+    state = kept_rows(file_state(files))
+    changes = kept_rows(input_changes(old_state, state))
+    projects, inclusions = kept_rows(_projects(files)), kept_rows(_inclusions(files))
     none = files.sparkSession.createDataFrame([], "module string, package string")
     names = lambda m: none if m is None else m.select(F.lower("reference").alias("module"), "package").distinct()
     remapped = names(mapping).exceptAll(names(old_mapping)).union(names(old_mapping).exceptAll(names(mapping))).select("module").distinct()
-    stale = cut(stale_projects(old, changes, projects, inclusions, remapped))
+    stale = kept_rows(stale_projects(old, changes, projects, inclusions, remapped))
     paths = files.select("path")
     mine = _owners(paths, projects).union(_owners(paths, old["projects"])).join(stale, "project_id", "left_semi").select("path")
     included = inclusions.join(stale, folder(F.col("root")) == stale["project_id"], "left_semi").select("path")
-    again = cut(mine.union(included).union(changes.select("path")).distinct())
+    again = kept_rows(mine.union(included).union(changes.select("path")).distinct())
     fresh = scan(files.join(again, "path", "left_semi"), mapping, projects)
     out = {"projects": projects, "inclusions": inclusions}
     for name, rows in old.items():

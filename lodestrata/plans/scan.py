@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import source_scope
-from lodestrata.lineage import cut, written
+from lodestrata.lineage import cut, merged, written
 from lodestrata.operators import evidence, graph
 from lodestrata.operators.constraints import exact_pin, priority_lookup
 from lodestrata.operators.lookup import longest_prefix, prefixes
@@ -93,7 +93,7 @@ def _go_usages(uses: DataFrame, declarations: DataFrame, files: DataFrame) -> Da
     places = rows.select("project_id", "reference").distinct().withColumn("p", F.explode(prefixes(F.col("reference"))))
     known = declarations.where("ecosystem = 'go'").select("project_id", F.col("package").alias("p")).distinct()
     best = places.join(known, ["project_id", "p"]).groupBy("project_id", "reference").agg(F.max_by("p", F.length("p")).alias("package"))
-    return rows.join(best, ["project_id", "reference"], "left").withColumn("mapping_confidence", F.when(F.col("package").isNull(), "unknown").otherwise("exact"))
+    return rows.join(merged(best), ["project_id", "reference"], "left").withColumn("mapping_confidence", F.when(F.col("package").isNull(), "unknown").otherwise("exact"))
 
 
 def _cargo_usages(uses: DataFrame, cargo: DataFrame, sources: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def _cargo_usages(uses: DataFrame, cargo: DataFrame, sources: DataFrame) -> Data
     local = sources.select("project_id", F.regexp_replace(F.element_at(F.split("relative", "/"), -1), r"\.rs$", "").alias("reference")).unionByName(sources.select("project_id", F.try_element_at(F.split("relative", "/"), F.lit(-2)).alias("reference"))).where("reference is not null").distinct()
     rows = uses.join(named, ["project_id", "reference"], "left")
     mine = local.join(named, ["project_id", "reference"], "left_anti")
-    found = rows.join(mine, ["project_id", "reference"], "left_anti")
+    found = rows.join(merged(mine), ["project_id", "reference"], "left_anti")
     return found.withColumn("mapping_confidence", F.when(F.col("package").isNull(), "inferred").otherwise("exact")).withColumn("package", F.coalesce("package", "reference"))
 
 
@@ -115,16 +115,18 @@ def scan(files: DataFrame, mapping: DataFrame | None = None, projects: DataFrame
     the project's own modules are no usages. ``mapping(reference, package)`` are configured names of Python modules; ``projects``
     is given where ``files`` is only a part of the tree (see ``incremental``). Requirements files are read with what they include. Locks
     give resolved versions, package.json's scripts usages of the declared tools they run. A file that can't be read gives a
-    diagnostic and makes its project's evidence partial.
+    diagnostic and makes its project's evidence partial. Relations are joined by merges: by their packed files' size Spark would
+    broadcast them at any number of rows.
     """
     kind = F.coalesce(*[F.when(F.col("path").rlike(rule), F.lit(k)) for k, rule in KINDS.items()])
-    kept = written(files.select("path", "text", kind.alias("kind")).where("kind is not null"), "kind")  # read once, by kind: each relation below reads files of its own
+    kept = merged(written(files.select("path", "text", kind.alias("kind")).where("kind is not null"), "kind"))  # read once, by kind: each relation below reads files of its own
     some = lambda *kinds: kept.where(F.col("kind").isin(*kinds)).select("path", "text")
     name = F.substring_index("path", "/", -1)
-    projects = cut(_projects(some("json", "toml", "txt", "mod"))) if projects is None else projects  # relations that others are built from are written once, not parsed again for each
-    toml, cargo = cut(manifests.pyproject(some("toml").where(name == "pyproject.toml"))), cut(builds.cargo_toml(some("toml").where(name == "Cargo.toml")))
-    inclusions = cut(_inclusions(some("txt")))
-    declarations = cut(_declarations(some, toml, cargo, inclusions))
+    projects = merged(cut(_projects(some("json", "toml", "txt", "mod"))) if projects is None else projects)  # relations that others are built from are written once, not parsed again for each
+    kept_rows = lambda df: merged(cut(df))
+    toml, cargo = kept_rows(manifests.pyproject(some("toml").where(name == "pyproject.toml"))), kept_rows(builds.cargo_toml(some("toml").where(name == "Cargo.toml")))
+    inclusions = kept_rows(_inclusions(some("txt")))
+    declarations = kept_rows(_declarations(some, toml, cargo, inclusions))
     resolved = (
         manifests.package_lock(some("json").where(name == "package-lock.json")).where("instance <> ''").select(folder(F.col("path")).alias("project_id"), F.lit("npm").alias("ecosystem"), "package", "version")
         .unionByName(manifests.toml_lock(some("toml", "lock").where(name.isin("poetry.lock", "pdm.lock", "uv.lock", "pylock.toml"))).where("problem is null").select(folder(F.col("path")).alias("project_id"), F.lit("pypi").alias("ecosystem"), manifests.pypi_name(F.col("display_name")).alias("package"), "version"))
@@ -138,8 +140,8 @@ def scan(files: DataFrame, mapping: DataFrame | None = None, projects: DataFrame
         own = longest_prefix(sources.where(F.col("ecosystem") == eco), "folder", roots, "root").where("root is not null")
         owned = own if owned is None else owned.unionByName(own)
     relative = F.when(F.col("root") == ".", F.col("path")).otherwise(F.expr("substring(path, length(root) + 2)"))
-    owned = cut(owned.select("path", "ecosystem", F.col("root").alias("project_id"), relative.alias("relative")).withColumn("scope", source_scope(F.col("ecosystem"), F.col("relative"))))
-    imports = cut(manifests.python_imports(some("pypi")))
+    owned = kept_rows(owned.select("path", "ecosystem", F.col("root").alias("project_id"), relative.alias("relative")).withColumn("scope", source_scope(F.col("ecosystem"), F.col("relative"))))
+    imports = kept_rows(manifests.python_imports(some("pypi")))
     of = lambda loads, eco: loads.join(owned.where(F.col("ecosystem") == eco), "path")
     own = lambda eco: owned.where(F.col("ecosystem") == eco)
     regular = F.lit("regular").alias("kind")
@@ -151,7 +153,7 @@ def scan(files: DataFrame, mapping: DataFrame | None = None, projects: DataFrame
     tools = builds.script_commands(some("json").where(name == "package.json")).where("supported").select(folder(F.col("path")).alias("project_id"), F.lit("npm").alias("ecosystem"), F.col("executable").alias("reference"), F.col("executable").alias("package"), F.lit("build").alias("scope"), F.lit("command").alias("kind"), F.lit("exact").alias("mapping_confidence"), F.col("path").alias("source_path"))
     tools = tools.join(declarations.where("scope <> 'build'").select(KEY), KEY, "left_semi").select("project_id", "ecosystem", "reference", "package", "scope", "kind", "mapping_confidence", "source_path")
     rows = js.select(columns).unionByName(py.select(columns)).unionByName(go.select(columns)).unionByName(rust.select(columns)).unionByName(tools)
-    usages = cut(rows.withColumn("kind", F.when(F.col("kind").isin("optional", "command"), F.col("kind")).otherwise("regular")))
+    usages = kept_rows(rows.withColumn("kind", F.when(F.col("kind").isin("optional", "command"), F.col("kind")).otherwise("regular")))
     lost = inclusions.where("status <> 'found' or (endless and path = root)").select(F.when(F.col("status") == "found", "manifest.include-cycle").otherwise(F.concat(F.lit("manifest.include-"), "status")).alias("code"), F.col("root").alias("path"), F.col("path").alias("message"))
     bad = lost.unionByName(manifests.problems(toml, "manifest.unreadable")).unionByName(manifests.problems(cargo, "manifest.unreadable")).unionByName(manifests.problems(imports, "usage.unreadable"))
     roots = projects.select(F.col("project_id").alias("root")).distinct()

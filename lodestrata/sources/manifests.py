@@ -75,13 +75,13 @@ def include_closure(files: DataFrame, roots: DataFrame, rounds: int = 1000) -> D
     leaves the root folder (its ``path`` is the text as given); ``endless`` tells whether a file is in or leads into a cycle of includes.
     """
     edges = includes(files).withColumn("inner", inside(F.col("target")))
-    edges = cut(edges.select("path", F.coalesce("inner", "target").alias("target"), F.col("inner").isNull().alias("out"), "kind").distinct())
-    front = cut(roots.select(F.col("path").alias("root"), "path", F.lit("requirement").alias("kind"), F.lit(False).alias("out")).distinct().withColumn("depth", F.lit(0)))
+    edges = merged(cut(edges.select("path", F.coalesce("inner", "target").alias("target"), F.col("inner").isNull().alias("out"), "kind").distinct()))
+    front = merged(cut(roots.select(F.col("path").alias("root"), "path", F.lit("requirement").alias("kind"), F.lit(False).alias("out")).distinct().withColumn("depth", F.lit(0))))
     seen = Grown(front)
     for step in range(1, rounds + 1):
         kind = F.when((F.col("f.kind") == "constraint") | (F.col("e.kind") == "constraint"), "constraint").otherwise("requirement")
         found = front.alias("f").where("not out").join(edges.alias("e"), F.col("f.path") == F.col("e.path")).select("f.root", F.col("e.target").alias("path"), kind.alias("kind"), "e.out").distinct()
-        front = cut(found.join(seen.rows().select("root", "path", "kind"), ["root", "path", "kind"], "left_anti").withColumn("depth", F.lit(step)))
+        front = merged(cut(found.join(merged(seen.rows().select("root", "path", "kind")), ["root", "path", "kind"], "left_anti").withColumn("depth", F.lit(step))))
         if front.isEmpty():
             break
         seen.add(front)
@@ -91,7 +91,7 @@ def include_closure(files: DataFrame, roots: DataFrame, rounds: int = 1000) -> D
     ends = edges.where("not out").select(F.col("path").alias("node"), F.col("target").alias("dep"))
     round_ = longest_levels(ends.select("node").union(ends.select("dep")), ends).where("level is null").select(F.col("node").alias("path"), F.lit(True).alias("endless"))
     status = F.when(F.col("out"), "outside").when(F.col("there"), "found").otherwise("missing")
-    return seen.rows().join(there, "path", "left").join(round_, "path", "left").select("root", "path", "kind", "depth", status.alias("status"), F.coalesce("endless", F.lit(False)).alias("endless"))
+    return seen.rows().join(merged(there), "path", "left").join(merged(round_), "path", "left").select("root", "path", "kind", "depth", status.alias("status"), F.coalesce("endless", F.lit(False)).alias("endless"))
 
 
 #: Sections of package.json and their scopes.
@@ -107,7 +107,7 @@ def package_json(files: DataFrame) -> DataFrame:
         own = parsed.select("path", F.explode(f"j.{section}").alias("package", "constraint_raw")).withColumn("scope", F.lit(scope))
         rows = own if rows is None else rows.union(own)
     optional = rows.where("scope = 'optional'").select("path", "package").withColumn("o", F.lit(True))
-    return rows.join(optional, ["path", "package"], "left").where("scope <> 'runtime' or o is null").select("path", "package", "constraint_raw", "scope")
+    return rows.join(merged(optional), ["path", "package"], "left").where("scope <> 'runtime' or o is null").select("path", "package", "constraint_raw", "scope")
 
 
 def package_lock(files: DataFrame) -> DataFrame:
